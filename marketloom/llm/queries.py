@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import ngram_join, packing
+from marketloom.llm import language_id, ngram_join, packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,10 +21,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of at most 4096 ids, balanced by Karmarkar-Karp differencing."""
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
