@@ -13,7 +13,7 @@ SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,5 +72,5 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of the byte spans [start, end)."""
     up, down = POWERS.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE_CODES[data] * up[: len(data)], dtype=U64, out=total[1:])
+    np.cumsum(BYTE_CODES[data] * up[: len(data)], dtype=U64, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))

@@ -20,13 +20,14 @@ and phrases whose trigger is in very many documents are dealt by their strings,
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.arrays import POWERS, SLICE_BYTES, U64, _BYTE_CODES, mix, slices
+from marketloom.llm.arrays import BYTE_CODES, POWERS, U64, mix, slices
 from marketloom.llm.storage import written
 
 TRIGGER_BYTES = 20
@@ -45,7 +46,7 @@ def phrases(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.nda
         return none, none, none, np.zeros(0, U64)
     up, down = POWERS.upto(n + 1)
     total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODES[data] * up[:n], dtype=U64, out=total[1:])
+    np.cumsum(BYTE_CODES[data] * up[:n], dtype=U64, out=total[1:])
     hashes = mix((total[k:] - total[:-k]) * down[: n - k + 1])
     bits = U64((1 << int(width).bit_length()) - 1)
     low = hashes & ~bits  # the low bits hold how far the least hash lies ahead; the leftmost wins a tie
@@ -55,13 +56,11 @@ def phrases(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.nda
         low = np.minimum(low[:-step], low[step:] + U64(step))
         reach += step
     starts = len(low)  # strings start at 0 .. n - span
-    ends_in = np.zeros(n + span + 1, np.int8)
     sizes = np.diff(at)
     valid = np.zeros(starts + 1, np.int64)
     long = np.flatnonzero(sizes >= span)
     np.add.at(valid, at[long], 1)
     np.add.at(valid, np.minimum(at[long + 1] - span + 1, starts), -1)
-    del ends_in
     inside = np.cumsum(valid[:-1]) > 0
     own = np.flatnonzero(inside)
     if not len(own):
@@ -194,7 +193,7 @@ def _dictionary(joined: DataFrame, span: int, k: int, groups: int) -> DataFrame:
             out = {c: [] for c in ("bucket", "doc_id", "tag", "at", "mask", "context")}
             for h, context, doc, tag, at, n in found:
                 settled = least[context] < doc
-                where = hash(doc) if settled else (h >> 32) if h is not None else zlib_hash(context)
+                where = hash(doc) if settled else (h >> 32) if h is not None else zlib.crc32(context)
                 for c, x in zip(out, (where % groups, doc, tag, at, -1 - ((1 << n) - 1) if settled else 0, None if settled else context), strict=True):
                     out[c].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["doc_id"], pa.int64()), pa.array(out["tag"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["mask"], pa.int64()), pa.array(out["context"], pa.binary())], list(out))
@@ -202,12 +201,6 @@ def _dictionary(joined: DataFrame, span: int, k: int, groups: int) -> DataFrame:
     return joined.mapInArrow(run, _PLACED)
 
 
-def zlib_hash(context: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(context)
-
-
 def _ordered(dictionary: DataFrame, span: int) -> DataFrame:
     """Masks of the strings of each phrase that also start in a smaller document: doc_id, tag, at, mask."""
 
