@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import language_id, ngram_join, packing, repeats
+from marketloom.llm import language_id, ngram_join, packing, pii, repeats
+
+
+#: Key of the registered query's pseudonyms; users give their own secret.
+PSEUDONYM_KEY = "example key of the registered query"
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +25,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data under pseudonyms."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pii.pseudonymise(docs, key=PSEUDONYM_KEY)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -37,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
