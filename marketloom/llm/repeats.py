@@ -228,15 +228,18 @@ def _ordered(dictionary: DataFrame, span: int) -> DataFrame:
     return dictionary.groupBy("bucket").applyInArrow(order, "doc_id long, tag long, at int, mask long")
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
+_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
 
 
-def _combine(joined: DataFrame, span: int, with_text: bool) -> DataFrame:
+def _combine(joined: DataFrame, span: int, with_text: bool, carried: list[str]) -> DataFrame:
+    types = dict(joined.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), _RESULT])
+
     def run(batches):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
-            for text, found in zip(get("text"), get("found"), strict=True):
+            for text, found in zip(get("_text"), get("found"), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 kept, spans = raw, []
                 if found.is_valid:
@@ -254,18 +257,18 @@ def _combine(joined: DataFrame, span: int, with_text: bool) -> DataFrame:
                     out[c].append(x)
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [get("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], kinds)],
-                ["doc_id", *out],
+                [*map(get, carried), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], kinds)],
+                [*carried, *out],
             )
 
-    return joined.mapInArrow(run, _RESULT)
+    return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = True, trigger_bytes: int = TRIGGER_BYTES, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = True, carry: tuple[str, ...] = (), trigger_bytes: int = TRIGGER_BYTES, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """Removes from each text the bytes covered by a `span`-byte string that also starts in a document of smaller doc_id.
 
     docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with
-    with_text kept (the remaining bytes as text; a character that was cut is dropped) and spans.
+    with_text kept (the remaining bytes as text; a character that was cut is dropped) and spans. Columns named in carry stay.
 
     Texts are UTF-8 bytes; null or empty ones, and those shorter than `span`, lose nothing and own nothing. Rows that repeat a
     doc_id are not compared with each other, only with smaller ids. Rows without doc_id lose nothing and own
@@ -273,15 +276,16 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = True, trig
     """
     if not 1 <= span - trigger_bytes <= 60:
         raise ValueError("span must exceed trigger_bytes by 1 to 60")
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("tag", F.xxhash64("text"))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long"), *carry, text.alias("_text"), F.xxhash64(text).alias("_tag"))
+    size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    named = keyed.where("doc_id is not null")
+    named = keyed.where("doc_id is not null").select("doc_id", F.col("_tag").alias("tag"), F.col("_text").alias("text"))
     shared = _shared(_parse(named, span, trigger_bytes, groups), hot_documents)
     shared = written(shared, "shared")
-    by_doc = shared.groupBy("doc_id", "tag").agg(F.collect_list("trigger").alias("triggers"), F.collect_list("hot").alias("hot"))
-    joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "triggers", "hot")
+    by_doc = shared.groupBy(F.col("doc_id"), F.col("tag").alias("_tag")).agg(F.collect_list("trigger").alias("triggers"), F.collect_list("hot").alias("hot"))
+    joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc_id", "_tag"]).select("doc_id", F.col("_tag").alias("tag"), F.col("_text").alias("text"), "triggers", "hot")
     masks = _ordered(_dictionary(joined, span, trigger_bytes, groups), span)
-    found = masks.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
-    return _combine(keyed.join(found.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "found"), span, with_text)
+    found = masks.groupBy("doc_id", F.col("tag").alias("_tag")).agg(F.collect_set(F.struct("at", "mask")).alias("found"))
+    whole = keyed.join(found.hint("shuffle_hash"), ["doc_id", "_tag"], "left").select("doc_id", *carry, "_text", "found")
+    return _combine(whole, span, with_text, ["doc_id", *carry])

@@ -44,6 +44,7 @@ def test_edge_cases(spark):
     full = {r.doc_id: r for r in remove_repeats(docs.where("doc_id in (0, 6, 8)")).collect()}
     assert full[8].kept == "zz!" and full[8].spans == [(2, 52)] and full[6].kept == a[:350]
     assert remove_repeats(docs.limit(0)).count() == 0
+    assert {r.tag for r in remove_repeats(docs, carry=("tag",)).collect()} == {"c"}
 
 
 def test_every_string_has_a_phrase():
