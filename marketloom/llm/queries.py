@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import language_id, ngram_join, packing, pii, repeats
+from marketloom.llm import imatch, language_id, ngram_join, packing, pii, repeats
 
 
 #: Key of the registered query's pseudonyms; users give their own secret.
@@ -31,6 +31,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, key=PSEUDONYM_KEY)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text, with their likeness."""
+    return imatch.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -47,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op4_fingerprints": op4_fingerprints, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
