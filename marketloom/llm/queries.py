@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketloom.llm import imatch, language_id, ngram_join, packing, pii, repeats
+from marketloom.llm import imatch, kdtree, language_id, ngram_join, packing, pii, repeats
 
 
 #: Key of the registered query's pseudonyms; users give their own secret.
@@ -31,6 +32,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, key=PSEUDONYM_KEY)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 vectors of highest integer inner product for each vec_id divisible by 100."""
+    return kdtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and of its edited text, with their likeness."""
     return imatch.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -52,5 +58,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op4_fingerprints": op4_fingerprints, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
