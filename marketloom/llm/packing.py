@@ -12,7 +12,9 @@ from __future__ import annotations
 import heapq
 import itertools
 import os
+import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,20 @@ SEPARATOR = 2
 #: Pieces that are balanced together, on average.
 GROUP_PIECES = 1024
 #: Distinct words whose ids a task remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+
+
+#: Ends of words that can be tokenised apart from them: signs after an ASCII letter and before white space.
+_SIGNS = re.compile(rb"(?<=[A-Za-z])([.,;:!?*&%$#]+)(?=[ \n])")
+#: Stands between words that are tokenised in one call; a special token of the vocabulary is never merged.
+_FENCE = "<|startoftext|>"
 
 
 class WordIds:
     """Token ids of whole texts, by a cache of the ids of white-space separated words.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words.
+    It also ignores case and keeps letters and signs apart, which lets words share entries.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
@@ -40,6 +49,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.fence = self.tokenizer.token_to_id(_FENCE)
         self.clear()
 
     def clear(self) -> None:
@@ -47,23 +57,39 @@ class WordIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.length, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def _encode(self, fresh: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in fresh]
+        out = []
+        for i in range(0, len(texts), 500):
+            some = texts[i : i + 500]
+            joined = _FENCE.join(some)
+            if self.fence is not None and joined.count(_FENCE) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.fence)
+                out += zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), [ids] * len(some), strict=True)
+            else:
+                each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                out += ((0, len(x), x) for x in each)
+        return out
+
     def learn(self, fresh: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-        first, sizes = len(self.code), np.fromiter(map(len, encoded), np.int64, len(encoded))
+        first, used = len(self.code), self.used
+        encoded = self._encode(fresh)
+        sizes = np.array([b - a for a, b, _ in encoded], np.int64)
         total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+        while used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(fresh) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, total)
         self.length[first : first + len(fresh)] = sizes
-        self.start[first : first + len(fresh)] = self.used + np.cumsum(sizes) - sizes
+        self.start[first : first + len(fresh)] = used + np.cumsum(sizes) - sizes
+        self.ids[used : used + total] = np.concatenate([np.zeros(0, np.uint32), *(x[a:b] for a, b, x in encoded)])
         self.used += total
         self.code.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 offsets."""
-        words = [t.split() for t in texts]
+        words = [(_SIGNS.sub(rb" \1", t) if b"<|" in t else _SIGNS.sub(rb" \1", t.lower())).split() for t in texts]
         flat = list(itertools.chain.from_iterable(words))
         if len(self.code) > self.limit:
             self.clear()
@@ -76,6 +102,12 @@ class WordIds:
         return ids, ends[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a worker."""
+    return WordIds(path)
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -83,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     """Pieces of at most `capacity` ids that cover each document's ids, with `separator` as its last id."""
 
     def cut(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             for part, data, at in slices(batch):
                 raw = data.tobytes()
@@ -100,19 +132,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Splits item numbers into `windows` lists of near-equal total size by multiway differencing."""
-    # An entry: its spread (negated), a running number, its non-zero sums with their items, largest first.
-    heap = [(-s, i, [(s, i, (i,))]) for i, s in enumerate(sizes)]
+    # An entry: its spread, a running number, its non-zero sums with their items; all sums negated, so that the largest come first.
+    heap = [(-s, i, [(-s, i, (i,))]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     number = itertools.count(len(sizes))
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         free = windows - len(b)  # so many of the largest sums of a meet a zero of b
         over = max(0, len(a) - free)
-        merged = a[:free] + b[: len(b) - over]
-        merged += ((x[0] + y[0], next(number), (x[2], y[2])) for x, y in zip(a[free:], reversed(b[len(b) - over :]), strict=True))
-        merged.sort(key=lambda x: (-x[0], x[1]))
+        merged = [*a[:free], *b[: len(b) - over], *((x[0] + y[0], next(number), (x[2], y[2])) for x, y in zip(a[free:], reversed(b[len(b) - over :]), strict=True))]
+        merged.sort()
         spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
-        heapq.heappush(heap, (-spread, next(number), merged))
+        heapq.heappush(heap, (spread, next(number), merged))
 
     def items(tree: tuple) -> list[int]:
         out, stack = [], [tree]
