@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import imatch, kdtree, language_id, ngram_join, packing, pii, repeats
+from marketloom.llm import html_text, imatch, kdtree, language_id, ngram_join, packing, pii, repeats
 
 
 #: Key of the registered query's pseudonyms; users give their own secret.
@@ -42,6 +42,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -58,5 +63,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op5_html_text": op5_html_text, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
