@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import html_text, imatch, kdtree, language_id, ngram_join, packing, pii, repeats, toxicity
+from marketloom.llm import html_text, imatch, kdtree, language_id, ngram_join, packing, pieces, pii, repeats, toxicity
 
 
 #: Key of the registered query's pseudonyms; users give their own secret.
@@ -52,6 +52,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of every document, and what decoding makes of it."""
+    return pieces.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -68,5 +73,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op5_html_text": op5_html_text, "op6_toxicity": op6_toxicity, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op5_html_text": op5_html_text, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
