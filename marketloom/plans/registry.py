@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.plans import daily
+from marketloom.plans import daily, studies
 
-_MODULES = (daily,)
+_MODULES = (daily, studies)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
