@@ -40,24 +40,25 @@ def lexicon(docs: DataFrame, low: float = LOWEST_SHARE, high: float = HIGHEST_SH
     return band.select("term", mask.alias("mask"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fingerprint(entries: Column, text_digest: Column) -> Column:
     """Signatures of all subsets, of sorted distinct entries(term, mask); a text without lexicon terms is known by its digest."""
-    parts = []
-    for k in range(RATES * REPEATS):
-        bit = F.lit(1 << k)
-        own = F.transform(F.filter(entries, lambda x: x["mask"].bitwiseAND(bit) != 0), lambda x: x["term"])  # noqa: B023
-        parts.append(F.when(F.size(own) == 0, "-").otherwise(F.substring(F.md5(F.array_join(own, " ")), 1, 8)))
-    whole = F.array_join(F.array(*parts), ":")
-    return F.when(whole.rlike("[^-:]"), whole).otherwise(F.concat(F.lit("text:"), text_digest))
+    mark = lambda joined: F.when(joined == "", "-").otherwise(F.substring(F.md5(joined), 1, 8))
+    own = lambda e, bit: F.array_join(F.transform(F.filter(e, lambda x: x["mask"].bitwiseAND(bit) != 0), lambda x: x["term"]), " ")
+    bits = F.array(*(F.lit(1 << k) for k in range(RATES * REPEATS)))
+    parts = _once(entries, lambda e: F.array_join(F.transform(bits, lambda bit: _once(own(e, bit), mark)), ":"))
+    return _once(parts, lambda whole: F.when(whole.rlike("[^-:]"), whole).otherwise(F.concat(F.lit("text:"), text_digest)))
 
 
 def likeness(x: Column, y: Column) -> Column:
     """Share of equal signatures among those that are not empty in both; 1 or 0 where a whole text is the signature."""
-    pairs = F.zip_with(F.split(x, ":"), F.split(y, ":"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    some = F.filter(pairs, lambda p: ~((p["a"] == "-") & (p["b"] == "-")))
-    same = F.filter(some, lambda p: p["a"] == p["b"])
-    text = x.startswith("text:") | y.startswith("text:")
-    return F.when(text, (x == y).cast("double")).otherwise(F.size(same) / F.size(some))
+    pairs = F.zip_with(F.split(x, ":"), F.split(y, ":"), lambda a, b: F.when((a == "-") & (b == "-"), F.lit(None)).otherwise((a == b).cast("int")))
+    share = _once(F.array_compact(pairs), lambda some: F.aggregate(some, F.lit(0), lambda n, e: n + e) / F.size(some))
+    return F.when(x.startswith("text:") | y.startswith("text:"), (x == y).cast("double")).otherwise(share)
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
@@ -120,8 +121,10 @@ def fingerprints(docs: DataFrame, low: float = LOWEST_SHARE, high: float = HIGHE
     keys = ["bucket", "_rank", "sentinel", "doc_id", "_tie", "n_chars", "edited_sha256", "_digest", "_edited_digest"]
     flat = rows.select(
         "bucket", "_rank", "sentinel", "doc_id", "_tie", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.md5("text").alias("_digest"), F.md5("_edited").alias("_edited_digest"),
-        F.explode(entries).alias("e"),
-    ).select(*keys, "e.kind", "e.term")
+        entries.alias("_entries"),
+    )
+    # digests stand below the explosion, or they would be taken anew for every term
+    flat = flat.select(*keys, F.explode("_entries").alias("e")).select(*keys, "e.kind", "e.term")
     # The keys hold `bucket`, by which the window has dealt the rows: this grouping needs no shuffle of its own.
     grouped = flat.join(lex.hint("broadcast" if small else "merge"), "term").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("kind", "term", "mask"))).alias("e"))
     of = lambda kind: F.filter("e", lambda x: x["kind"] == kind)
