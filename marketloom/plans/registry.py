@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.plans import daily, ledgers, studies
+from marketloom.plans import comparisons, daily, ledgers, studies
 
-_MODULES = (daily, studies, ledgers)
+_MODULES = (daily, studies, ledgers, comparisons)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
