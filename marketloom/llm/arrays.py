@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into numpy arrays at once (a longer single text is taken whole).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -66,6 +66,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
         yield batch.slice(start, end - start), data[at[start] : at[end]], at[start : end + 1] - at[start]
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

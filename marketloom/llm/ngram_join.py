@@ -10,6 +10,10 @@ form one class, of which only the representative (smallest id) is joined:
    join's condition; a pair that meets on several n-grams is kept once;
 4. each pair is verified once, on the whole sets.
 
+Steps 3 and 4 run three times. First every n-gram's members meet its smallest, then its largest id; last, members of
+components that are still apart meet each other. A large group of near copies is thus linked through a
+few centres, and its members, once connected, never meet pairwise. No link between components is lost.
+
 The sketch only decides the order, so its errors cost time but never lose a pair. Frequent
 n-grams come last in every set; a hot prefix n-gram is left to Spark's skew-join splitting.
 """
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,73 +122,153 @@ def cell_of(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes >> U64(20)).astype(np.int64) % width
 
 
-_BASE = "doc_id long, n int, signature binary, low long, high long, prefix array<long>"
+#: Columns of a set's 256 parities: whether an odd number of its members falls into each class.
+_PARITY = ("p0", "p1", "p2", "p3")
+_BASE = "doc_id long, n int, signature binary, p0 long, p1 long, p2 long, p3 long, prefix array<long>"
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, width: int) -> DataFrame:
-    """For each row: set size, digest of the whole set, class counts for the suffix filter, rare-first prefix."""
+    """For each row: set size, digest of the whole set, parities for the suffix filter, rare-first prefix."""
     rank = np.minimum(255, 8 * np.log2(1 + sketch_frequencies(docs, size, width))).astype(np.uint8)
     rank = docs.sparkSession.sparkContext.broadcast(rank)  # one byte a cell: `width` bytes
 
     def describe(batches):
         for batch in batches:
             for part, data, at in slices(batch):
-                n, signatures, low, high, prefix = [], [], [], [], []
+                n, signatures, parity, prefix = [], [], [], []
                 for s in shingle_sets(data, at, size):
                     n.append(len(s))
                     signatures.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    counts = np.minimum(np.bincount((s & U64(7)).astype(np.int64), minlength=8), 32767)
-                    low.append(int((counts[:4] << np.arange(0, 64, 16)).sum()))
-                    high.append(int((counts[4:] << np.arange(0, 64, 16)).sum()))
+                    parity.append(np.packbits((np.bincount((s & U64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
                     keep = len(s) - _needed(len(s), percent) + 1 if len(s) else 0
                     order = np.lexsort((s, rank.value[cell_of(s, width)]))[:keep]
                     prefix.append(s[order].view(np.int64))
                 flat = np.concatenate([np.zeros(0, np.int64), *prefix])
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(signatures, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "n", "signature", "low", "high", "prefix"],
+                    [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(signatures, pa.binary()), *(pa.array(c) for c in np.ascontiguousarray(np.stack(parity).T)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    ["doc_id", "n", "signature", *_PARITY, "prefix"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(describe, _BASE)
 
 
-def candidate_pairs(representatives: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of representatives that share a prefix n-gram and pass the length, positional and suffix filters, each once."""
-    postings = representatives.select(F.col("doc_id").alias("id"), "n", "low", "high", F.posexplode("prefix").alias("pos", "gram"))
-    x, y = postings.alias("x"), postings.alias("y")
+def shared_postings(representatives: DataFrame) -> DataFrame:
+    """gram, id, n, pos and parities for the prefix n-grams that more than one representative has. Parities join late: most postings are gone by then."""
+    postings = representatives.select(F.posexplode("prefix").alias("pos", "gram"), F.col("doc_id").alias("id"), "n")
+    several = postings.groupBy("gram").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("gram")
+    shared = postings.join(several.hint("merge"), "gram", "left_semi")
+    return written(shared.join(representatives.select(F.col("doc_id").alias("id"), *_PARITY).hint("merge"), "id"), "postings")
+
+
+def _may_be_similar(percent: int) -> F.Column:
+    """Length, positional and suffix filters for postings x and y of one n-gram."""
     nx, ny = F.col("x.n"), F.col("y.n")
     total = nx + ny
     # |x & y| >= percent/100 * |x | y|  <=>  |x & y| * (100 + percent) >= percent * (|x| + |y|)
     least = F.ceil(total * percent / F.lit(100 + percent) - 1e-9)
     length = (100 * F.least(nx, ny)) >= (percent * F.greatest(nx, ny))
     position = (F.least(F.col("x.pos"), F.col("y.pos")) + F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))) >= least
-    apart = sum(
-        F.abs(F.shiftright(F.col(f"x.{c}"), s).bitwiseAND(F.lit(0xFFFF)) - F.shiftright(F.col(f"y.{c}"), s).bitwiseAND(F.lit(0xFFFF)))
-        for c in ("low", "high") for s in (0, 16, 32, 48)
-    )
-    suffix = apart <= total - 2 * least
-    met = x.join(y.hint("merge"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & length & position & suffix)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # each class whose parities differ holds a member of one set only
+    apart = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _PARITY)
+    return length & position & (apart <= total - 2 * least)
+
+
+def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
+    """postings with `part`: the component that the links so far give."""
+    if links is None:
+        return postings.withColumn("part", F.col("id"))
+    of = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    return postings.join(of.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+
+
+def star_pairs(postings: DataFrame, percent: int, centre: str) -> DataFrame:
+    """Candidates of each n-gram's centre (its smallest or largest id: "min", "max") with members of other components: as many as postings at most."""
+    best = F.struct("id", "part", "n", "pos", *_PARITY)
+    centres = postings.groupBy("gram").agg((F.min if centre == "min" else F.max)(best).alias("c")).select("gram", "c.*")
+    x, y = centres.alias("x"), postings.alias("y")
+    met = y.join(x.hint("merge"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & _may_be_similar(percent))
+    return written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
+
+
+def remaining_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """All candidates between different components. The component that holds most members of an n-gram does not meet itself."""
+    sizes = postings.groupBy("gram", "part").count()
+    most = sizes.groupBy("gram").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("gram", "most")
+    some = postings.join(most.hint("merge"), "gram")
+    x, y = some.where("part != most").alias("x"), some.alias("y")
+    met = x.join(y.hint("merge"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & _may_be_similar(percent))
+    a, b = F.col("x.id"), F.col("y.id")
+    both_minor = F.col("y.part") != F.col("y.most")
+    return written(met.where(~both_minor | (a < b)).select(a.alias("a"), b.alias("b")).distinct(), "candidates")
+
+
+#: Partners of a document whose sets meet in one block, and pairs in a task's group, on average.
+BLOCK_PAIRS, GROUP_PAIRS = 256, 500
+#: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
     def build(batches):
         for batch in batches:
             for part, data, at in slices(batch):
-                sets = [s.view(np.int64) for s in shingle_sets(data, at, size)]
-                ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "members"])
+                sets = list(shingle_sets(data, at, size))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), part.column(part.schema.get_field_index("groups")), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["a", "groups", "members"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "id long, members array<long>")
+    return docs.select("doc_id", "groups", "text").mapInArrow(build, "a long, groups array<long>, members binary")
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The candidate pairs whose whole sets are similar enough, each verified once.
+
+    The pairs of a document are verified in blocks of bounded size, to which its set travels once; blocks are dealt to groups
+    of bounded size. A document with very many partners gets more blocks.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("blocks"))
+    groups = max(1, pairs.count() // GROUP_PAIRS)
+    met = pairs.join(blocks.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")), F.lit(groups)).alias("group"))
+    met = written(met, "met")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("doc_id"), "group").groupBy("doc_id").agg(F.collect_set("group").alias("groups"))
+    wanted = written(wanted, "wanted")
+    how = "broadcast" if wanted.count() <= BROADCAST_IDS else "shuffle_hash"
+    sets = _whole_sets(docs.join(wanted.hint(how), "doc_id"), size).select(F.explode("groups").alias("group"), "a", F.lit(None).cast("long").alias("b"), "members")
+
+    def verify(table):
+        known = pc.is_valid(table.column("members"))
+        own = table.filter(known)
+        members: dict[int, list[np.ndarray]] = {}
+        for i, blob in zip(own.column("a").to_pylist(), own.column("members"), strict=True):
+            members.setdefault(i, []).append(np.frombuffer(blob.as_buffer(), U64))
+        rest = table.filter(pc.invert(known))
+        kept = [
+            (a, b) for a, b in zip(rest.column("a").to_pylist(), rest.column("b").to_pylist(), strict=True)
+            if any(_similar(s, t, percent) for s in members[a] for t in members[b])
+        ]
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+
+    both = sets.unionByName(met.withColumn("members", F.lit(None).cast("binary")))
+    return both.groupBy("group").applyInArrow(verify, "a long, b long")
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Both sorted and distinct, so that members common to both stand side by side once merged."""
+    merged = np.concatenate([s, t])
+    merged.sort(kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Similarity self-join of documents(doc_id, text, ...) on sets of `size`-word n-grams.
 
     Returns (members, links): members has doc_id, n_shingles and
-    representative (smallest id of an equal set) for each row; links has every pair a < b of representatives
-    whose sets have 100 * intersection >= percent * union. Together they describe all links.
+    representative (smallest id of an equal set) for each row; links has pairs (a, b) of representatives
+    whose sets have 100 * intersection >= percent * union: enough of them to connect whatever such pairs connect.
 
     Null or empty text: an empty set, linked with nothing (its own representative). Fewer words
     than `size`: the whole sequence is the one n-gram. Rows without doc_id take no part. Rows that
@@ -191,22 +276,18 @@ def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80, width: int
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     base = written(prefixes(docs, size, percent, width), "prefixes")
-    by_set = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
-    pairs = written(candidate_pairs(by_set, percent), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _whole_sets(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), size)
-    sets = written(sets, "sets")
-    verified = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")).hint("shuffle_hash"), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("members").alias("of_b")).hint("merge"), "b")
-        .withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-        .where(F.col("both") * 100 >= percent * (F.size("of_a") + F.size("of_b") - F.col("both")))
-        .select("a", "b").distinct()
-    )
+    by_set = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in _PARITY), F.first("prefix").alias("prefix"))
+    postings = shared_postings(by_set)
+    links = None
+    for round_ in ("min", "max", "all"):
+        labelled = _labelled(postings, links)
+        pairs = remaining_pairs(labelled, percent) if round_ == "all" else star_pairs(labelled, percent, round_)
+        found = written(verified_pairs(docs, pairs, size, percent), "links")
+        links = found if links is None else links.unionByName(found)
     first = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("representative"))
     members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(first.hint("merge"), "signature", "left")
     members = members.select("doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative"))
-    return members, verified
+    return members, links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> DataFrame:
