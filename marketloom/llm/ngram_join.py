@@ -10,8 +10,9 @@ form one class, of which only the representative (smallest id) is joined:
    join's condition; a pair that meets on several n-grams is kept once;
 4. each pair is verified once, on the whole sets.
 
-Steps 3 and 4 run three times. First every n-gram's members meet its smallest, then its largest id; last, members of
-components that are still apart meet each other. A large group of near copies is thus linked through a
+jaccard_links() and jaccard_join() meet and verify every candidate pair. Where components alone are wanted,
+jaccard_components() runs steps 3 and 4 three times. First every n-gram's members meet its smallest, then its largest id; last,
+members of components that are still apart meet each other. A large group of near copies is thus linked through a
 few centres, and its members, once connected, never meet pairwise. No link between components is lost.
 
 The sketch only decides the order, so its errors cost time but never lose a pair. Frequent
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,8 +204,17 @@ def remaining_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return written(met.where(~both_minor | (a < b)).select(a.alias("a"), b.alias("b")).distinct(), "candidates")
 
 
+def all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair a < b, each once."""
+    x, y = postings.alias("x"), postings.alias("y")
+    met = x.join(y.hint("merge"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & _may_be_similar(percent))
+    return written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
+
+
 #: Partners of a document whose sets meet in one block, and pairs in a task's group, on average.
 BLOCK_PAIRS, GROUP_PAIRS = 256, 500
+#: Documents on a side of a block in which the members of a group of near copies meet each other.
+BLOCK_SIDE = 32
 #: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -222,15 +232,30 @@ def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "groups", "text").mapInArrow(build, "a long, groups array<long>, members binary")
 
 
-def verified_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _by_document(pairs: DataFrame) -> DataFrame:
+    """pairs with `block`: those of one a, or some of them where it has very many partners."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("blocks"))
+    return pairs.join(blocks.hint("merge"), "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")).alias("block"))
+
+
+def _by_neighbourhood(pairs: DataFrame) -> DataFrame:
+    """pairs with `block`: a chunk of a's neighbourhood against a chunk of b's. Documents with the same smallest partner are neighbours."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("near")), "near")
+    chunks = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK_SIDE).alias("chunks"))
+    chunk = near.join(chunks.hint("merge"), "near").select("a", F.xxhash64("near", F.pmod(F.xxhash64("a"), "chunks")).alias("chunk"))
+    met = pairs.join(chunk.withColumnRenamed("chunk", "x").hint("merge"), "a").join(chunk.select(F.col("a").alias("b"), F.col("chunk").alias("y")).hint("merge"), "b")
+    return met.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"))
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame, size: int, percent: int, blocks: Callable[[DataFrame], DataFrame] = _by_document) -> DataFrame:
     """The candidate pairs whose whole sets are similar enough, each verified once.
 
-    The pairs of a document are verified in blocks of bounded size, to which its set travels once; blocks are dealt to groups
+    Pairs are verified in blocks of bounded size, to which the set of each document in them travels once; blocks are dealt to groups
     of bounded size. A document with very many partners gets more blocks.
     """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("blocks"))
     groups = max(1, pairs.count() // GROUP_PAIRS)
-    met = pairs.join(blocks.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")), F.lit(groups)).alias("group"))
+    met = blocks(pairs).select("a", "b", F.pmod("block", F.lit(groups)).alias("group"))
     met = written(met, "met")
     wanted = met.select(F.explode(F.array("a", "b")).alias("doc_id"), "group").groupBy("doc_id").agg(F.collect_set("group").alias("groups"))
     wanted = written(wanted, "wanted")
@@ -263,35 +288,63 @@ def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
+def _classes(docs: DataFrame, size: int, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """members, as jaccard_links() returns them, and the shared postings of their representatives."""
+    base = written(prefixes(docs, size, percent, width), "prefixes")
+    by_set = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in _PARITY), F.first("prefix").alias("prefix"))
+    first = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("representative"))
+    members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(first.hint("merge"), "signature", "left")
+    return members.select("doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative")), shared_postings(by_set)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+
+
 def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Similarity self-join of documents(doc_id, text, ...) on sets of `size`-word n-grams.
 
     Returns (members, links): members has doc_id, n_shingles and
-    representative (smallest id of an equal set) for each row; links has pairs (a, b) of representatives
-    whose sets have 100 * intersection >= percent * union: enough of them to connect whatever such pairs connect.
+    representative (smallest id of an equal set) for each row; links has every pair a < b of representatives
+    whose sets have 100 * intersection >= percent * union. Together they describe all links.
 
     Null or empty text: an empty set, linked with nothing (its own representative). Fewer words
     than `size`: the whole sequence is the one n-gram. Rows without doc_id take no part. Rows that
     repeat a doc_id stay rows of their own in members; a link of any of them is a link of that id. Other columns are ignored. No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    base = written(prefixes(docs, size, percent, width), "prefixes")
-    by_set = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in _PARITY), F.first("prefix").alias("prefix"))
-    postings = shared_postings(by_set)
+    docs = _documents(docs)
+    members, postings = _classes(docs, size, percent, width)
+    return members, written(verified_pairs(docs, all_pairs(postings, percent), size, percent, _by_neighbourhood), "links")
+
+
+def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    of = connected_components(links).select(F.col("node").alias("representative"), "component")
+    return members.join(of.hint("merge"), "representative", "left").withColumn("component_id", F.coalesce("component", "representative"))
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), n_links (other documents that are similar enough).
+
+    Edge cases as in jaccard_links. Ids are counted once; ids that one representative stands for count as equal.
+    """
+    members, links = jaccard_links(docs, size, percent, width)
+    members = written(members, "members")
+    sizes = written(members.where("n_shingles > 0").groupBy("representative").agg(F.countDistinct("doc_id").alias("size")), "sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("representative").alias("b"), "size").hint("merge"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+    counts = sizes.join(others.hint("merge"), F.col("representative") == F.col("a"), "left").select("representative", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    n_links = F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0)).cast("long")
+    return _with_components(members, links).join(counts.hint("merge"), "representative", "left").select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles and component_id of jaccard_join(), from just enough links to connect whatever all links connect."""
+    docs = _documents(docs)
+    members, postings = _classes(docs, size, percent, width)
     links = None
     for round_ in ("min", "max", "all"):
         labelled = _labelled(postings, links)
         pairs = remaining_pairs(labelled, percent) if round_ == "all" else star_pairs(labelled, percent, round_)
         found = written(verified_pairs(docs, pairs, size, percent), "links")
         links = found if links is None else links.unionByName(found)
-    first = base.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("representative"))
-    members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(first.hint("merge"), "signature", "left")
-    members = members.select("doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative"))
-    return members, links
-
-
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, width: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links). Edge cases as in jaccard_links."""
-    members, links = jaccard_links(docs, size, percent, width)
-    of = connected_components(links).select(F.col("node").alias("representative"), "component")
-    return members.join(of.hint("merge"), "representative", "left").select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
+    return _with_components(members, links).select("doc_id", "n_shingles", "component_id")

@@ -22,8 +22,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    return ngram_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
+    """Links and components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
