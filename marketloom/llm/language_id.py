@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Spark counts the character 4-grams of every labelled training text. From the most frequent of
-each language (a documented bound) a Kneser-Ney model is computed; the models of all languages
+Spark counts the character 4-grams of every labelled training text, and from all of them the lower
+orders, discounts and totals of a Kneser-Ney model. The most frequent n-grams of each order and language
+(a documented bound) keep their probabilities, the others are left to the order below; the models of all languages
 share one table per order: hashes of n-grams in a sorted array, and beside each the log
 probabilities in every language. A text gets the language of lowest cross-entropy per
-character; it is rejected where that exceeds the language's threshold, calibrated on labelled texts.
+character; it is rejected where that exceeds the language's threshold, calibrated on all labelled texts.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm.arrays import U64, mix, slices
+from marketloom.llm.storage import written
 
 ORDER = 4
-#: n-grams kept for a language's model, by count.
+#: n-grams of each order kept for a language's model, by count.
 MODEL_GRAMS = 200_000
-#: Labelled texts, in expectation, on which rejection is calibrated.
-CALIBRATION_ROWS = 20_000
+#: Share of a language's labelled texts under whose highest entropy the threshold is set, and steps to a nat in which it is first looked for.
+CALIBRATION_SHARE, ENTROPY_STEPS = 0.999, 256
 #: A text is rejected above this multiple of the entropy that all but one in a thousand labelled texts stay under.
 MARGIN = 1.25
 #: Characters from which on the score no longer grows more certain.
@@ -118,17 +121,30 @@ class _KneserNey:
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
             contexts, where = np.unique(keys >> U64(16), return_inverse=True)
-            self.levels[n] = keys, counts, discount, contexts, np.bincount(where, counts), np.bincount(where).astype(float)
+            self.levels[n] = keys, counts, discount, contexts, np.bincount(where, counts), discount * np.bincount(where)
             if n > 1:  # below the highest order a gram counts the characters that it follows
                 keys, counts = np.unique(keys & U64((1 << 16 * (n - 1)) - 1), return_counts=True)
                 counts = counts.astype(float)
         self.size = len(self.levels[1][0]) + 1
 
+    @classmethod
+    def kept(cls, rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], discounts: dict[int, float], letters: int) -> _KneserNey:
+        """From kept grams only: by order keys, counts and the totals of their contexts over all grams. What others had goes to the order below."""
+        model = cls.__new__(cls)
+        model.levels, model.size = {}, letters + 1
+        for n, (keys, counts, totals) in rows.items():
+            order = np.argsort(keys)
+            keys, counts, totals = keys[order], counts[order].astype(float), totals[order].astype(float)
+            contexts, first, where = np.unique(keys >> U64(16), return_index=True, return_inverse=True)
+            left = totals[first] - np.bincount(where, counts - discounts[n])
+            model.levels[n] = keys, counts, discounts[n], contexts, totals[first], left
+        return model
+
     def weight(self, contexts: np.ndarray, n: int) -> np.ndarray:
         """What order n leaves to the order below it, by context; 1 where the context is new."""
-        _, _, discount, known, total, kinds = self.levels[n]
+        _, _, _, known, total, left = self.levels[n]
         i = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
-        return np.where(known[i] == contexts, discount * kinds[i] / total[i], 1.0)
+        return np.where(known[i] == contexts, left[i] / total[i], 1.0)
 
     def probability(self, keys: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
@@ -195,19 +211,31 @@ class LanguageModel:
 def fit(labelled: DataFrame, model_grams: int = MODEL_GRAMS) -> LanguageModel | None:
     """Model of the languages of labelled(text, lang); None where no row has a text and a language.
 
-    Counts cover all rows; each language's model holds its `model_grams` most frequent 4-grams.
+    Counts, discounts and totals cover all rows; each language's model holds its `model_grams` most frequent grams of each order.
     """
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = count_grams(labelled.where("lang is not null and text is not null")).withColumn("rank", rank).where(F.col("rank") <= model_grams)
-    table = kept.select("lang", "gram", "n").toArrow()
-    if not table.num_rows:
+    level = written(count_grams(labelled.where("lang is not null and text is not null")), "grams")
+    rows, discounts, letters = {}, {}, {}
+    for n in range(ORDER, 0, -1):
+        context = F.shiftrightunsigned("gram", 16)
+        totals = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
+        best = level.withColumn("rank", rank).where(F.col("rank") <= model_grams).withColumn("context", context)
+        rows[n] = best.join(totals.hint("merge"), ["lang", "context"]).select("lang", "gram", "n", "total").toArrow()
+        for r in level.groupBy("lang").agg(F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+            discounts[r.lang, n] = min(0.95, max(0.1, r.ones / (r.ones + 2 * r.twos))) if r.ones else 0.5
+            letters[r.lang] = r.grams
+        if n > 1:  # below the highest order a gram counts the characters that it follows
+            level = written(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    if not letters:
         return None
-    names = np.array(table.column("lang").to_pylist(), object)
-    keys, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    languages = sorted(set(names))
-    own = [_KneserNey(keys[names == x], counts[names == x]) for x in languages]
+    languages = sorted(letters)
+    own = []
+    for x in languages:
+        of = {n: t.filter(pc.equal(t.column("lang"), x)) for n, t in rows.items()}
+        of = {n: (t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy(), t.column("total").to_numpy()) for n, t in of.items()}
+        own.append(_KneserNey.kept(of, {n: discounts[x, n] for n in of}, letters[x]))
     grams, weights = {}, {}
     for n in range(1, ORDER + 1):
         union = np.unique(np.concatenate([m.levels[n][0] for m in own]))
@@ -250,11 +278,28 @@ def score(docs: DataFrame, model: LanguageModel | None, prefix: str = "") -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def calibrate(model: LanguageModel, labelled: DataFrame, rows: int = CALIBRATION_ROWS, margin: float = MARGIN) -> LanguageModel:
-    """Sets each language's rejection threshold from about `rows` labelled texts, taken by a hash of doc_id."""
-    share = min(1.0, rows / max(1, labelled.count()))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    high = score(some.select("text"), model).where("n_letters > 0").groupBy("lang_pred").agg(F.expr("percentile(entropy, 0.999)").alias("high"))
+def percentile_by(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """by, high: the exact percentile of value (not negative) in each group, interpolated as Spark's percentile().
+
+    Counts by step of the value find the steps that hold the two rows in question; only rows of those steps are sorted.
+    """
+    from pyspark.sql import Window
+
+    x = rows.select(by, F.col(value).alias("v"), F.floor(F.col(value) * ENTROPY_STEPS).alias("step"))
+    w = Window.partitionBy(by)
+    steps = x.groupBy(by, "step").agg(F.count("*").alias("here"))
+    steps = steps.withColumns({"upto": F.sum("here").over(w.orderBy("step")), "at": (F.sum("here").over(w) - 1) * F.lit(share)}).withColumn("before", F.col("upto") - F.col("here"))
+    steps = steps.where((F.col("before") <= F.ceil("at")) & (F.col("upto") > F.floor("at")))
+    found = x.join(F.broadcast(steps.select(by, "step", "at", "before")), [by, "step"])  # one or two steps a group
+    found = found.withColumn("row", F.row_number().over(Window.partitionBy(by, "step").orderBy("v")) - 1 + F.col("before"))
+    low, high, part = (F.max(F.when(F.col("row") == F.floor("at"), F.col("v"))), F.max(F.when(F.col("row") == F.ceil("at"), F.col("v"))), F.max(F.col("at") - F.floor("at")))
+    return found.groupBy(by).agg((low + (high - low) * part).alias("high"))
+
+
+def calibrate(model: LanguageModel, labelled: DataFrame, margin: float = MARGIN) -> LanguageModel:
+    """Sets each language's rejection threshold from all labelled texts."""
+    entropies = score(labelled.select("text"), model).where("n_letters > 0").select("lang_pred", "entropy")
+    high = percentile_by(written(entropies, "entropies"), "lang_pred", "entropy", CALIBRATION_SHARE)
     model.thresholds = {r.lang_pred: margin * r.high for r in high.collect()}
     return model
 
@@ -272,7 +317,7 @@ def annotate(docs: DataFrame, training: DataFrame | None = None, prefix: str = "
 
     Null text, or text without a letter: lang_pred `und`, score 0, not accepted. Labels that are null are not
     learnt from; with no labelled text at all everything is `und`. A tie goes to the first language by name. Repeated rows
-    get equal results. A language without calibration rows accepts everything.
+    get equal results. A language that no labelled text gets accepts everything.
     """
     labelled = (docs if training is None else training).where(~is_held_out()).where("lang is not null and text is not null")
     model = fit(labelled)
