@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from marketloom.llm.storage import written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for each node of edges(a, b).
 
     Alternates the large-star and small-star steps, which converge in a logarithmic number of
     rounds. Every step is a grouped minimum and a join on the node, and each round is written to
     the shared folder, so lineage stays short. A node with very many neighbours is
-    never gathered: only its minimum is. Self-links and null ids are ignored.
+    never gathered: only its minimum is. The loop ends when nothing changes any more. Self-links and null ids are ignored.
 
     Returns node, component; nodes without a link do not appear. Ties cannot occur; no edges give no rows.
     """
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -42,9 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after.select("u").join(after.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty() and (
             after.groupBy("u").count().where("count > 1").isEmpty()
         ):
-            current = after
             break
         current = after
+    current = after
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(centres)

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marketloom.llm.ngram_join import jaccard_components, jaccard_join, jaccard_links
+from marketloom.llm.ngram_join import _roots, _similar_pairs, jaccard_components, jaccard_join, jaccard_links
 
 
 def shingles(text, size):
@@ -15,8 +17,8 @@ def similar(s, t, percent):
     return bool(s) and 100 * len(s & t) >= percent * len(s | t)
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_links_within_groups_of_near_copies_equal_brute_force(spark, size, percent):
+@pytest.mark.parametrize("size,percent,hot,width", [(3, 90, 1 << 13, 1 << 14), (5, 80, 1 << 13, 1 << 14), (3, 90, 8, 1 << 16), (5, 80, 8, 1 << 16)])
+def test_links_within_groups_of_near_copies_equal_brute_force(spark, size, percent, hot, width):
     rng = random.Random(7)
     texts = []
     for g in range(3):
@@ -29,7 +31,7 @@ def test_links_within_groups_of_near_copies_equal_brute_force(spark, size, perce
     texts += texts[:3] + [None, "", "one two", "ONE two"]
     sets = [shingles(t, size) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    members, links = jaccard_links(docs, size, percent)
+    members, links = jaccard_links(docs, size, percent, width, hot)
     first = {}
     for i, s in enumerate(sets):
         first.setdefault(s if s else i, i)
@@ -40,6 +42,28 @@ def test_links_within_groups_of_near_copies_equal_brute_force(spark, size, perce
     assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 300
     assert {r.doc_id: r.representative for r in members.collect()} == {i: first[s] if s else i for i, s in enumerate(sets)}
     n_links = Counter(a for a, s in enumerate(sets) for b, t in enumerate(sets) if a != b and similar(s, t, percent))
-    joined = jaccard_join(docs, size, percent).collect()
+    joined = jaccard_join(docs, size, percent, width, hot).collect()
     assert {r.doc_id: r.n_links for r in joined} == {i: n_links[i] for i in range(len(sets))}
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in joined} == {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, size, percent).collect()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in joined} == {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, size, percent, width, hot).collect()}
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_common_members_and_roots(percent):
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, 250), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(40)]
+    for cut in (0, 7, 39):
+        x, y = _similar_pairs(sets, cut, percent)
+        pairs = [(i, j) for i in range(cut or 40) for j in range(cut or i + 1, 40)]
+        wanted = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(x.tolist(), y.tolist())) == wanted and len(x) == len(wanted)
+    assert _roots(np.array([2, 5, 7, 9, 11]), np.array([0, 3]), np.array([2, 4])).tolist() == [2, 5, 2, 9, 9]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, 1, "x"), (1, base, 1, "x"), (2, base + " x", 1, "y"), (3, "other words here now", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, signature string").withColumn("prefix", F.lit("p")).withColumn("chunk", F.lit(1)).withColumn("blocks", F.lit(2)).withColumn("weight", F.lit(3))
+    got = sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect())
+    assert got == [(1, 58, 1, 1), (1, 58, 1, 1), (2, 59, 1, 1), (3, 2, 3, 0)]
+    assert sorted(tuple(r) for r in jaccard_components(docs, 3, 90).collect()) == [t[:3] for t in got]
