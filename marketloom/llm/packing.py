@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.arrays import slices
+from marketloom.llm.storage import unused
 
 CAPACITY = 4096
 SEPARATOR = 2
 #: Pieces that are balanced together, on average.
 GROUP_PIECES = 1024
-#: Distinct words whose ids a task remembers.
-CACHED_WORDS = 800_000
+#: Distinct words whose ids a worker remembers, some 50 MB.
+CACHED_WORDS = 250_000
 
 
 #: Ends of words that can be tokenised apart from them: signs after an ASCII letter and before white space.
@@ -171,11 +172,14 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ...); other columns stay.
 
-    Groups are dealt by a hash of the whole row, so equal rows (repeated documents) may share a group but are
-    packed as separate pieces. No rows give no rows.
+    Groups are dealt by a hash of the row and its number, so that equal rows (repeated documents) spread over groups like others and are
+    packed as separate pieces. Columns named sequence_id and offset are replaced. No rows give no rows.
     """
+    cut = cut.drop("sequence_id", "offset")
     names = cut.columns
-    fields = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
+    fields = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
+
+    group = unused(cut, "group")
 
     def place(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -193,8 +197,9 @@ def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         base = key[0].as_py() << 32
         return table.select(names).append_column("sequence_id", pa.array([base + x for x in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit("pack")), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(place, fields)
+    # equal rows are numbered within their task, so that copies are dealt to different groups too
+    dealt = cut.withColumn(group, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(group).applyInArrow(place, fields)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:

@@ -1,7 +1,6 @@
 import math
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.llm import language_id as L
@@ -27,22 +26,3 @@ def test_rare_language_is_calibrated_on_all_its_rows(spark):
     high = {r.lang_pred: r.high for r in L.score(docs.select("text"), model).groupBy("lang_pred").agg(F.expr("percentile(entropy, 0.999)").alias("high")).collect()}
     assert set(high) == {"xx", "yy"}
     assert all(math.isclose(model.thresholds[k], L.MARGIN * high[k], rel_tol=1e-9) for k in high)
-
-
-def test_totals_and_discounts_cover_grams_that_are_not_kept(spark):
-    rng = random.Random(9)
-    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(8)) for _ in range(40)]
-    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    rows = L.count_grams(docs).collect()
-    full = L._KneserNey(np.array([r.gram for r in rows]).view(np.uint64), np.array([r.n for r in rows]))
-    model = L.fit(docs, 50)
-    keys, counts, discount, contexts, total, _ = full.levels[4]
-    best = sorted(range(len(keys)), key=lambda i: (-counts[i], int(keys[i])))[:50]
-    letters = full.levels[1][0]
-    for i in best[:10]:
-        c = keys[i] >> np.uint64(16)
-        own = (counts[i] - discount) / total[np.searchsorted(contexts, c)]
-        assert np.exp(model.log_probabilities(keys[[i]])[0, 0]) >= own * (1 - 1e-5)
-        each = np.exp(model.log_probabilities((c << np.uint64(16)) | letters)[:, 0].astype(float))
-        new = np.exp(float(model.base[0]))
-        assert 0.9 < each.sum() <= 1 + 1e-5 and 0 < new < 1
