@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.arrays import U64, mix, slices, span_hashes
 from marketloom.llm.components import connected_components
-from marketloom.llm.storage import written
+from marketloom.llm.storage import scratch, written
 
 #: Counters of the sketch, a byte each once ranked.
 SKETCH_WIDTH = 1 << 22
 #: Documents, by the sketch, from which an n-gram is hot, and postings of a bucket on average.
-HOT_GRAM, BUCKET_POSTINGS = 1 << 13, 200_000
+HOT_GRAM, BUCKET_POSTINGS = 1 << 13, 50_000
 #: n-grams in a chunk's sets (each counting as LEAST_SET at least), and in those that one task verifies, on average.
 CHUNK_GRAMS, LEAST_SET, TASK_GRAMS = 1 << 19, 256, 1 << 19
 #: Bytes of document ids and blocks that are broadcast at most to pick documents; more are joined by a shuffle.
@@ -482,8 +482,9 @@ def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80, width: int
     than `size`: the whole sequence is the one n-gram. Rows without doc_id take no part. Rows that
     repeat a doc_id stay rows of their own in members; a link of any of them is a link of that id. Other columns are ignored. No rows give no rows.
     """
-    join = _Join(docs, size, percent, width, hot)
-    return join.members, join.links(join.anchored(), pairs=True)
+    with scratch(docs.sparkSession):
+        join = _Join(docs, size, percent, width, hot)
+        return written(join.members, "members", keep=True), written(join.links(join.anchored(), pairs=True), "links", keep=True)
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, width: int = SKETCH_WIDTH, hot: int = HOT_GRAM) -> DataFrame:
@@ -491,12 +492,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, width: int =
 
     Every candidate pair is verified, but none is listed. Edge cases as in jaccard_links. Ids are counted once; ids that one representative stands for count as equal.
     """
-    join = _Join(docs, size, percent, width, hot)
-    links = join.links(join.anchored())
-    others = links.groupBy("id").agg(F.sum("links").alias("others"))
-    counts = join.sizes().join(others.hint("merge"), F.col("representative") == F.col("id"), "left").select("representative", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    n_links = F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0)).cast("long")
-    return join.with_components(links).join(counts.hint("merge"), "representative", "left").select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
+    with scratch(docs.sparkSession):
+        join = _Join(docs, size, percent, width, hot)
+        links = join.links(join.anchored())
+        others = links.groupBy("id").agg(F.sum("links").alias("others"))
+        counts = join.sizes().join(others.hint("merge"), F.col("representative") == F.col("id"), "left").select("representative", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+        n_links = F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0)).cast("long")
+        joined = join.with_components(links).join(counts.hint("merge"), "representative", "left")
+        return written(joined.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links")), "joined", keep=True)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, width: int = SKETCH_WIDTH, hot: int = HOT_GRAM) -> DataFrame:
@@ -504,14 +507,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, width:
 
     Each document is verified against its anchor first. What that connects does not meet again, and no pair is verified twice.
     """
-    join = _Join(docs, size, percent, width, hot)
-    near = join.anchored()
-    own = near.where("id != anchor").select("id", "anchor", "chunk")
-    block = F.xxhash64("anchor", "chunk").alias("block")
-    star = own.select("id", block, F.lit(1).cast("long").alias("chunk")).unionByName(own.select(F.col("anchor").alias("id"), block, F.lit(0).cast("long").alias("chunk")).distinct())
-    # an id may be a centre and a member: its sets travel once as either
-    first = written(verified(join.docs, join.wanted(near, star), size, percent), "stars")
-    of = connected_components(first.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("part"))
-    apart = near.join(of.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    links = first.unionByName(join.links(written(apart, "apart")))
-    return join.with_components(links).select("doc_id", "n_shingles", "component_id")
+    with scratch(docs.sparkSession):
+        join = _Join(docs, size, percent, width, hot)
+        near = join.anchored()
+        own = near.where("id != anchor").select("id", "anchor", "chunk")
+        block = F.xxhash64("anchor", "chunk").alias("block")
+        star = own.select("id", block, F.lit(1).cast("long").alias("chunk")).unionByName(own.select(F.col("anchor").alias("id"), block, F.lit(0).cast("long").alias("chunk")).distinct())
+        # an id may be a centre and a member: its sets travel once as either
+        first = written(verified(join.docs, join.wanted(near, star), size, percent), "stars")
+        of = connected_components(first.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("part"))
+        apart = near.join(of.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        links = first.unionByName(join.links(written(apart, "apart")))
+        return written(join.with_components(links).select("doc_id", "n_shingles", "component_id"), "joined", keep=True)

@@ -172,7 +172,7 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ...); other columns stay.
 
-    Groups are dealt by a hash of the row and its number, so that equal rows (repeated documents) spread over groups like others and are
+    Groups are dealt by a hash of the row and its number among equal rows, so that repeated documents spread over groups like others and are
     packed as separate pieces. Columns named sequence_id and offset are replaced. No rows give no rows.
     """
     cut = cut.drop("sequence_id", "offset")
@@ -197,8 +197,10 @@ def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         base = key[0].as_py() << 32
         return table.select(names).append_column("sequence_id", pa.array([base + x for x in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    # equal rows are numbered within their task, so that copies are dealt to different groups too
-    dealt = cut.withColumn(group, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    # equal rows are counted and numbered, so that copies are dealt to different groups too
+    copy = unused(cut, "copy")
+    many = cut.groupBy(*names).agg(F.count("*").alias(copy)).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copy)))
+    dealt = many.withColumn(group, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", copy), F.lit(groups))).drop(copy)
     return dealt.groupBy(group).applyInArrow(place, fields)
 
 
