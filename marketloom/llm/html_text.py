@@ -1,15 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside navigation, headers and footers of the page,
-sidebars, forms, notices, adverts and reader comments are boilerplate by their markup. The others are first decided
-by length, link density and stop-word density; headings and ambiguous short blocks then inherit the label of
-their nearest decided neighbours, on both sides.
+sidebars, forms, notices, adverts and reader comments are removed by their markup. All others are classified twice: the first pass
+decides by length, link density and stop-word density; headings, short blocks and others that it leaves open then inherit
+the label of their nearest decided neighbours, on both sides. Blocks of an article element have each other as
+neighbours, and what stands outside of one is text only between two blocks that are.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,6 +76,7 @@ def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, with white space and character references resolved. Tolerates any markup."""
     out: list[_Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()  # open tags of the stack, so that a stray closing tag costs nothing
     inside, kind, links, at = "", "", 0, 0
     current = _Block("", "")
 
@@ -89,6 +92,10 @@ def blocks(page: str) -> list[_Block]:
             if links:
                 current.links += len(text.strip())
 
+    def push(tag: str, before: str) -> None:
+        stack.append((tag, before))
+        opened[tag] += 1
+
     raw = None
     for m in _TOKEN.finditer(page):
         if m.start() < at:
@@ -101,10 +108,11 @@ def blocks(page: str) -> list[_Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in _BLOCK_TAGS or any(t == tag for t, _ in stack):
-                i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if tag in _BLOCK_TAGS or opened[tag]:
+                i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] else None
                 if i is not None and (tag in _BLOCK_TAGS or stack[i][1] != inside or tag in _SKIPPED_TAGS):
                     inside = stack[i][1]
+                    opened.subtract(t for t, _ in stack[i:])
                     del stack[i:]
                 if tag in _BLOCK_TAGS:
                     kind, links = "", 0
@@ -120,17 +128,18 @@ def blocks(page: str) -> list[_Block]:
         before = inside
         if tag in _BLOCK_TAGS:
             if stack and stack[-1][0] in _CLOSED_BY_BLOCK:
+                opened[stack[-1][0]] -= 1
                 before = stack.pop()[1]
             inside, kind, links = _part_of(tag, m[3], before), tag, 0
             close()
-            stack.append((tag, before))
+            push(tag, before)
         else:
             inside = _part_of(tag, m[3], before)
             if tag == "a":
                 links += 1
             if inside != before or tag in _SKIPPED_TAGS:
                 close()
-                stack.append((tag, before))
+                push(tag, before)
         if tag in _RAW_TAGS and (raw := re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)):
             at = raw.start()
         elif tag in _RAW_TAGS:
@@ -146,60 +155,70 @@ def blocks(page: str) -> list[_Block]:
 
 
 def _first_pass(b: _Block, has_body: bool) -> str:
-    """good, bad, near (ambiguous, leaning to good) or short (ambiguous)."""
+    """good, bad, near (open, leaning to good) or short (open)."""
     if b.inside == "part":
         return "bad"
     words = [w.lower() for w in _WORD.findall(b.text)]
     links, n = b.links / max(1, len(b.text)), len(b.text)
-    if links > MAX_LINKS:
-        return "bad"
-    if b.inside == "body":  # what an article element holds is text unless it is links
-        return "good" if n >= SHORT or links == 0 else "short"
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.inside == "body":  # in an article links and rare words leave a block open, but do not make it boilerplate
+        return "good" if n >= SHORT and links <= MAX_LINKS and stops >= LOW_STOPS else "short" if n < SHORT else "near"
     if has_body:
         return "short" if n < LONG else "near"
-    if not words or "©" in b.text:
-        return "bad" if "©" in b.text else "short"
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    if links > MAX_LINKS or "©" in b.text:
+        return "bad"
     if n < SHORT:
         return "bad" if links > 0 else "short"
     if stops >= HIGH_STOPS:
         return "good" if n >= LONG else "near"
-    return "near" if stops >= LOW_STOPS else "bad"
+    return "near" if stops >= LOW_STOPS or not words else "bad"
 
 
-def classify(found: list[_Block]) -> list[bool]:
-    """Whether each block is main text."""
-    has_body = any(b.inside == "body" for b in found)
-    first = [_first_pass(b, has_body) for b in found]
+def _neighbours(labels: list[str], kinds: tuple[str, ...]) -> list[tuple[str | None, str | None]]:
+    """For each block the nearest label of these kinds before and after it."""
+    sides = []
+    for own in (labels, labels[::-1]):
+        last, side = None, []
+        for x in own:
+            side.append(last)
+            last = x if x in kinds else last
+        sides.append(side)
+    return list(zip(sides[0], sides[1][::-1], strict=True))
 
-    def neighbours(kinds: tuple[str, ...]) -> tuple[list[str | None], list[str | None]]:
-        """For each block the nearest label of these kinds before and after it."""
-        sides = []
-        for labels in (first, first[::-1]):
-            last, side = None, []
-            for x in labels:
-                side.append(last)
-                last = x if x in kinds else last
-            sides.append(side)
-        return sides[0], sides[1][::-1]
 
+def _second_pass(found: list[_Block], first: list[str]) -> list[bool]:
+    """Labels of blocks that are each other's neighbours."""
+    if not {"good", "near"} & set(first):  # a page of short blocks: what is not boilerplate is its text
+        return [x == "short" for x in first]
     out = []
-    for b, x, p, q, near_p, near_q in zip(found, first, *neighbours(("good", "bad")), *neighbours(("good", "bad", "near")), strict=True):
+    for b, x, (p, q), (near_p, near_q) in zip(found, first, _neighbours(first, ("good", "bad")), _neighbours(first, ("good", "bad", "near")), strict=True):
         if x in ("good", "bad"):
             out.append(x == "good")
-        elif has_body:  # outside of the article only what stands between two good blocks is text
-            out.append(p == q == "good")
         elif b.kind in _HEADINGS:
-            out.append(near_q in ("good", "near"))
+            out.append(near_q in ("good", "near") or (near_q is None and p == "good"))
         elif x == "near":
             out.append("good" in (p, q) or (p is None and q is None))
-        elif p == q:
-            out.append(p == "good")
+        elif p == q or None in (p, q):
+            out.append((p or q) != "bad")
         else:  # between text and boilerplate: the side of what leans to text
             out.append((near_p == "near" and q == "good") or (near_q == "near" and p == "good"))
     return out
 
 
+def classify(found: list[_Block]) -> list[bool]:
+    """Whether each block is main text."""
+    has_body = any(b.inside == "body" for b in found)
+    first = [_first_pass(b, has_body) for b in found]
+    if not has_body:  # what the markup has removed is no neighbour
+        rest = [i for i, b in enumerate(found) if b.inside != "part"]
+        labels = dict(zip(rest, _second_pass([found[i] for i in rest], [first[i] for i in rest]), strict=True))
+        return [labels.get(i, False) for i in range(len(found))]
+    body = [i for i, b in enumerate(found) if b.inside == "body"]
+    labels = dict(zip(body, _second_pass([found[i] for i in body], [first[i] for i in body]), strict=True))
+    known = [("good" if labels[i] else "bad") if i in labels else x for i, x in enumerate(first)]
+    return [labels.get(i, p == q == "good" and known[i] != "bad") for i, (p, q) in enumerate(_neighbours(known, ("good", "bad")))]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     return "\n\n".join(b.text for b, good in zip(found, classify(found), strict=True) if good)
