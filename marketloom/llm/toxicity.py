@@ -4,8 +4,8 @@ Voters are lexicons and patterns. Some are fixed; the others are drawn from a bo
 documents: words and word beginnings that are much more frequent in toxic ones. A generative label model
 explains the votes on all training documents: a class, and for each voter a table of its votes given the
 class and the voter that it is most tied to (a tree of the strongest conditional dependencies), fitted by expectation
-maximisation on the counts of vote patterns. A logistic regression is trained on its posterior labels and scores
-every document from the voters' hits.
+maximisation on the counts of vote patterns. A known label is one more voter, of fixed accuracy, for the documents that have one. A
+logistic regression is trained on the posterior labels of all training documents and scores every document from the voters' hits.
 """
 
 from __future__ import annotations
@@ -23,15 +23,22 @@ from marketloom.llm.storage import written
 
 #: Labelled rows, in expectation, that voters and classifier are fitted on.
 LABELLED_ROWS = 20_000
-#: Words and word beginnings that learned lexicons hold at most.
-LEXICON_SIZE = 20_000
+#: Odds, on a log scale, that a known label gives its class.
+GOLD_ODDS = 4.0
 #: How many times as frequent in toxic documents an entry must be, and in how many of them it must occur.
 MIN_RATIO, MIN_TOXIC = 12.0, 3
 _LENGTHS = range(4, 10)
 
 # Insults, and patterns of abuse.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool garbage ugly hate".split())
-PATTERNS = (re.compile(r"\b(?:you|u) (?:are|r) (?:an? |such |so )?\w+"), re.compile(r"\b\w[*#@$%]{2,}\w+\b"))
+PATTERNS = (
+    re.compile(r"\b(?:you|u) (?:are|r) (?:an? |such |so )?\w+"),  # you are such a ...
+    re.compile(r"\b\w[*#@$%]{2,}\w+\b"),  # masked letters
+    re.compile(r"\b(?:shut up|get lost|go to hell|drop dead|screw you)\b"),  # dismissals
+    re.compile(r"\b(?:i|we) (?:will|shall|am going to|are going to) (?:kill|hurt|beat|find|destroy) (?:you|u|them|him|her)\b"),  # threats
+    re.compile(r"\ball (?:of )?(?:you|them|those|these) (?:\w+ )?(?:should|must|deserve|need to)\b"),  # of whole groups
+    re.compile(r"[!?]{3,}"),  # shouting
+)
 #: Voters: fixed insults; learned words (3 lexicons by hash); learned beginnings, short (2) and long (2); patterns.
 VOTERS = 8 + len(PATTERNS)
 _FIXED = (0, *range(8, VOTERS))
@@ -49,8 +56,8 @@ def _voter(feature: str) -> int:
     return (4 if len(feature) < 7 else 6) + draw % 2
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, int]:
-    """feature -> voter, from sample(text, toxic): entries that toxic documents have MIN_RATIO times as often, the most significant first."""
+def learn_lexicon(sample: DataFrame) -> dict[str, int]:
+    """feature -> voter, from sample(text, toxic): all entries that toxic documents have MIN_RATIO times as often. Bounded as the sample is."""
 
     def count(batches):
         for batch in batches:
@@ -67,15 +74,13 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, int]
         return {}
     sums = sample.select("text", "toxic").mapInArrow(count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     ratio = (F.col("p") + 0.5) / (totals.p + 1) / ((F.col("n") + 0.5) / (totals.n + 1))
-    expected = (F.col("p") + F.col("n")) * (totals.p / (totals.p + totals.n))
-    strength = (F.col("p") - expected) / F.sqrt(expected)
-    rows = sums.where((F.col("p") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).orderBy(strength.desc(), "feature").limit(size).select("feature").collect()
+    rows = sums.where((F.col("p") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).select("feature").collect()
     return {r.feature: _voter(r.feature) for r in rows}
 
 
 def voter_hits(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
     """doc_id, hits (words that each voter knows, by voter), n_words for each row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON_SIZE entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the labelled sample
 
     def run(batches):
         lexicon, known = shared.value, {}
@@ -217,16 +222,17 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, thresho
 
 
 def _regression(spark, seen: DataFrame, counted: list, model: LabelModel) -> tuple[np.ndarray, float]:
-    """Weights of a logistic regression on posterior labels; a label that is known counts as one more, reliable vote."""
+    """Weights of a logistic regression on the posterior labels of all training documents; equal inputs are one weighted row."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     posterior = spark.createDataFrame([(r.votes, float(p)) for r, p in zip(counted, model.posterior(), strict=True)], "votes string, p double")
-    labelled = seen.where("toxic is not null")
-    odds = F.log(F.col("p") / (1 - F.col("p"))) + F.when(F.col("toxic") == 1, 4.0).otherwise(-4.0)
+    odds = F.log(F.col("p") / (1 - F.col("p"))) + F.when(F.col("toxic") == 1, GOLD_ODDS).when(F.col("toxic") == 0, -GOLD_ODDS).otherwise(0.0)
     p = 1 / (1 + F.exp(-odds))
-    train = labelled.join(F.broadcast(posterior), "votes").withColumn("q", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), p.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - p).alias("weight")))))
-    train = train.select(array_to_vector(inputs()).alias("features"), "q.label", "q.weight").cache()
-    fitted = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60).fit(train)
+    known = seen.join(F.broadcast(posterior), "votes").select(inputs().alias("inputs"), p.alias("p"))  # one row a vote pattern: 3 ** 7 * 2 ** 7 at most
+    both = written(known.groupBy("inputs").agg(F.sum("p").alias("bad"), F.sum(1 - F.col("p")).alias("clean")), "inputs")
+    rows = both.select("inputs", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("bad").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("clean").alias("weight")))).alias("q"))
+    train = rows.select(array_to_vector("inputs").alias("features"), "q.label", "q.weight").cache()
+    fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60).fit(train)
     train.unpersist()
     return fitted.coefficients.toArray(), fitted.intercept
