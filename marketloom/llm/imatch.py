@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm.storage import written
+
 #: The band, as shares of all documents.
 LOWEST_SHARE, HIGHEST_SHARE = 0.002, 0.05
 #: Subsets hold a term with probability 1/2, 1/4, ... 1/2**RATES; so many subsets of each rate.
@@ -107,7 +109,7 @@ def fingerprints(docs: DataFrame, low: float = LOWEST_SHARE, high: float = HIGHE
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lex = lexicon(docs, low, high)
     lex = lex.unionByName(docs.sparkSession.createDataFrame([("", 0)], "term string, mask int"))
-    lex = lex.persist()
+    lex = written(lex, "lexicon")
     small = lex.count() <= BROADCAST_TERMS
     order = [F.col("sentinel"), F.col("doc_id").desc_nulls_last(), F.col("_tie")]
     w = Window.partitionBy("bucket").orderBy(*order)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.arrays import U64, mix, slices
 from marketloom.llm.language_id import HashTable
+from marketloom.llm.storage import unused
 
 _CHUNKS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _STEP = U64(0xA0761D6478BD642F)
@@ -193,25 +194,26 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     texts give equal ids, on any partitioning; a null key counts as one key. All other columns stay; a column named ids is overwritten.
     """
     docs = docs.drop("ids")
-    tagged = docs.withColumn("_key", F.xxhash64(F.col(key).cast("string")))
+    hashed = unused(docs, "hashed")
+    tagged = docs.withColumn(hashed, F.xxhash64(F.col(key).cast("string")))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", ids array<int>"
 
     def run(batches):
         vocab = vocabulary(model)
         for batch in batches:
             for part, data, at in slices(batch, text, SLICE):
-                ids, ends = _sampled(vocab, part, data, at, alpha, seed)
+                ids, ends = _sampled(vocab, part, hashed, data, at, alpha, seed)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=part.column(part.schema.get_field_index(text)).is_null())
-                own = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_key"]
-                yield pa.RecordBatch.from_arrays([*own, lists], [*(n for n in part.schema.names if n != "_key"), "ids"])
+                own = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != hashed]
+                yield pa.RecordBatch.from_arrays([*own, lists], [*(n for n in part.schema.names if n != hashed), "ids"])
 
     return tagged.mapInArrow(run, schema)
 
 
-def _sampled(vocab: Vocabulary, part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _sampled(vocab: Vocabulary, part: pa.RecordBatch, hashed: str, data: np.ndarray, at: np.ndarray, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     raw = data.tobytes()
     texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return sample(vocab, texts, part.column(part.schema.get_field_index("_key")).to_numpy(), alpha, seed)
+    return sample(vocab, texts, part.column(part.schema.get_field_index(hashed)).to_numpy(), alpha, seed)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -232,13 +234,13 @@ def round_trip(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0) -
 
     Encodes and decodes each whole text in one pass. Null text counts as empty.
     """
-    tagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("_key"))
+    tagged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("hashed"))
 
     def run(batches):
         vocab = vocabulary(model)
         for batch in batches:
             for part, data, at in slices(batch, "text", SLICE):
-                ids, ends = _sampled(vocab, part, data, at, alpha, seed)
+                ids, ends = _sampled(vocab, part, "hashed", data, at, alpha, seed)
                 out = []
                 for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     own = ids[x:y]

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.storage import unused
+
 ROUNDS = 10
 
 # What personal data looks like, in the order in which alternatives are tried.
@@ -235,5 +237,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         )
 
     replaced = _once(F.struct(pieces.alias("pieces"), found.alias("found"), F.transform(found, lambda m: pseudonym(m, key)).alias("new")), joined)
-    with_value = docs.withColumn("_replaced", F.when(F.col(text).rlike(r"[0-9@]|[A-Fa-f]{32}"), F.when(F.col(text).rlike(PATTERN), replaced)))
-    return with_value.withColumn(text, F.coalesce("_replaced.text", text)).withColumn("n_replaced", F.coalesce("_replaced.n", F.lit(0))).drop("_replaced")
+    value = unused(docs, "replaced")
+    with_value = docs.withColumn(value, F.when(F.col(text).rlike(r"[0-9@]|[A-Fa-f]{32}"), F.when(F.col(text).rlike(PATTERN), replaced)))
+    return with_value.withColumn(text, F.coalesce(F.col(value)["text"], F.col(text))).withColumn("n_replaced", F.coalesce(F.col(value)["n"], F.lit(0))).drop(value)

@@ -263,6 +263,7 @@ def _ordered(dictionary: DataFrame, span: int) -> DataFrame:
     return dictionary.groupBy("bucket").applyInArrow(order, "doc_id long, tag long, at int, mask long")
 
 
+_NAMES = frozenset("doc_id n_bytes n_removed n_spans kept_sha256 kept spans".split())
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
 
 
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = True, carr
     """Removes from each text the bytes covered by a `span`-byte string that also starts in a document of smaller doc_id.
 
     docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with
-    with_text kept (the remaining bytes as text; a character that was cut is dropped) and spans. Columns named in carry stay.
+    with_text kept (the remaining bytes as text; a character that was cut is dropped) and spans. Columns named in carry stay, but for those that have the name of a result.
 
     Texts are UTF-8 bytes; null or empty ones, and those shorter than `span`, lose nothing and own nothing. Rows that repeat a
     doc_id are not compared with each other, only with smaller ids. Rows without doc_id lose nothing and own
@@ -321,6 +322,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = True, carr
     """
     if not 1 <= span - trigger_bytes <= 60:
         raise ValueError("span must exceed trigger_bytes by 1 to 60")
+    carry = tuple(c for c in carry if c.lower() not in _NAMES)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = ["_carry"] if carry else []
     keyed = docs.select(F.col("doc_id").cast("long"), *([F.struct(*carry).alias("_carry")] if carry else []), text.alias("_text"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_tag"))
