@@ -66,3 +66,25 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 50 != 0, symbol).alias("symbol"), F.concat(F.col("p_name"), suffix).alias("security_name"),
         F.when(kind == 5, "Y").when(F.col("p_partkey") % 9 != 0, "N").alias("etf"), F.when(F.col("p_partkey") % 17 == 0, "Y").otherwise("N").alias("test_issue"), F.col("p_partkey").alias("source_order"),
     )
+
+
+def raw5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a vendor's text rows would come: ticker, ts (UTC), prices and volume as text, some of them no numbers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    price = F.when(F.col("user_id") % 10 == 3, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("string").alias("ts"), *(price.alias(c) for c in ("open", "high", "low", "close")), F.lit("1").alias("volume"))
+
+
+def bars5m(spark: SparkSession, sf_dir: str, tickers: int = 2) -> DataFrame:
+    """Five-minute bars from events: ticker, ts (local), open, high, low, close, volume."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    slot = F.floor((F.hour("ts") * 60 + F.minute("ts")) * 390 / 1440 / 5).cast("int")
+    days = e.groupBy((F.col("user_id") % tickers).cast("string").alias("ticker"), F.to_date("ts").alias("session"), slot.alias("slot")).agg(
+        (F.sum(F.round(F.log(1 + F.col("value")) * 1e6).cast("long")).cast("double") / (1e6 * F.count("*"))).alias("a"), F.count("*").alias("n")
+    )
+    w = Window.partitionBy("ticker").orderBy("session", "slot")
+    x = days.withColumn("close", half_up(100 * F.exp(F.sum(0.004 * (F.col("a") - 3.42)).over(w.rowsBetween(Window.unboundedPreceding, 0))), 4)).withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
+    high = half_up(F.greatest("open", "close") * (1 + 0.0002 * (F.col("n") % 7)), 4)
+    low = half_up(F.least("open", "close") * (1 - 0.0002 * (F.col("n") % 5)), 4)
+    at = F.expr("timestampadd(MINUTE, 570 + slot * 5, cast(session as timestamp))")
+    return x.select("ticker", at.alias("ts"), "open", high.alias("high"), low.alias("low"), "close", F.col("n").cast("double").alias("volume"))
