@@ -50,3 +50,35 @@ def sector_proxy(bars: DataFrame, sectors: DataFrame, symbols: list[str], sessio
     each = F.array(*(F.struct(F.corr("r", c).over(w).alias("c"), F.lit(-i).alias("first"), F.lit(c).alias("sector")) for i, c in enumerate(symbols)))
     x = x.withColumns({"_n": F.count("r").over(w), "_best": F.array_max(F.filter(each, lambda e: e["c"].isNotNull() & ~F.isnan(e["c"])))})
     return x.where(F.col("_n") >= least).select("ticker", "date", F.col("_best.sector").alias("sector"), F.col("_best.c").alias("correlation"))
+
+
+def benchmark_context(bench: DataFrame, others: DataFrame, second: str, third: str) -> DataFrame:
+    """By date, over the union of three series' dates: returns of the benchmark and of two other symbols, and the benchmark's range measures."""
+    w = Window.orderBy("date")  # one row a session
+    past = lambda n: F.col("close") / F.lag("close", n).over(w) - 1
+    before = F.lag("close").over(w)
+    x = bench.withColumns({"pc": before, "t": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))})
+    last = w.rowsBetween(-19, 0)
+    x = x.withColumn("atr20", F.when(F.count("t").over(last) == 20, F.avg("t").over(last)))
+    first = x.select("date", past(1).alias("spy_ret1"), past(5).alias("spy_ret5"), past(20).alias("spy_ret20"), (F.col("atr20") / F.col("close")).alias("spy_atr20_pct"), (F.when(F.col("pc").isNotNull(), F.col("t")) / F.nullif(F.col("atr20"), F.lit(0.0))).alias("spy_tr_atr20"))
+    q = others.where(F.col("symbol") == second).select("date", past(5).alias("qqq_ret5"), past(20).alias("qqq_ret20"))
+    i = others.where(F.col("symbol") == third).select("date", past(20).alias("iwm_ret20"))
+    return first.join(q.hint("merge"), "date", "full").join(i.hint("merge"), "date", "full")
+
+
+def sector_strength(proxies: DataFrame, bars: DataFrame, sectors: DataFrame) -> DataFrame:
+    """proxies(ticker, date, sector) with the sector's 20-day return, the ticker's excess over it, and the share of sectors that are not stronger."""
+    s = Window.partitionBy("symbol").orderBy("date")
+    returns = sectors.select(F.col("symbol").alias("sector"), "date", (F.col("close") / F.lag("close", 20).over(s) - 1).alias("sector_ret20"))
+    day = Window.partitionBy("date").orderBy("sector_ret20").rangeBetween(Window.unboundedPreceding, 0)
+    known = returns.where("sector_ret20 is not null")
+    known = known.withColumn("sector_rank_pct", F.count("*").over(day) / F.count("*").over(Window.partitionBy("date")))
+    own = bars.select("ticker", "date", (F.col("close") / F.lag("close", 20).over(by_ticker()) - 1).alias("own20"))
+    x = proxies.select("ticker", "date", "sector").join(known.hint("merge"), ["sector", "date"], "left").join(own.hint("merge"), ["ticker", "date"], "left")
+    return x.select("ticker", "date", "sector", "sector_ret20", (F.col("own20") - F.col("sector_ret20")).alias("rs_sector_20"), "sector_rank_pct")
+
+
+def date_indexes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The union of two tables' dates, and whether both have each."""
+    a, b = (x.select("date").distinct().withColumn(n, F.lit(True)) for x, n in ((first, "a"), (second, "b")))
+    return a.join(b.hint("merge"), "date", "full").select("date", (F.coalesce("a", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("in_both"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.signals import ranked, reparsed_quality
@@ -24,17 +24,30 @@ def admission(snapshot: DataFrame, bench: DataFrame, expected=None) -> DataFrame
 
 def insert(ledger: DataFrame | None, snapshot: DataFrame) -> DataFrame:
     """The ledger with the snapshot's new keys, each with its rank frozen. Running it twice changes nothing."""
-    fresh = reparsed_quality(ranked(snapshot.dropDuplicates(KEY), by=("date", "direction")))
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("setup_score").desc_nulls_last(), *(c for c in ("setup", "quality_flags") if c in snapshot.columns)))
+    once = snapshot.withColumn("_n", first).where("_n = 1").drop("_n")
+    fresh = reparsed_quality(ranked(once, by=("date", "direction")))
     if ledger is None:
         return fresh
-    return ledger.unionByName(fresh.join(ledger.select(*KEY), KEY, "left_anti"), allowMissingColumns=True)
+    return ledger.unionByName(fresh.join(ledger.select(*KEY).hint("merge"), KEY, "left_anti"), allowMissingColumns=True)
+
+
+def signal_bar_status(signals: DataFrame, bars: DataFrame, most: float = 0.005) -> DataFrame:
+    """Adds signal_bar_status: valid; pending until the ticker's bars reach the signal's date; invalid if they passed it without one, or if signal_close differs by more than `most`."""
+    own = bars.select("ticker", "date", F.col("close").alias("bar_close"))
+    last = bars.groupBy("ticker").agg(F.max("date").alias("last_bar"))
+    x = signals.join(own.hint("merge"), ["ticker", "date"], "left").join(last.hint("merge"), "ticker", "left")
+    waits = F.col("last_bar").isNull() | (F.col("last_bar") < F.col("date"))
+    off = (F.col("signal_close") > 0) & (F.abs(F.col("bar_close") / F.col("signal_close") - 1) > most)
+    status = F.when(F.col("bar_close").isNull(), F.when(waits, "pending").otherwise("invalid: no ticker bar on signal date")).when(off, "invalid: signal close mismatch >0.5%").otherwise("valid")
+    return x.withColumn("signal_bar_status", status).drop("bar_close", "last_bar")
 
 
 def mature(outcomes: DataFrame, update: DataFrame) -> DataFrame:
     """Outcomes by key and horizon after an update: what was complete stays as it was, the rest takes the new state."""
     keys = [*KEY, "horizon"]
     done = outcomes.where("status = 'complete'")
-    return done.unionByName(update.join(done.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return done.unionByName(update.join(done.select(*keys).hint("merge"), keys, "left_anti"), allowMissingColumns=True)
 
 
 def tracking_status(outcomes: DataFrame) -> DataFrame:

@@ -53,6 +53,35 @@ def date_partitions(rows: DataFrame, first: float = 0.60, second: float = 0.75)
     return rows.join(F.broadcast(cut), "date")
 
 
+def _by_position(at: Column, n: Column, first: float, second: float) -> Column:
+    return F.when(at < F.floor(first * n), "Train").when(at < F.floor(second * n), "Validation").otherwise("Holdout")
+
+
+def calendar_partitions(rows: DataFrame, calendar: DataFrame, first: float = 0.60, second: float = 0.80) -> DataFrame:
+    """partition by the date's position in the market's calendar(pos, date), one row a session; dates outside of it are left out."""
+    sessions = calendar.withColumn("sessions", F.count("*").over(Window.partitionBy()))
+    return rows.join(F.broadcast(sessions), "date").withColumn("partition", _by_position(F.col("pos"), F.col("sessions"), first, second))
+
+
+def purged(outcomes: DataFrame, calendar: DataFrame, first: float = 0.60, second: float = 0.80) -> DataFrame:
+    """Outcomes(date, horizon, ...) with partition; those whose exit lies in another partition than their signal are left out."""
+    x = calendar_partitions(outcomes, calendar, first, second)
+    return x.where(F.col("partition") == _by_position(F.col("pos") + F.col("horizon"), F.col("sessions"), first, second))
+
+
+def time_folds(rows: DataFrame, folds: int, ties: tuple[str, ...]) -> DataFrame:
+    """fold: the number of the expanding split that tests a row, in order of date and ties; null for rows that are only ever trained on.
+
+    Rows are numbered by date first: the dates are few, so their running counts are one small window, and no task sorts all rows.
+    """
+    dates = rows.groupBy("date").agg(F.count("*").alias("here"))
+    dates = dates.select("date", (F.sum("here").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")).alias("before"), F.sum("here").over(Window.partitionBy()).alias("total"))
+    x = rows.join(F.broadcast(dates), "date").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("date").orderBy(*ties)) - 1)
+    size = F.floor(F.col("total") / (folds + 1))
+    start = F.col("total") - folds * size
+    return x.withColumn("fold", F.when(F.col("at") >= start, F.floor((F.col("at") - start) / size)).cast("int")).drop("before", "total", "at")
+
+
 def partition_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("partition").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"))
 

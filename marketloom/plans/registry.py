@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.plans import comparisons, daily, ledgers, sessions, studies
+from marketloom.plans import comparisons, daily, ledgers, sessions, studies, variants
 
-_MODULES = (daily, studies, ledgers, comparisons, sessions)
+_MODULES = (daily, studies, ledgers, comparisons, sessions, variants)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -88,3 +88,22 @@ def bars5m(spark: SparkSession, sf_dir: str, tickers: int = 2) -> DataFrame:
     low = half_up(F.least("open", "close") * (1 - 0.0002 * (F.col("n") % 5)), 4)
     at = F.expr("timestampadd(MINUTE, 570 + slot * 5, cast(session as timestamp))")
     return x.select("ticker", at.alias("ts"), "open", high.alias("high"), low.alias("low"), "close", F.col("n").cast("double").alias("volume"))
+
+
+def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as text with times, a ticker without numbers, one with negative volumes, and one with two rows a day (seq)."""
+    b = bars(spark, sf_dir)
+    one = b.select(
+        "ticker", F.concat(F.col("date").cast("string"), F.lit(" 16:00:00")).alias("date"), F.when(F.col("ticker") == "3", "n/a").otherwise(F.col("close").cast("string")).alias("close"),
+        "open", "high", "low", F.when(F.col("ticker") == "5", -F.col("volume")).otherwise(F.col("volume")).alias("volume"), F.lit(1).alias("seq"),
+    )
+    two = b.where("ticker = '7'").select("ticker", F.col("date").cast("string").alias("date"), (F.col("close") * 1.01).cast("string").alias("close"), "open", "high", "low", "volume", F.lit(2).alias("seq"))
+    return one.unionByName(two)
+
+
+def wide_bars(spark: SparkSession, sf_dir: str, tickers: int = 10) -> DataFrame:
+    """date and a column `field|ticker` for each field of each dense series."""
+    b = bars(spark, sf_dir, tickers)
+    fields = ("open", "high", "low", "close", "volume")
+    pick = lambda f, t: F.max(F.when(F.col("ticker") == t, F.col(f))).alias(f"{f}|{t}")
+    return b.groupBy("date").agg(*(pick(f, str(t)) for t in range(tickers) for f in fields))
