@@ -22,23 +22,35 @@ def full(x: Column, n: int, agg=F.avg, last: int = 0) -> Column:
     return F.when(F.count(x).over(frame) == n, agg(x).over(frame))
 
 
-def ema(x: Column, span: int) -> Column:
-    """Exponential average started at the first value, from row `span` on.
+#: Rows after which the weights of a running average start anew, so that they stay within doubles.
+EMA_BLOCK = 1000
 
-    The recursion y = a x + (1 - a) y' in closed form: one running sum of weighted values. Its weights grow as
-    exp(rn * rate), within doubles for series of up to 6,000 rows at a span of 20, which is 24 years of sessions.
+
+def with_emas(rows: DataFrame, value: str, names: dict[str, int]) -> DataFrame:
+    """rows(ticker, date, rn, ...) with exponential averages of `value` by name and span, started at the first value; null before row `span`.
+
+    The recursion y = a x + (1 - a) y' in closed form: a running sum of weighted values in blocks of EMA_BLOCK rows, and what the
+    ends of earlier blocks (a thousandth of the rows) still weigh. It holds for series of any length, in the ticker's one exchange.
     """
-    a = 2.0 / (span + 1)
-    rate = -math.log(1 - a)
-    rn = F.col("rn").cast("double")
-    value = F.when(F.col("rn") == 1, x).otherwise(a * x) * F.exp(rate * rn)
-    return F.when(F.col("rn") >= span, F.exp(-rate * rn) * F.sum(value).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
+    block = (F.col("rn") - 1) / EMA_BLOCK
+    at = (F.col("rn") - 1 - F.col("_block") * EMA_BLOCK).cast("double")
+    rows = rows.withColumn("_block", F.floor(block))
+    inside = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rate = {c: -math.log(1 - 2.0 / (n + 1)) for c, n in names.items()}
+    x = F.col(value)
+    sums = {f"_{c}": F.sum(F.when(F.col("rn") == 1, x).otherwise(2.0 / (n + 1) * x) * F.exp(rate[c] * at)).over(inside) for c, n in names.items()}
+    rows = rows.withColumns(sums)
+    ends = F.collect_list(F.when(F.col("rn") % EMA_BLOCK == 0, F.struct("rn", *sums))).over(by_ticker().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_ends", ends)
+    earlier = lambda c: F.aggregate("_ends", F.lit(0.0), lambda acc, e: acc + e[f"_{c}"] * F.exp(-rate[c] * (F.col("rn") - 1 - e["rn"] + EMA_BLOCK)))
+    found = {c: F.when(F.col("rn") >= n, F.exp(-rate[c] * at) * F.col(f"_{c}") + earlier(c)) for c, n in names.items()}
+    return rows.withColumns(found).drop("_block", "_ends", *sums)
 
 
 def regime(bench: DataFrame) -> DataFrame:
     """date and market regime of the benchmark: trend by its averages, and a mark for high volatility."""
     b = bench.withColumn("ticker", F.lit("SPY")).withColumn("rn", F.row_number().over(by_ticker()))
-    b = b.withColumns({f"e{n}": ema(F.col("close"), n) for n in EMA_SPANS}).withColumn("vol", full(F.col("high") - F.col("low"), 20) / F.col("close"))
+    b = with_emas(b, "close", {f"e{n}": n for n in EMA_SPANS}).withColumn("vol", full(F.col("high") - F.col("low"), 20) / F.col("close"))
     up = (F.col("close") > F.col("e20")) & (F.col("e20") > F.col("e50")) & (F.col("e50") > F.col("e200"))
     down = (F.col("close") < F.col("e20")) & (F.col("e20") < F.col("e50")) & (F.col("e50") < F.col("e200"))
     text = F.when(up, "Bullish").when(down, "Bearish").otherwise("Neutral")
@@ -59,10 +71,7 @@ def features(bars: DataFrame, bench: DataFrame) -> DataFrame:
     rows = bars.join(F.broadcast(context), "date", "left")
     c, h, lo, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     rows = rows.withColumns({"rn": F.row_number().over(by_ticker()), "prev_close": F.lag("close").over(by_ticker())})
-    rows = rows.withColumns({
-        "true_range": F.greatest(h - lo, F.abs(h - F.col("prev_close")), F.abs(lo - F.col("prev_close"))),
-        **{f"ema{n}": ema(c, n) for n in EMA_SPANS},
-    })
+    rows = with_emas(rows, "close", {f"ema{n}": n for n in EMA_SPANS}).withColumn("true_range", F.greatest(h - lo, F.abs(h - F.col("prev_close")), F.abs(lo - F.col("prev_close"))))
     tr = F.col("true_range")
     ranges = {}
     for n in RANGE_LENGTHS:

@@ -86,7 +86,8 @@ def net_pnl(gross: Column, direction: Column, days: Column, cost) -> Column:
 def fixed_horizon(signals: DataFrame, bars: DataFrame, bench: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Open-to-close outcome between exact sessions of the market's calendar, with the benchmark over the same dates.
 
-    Missing bars give a status, not a substitute: complete, pending_future_exit, missing_stock_bar, missing_benchmark_bar, not_in_calendar.
+    Missing bars give a status, not a substitute: complete, pending_future_exit, pending_stock_bar (the
+    ticker's bars end before the exit), invalid_missing_stock_bar (they went past it), missing_benchmark_bar, not_in_calendar.
     """
     days = calendar(bench)
     pick = lambda k, names: days.join(bench, "date").select(F.col("pos").alias(k), *(F.col(a).alias(b) for a, b in names.items()))
@@ -95,9 +96,11 @@ def fixed_horizon(signals: DataFrame, bars: DataFrame, bench: DataFrame, horizon
     x = x.join(F.broadcast(pick("entry_pos", {"date": "entry_date", "open": "bench_open"})), "entry_pos", "left").join(F.broadcast(pick("exit_pos", {"date": "exit_date", "close": "bench_close"})), "exit_pos", "left")
     a = bars.select("ticker", F.col("date").alias("entry_date"), F.col("open").alias("entry_price"))
     b = bars.select("ticker", F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
-    x = x.join(a.hint("merge"), ["ticker", "entry_date"], "left").join(b.hint("merge"), ["ticker", "exit_date"], "left")
+    last = bars.groupBy("ticker").agg(F.max("date").alias("last_bar"))
+    x = x.join(a.hint("merge"), ["ticker", "entry_date"], "left").join(b.hint("merge"), ["ticker", "exit_date"], "left").join(last.hint("merge"), "ticker", "left")
     status = (
-        F.when(F.col("pos").isNull(), "not_in_calendar").when(F.col("exit_date").isNull(), "pending_future_exit").when(F.col("entry_price").isNull() | F.col("exit_price").isNull(), "missing_stock_bar")
+        F.when(F.col("pos").isNull(), "not_in_calendar").when(F.col("exit_date").isNull(), "pending_future_exit")
+        .when(F.col("entry_price").isNull() | F.col("exit_price").isNull(), F.when(F.col("last_bar").isNull() | (F.col("last_bar") < F.col("exit_date")), "pending_stock_bar").otherwise("invalid_missing_stock_bar"))
         .when(F.col("bench_open").isNull() | F.col("bench_close").isNull(), "missing_benchmark_bar").otherwise("complete")
     )
     sign = F.when(F.col("direction") == "Long", 1.0).otherwise(-1.0)

@@ -32,9 +32,21 @@ def binned(value: Column, edges: tuple[float, ...]) -> Column:
 
 
 INF = 1e18
-#: Edges of right-closed bins by feature.
+# Edges of right-closed bins by feature, open at both ends.
 EDGES = {
-    "rvol20": (1.2, 1.5, 2.0, 3.0, 5.0, INF), "breakout_atr": (0.0, 0.25, 0.5, 1.0, 2.0, INF), "risk_atr": (0.0, 0.5, 0.75, 1.0, 1.25, 1.5), "atr20_pct": (0.0, 0.02, 0.03, 0.05, 0.08, INF), "base_range_pct": (0.0, 0.04, 0.08, 0.12, 0.2, INF), "setup_score": (0.0, 50.0, 60.0, 70.0, 80.0, 100.0),
+    "rvol20": (-INF, 1.5, 2.0, 3.0, INF),
+    "breakout_atr": (-INF, 0.5, 1.0, 1.5, 2.0, INF),
+    "atr_compression": (-INF, 0.10, 0.20, 0.30, 0.40, INF),
+    "trend20": (-INF, -1.0, 0.0, 1.0, 2.0, INF),
+    "trend50": (-INF, -1.0, 0.0, 1.0, 2.0, INF),
+    "trend200": (-INF, -1.0, 0.0, 1.0, 2.0, INF),
+    "rs_spy_20": (-INF, -0.05, 0.0, 0.05, 0.10, INF),
+    "tr_atr20": (-INF, 1.0, 1.5, 2.0, 3.0, INF),
+    "close_loc": (-INF, 0.35, 0.50, 0.65, 0.80, INF),
+    "base_range_pct": (-INF, 0.04, 0.06, 0.08, 0.10, 0.12, INF),
+    "atr20_pct": (-INF, 0.01, 0.02, 0.04, 0.06, 0.10, INF),
+    "risk_atr": (-INF, 0.50, 0.75, 1.00, 1.25, INF),
+    "gap_pct": (-INF, -0.05, -0.02, 0.0, 0.02, 0.05, INF),
 }
 
 
@@ -111,7 +123,7 @@ def evenly_spaced(rows: DataFrame, key: str, n: int) -> DataFrame:
     return numbered.join(F.broadcast(wanted), "at", "left_semi").select(key)
 
 
-def hash_sample(rows: DataFrame, key: str, n: int, salt: str = "V17-EOD-SETUP|") -> DataFrame:
+def hash_sample(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     """n distinct keys in order of the SHA-256 of salt and key: the same for any order of the input."""
     return rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.sha2(F.concat(F.lit(salt), F.col(key)), 256)).limit(n)
 
@@ -150,29 +162,91 @@ def bootstrap_interval(daily: DataFrame, value: str, *by: str, block: int = 10,
     """Circular block-bootstrap interval of the mean of value over dates: n, mean, ci_low, ci_high (null below min_n dates).
 
     Starts are hashes of seed, replicate and block, so every engine draws the same ones; only the first n draws of a replicate count.
+    Sums of `block` consecutive values are windowed once, so a replicate draws one row a block, not one a value.
     """
     w = Window.partitionBy(*by)
     x = daily.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy("date")) - 1).alias("at"), F.count("*").over(w).alias("n"))
     sizes = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    around = x.unionByName(x.where(F.col("at") < block - 1).withColumn("at", F.col("at") + F.col("n")))  # the circle's end goes on with its start
+    short = F.col("n") - block * (F.ceil(F.col("n") / block) - 1)
+    ahead = F.collect_list("v").over(w.orderBy("at").rowsBetween(0, block - 1))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, e: a + e)
+    sums = around.withColumn("ahead", ahead).where("at < n").select(*by, "at", add(F.col("ahead")).alias("whole"), add(F.slice("ahead", 1, short.cast("int"))).alias("part"))
     draws = sizes.where(F.col("n") >= min_n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "blk")), 1, 8), 16, 10).cast("long"), F.col("n"))
-    draws = draws.withColumn("start", start).withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("blk") * block + F.col("off") < F.col("n")).withColumn("at", F.pmod(F.col("start") + F.col("off"), F.col("n")))
-    means = draws.select(*by, "rep", "at").join(x.select(*by, "at", "v").hint("shuffle_hash"), [*by, "at"]).groupBy(*by, "rep").agg(F.avg("v").alias("m"))
+    draws = draws.withColumn("at", start).withColumn("last", F.col("blk") == F.ceil(F.col("n") / block) - 1)
+    drawn = draws.select(*by, "rep", "n", "at", "last").join(sums.hint("shuffle_hash"), [*by, "at"])
+    means = drawn.groupBy(*by, "rep").agg((F.sum(F.when(F.col("last"), F.col("part")).otherwise(F.col("whole"))) / F.first("n")).alias("m"))
     cis = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("ci_low"), F.expr("percentile(m, 0.975)").alias("ci_high"))
-    return sizes.join(cis, list(by), "left") if by else sizes.crossJoin(cis)
+    return sizes.join(cis.hint("shuffle_hash"), list(by), "left") if by else sizes.crossJoin(cis)
 
 
-def daily_portfolios(trades: DataFrame, top_k: tuple[int, ...] = (10, 40), fixed_slots: bool = False) -> DataFrame:
-    """Equal-weight portfolios of the best K by date, direction, QC group and horizon: n, mean gross, excess and net over filled names,
-    or, with fixed_slots, over K slots. Ties by ticker; names without an outcome are never substituted."""
-    groups = F.array_compact(F.array(F.lit("All"), F.when(~F.col("qc_flagged"), "QC Clear"), F.when(F.col("qc_flagged"), "QC Flagged")))
-    x = trades.withColumn("qc_group", F.explode(groups))
+QC_GROUPS = ("All", "QC Clear", "QC Flagged", "No Unusual Volume", "Unusual Volume")
+
+
+def _memberships() -> Column:
+    flagged, volume = F.col("qc_flagged"), F.col("qc_volume")
+    return F.array_compact(F.array(F.lit(QC_GROUPS[0]), F.when(~flagged, QC_GROUPS[1]), F.when(flagged, QC_GROUPS[2]), F.when(~volume, QC_GROUPS[3]), F.when(volume, QC_GROUPS[4])))
+
+
+def slot_portfolios(trades: DataFrame, values: tuple[str, ...] = ("gross", "excess", "net_base", "net_stress"), top_k: tuple[int, ...] = (10, 40), horizons: tuple[int, ...] = (1, 3, 5, 10), extra: dict[str, Column] | None = None) -> DataFrame:
+    """Portfolios of K fixed slots for the full grid of date, direction, QC group, horizon and K.
+
+    portfolio_status: no_candidates (cash: zero returns), pending_outcomes, unscorable_missing_outcome, or complete; only complete ones and
+    cash have returns, as sums over K slots. The best K are taken before outcomes are known, and never replaced.
+    extra: further aggregates of the selected trades that are complete.
+    """
+    arr = lambda xs: F.array(*map(F.lit, xs))
+    keys = ["date", "direction", "qc_group", "horizon", "top_k"]
+    grid = trades.select("date", "direction").distinct().withColumn("qc_group", F.explode(arr(QC_GROUPS))).withColumn("horizon", F.explode(arr(horizons))).withColumn("top_k", F.explode(arr(top_k)))
+    w = Window.partitionBy("date", "direction", "qc_group", "horizon").orderBy(F.col("setup_score").desc_nulls_last(), "ticker")
+    x = trades.withColumn("qc_group", F.explode(_memberships())).withColumn("rank", F.row_number().over(w)).withColumn("top_k", F.explode(arr(top_k))).where(F.col("rank") <= F.col("top_k"))
+    done, waits = F.col("status") == "complete", F.col("status").startswith("pending")
+    found = x.groupBy(*keys).agg(
+        F.count("*").alias("selected"), F.count_if(done).alias("done"), F.count_if(waits).alias("pending_slots"), F.count_if(~done & ~waits).alias("missing_slots"), *(F.sum(F.when(done, F.col(c))).alias(f"_{c}") for c in values),
+        F.avg(F.when(done, (F.col("net_base") > 0).cast("double"))).alias("net_hit_rate"), *(c.alias(n) for n, c in (extra or {}).items()),
+    )
+    out = grid.join(found.hint("merge"), keys, "left").na.fill(0, ["selected", "done", "pending_slots", "missing_slots"])
+    status = F.when(F.col("selected") == 0, "no_candidates").when(F.col("pending_slots") > 0, "pending_outcomes").when(F.col("missing_slots") > 0, "unscorable_missing_outcome").otherwise("complete")
+    out = out.withColumn("portfolio_status", status)
+    full, cash = F.col("portfolio_status") == "complete", F.col("portfolio_status") == "no_candidates"
+    mean = lambda c: F.when(cash, 0.0).when(full, F.col(f"_{c}") / F.col("top_k"))
+    return out.select(
+        *keys, "portfolio_status", "selected", "pending_slots", F.when(F.col("pending_slots") > 0, 0).otherwise(F.col("missing_slots")).alias("missing_slots"), F.when(full, F.col("done")).otherwise(0).alias("n"), F.when(cash, 0.0).when(full, F.col("done") / F.col("top_k")).alias("slot_coverage"),
+        *(mean(c).alias(f"mean_{c}") for c in values), F.when(full, F.col("_net_base") / F.col("done")).alias("net_base_per_trade"), F.when(full, F.col("net_hit_rate")).alias("net_hit_rate"), *(F.when(full, F.col(n)).alias(n) for n in (extra or {})),
+    )
+
+
+def slot_summary(daily: DataFrame) -> DataFrame:
+    """Of slot_portfolios(), by direction, QC group, horizon and K: dates by status, trades, means over dates with returns, share of positive dates."""
+    status = F.col("portfolio_status")
+    scored = status.isin("complete", "no_candidates")
+    return daily.groupBy("direction", "qc_group", "horizon", "top_k").agg(
+        F.count("*").alias("dates"), F.count_if(status != "no_candidates").alias("active_dates"), F.count_if(scored).alias("scorable_dates"), F.count_if(status == "pending_outcomes").alias("pending_dates"), F.count_if(status == "unscorable_missing_outcome").alias("unscorable_dates"),
+        F.sum("n").alias("trades"), *(F.avg(f"mean_{c}").alias(f"mean_{c}") for c in ("gross", "excess", "net_base", "net_stress")), F.avg("slot_coverage").alias("mean_coverage"), F.avg((F.col("mean_net_base") > 0).cast("double")).alias("positive_share"),
+    )
+
+
+def evidence_gate(daily: DataFrame, summary: DataFrame, least_dates: int = 200) -> DataFrame:
+    """decision for each group of slot_summary(): enough dates, and means and interval lows above zero under both costs."""
+    keys = ["direction", "qc_group", "horizon", "top_k"]
+    x = summary.select(*keys, "scorable_dates", "mean_net_base", "mean_net_stress")
+    for c in ("net_base", "net_stress"):
+        x = x.join(bootstrap_interval(daily, f"mean_{c}", *keys).select(*keys, F.col("ci_low").alias(f"low_{c}")).hint("merge"), keys, "left")
+    good = (F.col("mean_net_base") > 0) & (F.col("mean_net_stress") > 0) & (F.col("low_net_base") > 0) & (F.col("low_net_stress") > 0)
+    decision = F.when(F.col("scorable_dates") < least_dates, f"Collecting; need {least_dates} scorable dates under both cost cases").when(good, "Positive under both cost cases; still research-only and requires independent replication").otherwise("No confirmed positive net edge under both cost cases")
+    return x.withColumn("decision", decision)
+
+
+def daily_portfolios(trades: DataFrame, top_k: tuple[int, ...] = (10, 40)) -> DataFrame:
+    """Equal-weight portfolios of the best K by date, direction, QC group and horizon: n, mean gross, excess and net over filled names.
+    Ties by ticker; names without an outcome are never substituted."""
+    x = trades.withColumn("qc_group", F.explode(_memberships()))
     w = Window.partitionBy("date", "direction", "qc_group", "horizon").orderBy(F.desc("setup_score"), "ticker")
     x = x.withColumn("rank", F.row_number().over(w)).withColumn("top_k", F.explode(F.array(*map(F.lit, top_k)))).where(F.col("rank") <= F.col("top_k"))
     done = F.col("status") == "complete"
-    mean = (lambda c: F.sum(F.when(done, F.col(c))) / F.col("top_k")) if fixed_slots else (lambda c: F.avg(F.when(done, F.col(c))))
-    out = x.groupBy("date", "direction", "qc_group", "horizon", "top_k").agg(F.count("*").alias("selected"), F.count_if(done).alias("n"), *(mean(c).alias(f"mean_{c}") for c in ("gross", "excess", "net_base", "net_stress")), F.avg(F.when(done, (F.col("gross") > 0).cast("double"))).alias("hit_rate"))
-    return out.withColumn("portfolio_status", F.when(F.col("n") == F.col("selected"), "complete").otherwise("unscorable")) if fixed_slots else out
+    mean = lambda c: F.avg(F.when(done, F.col(c)))
+    return x.groupBy("date", "direction", "qc_group", "horizon", "top_k").agg(F.count("*").alias("selected"), F.count_if(done).alias("n"), *(mean(c).alias(f"mean_{c}") for c in ("gross", "excess", "net_base", "net_stress")), F.avg(F.when(done, (F.col("gross") > 0).cast("double"))).alias("hit_rate"))
 
 
 def portfolio_summary(daily: DataFrame) -> DataFrame:

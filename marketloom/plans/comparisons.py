@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
 from marketloom.plans.daily import MIN_DOLLAR_VOLUME, features, historical, panel, rounded
-from marketloom.plans.studies import _BINS, _DENSE, _FIXED, _LAB, _PAN, _SIG, _parts, _portfolios, labelled, portfolios
+from marketloom.plans.studies import _BINS, _DENSE, _FILLED, _FIXED, _LAB, _PAN, _SIG, _parts, labelled, portfolios
 from marketloom.sources import fixtures
 
 QUERIES: dict = {}
@@ -35,26 +35,21 @@ def paired(s: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRED = "pr as (select g.date, g.direction, g.horizon, g.top_k, g.qc_group, g.mean_net_base - a.mean_net_base as diff_net_base, g.mean_net_stress - a.mean_net_stress as diff_net_stress from daily g join daily a on a.qc_group = 'All' and g.qc_group <> 'All' and a.date = g.date and a.direction = g.direction and a.horizon = g.horizon and a.top_k = g.top_k where g.mean_net_base is not null and a.mean_net_base is not null)"
-_PORT = (*_DENSE, _FIXED, _portfolios(False))
+_PORT = (*_DENSE, _FIXED, _FILLED)
 _GROUP = ["direction", "qc_group", "horizon", "top_k"]
 register(
     "agg_28_paired_differences", lambda s, d: paired(s, d).groupBy(*_GROUP).agg(F.count("*").alias("dates"), *(F.avg(f"diff_{c}").alias(f"mean_diff_{c}") for c in NETS)),
     S.with_(*_PORT, _PAIRED) + f"select {', '.join(_GROUP)}, count(*) as dates, {', '.join(r6(f'avg(diff_{c})', f'mean_diff_{c}') for c in NETS)} from pr group by 1, 2, 3, 4",
 )
 register("joi_08_paired_dates", paired, S.with_(*_PORT, _PAIRED) + f"select date, {', '.join(_GROUP)}, {', '.join(r6(f'diff_{c}', f'diff_{c}') for c in NETS)} from pr")
-register(
-    "agg_30_evidence_gates",
-    lambda s, d: A.portfolio_summary(portfolios(s, d)).select(*_GROUP, "scored_dates", F.when(F.col("scored_dates") < 200, "need 200 scorable dates").when((F.col("mean_net_base") > 0) & (F.col("mean_net_stress") > 0), "positive under both cost cases").otherwise("no positive net edge under both cost cases").alias("decision")),
-    S.with_(*_PORT) + f"select {', '.join(_GROUP)}, count(*) filter (where n > 0) as scored_dates, case when count(*) filter (where n > 0) < 200 then 'need 200 scorable dates' when avg(mean_net_base) > 0 and avg(mean_net_stress) > 0 then 'positive under both cost cases' else 'no positive net edge under both cost cases' end as decision from daily group by 1, 2, 3, 4",
-)
 register(
     "agg_05_setup_split", lambda s, d: A.date_partitions(labelled(s, d)).groupBy("setup").pivot("partition", ["Validation", "Holdout"]).agg(F.count("ticker").alias("n"), F.avg(F.col("outcome").cast("double")).alias("rate")).na.fill(0, ["Validation_n", "Holdout_n"]),
     S.with_(*_LAB, _parts(0.6, 0.75)) + "select setup, " + ", ".join(f"count(*) filter (where partition = '{p}') as {p}_n, {r6(f'''avg(outcome) filter (where partition = '{p}')''', p + '_rate')}" for p in ("Validation", "Holdout")) + " from parts group by 1",
 )
 register(
     "agg_19_best_rules",
-    lambda s, d: A.rule_stats(A.date_partitions(labelled(s, d)), ["direction"], 50).withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("validation_expectancy"), F.desc("validation_n"), "feature", "bin"))).where("place <= 6").select("direction", "feature", "bin", "place", "validation_expectancy", (F.col("holdout_expectancy") > 0).alias("holdout_pass")),
-    S.with_(*_LAB, _parts(0.6, 0.75), _BINS, "ru as (select direction, feature, bin, count(*) filter (where partition = 'Validation') as vn, 3*avg(outcome) filter (where partition = 'Validation') - 1 as ve, 3*avg(outcome) filter (where partition = 'Holdout') - 1 as he from bins where bin is not null group by 1, 2, 3), rk as (select *, row_number() over (partition by direction order by ve desc, vn desc, feature, bin) as place from ru where vn >= 50)")
+    lambda s, d: A.rule_stats(A.date_partitions(labelled(s, d)), ["direction"], 100).withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("validation_expectancy"), F.desc("validation_n"), "feature", "bin"))).where("place <= 6").select("direction", "feature", "bin", "place", "validation_expectancy", (F.col("holdout_expectancy") > 0).alias("holdout_pass")),
+    S.with_(*_LAB, _parts(0.6, 0.75), _BINS, "ru as (select direction, feature, bin, count(*) filter (where partition = 'Validation') as vn, 3*avg(outcome) filter (where partition = 'Validation') - 1 as ve, 3*avg(outcome) filter (where partition = 'Holdout') - 1 as he from bins where bin is not null group by 1, 2, 3), rk as (select *, row_number() over (partition by direction order by ve desc, vn desc, feature, bin) as place from ru where vn >= 100)")
     + f"select direction, feature, bin, place, {r6('ve', 'validation_expectancy')}, he > 0 as holdout_pass from rk where place <= 6",
 )
 
@@ -95,15 +90,15 @@ register("flt_12_recent", lambda s, d: historical(s, d).where(F.col("date") >= F
 def cascade(s: SparkSession, d: str) -> DataFrame:
     """Disjoint evenly spaced samples, each from what the earlier ones left."""
     rest, out = fixtures.bars(s, d).select("ticker").distinct(), None
-    for i, n in enumerate((3, 4)):
+    for i, n in enumerate((20, 30)):
         picked = A.evenly_spaced(rest, "ticker", n)
         out = picked.withColumn("sample", F.lit(i)) if out is None else out.unionByName(picked.withColumn("sample", F.lit(i)))
-        rest = rest.join(picked, "ticker", "left_anti")
+        rest = rest.join(F.broadcast(picked), "ticker", "left_anti")  # at most n rows
     return out
 
 
 _PICK = "select ticker from (select ticker, row_number() over (order by ticker) - 1 as idx, count(*) over () as n from {0}) z where idx in (select cast(round_even(i*(n-1)/{1}, 0) as bigint) from range({2}) t(i))"
-register("smp_02_cascade", cascade, S.with_(S.BARS, "a0 as (select distinct ticker from bars)", f"p0 as ({_PICK.format('a0', '2.0', 3)})", "a1 as (select ticker from a0 where ticker not in (select ticker from p0))", f"p1 as ({_PICK.format('a1', '3.0', 4)})") + "select ticker, 0 as sample from p0 union all select ticker, 1 from p1")
+register("smp_02_cascade", cascade, S.with_(S.BARS, "a0 as (select distinct ticker from bars)", f"p0 as ({_PICK.format('a0', '19.0', 20)})", "a1 as (select ticker from a0 where ticker not in (select ticker from p0))", f"p1 as ({_PICK.format('a1', '29.0', 30)})") + "select ticker, 0 as sample from p0 union all select ticker, 1 from p1")
 
 
 def calibration(s: SparkSession, d: str, bins: int = 10) -> DataFrame:

@@ -108,14 +108,14 @@ register(
 register("sig_16_candidate_id", lambda s, d: signals.with_ids(historical(s, d)).select("candidate_id", "setup"), S.with_(*S.BASE, S.SIGNALS) + "select cast(date as varchar) || '|' || ticker || '|' || direction as candidate_id, setup from signals")
 
 
-def latest(s: SparkSession, d: str) -> DataFrame:
-    return signals.ranked(signals.quality(signals.latest(features(s, d), min_dollar_volume=MIN_DOLLAR_VOLUME)), 40)
+def latest(s: SparkSession, d: str, top: int | None = None) -> DataFrame:
+    return signals.ranked(signals.quality(signals.latest(features(s, d), min_dollar_volume=MIN_DOLLAR_VOLUME)), top)
 
 
 _LAST = f", latest as (select *, row_number() over (partition by direction order by setup_score desc, ticker) as signal_rank from quality q where date = (select max(b.date) from bars b where b.ticker = q.ticker) and dv20 >= {MIN_DOLLAR_VOLUME})"
 _LATEST = "ticker date direction setup setup_score rvol20 base_days breakout_atr entry stop target regime quality_status signal_rank"
-for _name, _top in {"sig_09_latest_scan": None, "top_02_top40": 40, "top_03_signal_rank": None}.items():
+for _name, _top, _cols in (("sig_09_latest_scan", None, _LATEST), ("top_02_top40", 40, _LATEST), ("top_03_signal_rank", None, "ticker date direction setup_score signal_rank")):
     register(
-        _name, lambda s, d: rounded(latest(s, d).select(*_LATEST.split())),
-        S.with_(*S.BASE, S.SIGNALS, S.QUALITY) + _LAST + f" select {sql_columns(_LATEST, (*TEXTS, 'signal_rank'))} from latest where signal_rank <= 40",
+        _name, lambda s, d, top=_top, cols=tuple(_cols.split()): rounded(latest(s, d, top).select(*cols)),
+        S.with_(*S.BASE, S.SIGNALS, S.QUALITY) + _LAST + f" select {sql_columns(_cols, (*TEXTS, 'signal_rank'))} from latest" + (f" where signal_rank <= {_top}" if _top else ""),
     )

@@ -108,7 +108,8 @@ s5 as (select *, c-stp as risk, floor((0.20*least(greatest(50+35*trig, 0), 100)
   + 0.10*case when regime like '%' || friend || '%' then 80 else 45 end)*10+0.5)/10 as score from s4 where setup is not null),
 s6 as (select *, row_number() over (partition by ticker, date, direction order by score desc, ord) as k from s5 where risk > 0),
 signals as (select q.ticker, q.date, q.direction, setup, score as setup_score, {half_up("q.rvol20", 2)} as rvol20, vol_accel, n as base_days, {half_up("trig", 2)} as breakout_atr, case when strong then 'Strong' else 'Mixed' end as trend,
-  rng as base_range_pct, f.atr20_pct, risk/atr as risk_atr, f.dv20, close as entry, s*stp as stop, s*(c+{_P.target_r}*risk) as target, risk, q.regime, f.rn
+  rng as base_range_pct, f.atr20_pct, risk/atr as risk_atr, f.dv20, close as entry, s*stp as stop, s*(c+{_P.target_r}*risk) as target, risk, q.regime, f.rn,
+  coalesce({half_up("f.atr_comp", 3)}, 0.0) as atr_compression, f.trend20, f.trend50, f.trend200, f.rs_spy_20, f.tr_atr20, f.close_loc, f.gap_pct
   from s6 q join features f on q.ticker = f.ticker and q.date = f.date where k = 1)"""
 
 QUALITY = """

@@ -118,7 +118,7 @@ register("prt_02_other_split", lambda s, d: A.date_partitions(labelled(s, d), 0.
 register("prt_05_half_years", lambda s, d: labelled(s, d).groupBy(A.half_year(F.col("date")).alias("half")).agg(F.count("*").alias("n")), S.with_(*_LAB) + "select cast(year(date) as varchar) || case when month(date) <= 6 then '-H1' else '-H2' end as half, count(*) as n from lab group by 1")
 register("agg_32_partition_summary", lambda s, d: A.partition_summary(A.date_partitions(labelled(s, d))), S.with_(*_LAB, _parts(0.6, 0.75)) + "select partition, min(date) as first_date, max(date) as last_date, count(*) as n from parts group by 1")
 _RULES = "count(*) filter (where partition = 'Validation') as validation_n, avg(outcome) filter (where partition = 'Validation') as validation_rate, count(*) filter (where partition = 'Holdout') as holdout_n, avg(outcome) filter (where partition = 'Holdout') as holdout_rate"
-for _name, _by, _min in (("agg_06_feature_rules", "", 50), ("agg_07_setup_rules", "setup", 20)):
+for _name, _by, _min in (("agg_06_feature_rules", "", 50), ("agg_07_setup_rules", "setup", 50)):
     _cols = [*_by.split(), "feature", "bin"]
     register(
         _name, lambda s, d, by=_by.split(), m=_min: A.rule_stats(A.date_partitions(labelled(s, d)), by, m),
@@ -162,9 +162,9 @@ def _net(gross: str, days: str) -> str:
 _DENSE = (*S.DENSE_BASE, S.SIGNALS, S.QUALITY)
 _CAL = "cal as (select date, open as s_open, close as s_close, row_number() over (order by date) - 1 as pos from bench)"
 _FIXED = f"""{_CAL},
-fx0 as (select q.*, h.horizon, c.pos, e.date as entry_date, e.s_open, x.date as exit_date, x.s_close, be.open as entry_price, bx.close as exit_price from quality q cross join (values (1), (3), (5), (10)) h(horizon)
-  left join cal c on c.date = q.date left join cal e on e.pos = c.pos + 1 left join cal x on x.pos = c.pos + h.horizon left join bars be on be.ticker = q.ticker and be.date = e.date left join bars bx on bx.ticker = q.ticker and bx.date = x.date),
-fx1 as (select *, case when pos is null then 'not_in_calendar' when exit_date is null then 'pending_future_exit' when entry_price is null or exit_price is null then 'missing_stock_bar' else 'complete' end as status, case when direction = 'Long' then 1 else -1 end as sg from fx0),
+fx0 as (select q.*, h.horizon, c.pos, e.date as entry_date, e.s_open, x.date as exit_date, x.s_close, be.open as entry_price, bx.close as exit_price, lb.last_bar from quality q cross join (values (1), (3), (5), (10)) h(horizon)
+  left join cal c on c.date = q.date left join cal e on e.pos = c.pos + 1 left join cal x on x.pos = c.pos + h.horizon left join bars be on be.ticker = q.ticker and be.date = e.date left join bars bx on bx.ticker = q.ticker and bx.date = x.date left join (select ticker, max(date) as last_bar from bars group by 1) lb on lb.ticker = q.ticker),
+fx1 as (select *, case when pos is null then 'not_in_calendar' when exit_date is null then 'pending_future_exit' when entry_price is null or exit_price is null then case when last_bar is null or last_bar < exit_date then 'pending_stock_bar' else 'invalid_missing_stock_bar' end else 'complete' end as status, case when direction = 'Long' then 1 else -1 end as sg from fx0),
 fx2 as (select *, case when status = 'complete' then exit_price/entry_price - 1 end as stock_return, case when status = 'complete' then s_close/s_open - 1 end as bench_return from fx1),
 fx as (select *, sg*stock_return as gross, sg*(stock_return-bench_return) as excess, {_net("sg*stock_return", "horizon")} from fx2)"""
 fixed = lambda s, d: O.fixed_horizon(*dense(s, d))
@@ -192,30 +192,86 @@ register(
 )
 
 
-def _portfolios(fixed_slots: bool) -> str:
-    mean = (lambda c: f"sum(case when status = 'complete' then {c} end)/top_k") if fixed_slots else (lambda c: f"avg(case when status = 'complete' then {c} end)")
-    return f"""pg as (select f.*, g.qc_group, row_number() over (partition by date, direction, qc_group, horizon order by setup_score desc, ticker) as r from fx f cross join (values ('All'), ('QC Clear'), ('QC Flagged')) g(qc_group) where qc_group = 'All' or (qc_group = 'QC Flagged') = qc_flagged),
-daily as (select date, direction, qc_group, horizon, top_k, count(*) as selected, count(*) filter (where status = 'complete') as n, {", ".join(f"{mean(c)} as mean_{c}" for c in ("gross", "excess", "net_base", "net_stress"))}, avg(case when status = 'complete' then case when gross > 0 then 1 else 0 end end) as hit_rate
+_GROUPS = "(values ('All'), ('QC Clear'), ('QC Flagged'), ('No Unusual Volume'), ('Unusual Volume')) g(qc_group)"
+_MEMBER = "case qc_group when 'All' then true when 'QC Clear' then not qc_flagged when 'QC Flagged' then qc_flagged when 'No Unusual Volume' then not qc_volume else qc_volume end"
+
+
+def _ranked_sql(source: str) -> str:
+    return f"pg as (select f.*, g.qc_group, row_number() over (partition by date, direction, qc_group, horizon order by setup_score desc, ticker) as r from {source} f cross join {_GROUPS} where {_MEMBER})"
+
+
+_MEANS = ("gross", "excess", "net_base", "net_stress")
+_FILLED = f"""{_ranked_sql("fx")},
+daily as (select date, direction, qc_group, horizon, top_k, count(*) as selected, count(*) filter (where status = 'complete') as n, {", ".join(f"avg(case when status = 'complete' then {c} end) as mean_{c}" for c in _MEANS)}, avg(case when status = 'complete' then case when gross > 0 then 1 else 0 end end) as hit_rate
   from pg cross join (values (10), (40)) k(top_k) where r <= top_k group by 1, 2, 3, 4, 5)"""
 
 
+def _slots(source: str, extra: dict[str, str] | None = None) -> str:
+    more = "".join(f", {x} as {n}" for n, x in (extra or {}).items())
+    out = "".join(f", case when portfolio_status = 'complete' then {n} end as {n}" for n in (extra or {}))
+    return f"""{_ranked_sql(source)},
+sa as (select date, direction, qc_group, horizon, top_k, count(*) as selected, count(*) filter (where status = 'complete') as done, count(*) filter (where status like 'pending%') as pending_slots, count(*) filter (where status <> 'complete' and status not like 'pending%') as missing_slots,
+  {", ".join(f"sum({c}) filter (where status = 'complete') as s_{c}" for c in _MEANS)}, avg(case when net_base > 0 then 1.0 else 0.0 end) filter (where status = 'complete') as hits{more} from pg cross join (values (10), (40)) k(top_k) where r <= top_k group by 1, 2, 3, 4, 5),
+sd as (select d.date, d.direction, g.qc_group, h.horizon, k.top_k, coalesce(selected, 0) as selected, coalesce(done, 0) as done, coalesce(pending_slots, 0) as pending_slots, coalesce(missing_slots, 0) as missing_slots, sa.* exclude (date, direction, qc_group, horizon, top_k, selected, done, pending_slots, missing_slots),
+  case when coalesce(selected, 0) = 0 then 'no_candidates' when pending_slots > 0 then 'pending_outcomes' when missing_slots > 0 then 'unscorable_missing_outcome' else 'complete' end as portfolio_status
+  from (select distinct date, direction from {source}) d cross join {_GROUPS} cross join (values (1), (3), (5), (10)) h(horizon) cross join (values (10), (40)) k(top_k)
+  left join sa on sa.date = d.date and sa.direction = d.direction and sa.qc_group = g.qc_group and sa.horizon = h.horizon and sa.top_k = k.top_k),
+slots as (select date, direction, qc_group, horizon, top_k, portfolio_status, selected, pending_slots, case when pending_slots > 0 then 0 else missing_slots end as missing_slots, case when portfolio_status = 'complete' then done else 0 end as n,
+  case portfolio_status when 'no_candidates' then 0.0 when 'complete' then done/top_k end as slot_coverage, {", ".join(f"case portfolio_status when 'no_candidates' then 0.0 when 'complete' then s_{c}/top_k end as mean_{c}" for c in _MEANS)},
+  case when portfolio_status = 'complete' then s_net_base/done end as net_base_per_trade, case when portfolio_status = 'complete' then hits end as net_hit_rate{out} from sd)"""
+
+
 _DAILY = "date direction qc_group horizon top_k selected n", "mean_gross mean_excess mean_net_base mean_net_stress hit_rate"
-portfolios = lambda s, d, slots=False: A.daily_portfolios(fixed(s, d), fixed_slots=slots)
-register("agg_24_daily_portfolios", portfolios, S.with_(*_DENSE, _FIXED, _portfolios(False)) + f"select {rounding(*_DAILY)} from daily")
-register("agg_25_slot_portfolios", lambda s, d: portfolios(s, d, True), S.with_(*_DENSE, _FIXED, _portfolios(True)) + f"select {rounding(*_DAILY)}, case when n = selected then 'complete' else 'unscorable' end as portfolio_status from daily")
+_SLOTS = "date direction qc_group horizon top_k portfolio_status selected pending_slots missing_slots n", "slot_coverage mean_gross mean_excess mean_net_base mean_net_stress net_base_per_trade net_hit_rate"
+portfolios = lambda s, d: A.daily_portfolios(fixed(s, d))
+slots = lambda s, d: A.slot_portfolios(fixed(s, d))
+register("agg_24_daily_portfolios", portfolios, S.with_(*_DENSE, _FIXED, _FILLED) + f"select {rounding(*_DAILY)} from daily")
+register("agg_25_slot_portfolios", slots, S.with_(*_DENSE, _FIXED, _slots("fx")) + f"select {rounding(*_SLOTS)} from slots")
+_SUM = """sm as (select direction, qc_group, horizon, top_k, count(*) as dates, count(*) filter (where portfolio_status <> 'no_candidates') as active_dates, count(*) filter (where portfolio_status in ('complete', 'no_candidates')) as scorable_dates, count(*) filter (where portfolio_status = 'pending_outcomes') as pending_dates,
+  count(*) filter (where portfolio_status = 'unscorable_missing_outcome') as unscorable_dates, cast(sum(n) as bigint) as trades, avg(mean_gross) as mean_gross, avg(mean_excess) as mean_excess, avg(mean_net_base) as mean_net_base, avg(mean_net_stress) as mean_net_stress, avg(slot_coverage) as mean_coverage,
+  avg(case when mean_net_base > 0 then 1.0 when mean_net_base is not null then 0.0 end) as positive_share from slots group by 1, 2, 3, 4)"""
+register(
+    "agg_27_portfolio_summary", lambda s, d: A.slot_summary(slots(s, d)),
+    S.with_(*_DENSE, _FIXED, _slots("fx"), _SUM) + "select " + rounding("direction qc_group horizon top_k dates active_dates scorable_dates pending_dates unscorable_dates trades", "mean_gross mean_excess mean_net_base mean_net_stress mean_coverage positive_share") + " from sm",
+)
+
+
+def traded(s: SparkSession, d: str) -> DataFrame:
+    """Simulated trades with the quality groups of their signals."""
+    found, bars, bench = dense(s, d)
+    return O.simulated_trades(found, bars, bench).join(found.select("ticker", "date", "direction", "qc_flagged", "qc_volume").hint("merge"), ["ticker", "date", "direction"])
+
+
+_DONE = F.col("status") == "complete"
+_EXTRA = {"mean_r": F.avg(F.when(_DONE, F.col("r_multiple"))), "stop_exits": F.count_if(_DONE & F.col("exit_reason").startswith("stop")), "target_exits": F.count_if(_DONE & F.col("exit_reason").startswith("target")), "mean_holding": F.avg(F.when(_DONE, F.col("holding").cast("double")))}
+_EXTRA_SQL = {"mean_r": "avg(r_multiple) filter (where status = 'complete')", "stop_exits": "count(*) filter (where status = 'complete' and exit_reason like 'stop%')", "target_exits": "count(*) filter (where status = 'complete' and exit_reason like 'target%')", "mean_holding": "avg(holding) filter (where status = 'complete')"}
 register(
-    "agg_27_portfolio_summary", lambda s, d: A.portfolio_summary(portfolios(s, d)),
-    S.with_(*_DENSE, _FIXED, _portfolios(False)) + "select direction, qc_group, horizon, top_k, count(*) as dates, count(*) filter (where n > 0) as scored_dates, cast(sum(n) as bigint) as trades, " + ", ".join(f"floor(avg(mean_{c})*1e6+0.5)/1e6 as mean_{c}" for c in ("gross", "excess", "net_base", "net_stress"))
-    + ", floor(avg(case when mean_net_base > 0 then 1.0 when mean_net_base is not null then 0.0 end)*1e6+0.5)/1e6 as positive_share from daily group by 1, 2, 3, 4",
+    "agg_26_trade_portfolios", lambda s, d: A.slot_portfolios(traded(s, d), extra=_EXTRA),
+    S.with_(*_DENSE, _TRADES, "tq as (select t.*, q.qc_flagged, q.qc_volume from trades t join quality q on q.ticker = t.ticker and q.date = t.date and q.direction = t.direction)", _slots("tq", _EXTRA_SQL)) + "select " + rounding(_SLOTS[0] + " stop_exits target_exits", _SLOTS[1] + " mean_r mean_holding") + " from slots",
 )
-_BOOT = """dv as (select date, direction, mean_gross as v, row_number() over (partition by direction order by date) - 1 as at, count(*) over (partition by direction) as n from daily where qc_group = 'All' and horizon = 5 and top_k = 10 and mean_gross is not null),
-sz as (select direction, count(*) as n, avg(v) as mean from dv group by 1),
-dr as (select direction, n, rep, blk, off, (cast('0x' || substr(md5('bootstrap|' || rep || '|' || blk), 1, 8) as bigint) % n + off) % n as at from sz, (select unnest(range(200)) as rep) r, (select unnest(range(1000)) as blk) b, (select unnest(range(10)) as off) o where n >= 20 and blk < ceil(n/10.0) and blk*10+off < n),
-ms as (select d.direction, rep, avg(v) as m from dr d join dv on dv.direction = d.direction and dv.at = d.at group by 1, 2)"""
+
+
+def _boot_sql(source: str, value: str, by: str, tag: str, reps: int = 2500) -> str:
+    """Interval of the circular block bootstrap by sums of ten consecutive values: table ci_<tag> with by, n, mean, lo, hi."""
+    g = ", ".join(by.split())
+    same = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in by.split())
+    return f"""dv_{tag} as (select {g}, {value} as v, row_number() over (partition by {g} order by date) - 1 as p0, count(*) over (partition by {g}) as n from {source} where {value} is not null),
+du_{tag} as (select * from dv_{tag} union all select {g}, v, p0 + n, n from dv_{tag} where p0 < 9),
+bs_{tag} as (select *, sum(v) over (partition by {g} order by p0 rows between current row and 9 following) as whole, list(v) over (partition by {g} order by p0 rows between current row and 9 following) as l from du_{tag}),
+sz_{tag} as (select {g}, count(*) as n, avg(v) as mean from dv_{tag} group by {g}),
+dr_{tag} as (select z.*, rep, blk, cast('0x' || substr(md5('bootstrap|' || rep || '|' || blk), 1, 8) as bigint) % n as p0 from sz_{tag} z, (select unnest(range({reps})) as rep) r, (select unnest(range(1000)) as blk) b where n >= 20 and blk < ceil(n/10.0)),
+ms_{tag} as (select {", ".join(f"d.{c}" for c in by.split())}, rep, sum(case when blk = ceil(d.n/10.0) - 1 then list_sum(l[1:cast(d.n - 10*(ceil(d.n/10.0) - 1) as int)]) else whole end)/any_value(d.n) as m from dr_{tag} d join bs_{tag} b on {same("d", "b")} and b.p0 = d.p0 group by {", ".join(f"d.{c}" for c in by.split())}, rep),
+ci_{tag} as (select z.*, c.lo, c.hi from sz_{tag} z left join (select {g}, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from ms_{tag} group by {g}) c on {same("z", "c")})"""
+
+
+_BY = "direction qc_group horizon"
 register(
-    "agg_29_bootstrap", lambda s, d: A.bootstrap_interval(portfolios(s, d).where("qc_group = 'All' and horizon = 5 and top_k = 10"), "mean_gross", "direction", reps=200),
-    S.with_(*_DENSE, _FIXED, _portfolios(False), _BOOT) + "select s.direction, s.n, floor(mean*1e6+0.5)/1e6 as mean, floor(c.lo*1e6+0.5)/1e6 as ci_low, floor(c.hi*1e6+0.5)/1e6 as ci_high from sz s left join (select direction, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from ms group by 1) c on c.direction = s.direction",
+    "agg_29_bootstrap", lambda s, d: A.bootstrap_interval(slots(s, d).where("top_k = 10"), "mean_net_base", *_BY.split()),
+    S.with_(*_DENSE, _FIXED, _slots("fx"), "ten as (select * from slots where top_k = 10)", _boot_sql("ten", "mean_net_base", _BY, "a")) + "select direction, qc_group, horizon, n, floor(mean*1e6+0.5)/1e6 as mean, floor(lo*1e6+0.5)/1e6 as ci_low, floor(hi*1e6+0.5)/1e6 as ci_high from ci_a",
 )
+register("agg_30_evidence_gates", lambda s, d: (lambda x: A.evidence_gate(x, A.slot_summary(x)).select("direction", "qc_group", "horizon", "top_k", "scorable_dates", "decision"))(slots(s, d)), S.with_(*_DENSE, _FIXED, _slots("fx"), _SUM, _boot_sql("slots", "mean_net_base", _BY + " top_k", "a"), _boot_sql("slots", "mean_net_stress", _BY + " top_k", "b"))
+    + """select s.direction, s.qc_group, s.horizon, s.top_k, s.scorable_dates, case when scorable_dates < 200 then 'Collecting; need 200 scorable dates under both cost cases' when mean_net_base > 0 and mean_net_stress > 0 and a.lo > 0 and b.lo > 0 then 'Positive under both cost cases; still research-only and requires independent replication'
+    else 'No confirmed positive net edge under both cost cases' end as decision from sm s join ci_a a using (direction, qc_group, horizon, top_k) join ci_b b using (direction, qc_group, horizon, top_k)""")
 _PAN = (*S.BASE, S.PANEL)
 register(
     "agg_22_information_coefficient", lambda s, d: A.information_coefficient(panel(s, d).where("rn > 220"), "raw_mom20", "fwd_excess_5"),
@@ -223,8 +279,8 @@ register(
     + "select date, count(*) as names, floor(corr(x, y)*1e6+0.5)/1e6 as ic from r group by 1 having count(*) >= 20",
 )
 register(
-    "agg_23_ic_summary", lambda s, d: A.information_coefficient(panel(s, d).where("rn > 220"), "raw_mom20", "fwd_excess_5").agg(F.count("*").alias("dates"), F.avg("ic").alias("mean_ic"), F.expr("percentile(ic, 0.5)").alias("median_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.stddev_samp("ic").alias("std_ic")),
-    SQL["agg_22_information_coefficient"].replace("select date, count(*) as names, floor(corr(x, y)*1e6+0.5)/1e6 as ic from r", "select count(*) as dates, floor(avg(ic)*1e6+0.5)/1e6 as mean_ic, floor(quantile_cont(ic, 0.5)*1e6+0.5)/1e6 as median_ic, floor(avg(case when ic > 0 then 1.0 when ic is not null then 0.0 end)*1e6+0.5)/1e6 as positive, floor(stddev_samp(ic)*1e6+0.5)/1e6 as std_ic from (select date, corr(x, y) as ic from r") + ") q",
+    "agg_23_ic_summary", lambda s, d: A.information_coefficient(panel(s, d).where("rn > 220"), "raw_mom20", "fwd_excess_5").agg(F.count("*").alias("dates"), F.avg("ic").alias("mean_ic"), F.expr("percentile(ic, 0.5)").alias("median_ic"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("positive"), F.stddev_samp("ic").alias("std_ic"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("icir")),
+    SQL["agg_22_information_coefficient"].replace("select date, count(*) as names, floor(corr(x, y)*1e6+0.5)/1e6 as ic from r", "select count(*) as dates, floor(avg(ic)*1e6+0.5)/1e6 as mean_ic, floor(quantile_cont(ic, 0.5)*1e6+0.5)/1e6 as median_ic, floor(avg(case when round(ic, 9) > 0 then 1.0 when ic is not null then 0.0 end)*1e6+0.5)/1e6 as positive, floor(stddev_samp(ic)*1e6+0.5)/1e6 as std_ic, floor(avg(ic)/nullif(stddev_samp(ic), 0)*1e6+0.5)/1e6 as icir from (select date, corr(x, y) as ic from r") + ") q",
 )
 
 _UNIVERSE = """u as (select case when p_partkey % 50 <> 0 then substr(p_brand, 1, 3) || ' ' || (p_partkey % 400) || case when p_partkey % 11 = 0 then '.A' when p_partkey % 13 = 0 then '$B' else '' end end as symbol,
@@ -236,7 +292,7 @@ register(
 )
 register(
     "flt_02_listed", lambda s, d: U.listed(fixtures.universe(s, d)).select("symbol", "yahoo_symbol", "source_order"),
-    f"with {_UNIVERSE}, k as (select *, row_number() over (partition by symbol order by source_order) as n from u where symbol is not null and coalesce(test_issue, 'N') = 'N' and coalesce(etf, 'N') = 'N' and symbol not like '%$%' and symbol not like '%^%') select symbol, replace(trim(symbol), '.', '-') as yahoo_symbol, source_order from k where n = 1",
+    f"with {_UNIVERSE}, k as (select *, row_number() over (partition by trim(symbol) order by source_order) as n from u where symbol is not null and coalesce(test_issue, 'N') <> 'Y' and coalesce(etf, 'N') <> 'Y' and symbol not like '%$%' and symbol not like '%^%') select trim(symbol) as symbol, replace(trim(symbol), '.', '-') as yahoo_symbol, source_order from k where n = 1",
 )
 _CAPS = "caps as (select cast(s_suppkey as varchar) as symbol, coalesce(case when s_suppkey % 3 <> 0 and s_acctbal > 0 then s_acctbal end, case when s_acctbal + 500 > 0 then s_acctbal + 500 end) as cap from supplier)"
 register("src_07_market_caps", lambda s, d: U.market_cap(fixtures.market_caps(s, d)), f"with {_CAPS} select symbol, floor(cap*1e6+0.5)/1e6 as cap from caps")
@@ -244,7 +300,7 @@ register(
     "flt_08_cap_gate", lambda s, d: U.cap_status(historical(s, d).select("ticker", "date", "direction"), fixtures.market_caps(s, d), MIN_CAP).select("ticker", "date", "direction", "cap_status"),
     S.with_(*_SIG, _CAPS) + f"select ticker, date, direction, case when cap is null then 'unavailable' when cap >= {MIN_CAP} then 'qualified' else 'below' end as cap_status from signals left join caps on symbol = ticker",
 )
-register("smp_03_hash_sample", lambda s, d: A.hash_sample(fixtures.bars(s, d), "ticker", 20), S.with_(S.BARS) + "select ticker from (select distinct ticker from bars) q order by sha256('V17-EOD-SETUP|' || ticker) limit 20")
+register("smp_03_hash_sample", lambda s, d: A.hash_sample(fixtures.bars(s, d), "ticker", 20, "V17-EOD-SETUP|"), S.with_(S.BARS) + "select ticker from (select distinct ticker from bars) q order by sha256('V17-EOD-SETUP|' || ticker) limit 20")
 register(
     "smp_01_evenly_spaced", lambda s, d: A.evenly_spaced(fixtures.bars(s, d), "ticker", 15),
     S.with_(S.BARS) + "select ticker from (select ticker, row_number() over (order by ticker) - 1 as idx, count(*) over () as n from (select distinct ticker from bars) q) z where idx in (select cast(round_even(i*(n-1)/14.0, 0) as bigint) from range(15) t(i))",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.exprs import finite
+
 # Words of names that are no common equity, and of those that are.
 EXCLUDED = r"\b(PREFERRED|WARRANTS?|RIGHTS?|UNITS?|NOTES?|BONDS?|DEBENTURES?|ETF|EXCHANGE TRADED FUND|FUND)\b"
 COMMON = r"(COMMON STOCK|COMMON SHARES|ORDINARY SHARES|AMERICAN DEPOSITARY SHARES)"
@@ -13,7 +15,8 @@ DIRECTORY_COLUMNS = ("Symbol", "Security Name", "ETF", "Test Issue", "Listing Ex
 
 def read_directory(spark: SparkSession, path: str, columns: tuple[str, ...] = DIRECTORY_COLUMNS) -> DataFrame:
     """A pipe-separated symbol directory, all strings, without its trailer; every required column must be there."""
-    df = spark.read.option("sep", "|").option("header", True).csv(path)
+    head = spark.read.option("sep", "|").option("header", True).csv(path).columns
+    df = spark.read.option("sep", "|").option("header", True).schema(", ".join(f"`{c}` string" for c in head)).csv(path)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"symbol directory lacks {', '.join(missing)}")
@@ -27,14 +30,15 @@ def common_equity(name: str):
 
 def listed(universe: DataFrame) -> DataFrame:
     """Symbols that are no test issues, ETFs or special classes; a dash for the class dot; the first row of each symbol."""
-    ok = F.col("symbol").isNotNull() & (F.coalesce("test_issue", F.lit("N")) == "N") & (F.coalesce("etf", F.lit("N")) == "N") & ~F.col("symbol").contains("$") & ~F.col("symbol").contains("^")
+    universe = universe.withColumn("symbol", F.trim("symbol"))
+    ok = F.col("symbol").isNotNull() & (F.coalesce("test_issue", F.lit("N")) != "Y") & (F.coalesce("etf", F.lit("N")) != "Y") & ~F.col("symbol").contains("$") & ~F.col("symbol").contains("^")
     x = universe.where(ok).withColumn("yahoo_symbol", F.translate(F.trim("symbol"), ".", "-"))
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("source_order"))).where("_n = 1").drop("_n")
 
 
 def market_cap(caps: DataFrame) -> DataFrame:
-    """symbol, cap: the first positive of the fast and the standard field, else unknown."""
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    """symbol, cap: the first positive finite one of the fast and the standard field, else unknown."""
+    positive = lambda c: F.when(finite(F.col(c)) > 0, F.col(c))
     return caps.select("symbol", F.coalesce(positive("fast_cap"), positive("std_cap")).alias("cap"))
 
 
