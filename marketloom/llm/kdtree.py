@@ -161,7 +161,7 @@ def _dealt(rows: DataFrame, shard_rows: int) -> DataFrame:
     dealt = written(rows.select("vec_id", "dim", "v").mapInArrow(number, "vec_id long, dim int, v array<double>, cell long"), "cells")
     sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(1.5 * shard_rows)).alias("parts"))
     part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts"))
-    return dealt.join(sizes.hint("merge"), ["dim", "cell"]).select("vec_id", "dim", "v", (F.col("cell") * F.lit(1 << 32) + part).alias("shard"))
+    return dealt.join(F.broadcast(sizes), ["dim", "cell"]).select("vec_id", "dim", "v", (F.col("cell") * F.lit(1 << 32) + part).alias("shard"))  # MOST_CELLS rows a vector length at most
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
