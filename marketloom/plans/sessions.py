@@ -71,7 +71,7 @@ tr as (select ticker, date, direction, rule, trade_session, ts as trigger_ts, mi
 STOPS = """st as (select *, case when direction = 'Long' then swing_low - 0.1*atr else swing_high + 0.1*atr end as stop from tr where atr > 0),
 rs as (select *, case when direction = 'Long' then entry - stop else stop - entry end as risk from st where case when direction = 'Long' then entry - stop else stop - entry end > 0 and case when direction = 'Long' then entry - stop else stop - entry end <= 2.0*atr)"""
 _ALL = (M5, B15, OPENING, SIG, CONFIRMED, TRIGGERS)
-_MINUTE = (F.hour("trigger_ts") * 60 + F.minute("trigger_ts") - I.OPEN_MINUTE).alias("minute")
+_MINUTE = f"hour(trigger_ts) * 60 + minute(trigger_ts) - {I.OPEN_MINUTE} as minute"
 
 register("itd_01_session_minutes", lambda s, d: prepared(s, d).select("ticker", "session", "minute", "close"), S.with_(M5) + f"select ticker, session, minute, {r6('close')} from prep")
 register("itd_02_vwap", lambda s, d: prepared(s, d).select("ticker", "session", "minute", "vwap"), S.with_(M5) + f"select ticker, session, minute, {r6('vwap')} from prep")
@@ -84,7 +84,7 @@ register(
 register("itd_06_opening_range", lambda s, d: I.opening_range(prepared(s, d)), S.with_(M5, OPENING) + f"select ticker, session, bars, {r6('or_high', 'or_low', 'or_mid')} from orr")
 register("itd_07_next_session", lambda s, d: I.next_session(signals(s, d), prepared(s, d)), S.with_(M5, SIG) + "select ticker, date, direction, trade_session from ns")
 register("itd_08_confirmation", lambda s, d: confirmed(s, d).drop("confirm_ts"), S.with_(M5, B15, SIG, CONFIRMED) + "select ticker, date, direction, trade_session from cf")
-register("itd_09_triggers", lambda s, d: triggered(s, d).select("ticker", "date", "direction", "rule", "trade_session", _MINUTE, "entry"), S.with_(*_ALL) + f"select ticker, date, direction, rule, trade_session, minute, {r6('entry')} from tr")
+register("itd_09_triggers", lambda s, d: triggered(s, d).selectExpr("ticker", "date", "direction", "rule", "trade_session", _MINUTE, "entry"), S.with_(*_ALL) + f"select ticker, date, direction, rule, trade_session, minute, {r6('entry')} from tr")
 register("itd_10_stops", lambda s, d: stopped(s, d).select("ticker", "date", "direction", "rule", "entry", "stop", "risk"), S.with_(*_ALL, STOPS) + f"select ticker, date, direction, rule, {r6('entry', 'stop', 'risk')} from rs")
 register(
     "itd_11_same_day", lambda s, d: I.same_day(stopped(s, d), prepared(s, d)),

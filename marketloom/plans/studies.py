@@ -242,11 +242,17 @@ def traded(s: SparkSession, d: str) -> DataFrame:
     return O.simulated_trades(found, bars, bench).join(found.select("ticker", "date", "direction", "qc_flagged", "qc_volume").hint("merge"), ["ticker", "date", "direction"])
 
 
-_DONE = F.col("status") == "complete"
-_EXTRA = {"mean_r": F.avg(F.when(_DONE, F.col("r_multiple"))), "stop_exits": F.count_if(_DONE & F.col("exit_reason").startswith("stop")), "target_exits": F.count_if(_DONE & F.col("exit_reason").startswith("target")), "mean_holding": F.avg(F.when(_DONE, F.col("holding").cast("double")))}
+def _extra() -> dict:
+    done = F.col("status") == "complete"
+    return {
+        "mean_r": F.avg(F.when(done, F.col("r_multiple"))), "stop_exits": F.count_if(done & F.col("exit_reason").startswith("stop")), "target_exits": F.count_if(done & F.col("exit_reason").startswith("target")),
+        "mean_holding": F.avg(F.when(done, F.col("holding").cast("double"))),
+    }
+
+
 _EXTRA_SQL = {"mean_r": "avg(r_multiple) filter (where status = 'complete')", "stop_exits": "count(*) filter (where status = 'complete' and exit_reason like 'stop%')", "target_exits": "count(*) filter (where status = 'complete' and exit_reason like 'target%')", "mean_holding": "avg(holding) filter (where status = 'complete')"}
 register(
-    "agg_26_trade_portfolios", lambda s, d: A.slot_portfolios(traded(s, d), extra=_EXTRA),
+    "agg_26_trade_portfolios", lambda s, d: A.slot_portfolios(traded(s, d), extra=_extra()),
     S.with_(*_DENSE, _TRADES, "tq as (select t.*, q.qc_flagged, q.qc_volume from trades t join quality q on q.ticker = t.ticker and q.date = t.date and q.direction = t.direction)", _slots("tq", _EXTRA_SQL)) + "select " + rounding(_SLOTS[0] + " stop_exits target_exits", _SLOTS[1] + " mean_r mean_holding") + " from slots",
 )
 
