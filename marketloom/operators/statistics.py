@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ EDGES = {
 }
 
 
-def feature_bins(rows: DataFrame, keep: list[str]) -> DataFrame:
+def feature_bins(rows: DataFrame, keep: list[str], edges: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """One row for each feature of a row with its bin: keep columns, feature, bin."""
-    each = F.array(*(F.struct(F.lit(f).alias("feature"), binned(F.col(f), e).alias("bin")) for f, e in EDGES.items()))
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), binned(F.col(f), e).alias("bin")) for f, e in (edges or EDGES).items()))
     return rows.withColumn("_f", F.explode(each)).select(*keep, "_f.feature", "_f.bin").where("bin is not null")
 
 
@@ -144,18 +146,33 @@ def holm(rows: DataFrame, p: str, *by: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).withColumn("holm_p", step).withColumn("holm_p", F.max("holm_p").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_rank")
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series at x + 8, less the logarithm of the factors between."""
+    z = x + 8.0
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    factors = x
+    for i in range(1, 8):
+        factors = factors * (x + float(i))
+    return series - F.log(factors)
+
+
+def binomial_upper(n: Column, wins: Column, p0: Column | float) -> Column:
+    """P(X >= wins) for X binomial(n, p0), within the row.
+
+    The tail that lies away from the mean is summed over at most 12 sqrt(n) + 60 terms (those beyond add less than 1e-16); below the mean it is taken from 1.
+    """
+    n, wins, p = n.cast("double"), wins.cast("double"), F.lit(p0).cast("double") if isinstance(p0, float) else p0
+    term = lambda i: F.exp(log_gamma(n + 1) - log_gamma(i + 1) - log_gamma(n - i + 1) + i * F.log(p) + (n - i) * F.log(1 - p))
+    total = lambda a, b: F.aggregate(F.sequence(a.cast("long"), b.cast("long")), F.lit(0.0), lambda s, i: s + term(i.cast("double")))
+    reach = F.ceil(12 * F.sqrt(n)) + 60
+    above = total(wins, F.least(n, wins + reach))
+    below = 1 - total(F.greatest(F.lit(0.0), wins - 1 - reach), wins - 1)
+    return F.when(wins <= 0, 1.0).when(wins >= n * p, F.least(above, F.lit(1.0))).otherwise(F.greatest(below, F.lit(0.0)))
+
+
 def binomial_tail(rows: DataFrame, n: str, wins: str, p0: float) -> DataFrame:
-    """Adds p_value: P(X >= wins) for X binomial(n, p0), by an exploded tail over a table of log-factorials."""
-    most = rows.agg(F.max(n).alias("m"))
-    logs = F.sum(F.when(F.col("i") > 0, F.log("i")).otherwise(0.0)).over(Window.orderBy("i"))
-    table = most.select(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("m").cast("long"), F.lit(0).cast("long")))).alias("i")).select("i", logs.alias("lf"))
-    keyed = rows.withColumn("_id", F.monotonically_increasing_id())
-    tail = rows.columns
-    x = keyed.withColumn("i", F.explode(F.sequence(F.col(wins).cast("long"), F.col(n).cast("long")))).withColumns({"_n": F.col(n).cast("long"), "_r": F.col(n).cast("long") - F.col("i")})
-    for c, name in (("i", "a"), ("_n", "b"), ("_r", "c")):
-        x = x.join(F.broadcast(table.select(F.col("i").alias(c), F.col("lf").alias(name))), c)
-    term = F.exp(F.col("b") - F.col("a") - F.col("c") + F.col("i") * F.log(F.lit(p0)) + F.col("_r") * F.log(F.lit(1 - p0)))
-    return x.groupBy("_id", *tail).agg(F.least(F.sum(term), F.lit(1.0)).alias("p_value")).drop("_id")
+    """Adds p_value: P(X >= wins) for X binomial(n, p0)."""
+    return rows.withColumn("p_value", binomial_upper(F.col(n), F.col(wins), p0))
 
 
 def bootstrap_interval(daily: DataFrame, value: str, *by: str, block: int = 10, reps: int = 2500, min_n: int = 20, seed: str = "bootstrap") -> DataFrame:

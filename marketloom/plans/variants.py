@@ -85,7 +85,7 @@ def _contraction_sql(rules: tuple[M.Contraction, ...]) -> str:
     for r in rules:
         calm = " and ".join([f"shrink <= {r.atr_ratio!r}", *(f"{c}_{r.base}_{r.phases}_{j + 1} <= {c}_{r.base}_{r.phases}_{j}*{d!r}" for c, d in (("r", r.range_decay), ("v", r.volume_decay)) for j in range(r.phases - 1))])
         for name, move, placed in (("Long", f"(close-hh_{r.base})/atr20", "close_loc >= 0.65"), ("Short", f"(ll_{r.base}-close)/atr20", "close_loc <= 0.35")):
-            picks.append(f"select ticker, date, '{name}' as direction, '{r.name}' as rule, {move} as breakout_atr, 1-shrink as atr_compression from vw where {calm} and {move} > 0 and {move} >= {r.breakout!r} and {placed}")
+            picks.append(f"select ticker, date, '{name}' as direction, '{r.name}' as rule, {move} as breakout_atr, 1-shrink as atr_compression, rn, atr20 from vw where {calm} and {move} > 0 and {move} >= {r.breakout!r} and {placed}")
     return f"vw0 as (select *, atr10/nullif(atr40, 0) as shrink, {', '.join(cols)} from features), vw as (select * from vw0 where rn > 220 and rvol20 >= 1.2 and atr20 > 0 and close_loc is not null), vcp as ({' union all '.join(picks)})"
 
 
