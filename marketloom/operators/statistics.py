@@ -130,11 +130,24 @@ def hash_sample(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     return rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.sha2(F.concat(F.lit(salt), F.col(key)), 256)).limit(n)
 
 
+def placed(rows: DataFrame, score: str, ties: tuple[str, ...], *by: str, descending: bool = False) -> DataFrame:
+    """rows with place, from 1 in order of score and ties within each group, and total, the group's rows; rows without a score are left out.
+
+    Running counts of the distinct scores, which are few, give where each score begins; only rows of equal score are numbered together,
+    so no task sorts a whole group. rows is read twice.
+    """
+    keys, w = [*by, score], Window.partitionBy(*by)
+    levels = rows.groupBy(*keys).agg(F.count("*").alias("_here"))
+    before = F.sum("_here").over(w.orderBy(F.desc(score) if descending else F.asc(score))) - F.col("_here")
+    levels = levels.select(*keys, before.alias("_before"), F.sum("_here").over(w).alias("total"))
+    x = rows.join(levels.hint("merge"), keys)
+    return x.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))).drop("_before")
+
+
 def top_fractions(rows: DataFrame, score: str, fractions: tuple[float, ...] = (0.05, 0.10, 0.20, 0.30), tie: tuple[str, ...] = ("ticker", "date", "direction")) -> DataFrame:
-    """Success rate and expectancy of the best scored shares, by direction."""
-    w = Window.partitionBy("direction")
-    x = rows.withColumns({"rank": F.row_number().over(w.orderBy(F.desc(score), *tie)), "total": F.count("*").over(w)}).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
-    x = x.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("total"))))
+    """Success rate and expectancy of the best scored shares, by direction. rows is read twice."""
+    x = placed(rows, score, tie, "direction", descending=True).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
+    x = x.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("fraction") * F.col("total"))))
     return x.groupBy("direction", "fraction").agg(F.count("*").alias("n"), F.avg(F.col("outcome").cast("double")).alias("success_rate"), (3 * F.avg(F.col("outcome").cast("double")) - 1).alias("expectancy"))
 
 
@@ -273,12 +286,12 @@ def portfolio_summary(daily: DataFrame) -> DataFrame:
 
 
 def score_metrics(rows: DataFrame, p: str, y: str, *by: str) -> DataFrame:
-    """Brier score, AUC from average ranks, and base rate."""
-    w = Window.partitionBy(*by)
-    rank = F.rank().over(w.orderBy(p)) + (F.count("*").over(Window.partitionBy(*by, p)) - 1) / 2.0
-    x = rows.withColumn("_r", rank)
-    n1, n0 = F.sum(F.col(y).cast("double")), F.sum(1.0 - F.col(y))
-    return x.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), ((F.sum(F.when(F.col(y) == 1, F.col("_r"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"), F.avg(F.col(y).cast("double")).alias("base_rate"))
+    """Brier score, AUC with ties counted half, and base rate, from counts by distinct score."""
+    levels = rows.groupBy(*by, p).agg(F.count("*").alias("_c"), F.sum(F.col(y).cast("double")).alias("_w"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_b"))
+    lost = F.col("_c") - F.col("_w")
+    below = F.sum(lost).over(Window.partitionBy(*by).orderBy(p)) - lost
+    n, wins = F.sum("_c"), F.sum("_w")
+    return levels.withColumn("_pairs", F.col("_w") * (below + lost / 2)).groupBy(*by).agg((F.sum("_b") / n).alias("brier"), (F.sum("_pairs") / F.nullif(wins * (n - wins), F.lit(0.0))).alias("auc"), (wins / n).alias("base_rate"))
 
 
 def information_coefficient(rows: DataFrame, score: str, value: str, min_names: int = 20) -> DataFrame:

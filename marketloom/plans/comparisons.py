@@ -10,6 +10,7 @@ from marketloom.plans import sql as S
 from marketloom.plans.daily import MIN_DOLLAR_VOLUME, features, historical, panel, rounded
 from marketloom.plans.studies import _BINS, _DENSE, _FILLED, _FIXED, _LAB, _PAN, _SIG, _parts, labelled, portfolios
 from marketloom.sources import fixtures
+from marketloom.sources.delimited import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,8 +104,7 @@ register("smp_02_cascade", cascade, S.with_(S.BARS, "a0 as (select distinct tick
 
 def calibration(s: SparkSession, d: str, bins: int = 10) -> DataFrame:
     """Mean score and observed rate by quantile bin of the score's rank, by direction."""
-    w = Window.partitionBy("direction")
-    x = labelled(s, d).withColumns({"p": F.col("setup_score") / 100, "place": F.row_number().over(w.orderBy("setup_score", "ticker", "date")), "n": F.count("*").over(w)})
+    x = A.placed(staged(labelled(s, d), "labelled"), "setup_score", ("ticker", "date"), "direction").withColumns({"p": F.col("setup_score") / 100, "n": F.col("total")})
     x = x.withColumn("bin", F.greatest(F.ceil((F.col("place") - 1) * bins / F.nullif(F.col("n") - 1, F.lit(0))) - 1, F.lit(0)).cast("int"))
     return x.groupBy("direction", "bin").agg(F.count("*").alias("rows"), F.avg("p").alias("mean_p"), F.avg(F.col("outcome").cast("double")).alias("observed"))
 

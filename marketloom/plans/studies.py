@@ -13,6 +13,7 @@ from marketloom.plans import sql as S
 from marketloom.plans.daily import DIGITS, historical, panel, rounded
 from marketloom.sources import fixtures
 from marketloom.sources import universe as U
+from marketloom.sources.delimited import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,7 +140,7 @@ register(
     S.with_(*_LAB, _BINOM, "rk as (select *, row_number() over (order by p_value, direction, setup, n, wins) as k, count(*) over () as m from pv)") + "select direction, setup, floor(max(least(1.0, (m-k+1)*p_value)) over (order by k rows unbounded preceding)*1e6+0.5)/1e6 as holm_p from rk",
 )
 register(
-    "top_05_fractions", lambda s, d: A.top_fractions(labelled(s, d), "setup_score"),
+    "top_05_fractions", lambda s, d: A.top_fractions(staged(labelled(s, d), "labelled"), "setup_score"),
     S.with_(*_LAB, "rk as (select *, row_number() over (partition by direction order by setup_score desc, ticker, date, direction) as r, count(*) over (partition by direction) as m from lab)")
     + "select direction, fraction, count(*) as n, floor(avg(outcome)*1e6+0.5)/1e6 as success_rate, floor((3*avg(outcome)-1)*1e6+0.5)/1e6 as expectancy from rk, (values (0.05::double), (0.10::double), (0.20::double), (0.30::double)) f(fraction) where r <= greatest(1, floor(fraction*m)) group by 1, 2",
 )
