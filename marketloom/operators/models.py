@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import finite, half_up
 from marketloom.operators import statistics as A
+from marketloom.sources.delimited import shared_folder
 
 # Feature lists of the models.
 FIRST = ("setup_score", "rvol20", "vol_accel", "base_days", "breakout_atr", "atr_compression", "trend20", "trend50", "trend200", "rs_spy_20", "tr_atr20", "close_loc", "regime_num")
@@ -83,8 +84,12 @@ def fit_logistic(rows: DataFrame, label: str, numeric: tuple[str, ...], categori
 
 
 def fit_boosting(rows: DataFrame, label: str, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = 250, least: int = 40) -> PipelineModel:
-    """Balanced boosted trees of depth 4 at a rate of 0.05 with at least so many rows a leaf; features are binned as histograms."""
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=least, maxBins=64, seed=42, checkpointInterval=-1)
+    """Balanced boosted trees of depth 4 at a rate of 0.05 with at least so many rows a leaf; features are binned as histograms.
+
+    Residuals are checkpointed every ten trees in the shared folder, which cuts their growing lineage.
+    """
+    rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=least, maxBins=64, seed=42, checkpointInterval=10)
     return Pipeline(stages=[*_assembled(numeric, categorical, False), model]).fit(balanced(rows, label))
 
 

@@ -14,18 +14,20 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, .
     return rows.na.drop(subset=list(required)) if required else rows
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder named in spark.checkpoint.dir and reads it back, so that repeated passes neither compute it again nor depend on single executors.
-
-    A session on one machine that names none gets a temporary folder; on a cluster one must be named.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. A session on one machine that names none gets a temporary one; on a cluster one must be named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that repeated passes neither compute it again nor depend on single executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
