@@ -9,6 +9,8 @@ fingerprints is the share of equal signatures among those that are not empty in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ RATES, REPEATS = 8, 3
 #: Terms that are broadcast at most; a larger lexicon is joined by a shuffle. A document of t distinct
 #: terms on average gives at most t / LOWEST_SHARE terms, whatever the number of documents.
 BROADCAST_TERMS = 300_000
-#: Rows of a bucket of neighbouring ids, and buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Rows of a bucket of neighbouring ids; buckets at most, beyond which they hold more rows; rows without an id have 2**(1 + NULL_BITS) buckets.
+BUCKET_ROWS, MOST_BUCKETS, NULL_BITS = 1000, 65_536, 8
 
 
 def terms(text: Column) -> Column:
@@ -63,37 +65,43 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(x.startswith("text:") | y.startswith("text:"), (x == y).cast("double")).otherwise(share)
 
 
+def _numbers(values: list[int], kind: str) -> Column:
+    """A constant array, folded once by the optimizer whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """docs with `bucket`, ascending with doc_id, and a copy (sentinel) of each bucket's first row at the end of the bucket above.
+    """docs(doc_id, text, _tie) with `bucket`, ascending with doc_id, and a copy (sentinel) of each bucket's first row at the end of the bucket above.
 
-    Only quantiles and the highest id of each bucket, MOST_BUCKETS at most, pass through the driver.
+    Buckets are the ranges into which Spark's range partitioning deals the ids; rows without doc_id, which come last, are
+    dealt by their tie. Only the highest id of each bucket, MOST_BUCKETS at most, passes through the driver.
     """
-    buckets = min(MOST_BUCKETS, max(1, docs.count() // BUCKET_ROWS))
-    side = max(1, round(buckets**0.5))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / (side * side) for i in range(1, side * side)] or [0.5], 10 * side * side).alias("q")).first().q or []
-    cuts = sorted(set(cuts)) if side > 1 else []
-    coarse, fine = cuts[side - 1 :: side], [cuts[i : i + side] for i in range(0, len(cuts), side)]
+    ids = docs.where("doc_id is not null").select("doc_id")
+    buckets = min(MOST_BUCKETS, max(1, ids.count() // BUCKET_ROWS))
+    ranges = ids.repartitionByRange(buckets, "doc_id").groupBy(F.spark_partition_id().alias("part"))
+    tops = sorted(r.top for r in ranges.agg(F.max("doc_id").alias("top")).collect())
+    cuts = tops[:-1]
+    side = max(1, math.isqrt(len(cuts)))
     below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col("doc_id")))
-    if cuts:
-        longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values)) if values else F.array().cast("array<long>")
-        docs = docs.withColumn("_i", below(longs(coarse)))
-        rows = F.array(*(longs(f) for f in [*fine, []]))
-        bucket = F.col("_i") * side + below(F.get(rows, F.col("_i")))
-    else:
-        docs, bucket = docs.withColumn("_i", F.lit(0)), F.lit(0)
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket)).drop("_i")
-    tops = sorted((r.bucket, r.top) for r in docs.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    if not tops:
-        return docs.withColumn("sentinel", F.lit(False))
-    above = {b: tops[(i + 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}
-    lookup = F.col("bucket") + 1
-    size = tops[-1][0] + 2
-    by = {b: t for b, t in tops}
-    top = F.get(F.array(*(F.lit(by.get(b - 1)).cast("long") for b in range(size))), lookup)
-    up = F.get(F.array(*(F.lit(above.get(b - 1)).cast("int") for b in range(size))), lookup)
-    copies = F.when(F.col("doc_id").eqNullSafe(top), F.array(F.struct(F.col("bucket"), F.lit(False).alias("sentinel")), F.struct(up.alias("bucket"), F.lit(True).alias("sentinel"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("sentinel"))))
-    return docs.select(*[c for c in docs.columns if c != "bucket"], F.explode(copies).alias("_c")).select("*", "_c.bucket", "_c.sentinel").drop("_c")
+    # the place among every side-th cut first, then among the cuts from there to the next of them
+    coarse = below(_numbers(cuts[side - 1 :: side], "long"))
+    fine = F.array(*(_numbers(cuts[i : i + side], "long") for i in range(0, len(cuts) + 1, side)))
+    docs = docs.withColumn("_i", coarse)
+    bucket = F.col("_i") * side + below(F.get(fine, F.col("_i")))
+    # ~tie falls as the tie rises, so that `_place` falls in the order of the documents throughout
+    slices = F.shiftright("_tie", 63 - NULL_BITS).cast("int") + (1 << NULL_BITS)
+    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1 - slices).otherwise(bucket)).withColumn("_place", F.coalesce("doc_id", F.bitwise_not("_tie"))).drop("_i")
+    known = {r.bucket: r.top for r in docs.where("doc_id is null").groupBy("bucket").agg(F.max("_place").alias("top")).collect()} | dict(enumerate(tops))
+    if not known:
+        return docs.drop("_place").withColumn("sentinel", F.lit(False))
+    order = sorted(known)
+    above = dict(zip(order, [*order[1:], order[0]], strict=True))
+    numbers = range(order[0], order[-1] + 1)
+    at = F.col("bucket") - order[0]
+    top, up = F.get(_numbers([known.get(b, 0) for b in numbers], "long"), at), F.get(_numbers([above.get(b, 0) for b in numbers], "int"), at)
+    own, copy = F.struct(F.col("bucket"), F.lit(False).alias("sentinel")), F.struct(up.alias("bucket"), F.lit(True).alias("sentinel"))
+    copies = F.when(F.col("_place") == top, F.array(own, copy)).otherwise(F.array(own))
+    return docs.select(*[c for c in docs.columns if c not in ("bucket", "_place")], F.explode(copies).alias("_c")).select("*", "_c.bucket", "_c.sentinel").drop("_c")
 
 
 def fingerprints(docs: DataFrame, low: float = LOWEST_SHARE, high: float = HIGHEST_SHARE) -> DataFrame:

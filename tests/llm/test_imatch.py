@@ -63,3 +63,16 @@ def test_edge_cases(spark):
     assert imatch.fingerprints(df.where("doc_id = 2")).first().near_next == 1
     more = spark.createDataFrame([(None, "q"), (None, "r"), (1, "same"), (1, "same"), (1, None)], "doc_id long, text string")
     assert imatch.fingerprints(more).count() == 5
+
+
+def test_rows_without_id_come_last_in_the_order_of_their_hash(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 9)
+    rows = [(i if i % 3 else None, f"text {i % 70} " * (1 + i % 5)) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = df.orderBy(imatch.F.col("doc_id").desc_nulls_last(), imatch.F.xxhash64("text")).collect()
+    want = []
+    for i, r in enumerate(order):
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + order[(i + 1) % len(order)].text[:half]
+        want.append((r.doc_id, hashlib.sha256(edited.encode()).hexdigest()))
+    assert Counter(want) == Counter((r.doc_id, r.edited_sha256) for r in imatch.fingerprints(df).collect())
