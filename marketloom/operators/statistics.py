@@ -301,3 +301,16 @@ def information_coefficient(rows: DataFrame, score: str, value: str, min_names:
     x = rows.where(F.col(score).isNotNull() & F.col(value).isNotNull())
     x = x.withColumns({"_a": average_rank(score, "date"), "_b": average_rank(value, "date")})
     return x.groupBy("date").agg(F.count("*").alias("names"), F.corr("_a", "_b").alias("ic")).where(F.col("names") >= min_names)
+
+
+def score_coefficients(rows: DataFrame, scores: tuple[str, ...], value: str, min_names: int = 20) -> DataFrame:
+    """Daily Spearman correlation of each score with value, over rows that have all of them: date, names, ranking, ic.
+
+    Dates with fewer names are left out. A score or value that is the same for all names of a date has no correlation: null.
+    """
+    from marketloom.operators.indicators import average_rank
+
+    x = rows.dropna(subset=[value, *scores]).select("date", value, *scores)
+    x = x.withColumns({f"_{c}": average_rank(c, "date") for c in (value, *scores)})
+    x = x.groupBy("date").agg(F.count("*").alias("names"), *(F.corr(f"_{c}", f"_{value}").alias(c) for c in scores)).where(F.col("names") >= min_names)
+    return x.unpivot(["date", "names"], list(scores), "ranking", "ic")

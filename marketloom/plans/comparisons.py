@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators import indicators
 from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
 from marketloom.plans.daily import MIN_DOLLAR_VOLUME, features, historical, panel, rounded
@@ -55,22 +58,57 @@ register(
 )
 
 
-def slices(s: SparkSession, d: str) -> DataFrame:
-    """Mean forward results of the K strongest names of each date, pooled over dates."""
-    x = panel(s, d).where("rn > 220 and raw_mom20 is not null and fwd_ret_5 is not null")
-    x = x.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("raw_mom20"), "ticker"))).withColumn("top_k", F.explode(F.array(*map(F.lit, (10, 20, 40, 80)))))
-    return x.where("place <= top_k").groupBy("top_k").agg(F.count("*").alias("n"), F.avg("fwd_ret_5").alias("mean_return"), F.avg("fwd_excess_5").alias("mean_excess"), F.avg((F.col("fwd_ret_5") > 0).cast("double")).alias("hit_rate"))
+TOP_K, AHEADS = (10, 20, 40, 80), (1, 3, 5, 10)
+_FORWARD = [f"fwd_{kind}_{h}" for kind in ("ret", "excess") for h in AHEADS]
+
+
+def picks(s: SparkSession, d: str, *by: str) -> DataFrame:
+    """Results of the K names with the strongest momentum of each date, and of the weakest for shorts, by direction, K, horizon and `by`."""
+    rows = indicators.quintile_labels(panel(s, d).where("rn > 220"))
+    rows = rows.where(" and ".join(f"{c} is not null" for c in ("raw_mom20", *_FORWARD))).select("ticker", "date", "raw_mom20", "top_quintile", "bottom_quintile", *_FORWARD)
+    sides = F.array(*(F.struct(F.lit(name).alias("direction"), F.lit(sign).alias("sign")) for name, sign in (("Long", 1.0), ("Short", -1.0))))
+    x = rows.withColumn("_s", F.explode(sides)).select("*", "_s.*").drop("_s")
+    place = F.row_number().over(Window.partitionBy("date", "direction").orderBy(F.desc(F.col("sign") * F.col("raw_mom20")), "ticker"))
+    x = x.withColumn("place", place).where(F.col("place") <= max(TOP_K)).withColumn("top_k", F.explode(F.filter(F.array(*map(F.lit, TOP_K)), lambda k: k >= F.col("place"))))
+    cells = F.array(*(F.struct(F.lit(h).alias("horizon"), (F.col("sign") * F.col(f"fwd_ret_{h}")).alias("r"), (F.col("sign") * F.col(f"fwd_excess_{h}")).alias("x")) for h in AHEADS))
+    x = x.withColumn("label", F.when(F.col("sign") > 0, F.col("top_quintile")).otherwise(F.col("bottom_quintile"))).withColumn("_c", F.explode(cells)).select("date", "direction", "top_k", "label", "_c.*")
+    share = lambda c: F.avg(c.cast("double"))
+    return x.groupBy(*by, "direction", "top_k", "horizon").agg(F.count("*").alias("n"), F.avg("r").alias("mean_return"), F.avg("x").alias("mean_excess"), share(F.col("r") > 0).alias("hit_rate"), share(F.col("label")).alias("quintile_rate"))
+
+
+_AVERAGE_RANK = "rank() over (partition by date order by {0} nulls last) + (count(*) over (partition by date, {0}) - 1)/2.0"
+_ahead = lambda kind: "sg*case horizon " + " ".join(f"when {h} then fwd_{kind}_{h}" for h in AHEADS) + " end"
+_PICKS = (
+    *_PAN,
+    f"pq as (select *, case when fwd_excess_5 is not null then ({_AVERAGE_RANK.format('fwd_excess_5')})/count(fwd_excess_5) over (partition by date) end as pct_rank from panel where rn > 220)",
+    "pk as (select p.*, direction, sg, case when sg = 1 then cast(pct_rank >= 0.8 as int) else cast(pct_rank <= 0.2 as int) end as label, row_number() over (partition by date, direction order by sg*raw_mom20 desc, ticker) as place "
+    f"from pq p, (values ('Long', 1), ('Short', -1)) s(direction, sg) where {' and '.join(f'{c} is not null' for c in ('raw_mom20', *_FORWARD))})",
+    f"cells as (select date, direction, top_k, horizon, label, {_ahead('ret')} as r, {_ahead('excess')} as x from pk, (values {', '.join(f'({k})' for k in TOP_K)}) k(top_k), (values {', '.join(f'({h})' for h in AHEADS)}) h(horizon) where place <= top_k)",
+)
+for _name, _by in {"agg_20_rank_slices": (), "agg_21_daily_top_k": ("date",)}.items():
+    _keys = ", ".join((*_by, "direction", "top_k", "horizon"))
+    register(
+        _name, lambda s, d, by=_by: picks(s, d, *by),
+        S.with_(*_PICKS) + f"select {_keys}, count(*) as n, {r6('avg(r)', 'mean_return')}, {r6('avg(x)', 'mean_excess')}, {r6('avg(case when r > 0 then 1.0 else 0.0 end)', 'hit_rate')}, {r6('avg(label)', 'quintile_rate')} from cells group by {_keys}",
+    )
+#: Momentum in units of the average range, and the plain one.
+MOMENTUM = ("atr_mom20", "atr_mom60", "raw_mom20")
 
 
+def momentum(rows: DataFrame) -> DataFrame:
+    """Adds atr_mom20 and atr_mom60, excess over so many sessions by the range expected over them, and raw_mom20, the plain excess."""
+    scaled = {f"atr_mom{n}": F.col(f"excess_{n}") / F.nullif(F.col("atr20_pct") * math.sqrt(n), F.lit(0.0)) for n in (20, 60)}
+    return rows.withColumns({**scaled, "raw_mom20": F.col("excess_20")})
+
+
+_RANKS = ("target_risk_adj5", *MOMENTUM)
 register(
-    "agg_20_rank_slices", slices,
-    S.with_(*_PAN, "rk as (select *, row_number() over (partition by date order by raw_mom20 desc, ticker) as place from panel where rn > 220 and raw_mom20 is not null and fwd_ret_5 is not null)")
-    + f"select top_k, count(*) as n, {r6('avg(fwd_ret_5)', 'mean_return')}, {r6('avg(fwd_excess_5)', 'mean_excess')}, {r6('avg(case when fwd_ret_5 > 0 then 1.0 else 0.0 end)', 'hit_rate')} from rk, (values (10), (20), (40), (80)) k(top_k) where place <= top_k group by 1",
-)
-register(
-    "agg_21_daily_top_k",
-    lambda s, d: panel(s, d).where("rn > 220 and raw_mom20 is not null and fwd_ret_5 is not null").withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("raw_mom20"), "ticker"))).where("place <= 10").groupBy("date").agg(F.count("*").alias("n"), F.avg("fwd_ret_5").alias("mean_return"), F.avg("fwd_excess_5").alias("mean_excess")),
-    S.with_(*_PAN, "rk as (select *, row_number() over (partition by date order by raw_mom20 desc, ticker) as place from panel where rn > 220 and raw_mom20 is not null and fwd_ret_5 is not null)") + f"select date, count(*) as n, {r6('avg(fwd_ret_5)', 'mean_return')}, {r6('avg(fwd_excess_5)', 'mean_excess')} from rk where place <= 10 group by 1",
+    "agg_22_momentum_coefficients", lambda s, d: A.score_coefficients(momentum(panel(s, d).where("rn > 220")), MOMENTUM, "target_risk_adj5"),
+    S.with_(
+        *_PAN, f"mo as (select *, {', '.join(f'excess_{n}/nullif(atr20_pct*{math.sqrt(n)!r}, 0) as atr_mom{n}' for n in (20, 60))} from panel where rn > 220)",
+        f"ok as (select date, {', '.join(_RANKS)} from mo where {' and '.join(f'{c} is not null' for c in _RANKS)})", f"rk as (select date, {', '.join(f'{_AVERAGE_RANK.format(c)} as r_{c}' for c in _RANKS)} from ok)",
+    )
+    + " union all ".join(f"select date, count(*) as names, '{c}' as ranking, {r6(f'corr(r_{c}, r_target_risk_adj5)', 'ic')} from rk group by date having count(*) >= 20" for c in MOMENTUM),
 )
 register(
     "flt_07_liquidity_gate", lambda s, d: features(s, d).withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where(f"k = 1 and close >= 5 and dv20 >= {MIN_DOLLAR_VOLUME}").select("ticker", "date", "close", "dv20"),

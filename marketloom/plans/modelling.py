@@ -9,6 +9,7 @@ from marketloom.operators import indicators
 from marketloom.operators import models as L
 from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
+from marketloom.plans.comparisons import MOMENTUM, momentum
 from marketloom.plans.daily import MIN_DOLLAR_VOLUME, panel, rounded
 from marketloom.plans.studies import _LAB, labelled
 from marketloom.sources.delimited import staged
@@ -136,3 +137,14 @@ register("mod_09_ranking_model", rankings)
 register("mod_10_ridge", ridge)
 register("mod_13_model_against_momentum", intervals)
 register("mod_15_chosen_ranking", choice)
+
+
+def model_coefficients(s: SparkSession, d: str) -> DataFrame:
+    """Daily information coefficients of the ridge model's score beside the momentum scores, after training."""
+    rows = momentum(eligible(s, d)).where(" and ".join(f"{c} is not null" for c in MOMENTUM))
+    model = L.fit_ridge(rows.where("partition = 'Train'"), "target_risk_adj5")
+    later = model.transform(rows.where("partition != 'Train'")).withColumn("model_score", F.col("prediction"))
+    return A.score_coefficients(later, ("model_score", *MOMENTUM), "target_risk_adj5")
+
+
+register("agg_22_model_coefficients", model_coefficients)

@@ -60,7 +60,7 @@ register(
     "joi_04_forward_bars", lambda s, d: O.forward_bars(historical(s, d).select("ticker", "date", "direction", "rn"), fixtures.bars(s, d), 3).select("ticker", "date", "direction", "k", "b_open", "b_close"),
     S.with_(*_SIG, _TOUCH.strip().removesuffix(",")) + "select ticker, date, direction, cast(k as int) as k, floor(bo*1e6+0.5)/1e6 as b_open, floor(bc*1e6+0.5)/1e6 as b_close from fw where k <= 3",
 )
-_GRID_T, _GRID_H = (1.0, 1.5, 2.0, 2.5, 3.0), (3, 5, 10)
+_GRID_T, _GRID_H = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), (3, 5, 10)
 _GRID = f"""{_TOUCH}
 fk as (select ticker, date, direction, setup, min(k) filter (where case when direction = 'Long' then bl <= stop else bh >= stop end) as stop_k, {", ".join(f"min(k) filter (where case when direction = 'Long' then bh >= entry+{t}*risk else bl <= entry-{t}*risk end) as t{i}" for i, t in enumerate(_GRID_T))} from fw group by 1, 2, 3, 4),
 grid_out as ({" union all ".join(f"select ticker, date, direction, setup, cast({t} as double) as target_r, {h} as horizon, cast(coalesce(t{i} <= {h} and (stop_k is null or t{i} < stop_k), false) as int) as outcome from fk" for i, t in enumerate(_GRID_T) for h in _GRID_H)})"""
@@ -76,10 +76,12 @@ ex2 as (select *, min(case when ht or hs then k end) over (partition by ticker,
 exc as (select ticker, date, direction, max(sg*(case when sg = 1 then bh else bl end - entry)/risk) as mfe_r, min(sg*(case when sg = 1 then bl else bh end - entry)/risk) as mae_r, coalesce(min(xk), max(k)) as exit_k,
   coalesce(max(case when k = xk then case when ht and hs then 'both' when hs then 'stop' else 'target' end end), 'timeout') as exit_reason from ex2 where xk is null or k <= xk group by 1, 2, 3)"""
 excursions = lambda s, d: O.excursions(historical(s, d), fixtures.bars(s, d))
+_QUANTILES = (("mfe_r", 0.5, "mfe_median"), ("mfe_r", 0.75, "mfe_p75"), ("mfe_r", 0.9, "mfe_p90"), ("mae_r", 0.5, "mae_median"), ("mae_r", 0.75, "mae_p75"))
 register("out_05_excursions", excursions, S.with_(*_SIG, _EXC) + "select " + rounding("ticker date direction exit_k exit_reason", "mfe_r mae_r") + " from exc")
 register(
-    "agg_11_excursion_summary", lambda s, d: excursions(s, d).groupBy("direction").agg(F.count("*").alias("n"), F.expr("percentile(mfe_r, 0.5)").alias("mfe_median"), F.expr("percentile(mfe_r, 0.9)").alias("mfe_p90"), F.expr("percentile(mae_r, 0.5)").alias("mae_median")),
-    S.with_(*_SIG, _EXC) + "select direction, count(*) as n, floor(quantile_cont(mfe_r, 0.5)*1e6+0.5)/1e6 as mfe_median, floor(quantile_cont(mfe_r, 0.9)*1e6+0.5)/1e6 as mfe_p90, floor(quantile_cont(mae_r, 0.5)*1e6+0.5)/1e6 as mae_median from exc group by 1",
+    "agg_11_excursion_summary", lambda s, d: excursions(s, d).groupBy("direction").agg(F.count("*").alias("n"), *(F.expr(f"percentile({c}, {q})").alias(name) for c, q, name in _QUANTILES), F.avg("mfe_r").alias("mfe_mean"), F.avg("mae_r").alias("mae_mean"), F.avg((F.col("exit_reason") == "target").cast("double")).alias("target_rate")),
+    S.with_(*_SIG, _EXC) + "select direction, count(*) as n, " + "".join(f"floor(quantile_cont({c}, {q})*1e6+0.5)/1e6 as {name}, " for c, q, name in _QUANTILES)
+    + "floor(avg(mfe_r)*1e6+0.5)/1e6 as mfe_mean, floor(avg(mae_r)*1e6+0.5)/1e6 as mae_mean, floor(avg(case when exit_reason = 'target' then 1.0 else 0.0 end)*1e6+0.5)/1e6 as target_rate from exc group by 1",
 )
 
 _LAB = (*_SIG, _labels(False))
