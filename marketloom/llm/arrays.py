@@ -35,7 +35,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 4096)
+            size = max(n + n // 4, SLICE_BYTES + 4096)
             up, down = np.full(size, U64(self.base)), np.full(size, U64(self.inverse))
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
@@ -69,9 +69,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
     pa.default_memory_pool().release_unused()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end). codes: a number for each byte."""
     up, down = POWERS.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODES[data] * up[: len(data)], dtype=U64, out=total[1:])
+    np.cumsum(codes[data] * up[: len(data)], dtype=U64, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))

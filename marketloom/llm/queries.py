@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import html_text, imatch, kdtree, language_id, ngram_join, packing, pieces, pii, repeats, toxicity
+from marketloom.llm import alignment, codes, fmindex, html_text, imatch, kdtree, language_id, ngram_join, oracles, packing, pieces, pii, repeats, toxicity
 
 
 #: Key of the registered query's pseudonyms; users give their own secret.
@@ -73,5 +73,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op5_html_text": op5_html_text, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every usable vector, with their errors and the digest of the codebooks."""
+    return codes.code_errors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of ten benchmark words cover."""
+    return fmindex.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by two vocabularies, and how common the linked pairs are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, _ = alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_exact_top_k": op3_exact_top_k, "op4_fingerprints": op4_fingerprints, "op5_html_text": op5_html_text, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing, "op11_vector_codes": op11_vector_codes, "op12_decontamination": op12_decontamination, "op13_alignment": op13_alignment}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": oracles.product_codes(), "op12_decontamination": oracles.DECONTAMINATION}
