@@ -35,13 +35,13 @@ from marketloom.llm.arrays import slices, span_hashes
 from marketloom.llm.storage import written
 
 #: Bytes of whole texts (or one longer text) whose records are sorted together.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Radix partitions, by the low bits of the B id; runs that are merged at once; pairs that a run gives to the merge at once.
 RADIX, FAN, BLOCK = 256, 64, 1024
 #: Bytes of merged counts that tasks get at once; more are streamed back in several passes.
 COUNT_BYTES = 64 << 20
-#: Units that a worker remembers, some 150 MB.
-CACHED_UNITS = 800_000
+#: Units that a worker remembers, some 80 MB.
+CACHED_UNITS = 400_000
 #: Bytes of units that are tokenised in one call.
 CALL_BYTES = 1 << 14
 _A_BITS, _B_BITS = 24, 24
