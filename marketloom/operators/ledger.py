@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.signals import ranked, reparsed_quality
+from marketloom.sources import versions
+from marketloom.sources.staging import staged
 
 KEY = ["date", "ticker", "direction"]
 
@@ -61,8 +65,15 @@ def refresh_set(outcomes: DataFrame, snapshot: DataFrame) -> DataFrame:
     return outcomes.where("status != 'complete'").select("ticker").union(snapshot.select("ticker")).distinct()
 
 
-def write_version(ledger: DataFrame, folder: str, version: int) -> str:
-    """Writes a new version beside the old ones; what is being read is never overwritten."""
-    path = f"{folder}/v={version:08d}"
-    ledger.write.parquet(path)
-    return path
+def run(spark: SparkSession, folder: str, snapshot: DataFrame, outcomes: Callable[[DataFrame], DataFrame]) -> int:
+    """One run of the ledger: inserts the snapshot, updates the outcomes, and publishes both and the tracking status as the next version.
+
+    outcomes gives the present outcomes of a ledger's signals. The version that is read is never overwritten; a run that breaks off leaves it current,
+    and of two runs at once one raises FileExistsError.
+    """
+    last = versions.current(spark, folder)
+    before, done = (versions.table(spark, folder, name, last) for name in ("ledger", "outcomes"))
+    now = staged(insert(before, snapshot), "ledger")
+    fresh = outcomes(now)
+    state = staged(fresh if done is None else mature(done, fresh), "outcomes")
+    return versions.commit(spark, folder, {"ledger": now, "outcomes": state, "tracking": tracking_status(state)}, last)

@@ -1,11 +1,15 @@
-"""CSV sources with a declared schema, and tables staged in the shared folder."""
+"""Delimited text: CSV tables with a declared schema, and what in them can't be read."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.sources.staging import shared_folder, staged
+
+__all__ = ["read_csv", "read_with_rejects", "shared_folder", "staged"]
+
+_CORRUPT = "_corrupt"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -14,20 +18,20 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, .
     return rows.na.drop(subset=list(required)) if required else rows
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. A session on one machine that names none gets a temporary one; on a cluster one must be named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that repeated passes neither compute it again nor depend on single executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read_with_rejects(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """Rows of delimited files with a header, and the records that are none: (rows, rejects).
+
+    A record is rejected if a cell can't be read as its column's type, if it has too few or too many cells, or if a required column is
+    empty; rejects have record, reason (`malformed`, or `missing` and the columns) and file. Text is never turned into null silently, and
+    every record of the files is in one of the two. The header must have the schema's names in its order, else reading raises an error.
+    """
+    read = spark.read.schema(f"{schema}, {_CORRUPT} string").option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    # parsed once, with all columns: what is malformed must not depend on the columns that are used later
+    rows = staged(read.option("columnPruning", False).options(**options).csv(path).withColumn("_file", F.col("_metadata.file_name")), "parsed")
+    names = [c for c in rows.columns if c not in (_CORRUPT, "_file")]
+    absent = F.array_compact(F.array(*(F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), c) for c in required))) if required else F.array().cast("array<string>")
+    reason = F.when(F.col(_CORRUPT).isNotNull(), "malformed").when(F.size(absent) > 0, F.concat(F.lit("missing "), F.array_join(absent, ", ")))
+    marked = rows.withColumn("_reason", reason)
+    record = F.coalesce(F.col(_CORRUPT), F.to_csv(F.struct(*names), {k: v for k, v in options.items() if k == "sep"}))
+    good = marked.where("_reason is null").select(*names)
+    return good, marked.where("_reason is not null").select(record.alias("record"), F.col("_reason").alias("reason"), F.col("_file").alias("file"))

@@ -1,8 +1,9 @@
-"""Sinks: partitioned Parquet, small CSV tables, one-row JSON status, and builds that resume."""
+"""Sinks: Parquet partitioned by month or columns, small CSV tables, one-row JSON records. Builds that resume are in builds, versions in versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, *by: str, mode: str = "errorifexists") -> None:
@@ -20,14 +21,23 @@ def write_status(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Writes the rows whose key is not yet in the table at path, partitioned by key, and returns the whole table.
+def write_by_month(df: DataFrame, path: str, date: str = "date", mode: str = "errorifexists") -> None:
+    """Parquet partitioned by the month of `date`; rows without a date are in a partition of their own.
 
-    A build that was broken off goes on where it stood: partitions that exist are not computed again.
+    Rows are brought together by month before the write, so that a month is few files; months that hold many rows are split by size.
     """
-    spark: SparkSession = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = df.join(spark.read.schema(df.schema).parquet(path).select(key).distinct(), key, "left_anti") if there else df
-    fresh.write.mode("append").partitionBy(key).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    month = F.date_format(date, "yyyy-MM")
+    df.withColumn("month", month).hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str, schema, first: str | None = None, last: str | None = None, date: str = "date") -> DataFrame:
+    """Rows of write_by_month() from date `first` to `last`, both included (None: no limit, and then rows without a date too), by a declared schema.
+
+    Only the months between are listed and read, and only the columns used.
+    """
+    rows = spark.read.schema(f"{schema}, month string").parquet(path)
+    for limit, op in ((first, "ge"), (last, "le")):
+        if limit is not None:
+            bound = getattr(F.col("month"), f"__{op}__")(limit[:7])
+            rows = rows.where(bound & getattr(F.col(date), f"__{op}__")(F.lit(limit).cast("date")))
+    return rows.drop("month")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import finite
+from marketloom.sources.delimited import read_with_rejects
 
 # Words of names that are no common equity, and of those that are.
 EXCLUDED = r"\b(PREFERRED|WARRANTS?|RIGHTS?|UNITS?|NOTES?|BONDS?|DEBENTURES?|ETF|EXCHANGE TRADED FUND|FUND)\b"
@@ -23,6 +24,13 @@ def read_directory(spark: SparkSession, path: str, columns: tuple[str, ...] = DI
     return df.where(~F.coalesce(F.col(df.columns[0]), F.lit("")).startswith("File Creation"))
 
 
+def read_directory_with_rejects(spark: SparkSession, path: str, columns: tuple[str, ...] = DIRECTORY_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """The directory's rows, and its records with too few or too many cells or without a symbol; the trailer is neither. See read_with_rejects()."""
+    rows, rejects = read_with_rejects(spark, path, ", ".join(f"`{c}` string" for c in columns), (columns[0],), sep="|")
+    trailer = lambda c: F.coalesce(F.col(c), F.lit("")).startswith("File Creation")
+    return rows.where(~trailer(f"`{columns[0]}`")), rejects.where(~trailer("record"))
+
+
 def common_equity(name: str):
     text = F.upper(F.trim(F.coalesce(F.col(name), F.lit(""))))
     return ~text.rlike(EXCLUDED) & text.rlike(COMMON)

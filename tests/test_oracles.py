@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from marketloom.plans import registry
+from marketloom.sources.staging import clear_staged
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -31,4 +32,5 @@ def test_same_rows(spark, sf_small, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=str)
+    clear_staged(spark)
     assert got == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=str)

@@ -1,14 +1,6 @@
 from marketloom.sources import sinks, universe
 
 
-def test_build_resumes(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "ticker string, v int")
-    path = str(tmp_path / "t")
-    assert sinks.append_missing(rows.where("ticker = 'a'"), path, "ticker").count() == 1
-    assert sorted((r.ticker, r.v) for r in sinks.append_missing(rows, path, "ticker").collect()) == [("a", 1), ("b", 2)]
-    assert sinks.append_missing(rows, path, "ticker").count() == 2
-
-
 def test_tables_and_directory(spark, tmp_path):
     sinks.write_csv_table(spark.range(3), str(tmp_path / "c"))
     sinks.write_status(spark.range(3).selectExpr("count(*) as n"), str(tmp_path / "j"))
