@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import holds
 from marketloom.operators import statistics as A
-from marketloom.operators.outcomes import forward_bars
+from marketloom.operators.outcomes import ahead_of, forward_bars
 
 # Targets in units of risk, horizons in sessions, and edges of right-closed bins, open at both ends.
 TARGETS = (0.50, 0.75, 1.00, 1.25, 1.50, 2.00)
@@ -53,12 +53,12 @@ CANDIDATES = (
 KEYS = ("ticker", "date", "direction", "setup")
 
 
-def touches(signals: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS, targets: tuple[float, ...] = TARGETS, sessions: int = max(SESSIONS)) -> DataFrame:
+def touches(signals: DataFrame, bars: DataFrame | None, keys: tuple[str, ...] = KEYS, targets: tuple[float, ...] = TARGETS, sessions: int = max(SESSIONS)) -> DataFrame:
     """Of signals(keys, rn, risk), entered at the next open: keys, stop_k and t0, t1, ... - the first bar that touches the stop one risk away, and each target.
 
     Null where a level is not touched within `sessions` bars. Signals without a next bar or a positive risk are left out.
     """
-    rows = forward_bars(signals.where("risk > 0").select(*keys, "rn", "risk"), bars, sessions)
+    rows = forward_bars(signals.where("risk > 0").select(*keys, "rn", "risk", *ahead_of(signals)), bars, sessions)
     entry = F.first(F.when(F.col("k") == 1, F.col("b_open")), True).over(Window.partitionBy(*keys))
     rows = rows.withColumn("e", entry).where("e is not null")
     long = F.col("direction") == "Long"

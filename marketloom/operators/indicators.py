@@ -47,19 +47,20 @@ def with_emas(rows: DataFrame, value: str, names: dict[str, int]) -> DataFrame:
     return rows.withColumns(found).drop("_block", "_ends", *sums)
 
 
-def regime(bench: DataFrame) -> DataFrame:
-    """date and market regime of the benchmark: trend by its averages, and a mark for high volatility."""
+def bench_context(bench: DataFrame, n: int = 20) -> DataFrame:
+    """date, regime (trend by the benchmark's averages, and a mark for high volatility) and bench_ret, its return over n sessions, in one pass."""
     b = bench.withColumn("ticker", F.lit("SPY")).withColumn("rn", F.row_number().over(by_ticker()))
     b = with_emas(b, "close", {f"e{n}": n for n in EMA_SPANS}).withColumn("vol", full(F.col("high") - F.col("low"), 20) / F.col("close"))
     up = (F.col("close") > F.col("e20")) & (F.col("e20") > F.col("e50")) & (F.col("e50") > F.col("e200"))
     down = (F.col("close") < F.col("e20")) & (F.col("e20") < F.col("e50")) & (F.col("e50") < F.col("e200"))
     text = F.when(up, "Bullish").when(down, "Bearish").otherwise("Neutral")
-    return b.select("date", F.concat(text, F.when(F.col("vol") > 0.025, " / High Vol").otherwise("")).alias("regime"))
+    back = F.col("close") / F.lag("close", n).over(by_ticker()) - 1
+    return b.select("date", F.concat(text, F.when(F.col("vol") > 0.025, " / High Vol").otherwise("")).alias("regime"), back.alias("bench_ret"))
 
 
-def bench_returns(bench: DataFrame, n: int = 20) -> DataFrame:
-    b = bench.withColumn("ticker", F.lit("SPY"))
-    return b.select("date", (F.col("close") / F.lag("close", n).over(by_ticker()) - 1).alias("bench_ret"))
+def regime(bench: DataFrame) -> DataFrame:
+    """date and market regime of the benchmark."""
+    return bench_context(bench).select("date", "regime")
 
 
 def features(bars: DataFrame, bench: DataFrame) -> DataFrame:
@@ -67,8 +68,7 @@ def features(bars: DataFrame, bench: DataFrame) -> DataFrame:
 
     The benchmark has one row a session, so it is broadcast. Windows are full or null; ranges exclude today's bar.
     """
-    context = regime(bench).join(bench_returns(bench), "date")
-    rows = bars.join(F.broadcast(context), "date", "left")
+    rows = bars.join(F.broadcast(bench_context(bench)), "date", "left")
     c, h, lo, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     rows = rows.withColumns({"rn": F.row_number().over(by_ticker()), "prev_close": F.lag("close").over(by_ticker())})
     rows = with_emas(rows, "close", {f"ema{n}": n for n in EMA_SPANS}).withColumn("true_range", F.greatest(h - lo, F.abs(h - F.col("prev_close")), F.abs(lo - F.col("prev_close"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import ratio
 from marketloom.operators.indicators import by_ticker
-from marketloom.operators.outcomes import forward_bars
+from marketloom.operators.outcomes import ahead_of, forward_bars
 from marketloom.params import SETUP
 
 KEYS = ("ticker", "date", "direction")
@@ -37,7 +37,7 @@ def traded(signals: DataFrame, bars: DataFrame, variants: tuple[Variant, ...] =
     Signals without a following bar are left out.
     """
     s = F.when(F.col("direction") == "Long", 1.0).otherwise(-1.0)
-    rows = forward_bars(signals.withColumn("atr", F.col("atr20_pct") * F.col("entry")).select(*KEYS, "setup", "regime", "rn", F.col("entry").alias("close"), "stop", "target", "atr"), bars, sessions)
+    rows = forward_bars(signals.withColumn("atr", F.col("atr20_pct") * F.col("entry")).select(*KEYS, "setup", "regime", "rn", F.col("entry").alias("close"), "stop", "target", "atr", *ahead_of(signals)), bars, sessions)
     rows = rows.withColumn("next_open", F.first(F.when(F.col("k") == 1, F.col("b_open")), True).over(Window.partitionBy(*KEYS)))
     each = F.array(*(F.struct(F.lit(v.name).alias("variant"), F.lit(v.kind).alias("kind"), F.lit(v.atr).alias("m"), F.lit(v.guard).alias("guard")) for v in variants))
     x = rows.withColumn("v", F.explode(each)).select(*rows.columns, "v.*").where("next_open is not null")
@@ -81,9 +81,9 @@ def robust(trades: DataFrame, windows: tuple[tuple[str, str, str], ...]) -> Data
     return x.withColumn("survivor", F.coalesce(ok, F.lit(False)))
 
 
-def entry_gaps(signals: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels with re-anchored entries, and the gap of the next open: gap_pct, signed_gap_r, adverse_gap_r."""
-    x = labels.join(signals.select(*KEYS, "entry", "risk").hint("merge"), list(KEYS)).where("risk > 0")
+def entry_gaps(labelled: DataFrame) -> DataFrame:
+    """Signals labelled with re-anchored entries: outcome and the gap of the next open, gap_pct, signed_gap_r, adverse_gap_r."""
+    x = labelled.where("risk > 0")
     s = F.when(F.col("direction") == "Long", 1.0).otherwise(-1.0)
     signed = s * (F.col("entry_actual") - F.col("entry")) / F.col("risk")
     return x.select(*KEYS, "outcome", (F.col("entry_actual") / F.col("entry") - 1).alias("gap_pct"), signed.alias("signed_gap_r"), F.greatest(F.lit(0.0), -signed).alias("adverse_gap_r"))

@@ -17,66 +17,119 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
 
 
-def forward_bars(signals: DataFrame, bars: DataFrame, sessions: int) -> DataFrame:
-    """The next `sessions` bars of each signal's ticker, as an equi-join on (ticker, row number): signal columns, k, b_open, b_high, b_low, b_close, b_date."""
-    b = numbered(bars).select("ticker", F.col("rn").alias("b_rn"), *(F.col(c).alias(f"b_{c}") for c in ("date", "open", "high", "low", "close")))
-    ahead = signals.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(sessions)))).withColumn("b_rn", F.col("rn") + F.col("k"))
-    return ahead.join(b.hint("merge"), ["ticker", "b_rn"]).drop("b_rn")
+#: What of a later bar outcomes need.
+_AHEAD = ("date", "open", "high", "low", "close")
 
 
-def first_touch(signals: DataFrame, bars: DataFrame, sessions: int = 10, reanchor: bool = False, target_r: float | None = None) -> DataFrame:
+def with_ahead(bars: DataFrame, sessions: int = 10) -> DataFrame:
+    """Adds ahead, the ticker's next `sessions` bars in order (fewer at the end), as an array. After other windows of the ticker it needs no shuffle and no sort."""
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(1, sessions)
+    return bars.withColumn("ahead", F.collect_list(F.struct(*_AHEAD)).over(w))
+
+
+def _following(signals: DataFrame, bars: DataFrame | None, sessions: int) -> DataFrame:
+    """Signals with ahead cut to `sessions`: their own column if they have one, else that of their bar by ticker and row number."""
+    if "ahead" not in signals.columns:
+        later = with_ahead(numbered(bars), sessions).select("ticker", "rn", "ahead")
+        signals = signals.join(later.hint("merge"), ["ticker", "rn"])
+    return signals.withColumn("ahead", F.slice("ahead", 1, sessions))
+
+
+def ahead_of(signals: DataFrame) -> list[str]:
+    """["ahead"] if the signals have their following bars, else []."""
+    return [c for c in signals.columns if c == "ahead"]
+
+
+def forward_bars(signals: DataFrame, bars: DataFrame | None, sessions: int) -> DataFrame:
+    """The next `sessions` bars of each signal's ticker: signal columns, k, b_open, b_high, b_low, b_close, b_date. See with_ahead() for signals without bars."""
+    x = _following(signals, bars, sessions)
+    rows = x.select(*(c for c in x.columns if c != "ahead"), F.posexplode("ahead").alias("_k", "_b"))
+    return rows.select(*(c for c in x.columns if c != "ahead"), (F.col("_k") + 1).alias("k"), *(F.col(f"_b.{c}").alias(f"b_{c}") for c in _AHEAD))
+
+
+def first_touch(signals: DataFrame, bars: DataFrame | None = None, sessions: int = 10, reanchor: bool = False, target_r: float | None = None) -> DataFrame:
     """outcome 1 if the target is touched before the stop within `sessions` bars, else 0; both in one bar is 0, and so is neither.
 
-    With reanchor the entry is the next bar's open and the levels keep their distance from the signal's close. One grouped minimum over
-    the touching bars decides; signals without a following bar are left out. Adds entry_actual, stop_actual, target_actual, touch_k.
+    With reanchor the entry is the next bar's open and the levels keep their distance from the signal's close. The first touching bar is found within
+    the row; signals without a following bar are left out. Returns key, levels, outcome and touch_k; see labelled() for all columns.
     """
-    sign = F.when(F.col("direction") == "Long", 1.0).otherwise(-1.0)
-    rows = forward_bars(signals, bars, sessions)
-    opened = F.first(F.when(F.col("k") == 1, F.col("b_open")), True).over(Window.partitionBy("ticker", "date", "direction"))
-    entry = opened if reanchor else F.col("entry")
-    rows = rows.withColumn("entry_actual", entry)
-    target = F.col("target") if target_r is None else F.col("entry") + sign * target_r * F.col("risk")
-    shift = F.col("entry_actual") - F.col("entry")
-    rows = rows.withColumns({"stop_actual": F.col("stop") + shift, "target_actual": target + shift})
-    hit_target = F.when(F.col("direction") == "Long", F.col("b_high") >= F.col("target_actual")).otherwise(F.col("b_low") <= F.col("target_actual"))
-    hit_stop = F.when(F.col("direction") == "Long", F.col("b_low") <= F.col("stop_actual")).otherwise(F.col("b_high") >= F.col("stop_actual"))
-    touch = F.when(hit_target | hit_stop, F.struct("k", (hit_target & ~hit_stop).cast("int").alias("won")))
-    keys = ["ticker", "date", "direction"]
-    found = rows.groupBy(*keys).agg(F.min(touch).alias("t"), *(F.first(c).alias(c) for c in ("entry_actual", "stop_actual", "target_actual")))
-    return found.select(*keys, "entry_actual", "stop_actual", "target_actual", F.coalesce("t.won", F.lit(0)).alias("outcome"), F.col("t.k").alias("touch_k"))
-
-
-def touch_grid(signals: DataFrame, bars: DataFrame, targets: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0), horizons: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """Outcome of every target and horizon. The first stop and the first touch of each target are found once; horizons only compare them."""
-    rows = forward_bars(signals, bars, max(horizons))
-    long = F.col("direction") == "Long"
-    keys = ["ticker", "date", "direction", "setup"]
-    stop_hit = F.when(long, F.col("b_low") <= F.col("stop")).otherwise(F.col("b_high") >= F.col("stop"))
-    level = lambda t: F.col("entry") + F.when(long, 1.0).otherwise(-1.0) * t * F.col("risk")
-    hit = lambda t: F.when(long, F.col("b_high") >= level(t)).otherwise(F.col("b_low") <= level(t))
-    first = rows.groupBy(*keys).agg(F.min(F.when(stop_hit, F.col("k"))).alias("stop_k"), *(F.min(F.when(hit(t), F.col("k"))).alias(f"t{i}") for i, t in enumerate(targets)))
-    grid = F.array(*(F.struct(F.lit(t).alias("target_r"), F.lit(h).alias("horizon"), F.col(f"t{i}").alias("target_k")) for i, t in enumerate(targets) for h in horizons))
-    x = first.withColumn("g", F.explode(grid)).select(*keys, "stop_k", "g.*")
-    won = (F.col("target_k") <= F.col("horizon")) & (F.col("stop_k").isNull() | (F.col("target_k") < F.col("stop_k")))
-    return x.withColumn("outcome", F.coalesce(won, F.lit(False)).cast("int")).select(*keys, "target_r", "horizon", "outcome")
-
-
-def excursions(signals: DataFrame, bars: DataFrame, sessions: int = 10) -> DataFrame:
-    """Largest favourable and adverse move in risk units until the first touch of stop or target: mfe_r, mae_r, exit_k, exit_reason."""
-    rows = forward_bars(signals, bars, sessions)
+    return labelled(signals, bars, sessions, reanchor, target_r).select("ticker", "date", "direction", "entry_actual", "stop_actual", "target_actual", "outcome", "touch_k")
+
+
+def labelled(signals: DataFrame, bars: DataFrame | None = None, sessions: int = 10, reanchor: bool = False, target_r: float | None = None) -> DataFrame:
+    """signals with entry_actual, stop_actual, target_actual, outcome and touch_k of first_touch(), without their following bars."""
+    rows = _following(signals, bars, sessions).where(F.size("ahead") > 0)
     long = F.col("direction") == "Long"
-    sign = F.when(long, 1.0).otherwise(-1.0)
-    hit_target = F.when(long, F.col("b_high") >= F.col("target")).otherwise(F.col("b_low") <= F.col("target"))
-    hit_stop = F.when(long, F.col("b_low") <= F.col("stop")).otherwise(F.col("b_high") >= F.col("stop"))
-    keys = ["ticker", "date", "direction"]
-    rows = rows.withColumns({"ended": F.when(hit_stop | hit_target, F.col("k")), "why": F.when(hit_stop & hit_target, "both").when(hit_stop, "stop").when(hit_target, "target")})
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn("exit_k", F.min("ended").over(w)).where(F.col("exit_k").isNull() | (F.col("k") <= F.col("exit_k")))
-    best, worst = F.when(long, F.col("b_high")).otherwise(F.col("b_low")), F.when(long, F.col("b_low")).otherwise(F.col("b_high"))
-    return rows.groupBy(*keys).agg(
-        F.max(sign * (best - F.col("entry")) / F.col("risk")).alias("mfe_r"), F.min(sign * (worst - F.col("entry")) / F.col("risk")).alias("mae_r"),
-        F.coalesce(F.min("exit_k"), F.max("k")).alias("exit_k"), F.coalesce(F.max(F.when(F.col("k") == F.col("exit_k"), F.col("why"))), F.lit("timeout")).alias("exit_reason"),
-    )
+    entry = F.col("ahead")[0]["open"] if reanchor else F.col("entry")
+    target = F.col("target") if target_r is None else F.col("entry") + F.when(long, 1.0).otherwise(-1.0) * target_r * F.col("risk")
+    shift = F.col("entry_actual") - F.col("entry")
+    rows = rows.withColumn("entry_actual", entry).withColumns({"stop_actual": F.col("stop") + shift, "target_actual": target + shift})
+
+    def touch(b: Column, i: Column) -> Column:
+        won = F.when(long, b["high"] >= F.col("target_actual")).otherwise(b["low"] <= F.col("target_actual"))
+        lost = F.when(long, b["low"] <= F.col("stop_actual")).otherwise(b["high"] >= F.col("stop_actual"))
+        return F.when(won | lost, F.struct((i + 1).alias("k"), (won & ~lost).cast("int").alias("won")))
+
+    rows = rows.withColumn("_touch", F.get(F.array_compact(F.transform("ahead", touch)), F.lit(0)))
+    return rows.withColumns({"outcome": F.coalesce("_touch.won", F.lit(0)), "touch_k": F.col("_touch.k")}).drop("_touch", "ahead")
+
+
+#: Risk units of the outcome grids: the signal's own stop distance, and one ATR.
+RISK_MODELS = ("SignalRisk", "ATR1x")
+
+
+def prefixes(signals: DataFrame, bars: DataFrame | None = None, targets: tuple[float, ...] = (1.0,), sessions: int = 10) -> DataFrame:
+    """One row a signal and risk model, from which all horizons and targets are read without another pass over bars.
+
+    Entry is the next bar's open; unit is the risk or one ATR. best and worst are arrays: the most favourable and the most adverse price so far, as
+    multiples of the direction's sign, bar by bar. stop_k and target_k (an array, by target) are the first bars that touch the levels one unit
+    against and `targets` units with the trade: places in these monotone arrays. Signals without positive risk and ATR are left out; those without a
+    following bar or its open have null entry.
+    """
+    x = _following(signals, bars, sessions)
+    s = F.when(F.col("direction") == "Long", 1.0).otherwise(-1.0)
+    atr = F.col("atr20_pct") * F.col("entry")
+    with_trade = F.transform("ahead", lambda b: F.when(s > 0, b["high"]).otherwise(-b["low"]))
+    against = F.transform("ahead", lambda b: F.when(s > 0, b["low"]).otherwise(-b["high"]))
+    x = x.where((F.col("risk") > 0) & (atr > 0)).withColumns({"start": s * F.get("ahead", F.lit(0))["open"], "_w": with_trade, "_a": against})
+    so_far = lambda c, f: F.transform(c, lambda _, i: f(F.slice(c, 1, i + 1)))
+    x = x.withColumns({"best": so_far(F.col("_w"), F.array_max), "worst": so_far(F.col("_a"), F.array_min)})
+    units = F.array(*(F.struct(F.lit(name).alias("risk_model"), unit.alias("unit")) for name, unit in zip(RISK_MODELS, (F.col("risk"), atr), strict=True)))
+    x = x.select("ticker", "date", "direction", "setup", "start", "best", "worst", F.inline(units))
+    after = lambda before, c: F.nullif(F.size(before) + 1, F.size(c) + 1)
+    stop = after(F.filter("worst", lambda p: p > F.col("start") - F.col("unit")), F.col("worst"))
+    target = lambda t: after(F.filter("best", lambda p: p < F.col("start") + t * F.col("unit")), F.col("best"))
+    return x.withColumns({"stop_k": stop, "target_k": F.array(*map(target, targets))})
+
+
+def outcome_grid(signals: DataFrame, bars: DataFrame | None = None, targets: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), horizons: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """outcome and reason of every risk model, horizon and target: `target_k`, `stop_k`, `same_bar_ambiguous`, `timeout`, or `invalid` without an entry."""
+    x = prefixes(signals, bars, targets, max(horizons))
+    cells = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(t).alias("target_r"), F.col("target_k")[i].alias("target_k")) for h in horizons for i, t in enumerate(targets)))
+    x = x.select("ticker", "date", "direction", "setup", "risk_model", "start", "stop_k", F.inline(cells))
+    outcome, reason = _decided(F.col("target_k"), F.col("stop_k"), F.col("horizon"), F.col("start"))
+    return x.select("ticker", "date", "direction", "setup", "risk_model", "horizon", "target_r", outcome.alias("outcome"), reason.alias("reason"))
+
+
+def _decided(target: Column, stop: Column, horizon: Column, start: Column) -> tuple[Column, Column]:
+    t, s = (F.when(k <= horizon, k) for k in (target, stop))
+    won = t.isNotNull() & (s.isNull() | (t < s))
+    reason = F.when(start.isNull(), "invalid").when(t == s, "same_bar_ambiguous").when(won, F.concat(F.lit("target_"), t.cast("string"))).when(s.isNotNull(), F.concat(F.lit("stop_"), s.cast("string"))).otherwise("timeout")
+    return F.coalesce(won, F.lit(False)).cast("int"), reason
+
+
+def excursions(signals: DataFrame, bars: DataFrame | None = None, horizons: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """Largest favourable and adverse move (mfe_r, mae_r, in risk units, 0 at least and at most) until the first touch of one unit with or against the
+    trade, by risk model and horizon, with outcome and reason as in outcome_grid(). Signals without an entry have null moves."""
+    x = prefixes(signals, bars, (1.0,), max(horizons)).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    end = F.least(F.col("stop_k"), F.col("target_k")[0], F.col("horizon"), F.size("best"))
+    outcome, reason = _decided(F.col("target_k")[0], F.col("stop_k"), F.col("horizon"), F.col("start"))
+    best, worst = (F.get(c, end - 1) for c in ("best", "worst"))
+    entered = F.col("start").isNotNull()
+    return x.select(
+        "ticker", "date", "direction", "setup", "risk_model", "horizon", F.when(entered, F.greatest(F.lit(0.0), (best - F.col("start")) / F.col("unit"))).alias("mfe_r"),
+        F.when(entered, F.least(F.lit(0.0), (worst - F.col("start")) / F.col("unit"))).alias("mae_r"), outcome.alias("outcome"), reason.alias("reason"),
+    )
 
 
 def net_pnl(gross: Column, direction: Column, days: Column, cost) -> Column:
@@ -119,9 +172,9 @@ def simulated_trades(signals: DataFrame, bars: DataFrame, bench: DataFrame, hori
     keys = ["ticker", "date", "direction", "horizon"]
     x = signals.select("ticker", "date", "direction", "setup", "setup_score", "entry", "stop", "target").join(F.broadcast(days.select("date", "pos")), "date").crossJoin(size)
     x = x.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    ready = x.where(F.col("pos") + F.col("horizon") <= F.col("last_pos"))
-    steps = ready.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("horizon")))).withColumn("at", F.col("pos") + F.col("k"))
-    steps = steps.join(F.broadcast(days.select(F.col("pos").alias("at"), F.col("date").alias("b_date"), "s_open", "s_close")), "at")
+    ready = F.col("pos") + F.col("horizon") <= F.col("last_pos")  # the others keep one step without a session
+    steps = x.withColumn("k", F.explode(F.when(ready, F.sequence(F.lit(1), F.col("horizon"))).otherwise(F.array(F.lit(None).cast("int"))))).withColumn("at", F.col("pos") + F.col("k"))
+    steps = steps.join(F.broadcast(days.select(F.col("pos").alias("at"), F.col("date").alias("b_date"), "s_open", "s_close")), "at", "left")
     b = bars.select("ticker", F.col("date").alias("b_date"), *(F.col(c).alias(f"b_{c}") for c in ("open", "high", "low", "close")))
     steps = steps.join(b.hint("merge"), ["ticker", "b_date"], "left")
     w = Window.partitionBy(*keys)
@@ -131,19 +184,17 @@ def simulated_trades(signals: DataFrame, bars: DataFrame, bench: DataFrame, hori
     o, high, low = s * F.col("b_open"), F.when(s > 0, F.col("b_high")).otherwise(-F.col("b_low")), F.when(s > 0, F.col("b_low")).otherwise(-F.col("b_high"))
     last = F.col("k") == F.col("horizon")
     event = (
-        F.when(F.col("b_open").isNull(), F.struct(F.lit("missing").alias("reason"), F.lit(None).cast("double").alias("price"))).when(o <= stop, F.struct(F.lit("stop_gap").alias("reason"), F.col("b_open").alias("price")))
+        F.when(F.col("k").isNull(), None).when(F.col("b_open").isNull(), F.struct(F.lit("missing").alias("reason"), F.lit(None).cast("double").alias("price"))).when(o <= stop, F.struct(F.lit("stop_gap").alias("reason"), F.col("b_open").alias("price")))
         .when(o >= target, F.struct(F.lit("target_gap_capped").alias("reason"), (s * target).alias("price"))).when((low <= stop) & (high >= target), F.struct(F.lit("stop_and_target_same_bar_stop_first").alias("reason"), (s * stop).alias("price")))
         .when(low <= stop, F.struct(F.lit("stop").alias("reason"), (s * stop).alias("price"))).when(high >= target, F.struct(F.lit("target").alias("reason"), (s * target).alias("price"))).when(last, F.struct(F.lit("time_exit").alias("reason"), F.col("b_close").alias("price")))
     )
     first = F.min(F.when(event.isNotNull(), F.struct("k", event.alias("e"), F.col("b_date").alias("exit_date"), "s_close")))
-    ended = steps.groupBy(*keys).agg(first.alias("x"), F.first("fill", True).alias("fill"), F.min(F.when(F.col("k") == 1, F.col("s_open"))).alias("s_open"), *(F.first(c).alias(c) for c in ("setup", "setup_score", "entry", "stop")))
-    done = ended.withColumn("status", F.when(F.col("fill").isNull() | ((F.col("x.k") == 1) & (F.col("x.e.reason") == "missing")), "invalid_missing_stock_entry_bar").when(F.col("x.e.reason") == "missing", "invalid_missing_stock_bar_before_exit").otherwise("complete"))
+    ended = steps.groupBy(*keys).agg(first.alias("x"), F.first("fill", True).alias("fill"), F.min(F.when(F.col("k") == 1, F.col("s_open"))).alias("s_open"), F.max(F.col("k").isNotNull()).alias("ready"), *(F.first(c).alias(c) for c in ("setup", "setup_score", "entry", "stop")))
+    done = ended.withColumn("status", F.when(~F.col("ready"), "pending_exit_beyond_download").when(F.col("fill").isNull() | ((F.col("x.k") == 1) & (F.col("x.e.reason") == "missing")), "invalid_missing_stock_entry_bar").when(F.col("x.e.reason") == "missing", "invalid_missing_stock_bar_before_exit").otherwise("complete"))
     ok = F.col("status") == "complete"
     gross = s * (F.col("x.e.price") / F.col("fill") - 1)
     done = done.select(
         *keys, "setup", "setup_score", "status", F.when(ok, F.col("x.e.reason")).alias("exit_reason"), F.when(ok, F.col("x.exit_date")).alias("exit_date"), F.when(ok, F.col("x.k")).alias("holding"), F.when(ok, F.col("fill")).alias("entry_price"), F.when(ok, F.col("x.e.price")).alias("exit_price"),
         F.when(ok, gross).alias("gross"), F.when(ok, gross - s * (F.col("x.s_close") / F.col("s_open") - 1)).alias("excess"), F.when(ok, gross * F.col("fill") / (s * (F.col("entry") - F.col("stop")))).alias("r_multiple"),
     )
-    done = done.withColumns({f"net_{c.name.lower()}": net_pnl(F.col("gross"), F.col("direction"), F.col("holding"), c) for c in COSTS})
-    pending = x.where(F.col("pos") + F.col("horizon") > F.col("last_pos")).select(*keys, "setup", "setup_score", F.lit("pending_exit_beyond_download").alias("status"))
-    return done.unionByName(pending, allowMissingColumns=True)
+    return done.withColumns({f"net_{c.name.lower()}": net_pnl(F.col("gross"), F.col("direction"), F.col("holding"), c) for c in COSTS})

@@ -69,10 +69,10 @@ def _candidate(x: Column, long: bool, p: SetupParams) -> Column:
     )
 
 
-def candidates(features: DataFrame, p: SetupParams = SETUP) -> DataFrame:
+def candidates(features: DataFrame, p: SetupParams = SETUP, keep: tuple[str, ...] = ()) -> DataFrame:
     """Best base length of every bar and direction: ticker, date, direction, score and levels. No shuffle: lengths stay within the row.
 
-    Ties go to the first length. Bars without volume, location or range to judge by are dropped before lengths are tried.
+    The columns `keep` of the bar stay too. Ties go to the first length. Bars without volume, location or range to judge by are dropped before lengths are tried.
     """
     lengths = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("n"), F.col(f"hh_{n}").alias("hh"), F.col(f"ll_{n}").alias("ll"), F.col(f"rng_{n}").alias("rng")) for i, n in enumerate(p.lengths)))
     ready = features.where((F.col("rvol20") >= p.rvol_min) & F.col("close_loc").isNotNull() & (F.col("atr20") > 0))
@@ -84,14 +84,14 @@ def candidates(features: DataFrame, p: SetupParams = SETUP) -> DataFrame:
         "ticker", "date", F.col("_s.direction").alias("direction"), b("setup").alias("setup"), b("score").alias("setup_score"), half_up(F.col("rvol20"), 2).alias("rvol20"), F.col("vol_accel"), b("base_days").alias("base_days"),
         half_up(b("trigger_atr"), 2).alias("breakout_atr"), b("trend").alias("trend"), F.col("close_loc"), b("base_range").alias("base_range_pct"), F.col("atr20_pct"), (b("risk") / F.col("atr20")).alias("risk_atr"), F.col("dv20"), F.col("gap_pct"),
         F.coalesce(half_up(F.col("atr_comp"), 3), F.lit(0.0)).alias("atr_compression"), "trend20", "trend50", "trend200", "rs_spy_20", "tr_atr20", F.col("close").alias("entry"), b("stop").alias("stop"), b("target").alias("target"), b("risk").alias("risk"), F.col("regime"),
-        F.format_string("%dd setup + %sx RVOL + trigger %s ATR + %s trend", b("base_days"), half_up(F.col("rvol20"), 1), half_up(b("trigger_atr"), 1), F.lower(b("trend"))).alias("why"), "rn",
+        F.format_string("%dd setup + %sx RVOL + trigger %s ATR + %s trend", b("base_days"), half_up(F.col("rvol20"), 1), half_up(b("trigger_atr"), 1), F.lower(b("trend"))).alias("why"), "rn", *keep,
     )
 
 
-def historical(features: DataFrame, p: SetupParams = SETUP, min_price: float = 0.0, min_dollar_volume: float = 0.0) -> DataFrame:
-    """Signals of all bars after the warm-up that pass price and liquidity. Filters come after all windows."""
+def historical(features: DataFrame, p: SetupParams = SETUP, min_price: float = 0.0, min_dollar_volume: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Signals of all bars after the warm-up that pass price and liquidity, with the columns `keep` of the bars. Filters come after all windows."""
     ok = (F.col("rn") > p.warmup) & (F.col("close") >= min_price) & (F.col("dv20") >= min_dollar_volume)
-    return candidates(features.where(ok), p)
+    return candidates(features.where(ok), p, keep)
 
 
 def latest(features: DataFrame, p: SetupParams = SETUP, min_price: float = 0.0, min_dollar_volume: float = 0.0) -> DataFrame:

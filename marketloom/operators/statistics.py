@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.staging import staged
+
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:
     """Counts, success rate, expectancy 3p - 1, and means by group; all rows as one group without `by`."""
@@ -114,15 +116,29 @@ def rule_stats(rows: DataFrame, by: list[str], min_n: int = 50) -> DataFrame:
     return stats.where(F.col("validation_n") >= min_n).withColumns({"validation_expectancy": 3 * F.col("validation_rate") - 1, "holdout_expectancy": 3 * F.col("holdout_rate") - 1})
 
 
+def ordinals(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The distinct keys with at, their exact number from 0 in order (null first), and how many there are.
+
+    Keys are range-partitioned and numbered within their partition; the partitions' sizes, one number each, give the offsets. No task sees all keys.
+    """
+    ranges = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    own = staged(ranges.withColumn("_id", F.monotonically_increasing_id()), "ordinals")  # partition number and place in it
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(tuple(r) for r in own.groupBy(part.alias("part")).count().collect())  # one row a partition
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return own.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(key, (F.col("_start") + place).alias("at")), total
+
+
 def evenly_spaced(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """n of N rows at round(j (N - 1) / (n - 1)), half to even, in order of key; an equi-join on the row number."""
-    w = Window.orderBy(key)
-    numbered = rows.select(key).distinct().select(key, (F.row_number().over(w) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("total"))
-    if n < 2:
-        return numbered.where(F.col("at") < n).select(key)
-    total = numbered.agg(F.count("*").alias("t"))
-    wanted = rows.sparkSession.range(n).crossJoin(F.broadcast(total)).select(F.bround(F.col("id") * (F.col("t") - 1) / (n - 1)).cast("int").alias("at")).distinct()
-    return numbered.join(F.broadcast(wanted), "at", "left_semi").select(key)
+    """n of N keys at round(j (N - 1) / (n - 1)), half to even, in order of key; all if there are no more than n. n rows are broadcast."""
+    numbered, total = ordinals(rows, key)
+    wanted = range(min(n, total)) if n < 2 or total <= n else sorted({round(j * (total - 1) / (n - 1)) for j in range(n)})
+    places = rows.sparkSession.createDataFrame([(i,) for i in wanted], "at long")
+    return numbered.join(F.broadcast(places), "at", "left_semi").select(key)
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
@@ -188,27 +204,38 @@ def binomial_tail(rows: DataFrame, n: str, wins: str, p0: float) -> DataFrame:
     return rows.withColumn("p_value", binomial_upper(F.col(n), F.col(wins), p0))
 
 
+#: Replicates of a bootstrap that one row draws.
+_CHUNK = 100
+
+
 def bootstrap_interval(daily: DataFrame, value: str, *by: str, block: int = 10, reps: int = 2500, min_n: int = 20, seed: str = "bootstrap") -> DataFrame:
     """Circular block-bootstrap interval of the mean of value over dates: n, mean, ci_low, ci_high (null below min_n dates).
 
     Starts are hashes of seed, replicate and block, so every engine draws the same ones; only the first n draws of a replicate count.
-    Sums of `block` consecutive values are windowed once, so a replicate draws one row a block, not one a value.
+    A group's values are an array, one a date, which the calendar bounds; the sums of its blocks are found once, and a row draws _CHUNK replicates
+    by looking them up. The hashes (replicates x blocks, bounded by the calendar too) are made once and broadcast. daily is read twice.
     """
-    w = Window.partitionBy(*by)
-    x = daily.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy("date")) - 1).alias("at"), F.count("*").over(w).alias("n"))
-    sizes = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    around = x.unionByName(x.where(F.col("at") < block - 1).withColumn("at", F.col("at") + F.col("n")))  # the circle's end goes on with its start
-    short = F.col("n") - block * (F.ceil(F.col("n") / block) - 1)
-    ahead = F.collect_list("v").over(w.orderBy("at").rowsBetween(0, block - 1))
+    keys = list(by)
+    size = F.size("v")
+    x = daily.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", F.col(value).alias("v")))).alias("v")).where(size > 0)
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, e: a + e)
-    sums = around.withColumn("ahead", ahead).where("at < n").select(*by, "at", add(F.col("ahead")).alias("whole"), add(F.slice("ahead", 1, short.cast("int"))).alias("part"))
-    draws = sizes.where(F.col("n") >= min_n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "blk")), 1, 8), 16, 10).cast("long"), F.col("n"))
-    draws = draws.withColumn("at", start).withColumn("last", F.col("blk") == F.ceil(F.col("n") / block) - 1)
-    drawn = draws.select(*by, "rep", "n", "at", "last").join(sums.hint("shuffle_hash"), [*by, "at"])
-    means = drawn.groupBy(*by, "rep").agg((F.sum(F.when(F.col("last"), F.col("part")).otherwise(F.col("whole"))) / F.first("n")).alias("m"))
-    cis = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("ci_low"), F.expr("percentile(m, 0.975)").alias("ci_high"))
-    return sizes.join(cis.hint("shuffle_hash"), list(by), "left") if by else sizes.crossJoin(cis)
+    x = x.withColumn("v", F.transform("v", lambda e: e["v"])).select(*keys, size.cast("long").alias("n"), (add("v") / size).alias("mean"), "v", F.ceil(size / block).alias("blocks"))
+    turn = F.concat("v", F.slice("v", 1, block - 1))  # the circle's end goes on with its start
+    short = (F.col("n") - block * (F.col("blocks") - 1)).cast("int")
+    sums = lambda length: F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: add(F.slice("turn", i, length)))
+    drawn = x.where(F.col("n") >= min_n).withColumn("turn", turn).withColumns({"whole": sums(F.lit(block)), "part": sums(short)}).select(*keys, "n", "blocks", "whole", "part")
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "blk")), 1, 8), 16, 10).cast("long")
+    most = daily.where(F.col(value).isNotNull()).groupBy(*keys).count().agg(F.ceil(F.max("count") / block).cast("int").alias("most")).where("most > 0")
+    hashes = most.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).select("rep", "blk", start.alias("h"))
+    one = hashes.groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("blk", "h"))), lambda e: e["h"]).alias("h"))
+    chunks = one.groupBy(F.floor(F.col("rep") / _CHUNK).alias("chunk")).agg(F.collect_list("h").alias("draws"))
+    at = lambda h: F.pmod(h, F.col("n")).cast("int")
+    mean = lambda h: (F.aggregate(F.slice(h, 1, F.col("blocks").cast("int") - 1), F.lit(0.0), lambda a, e: a + F.get("whole", at(e))) + F.get("part", at(F.get(h, F.col("blocks").cast("int") - 1)))) / F.col("n")
+    rows = drawn.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // _CHUNK).cast("long")))).repartition(*keys, "chunk").join(F.broadcast(chunks), "chunk")
+    means = rows.select(*keys, F.explode(F.transform("draws", mean)).alias("m"))
+    cis = means.groupBy(*keys).agg(F.expr("percentile(m, 0.025)").alias("ci_low"), F.expr("percentile(m, 0.975)").alias("ci_high"))
+    sizes = x.select(*keys, "n", "mean")
+    return sizes.join(cis.hint("shuffle_hash"), keys, "left") if by else sizes.crossJoin(cis)
 
 
 QC_GROUPS = ("All", "QC Clear", "QC Flagged", "No Unusual Volume", "Unusual Volume")
@@ -257,12 +284,11 @@ def slot_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def evidence_gate(daily: DataFrame, summary: DataFrame, least_dates: int = 200) -> DataFrame:
-    """decision for each group of slot_summary(): enough dates, and means and interval lows above zero under both costs."""
+def evidence_gate(intervals: DataFrame, summary: DataFrame, least_dates: int = 200) -> DataFrame:
+    """decision for each group of slot_summary(): enough dates, and means and interval lows above zero under both costs. intervals: by group and net (Base, Stress)."""
     keys = ["direction", "qc_group", "horizon", "top_k"]
-    x = summary.select(*keys, "scorable_dates", "mean_net_base", "mean_net_stress")
-    for c in ("net_base", "net_stress"):
-        x = x.join(bootstrap_interval(daily, f"mean_{c}", *keys).select(*keys, F.col("ci_low").alias(f"low_{c}")).hint("merge"), keys, "left")
+    lows = intervals.groupBy(*keys).agg(*(F.max(F.when(F.col("net") == n, F.col("ci_low"))).alias(f"low_net_{n.lower()}") for n in ("Base", "Stress")))
+    x = summary.select(*keys, "scorable_dates", "mean_net_base", "mean_net_stress").join(lows.hint("merge"), keys, "left")
     good = (F.col("mean_net_base") > 0) & (F.col("mean_net_stress") > 0) & (F.col("low_net_base") > 0) & (F.col("low_net_stress") > 0)
     decision = F.when(F.col("scorable_dates") < least_dates, f"Collecting; need {least_dates} scorable dates under both cost cases").when(good, "Positive under both cost cases; still research-only and requires independent replication").otherwise("No confirmed positive net edge under both cost cases")
     return x.withColumn("decision", decision)

@@ -9,10 +9,11 @@ from marketloom.operators import discovery as D
 from marketloom.operators import mechanics as M
 from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
-from marketloom.plans.daily import features, historical, rounded
-from marketloom.plans.studies import _SIG, _TOUCH, _parts
+from marketloom.plans.daily import features, rounded
+from marketloom.plans.studies import _SIG, _TOUCH, _parts, ahead
 from marketloom.plans.variants import _contraction_sql, r6
 from marketloom.sources import fixtures
+from marketloom.sources.staging import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,8 +26,8 @@ def register(name: str, query, text: str) -> None:
 
 def featured(s: SparkSession, d: str) -> DataFrame:
     """First touches of every signal's levels, with its features."""
-    found = historical(s, d)
-    return D.with_signal_features(D.touches(found, fixtures.bars(s, d)), found)
+    found = staged(ahead(s, d, max(D.SESSIONS)), "signals")
+    return D.with_signal_features(D.touches(found, None), found)
 
 
 def _level(kind: str, t: float) -> str:

@@ -81,9 +81,9 @@ pc as (select ticker, date, count(r) over w as n, {", ".join(f"corr(r, {x}) over
 pl as (select ticker, date, n, x.i, x.sector, x.c from pc, lateral (values {", ".join(f"({i}, '{x}', c{i})" for i, x in enumerate(SECTORS))}) x(i, sector, c)),
 pb as (select *, row_number() over (partition by ticker, date order by c desc nulls last, i) as k from pl where n >= 40)"""
 register(
-    "ctx_05_sector_proxy", lambda s, d: context.sector_proxy(fixtures.bars(s, d, 10), fixtures.bench_multi(s, d), SECTORS),
+    "ctx_05_sector_proxy", lambda s, d: context.sector_proxy(fixtures.dense_bars(s, d), fixtures.bench_multi(s, d), SECTORS),
     S.with_(S.DENSE, S.SECTORS, _PROXY) + "select ticker, date, sector, floor(c*1e6+0.5)/1e6 as correlation from pb where k = 1",
 )
 register("joi_02_breadth_context", lambda s, d: dense(s, d)[0].select("ticker", "date", "direction").join(F.broadcast(context.breadth(features(s, d)).select("date", "active")), "date", "left"), S.with_(*_DENSE) + ", act as (select cast(l_shipdate as date) as date, count(distinct l_suppkey) as active from lineitem group by 1) select ticker, date, direction, active from quality left join act using (date)")
-register("set_03_symbol_difference", lambda s, d: fixtures.market_caps(s, d).select("symbol").join(fixtures.bars(s, d, 10).select(F.col("ticker").alias("symbol")).distinct(), "symbol", "left_anti"), S.with_(S.DENSE) + "select cast(s_suppkey as varchar) as symbol from supplier where cast(s_suppkey as varchar) not in (select ticker from bars)")
+register("set_03_symbol_difference", lambda s, d: fixtures.market_caps(s, d).select("symbol").join(fixtures.dense_bars(s, d).select(F.col("ticker").alias("symbol")).distinct(), "symbol", "left_anti"), S.with_(S.DENSE) + "select cast(s_suppkey as varchar) as symbol from supplier where cast(s_suppkey as varchar) not in (select ticker from bars)")
 

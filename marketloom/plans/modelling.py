@@ -11,7 +11,7 @@ from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
 from marketloom.plans.comparisons import MOMENTUM, momentum
 from marketloom.plans.daily import MIN_DOLLAR_VOLUME, panel, rounded
-from marketloom.plans.studies import _LAB, labelled
+from marketloom.plans.studies import _LAB, labelled, parted
 from marketloom.sources.delimited import staged
 
 QUERIES: dict = {}
@@ -47,7 +47,7 @@ register(
 
 def training(s: SparkSession, d: str) -> DataFrame:
     """Labelled signals with the features of all models and partition, written once."""
-    rows = L.second_features(L.first_features(A.date_partitions(labelled(s, d))))
+    rows = L.second_features(L.first_features(parted(s, d)))
     return staged(rows.select(*_ROW, "outcome", "partition", *dict.fromkeys((*L.FIRST, *L.NUMERIC, *L.CATEGORICAL))), "training")
 
 

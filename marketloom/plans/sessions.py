@@ -44,7 +44,7 @@ stopped = lambda s, d: I.with_stops(triggered(s, d))
 
 _W = "(partition by ticker, session order by ts"
 M5 = f"""
-m5_d as (select cast(user_id % 2 as varchar) as ticker, cast(ts as date) as session, cast(floor((extract(hour from ts)*60+extract(minute from ts))*390/1440/5) as int) as slot,
+m5_d as (select cast(user_id % (select greatest(2, count(*)//750) from customer) as varchar) as ticker, cast(ts as date) as session, cast(floor((extract(hour from ts)*60+extract(minute from ts))*390/1440/5) as int) as slot,
   cast(sum(cast(round(ln(1+value)*1e6) as bigint)) as double)/(1e6*count(*)) as a, count(*) as n from events group by 1, 2, 3),
 m5_c as (select *, session + to_minutes(570+slot*5) as ts, {S.half_up("100*exp(sum(0.004*(a-3.42)) over (partition by ticker order by session, slot rows unbounded preceding))", 4)} as close from m5_d),
 m5_o as (select *, coalesce(lag(close) over (partition by ticker order by ts), 100.0) as open from m5_c),

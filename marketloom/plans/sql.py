@@ -23,7 +23,8 @@ def _bars(name: str, key: str, source: str = "lineitem") -> str:
 
 
 BARS = _bars("bars", "cast(l_suppkey as varchar)")
-DENSE = _bars("bars", "cast(l_suppkey % 10 as varchar)")
+DENSE = _bars("bars", "cast(l_suppkey % (select greatest(10, count(*)//10) from supplier) as varchar)")
+WIDE = _bars("bars", "cast(l_suppkey % 10 as varchar)")
 BENCH = _bars("bench", "'SPY'")
 SECTORS = _bars("sectors", "'S' || n_regionkey", "lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey")
 

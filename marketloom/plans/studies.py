@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.operators import indicators
 from marketloom.operators import outcomes as O
 from marketloom.operators import signals as G
 from marketloom.operators import statistics as A
 from marketloom.params import COSTS
 from marketloom.plans import sql as S
-from marketloom.plans.daily import DIGITS, historical, panel, rounded
+from marketloom.plans.daily import DIGITS, features, historical, panel, rounded
 from marketloom.sources import fixtures
 from marketloom.sources import universe as U
 from marketloom.sources.delimited import staged
@@ -30,10 +31,19 @@ def rounding(texts: str, doubles: str) -> str:
     return ", ".join([*texts.split(), *(f"{S.half_up(c, DIGITS)} as {c}" for c in doubles.split())])
 
 
+def ahead(s: SparkSession, d: str, sessions: int = 10) -> DataFrame:
+    """Signals with their following bars, taken in the ticker's own windows."""
+    return G.historical(O.with_ahead(features(s, d), sessions), keep=("ahead",))
+
+
 def labelled(s: SparkSession, d: str, reanchor: bool = False) -> DataFrame:
-    found = historical(s, d)
-    labels = O.first_touch(found, fixtures.bars(s, d), 10, reanchor)
-    return found.join(labels.hint("merge"), ["ticker", "date", "direction"])
+    """Signals with their outcome; bars are read once."""
+    return O.labelled(ahead(s, d), reanchor=reanchor)
+
+
+def parted(s: SparkSession, d: str, *cuts: float) -> DataFrame:
+    """Labelled signals with their partition by date; they are used twice for that, so they are staged."""
+    return A.date_partitions(staged(labelled(s, d), "labelled"), *cuts)
 
 
 _ENTRY = "case when k = 1 then b.open end"
@@ -55,33 +65,43 @@ lab as (select s.*, l.outcome from signals s join labels l on s.ticker = l.ticke
 
 _SIG = (*S.BASE, S.SIGNALS)
 for _name, _re in {"out_01_first_touch": False, "out_02_reanchored": True}.items():
-    register(_name, lambda s, d, r=_re: O.first_touch(historical(s, d), fixtures.bars(s, d), 10, r), S.with_(*_SIG, _labels(_re)) + "select " + rounding("ticker date direction outcome touch_k", "entry_actual stop_actual target_actual") + " from labels")
+    register(_name, lambda s, d, r=_re: O.first_touch(ahead(s, d), reanchor=r), S.with_(*_SIG, _labels(_re)) + "select " + rounding("ticker date direction outcome touch_k", "entry_actual stop_actual target_actual") + " from labels")
 register(
-    "joi_04_forward_bars", lambda s, d: O.forward_bars(historical(s, d).select("ticker", "date", "direction", "rn"), fixtures.bars(s, d), 3).select("ticker", "date", "direction", "k", "b_open", "b_close"),
+    "joi_04_forward_bars", lambda s, d: O.forward_bars(ahead(s, d, 3).select("ticker", "date", "direction", "ahead"), None, 3).select("ticker", "date", "direction", "k", "b_open", "b_close"),
     S.with_(*_SIG, _TOUCH.strip().removesuffix(",")) + "select ticker, date, direction, cast(k as int) as k, floor(bo*1e6+0.5)/1e6 as b_open, floor(bc*1e6+0.5)/1e6 as b_close from fw where k <= 3",
 )
 _GRID_T, _GRID_H = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), (3, 5, 10)
-_GRID = f"""{_TOUCH}
-fk as (select ticker, date, direction, setup, min(k) filter (where case when direction = 'Long' then bl <= stop else bh >= stop end) as stop_k, {", ".join(f"min(k) filter (where case when direction = 'Long' then bh >= entry+{t}*risk else bl <= entry-{t}*risk end) as t{i}" for i, t in enumerate(_GRID_T))} from fw group by 1, 2, 3, 4),
-grid_out as ({" union all ".join(f"select ticker, date, direction, setup, cast({t} as double) as target_r, {h} as horizon, cast(coalesce(t{i} <= {h} and (stop_k is null or t{i} < stop_k), false) as int) as outcome from fk" for i, t in enumerate(_GRID_T) for h in _GRID_H)})"""
-grid = lambda s, d: O.touch_grid(historical(s, d), fixtures.bars(s, d), _GRID_T, _GRID_H)
+# Of each signal and risk model: the first bars that touch the stop and the targets, and the moves bar by bar.
+_FIRSTS = f"""
+nb as (select ticker, date, open, high, low, row_number() over (partition by ticker order by date) as brn from bars),
+um as (select s.ticker, s.date, s.direction, s.setup, s.rn, m.risk_model, case m.risk_model when 'SignalRisk' then s.risk else s.atr20_pct*s.entry end as unit, case when direction = 'Long' then 1 else -1 end as sg
+  from signals s cross join (values ('SignalRisk'), ('ATR1x')) m(risk_model) where s.risk > 0 and s.atr20_pct*s.entry > 0),
+ue as (select um.*, b.open as e from um left join nb b on b.ticker = um.ticker and b.brn = um.rn + 1),
+ub as (select u.*, b.brn - u.rn as k, case when sg = 1 then high else -low end as hi, case when sg = 1 then low else -high end as lo from ue u left join nb b on b.ticker = u.ticker and b.brn between u.rn + 1 and u.rn + 10),
+fk as (select ticker, date, direction, setup, risk_model, any_value(e) as e, min(k) filter (where lo <= sg*e - unit) as stop_k, count(k) as bars_n, list(greatest(0.0, (hi - sg*e)/unit) order by k) filter (where k is not null) as fav, list(least(0.0, (lo - sg*e)/unit) order by k) filter (where k is not null) as adv,
+  {", ".join(f"min(k) filter (where hi >= sg*e + {t}*unit) as t{i}" for i, t in enumerate(_GRID_T))} from ub group by 1, 2, 3, 4, 5)"""
+_REASON = "case when e is null then 'invalid' when tk <= horizon and tk = stop_k then 'same_bar_ambiguous' when tk <= horizon and (stop_k is null or tk < stop_k) then 'target_' || tk when stop_k <= horizon then 'stop_' || stop_k else 'timeout' end as reason"
+_OUTCOME = "cast(coalesce(tk <= horizon and (stop_k is null or tk < stop_k), false) as int) as outcome"
+_CELLS = " union all ".join(f"select *, {h} as horizon, cast({t} as double) as target_r, t{i} as tk from fk" for i, t in enumerate(_GRID_T) for h in _GRID_H)
+_GRID = f"{_FIRSTS}, gc as ({_CELLS}), grid_out as (select ticker, date, direction, setup, risk_model, horizon, target_r, {_OUTCOME}, {_REASON} from gc)"
+grid = lambda s, d: O.outcome_grid(ahead(s, d), None, _GRID_T, _GRID_H)
 register("out_06_target_grid", grid, S.with_(*_SIG, _GRID) + "select * from grid_out")
+for _name, _by in {"agg_12_grid_summary": "setup direction risk_model target_r horizon", "agg_12_grid_by_direction": "direction risk_model target_r horizon"}.items():
+    register(
+        _name, lambda s, d, by=tuple(_by.split()): grid(s, d).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("outcome").cast("double")).alias("rate"), (F.avg(F.col("outcome").cast("double")) * (1 + F.col("target_r")) - 1).alias("expectancy")),
+        S.with_(*_SIG, _GRID) + f"select {', '.join(_by.split())}, count(*) as n, floor(avg(outcome)*1e6+0.5)/1e6 as rate, floor((avg(outcome)*(1+target_r)-1)*1e6+0.5)/1e6 as expectancy from grid_out group by {', '.join(_by.split())}",
+    )
+_EXC = f"""{_FIRSTS},
+ex as (select fk.*, h.horizon, t2 as tk, least(coalesce(stop_k, 99), coalesce(t2, 99), h.horizon, bars_n) as x from fk cross join (values {", ".join(f"({h})" for h in _GRID_H)}) h(horizon)),
+exc as (select ticker, date, direction, setup, risk_model, horizon, list_max(fav[1:x]) as mfe_r, list_min(adv[1:x]) as mae_r, {_OUTCOME}, {_REASON} from ex)"""
+excursions = lambda s, d: O.excursions(ahead(s, d), None, _GRID_H)
+_QUANTILES = (("mfe_r", 0.5, "mfe_median"), ("mfe_r", 0.75, "mfe_p75"), ("mfe_r", 0.9, "mfe_p90"), ("mae_r", 0.5, "mae_median"))
+register("out_05_excursions", excursions, S.with_(*_SIG, _EXC) + "select " + rounding("ticker date direction setup risk_model horizon outcome reason", "mfe_r mae_r") + " from exc")
+_MOVES = ("direction", "setup", "risk_model", "horizon")
 register(
-    "agg_12_grid_summary", lambda s, d: grid(s, d).groupBy("setup", "direction", "target_r", "horizon").agg(F.count("*").alias("n"), F.avg(F.col("outcome").cast("double")).alias("rate"), (F.avg(F.col("outcome").cast("double")) * (1 + F.col("target_r")) - 1).alias("expectancy")),
-    S.with_(*_SIG, _GRID) + "select setup, direction, target_r, horizon, count(*) as n, floor(avg(outcome)*1e6+0.5)/1e6 as rate, floor((avg(outcome)*(1+target_r)-1)*1e6+0.5)/1e6 as expectancy from grid_out group by 1, 2, 3, 4",
-)
-_EXC = f"""{_TOUCH}
-ex as (select *, case when direction = 'Long' then bh >= target else bl <= target end as ht, case when direction = 'Long' then bl <= stop else bh >= stop end as hs, case when direction = 'Long' then 1 else -1 end as sg from fw),
-ex2 as (select *, min(case when ht or hs then k end) over (partition by ticker, date, direction) as xk from ex),
-exc as (select ticker, date, direction, max(sg*(case when sg = 1 then bh else bl end - entry)/risk) as mfe_r, min(sg*(case when sg = 1 then bl else bh end - entry)/risk) as mae_r, coalesce(min(xk), max(k)) as exit_k,
-  coalesce(max(case when k = xk then case when ht and hs then 'both' when hs then 'stop' else 'target' end end), 'timeout') as exit_reason from ex2 where xk is null or k <= xk group by 1, 2, 3)"""
-excursions = lambda s, d: O.excursions(historical(s, d), fixtures.bars(s, d))
-_QUANTILES = (("mfe_r", 0.5, "mfe_median"), ("mfe_r", 0.75, "mfe_p75"), ("mfe_r", 0.9, "mfe_p90"), ("mae_r", 0.5, "mae_median"), ("mae_r", 0.75, "mae_p75"))
-register("out_05_excursions", excursions, S.with_(*_SIG, _EXC) + "select " + rounding("ticker date direction exit_k exit_reason", "mfe_r mae_r") + " from exc")
-register(
-    "agg_11_excursion_summary", lambda s, d: excursions(s, d).groupBy("direction").agg(F.count("*").alias("n"), *(F.expr(f"percentile({c}, {q})").alias(name) for c, q, name in _QUANTILES), F.avg("mfe_r").alias("mfe_mean"), F.avg("mae_r").alias("mae_mean"), F.avg((F.col("exit_reason") == "target").cast("double")).alias("target_rate")),
-    S.with_(*_SIG, _EXC) + "select direction, count(*) as n, " + "".join(f"floor(quantile_cont({c}, {q})*1e6+0.5)/1e6 as {name}, " for c, q, name in _QUANTILES)
-    + "floor(avg(mfe_r)*1e6+0.5)/1e6 as mfe_mean, floor(avg(mae_r)*1e6+0.5)/1e6 as mae_mean, floor(avg(case when exit_reason = 'target' then 1.0 else 0.0 end)*1e6+0.5)/1e6 as target_rate from exc group by 1",
+    "agg_11_excursion_summary", lambda s, d: excursions(s, d).groupBy(*_MOVES).agg(F.count("*").alias("n"), *(F.expr(f"percentile({c}, {q})").alias(name) for c, q, name in _QUANTILES), F.avg("mfe_r").alias("mfe_mean"), F.avg("mae_r").alias("mae_mean"), F.avg(F.col("outcome").cast("double")).alias("hit_rate")),
+    S.with_(*_SIG, _EXC) + f"select {', '.join(_MOVES)}, count(*) as n, " + "".join(f"floor(quantile_cont({c}, {q})*1e6+0.5)/1e6 as {name}, " for c, q, name in _QUANTILES)
+    + f"floor(avg(mfe_r)*1e6+0.5)/1e6 as mfe_mean, floor(avg(mae_r)*1e6+0.5)/1e6 as mae_mean, floor(avg(outcome)*1e6+0.5)/1e6 as hit_rate from exc group by {', '.join(_MOVES)}",
 )
 
 _LAB = (*_SIG, _labels(False))
@@ -116,15 +136,15 @@ register(
     "agg_04_feature_bins", lambda s, d: A.feature_bins(labelled(s, d), ["ticker", "date", "direction"]),
     S.with_(*_LAB, _parts(0.6, 0.75), _BINS) + "select ticker, date, direction, feature, bin from bins where bin is not null",
 )
-register("prt_01_date_split", lambda s, d: A.date_partitions(labelled(s, d)).select("ticker", "date", "direction", "partition"), S.with_(*_LAB, _parts(0.6, 0.75)) + "select ticker, date, direction, partition from parts")
-register("prt_02_other_split", lambda s, d: A.date_partitions(labelled(s, d), 0.5, 0.75).select("ticker", "date", "direction", "partition"), S.with_(*_LAB, _parts(0.5, 0.75)) + "select ticker, date, direction, partition from parts")
+register("prt_01_date_split", lambda s, d: parted(s, d).select("ticker", "date", "direction", "partition"), S.with_(*_LAB, _parts(0.6, 0.75)) + "select ticker, date, direction, partition from parts")
+register("prt_02_other_split", lambda s, d: parted(s, d, 0.5, 0.75).select("ticker", "date", "direction", "partition"), S.with_(*_LAB, _parts(0.5, 0.75)) + "select ticker, date, direction, partition from parts")
 register("prt_05_half_years", lambda s, d: labelled(s, d).groupBy(A.half_year(F.col("date")).alias("half")).agg(F.count("*").alias("n")), S.with_(*_LAB) + "select cast(year(date) as varchar) || case when month(date) <= 6 then '-H1' else '-H2' end as half, count(*) as n from lab group by 1")
-register("agg_32_partition_summary", lambda s, d: A.partition_summary(A.date_partitions(labelled(s, d))), S.with_(*_LAB, _parts(0.6, 0.75)) + "select partition, min(date) as first_date, max(date) as last_date, count(*) as n from parts group by 1")
+register("agg_32_partition_summary", lambda s, d: A.partition_summary(parted(s, d)), S.with_(*_LAB, _parts(0.6, 0.75)) + "select partition, min(date) as first_date, max(date) as last_date, count(*) as n from parts group by 1")
 _RULES = "count(*) filter (where partition = 'Validation') as validation_n, avg(outcome) filter (where partition = 'Validation') as validation_rate, count(*) filter (where partition = 'Holdout') as holdout_n, avg(outcome) filter (where partition = 'Holdout') as holdout_rate"
 for _name, _by, _min in (("agg_06_feature_rules", "", 50), ("agg_07_setup_rules", "setup", 50)):
     _cols = [*_by.split(), "feature", "bin"]
     register(
-        _name, lambda s, d, by=_by.split(), m=_min: A.rule_stats(A.date_partitions(labelled(s, d)), by, m),
+        _name, lambda s, d, by=_by.split(), m=_min: A.rule_stats(parted(s, d), by, m),
         S.with_(*_LAB, _parts(0.6, 0.75), _BINS, f"rules as (select {', '.join(_cols)}, {_RULES} from bins where bin is not null group by {', '.join(_cols)})")
         + f"select {', '.join(_cols)}, validation_n, holdout_n, floor(validation_rate*1e6+0.5)/1e6 as validation_rate, floor(holdout_rate*1e6+0.5)/1e6 as holdout_rate, floor((3*validation_rate-1)*1e6+0.5)/1e6 as validation_expectancy, floor((3*holdout_rate-1)*1e6+0.5)/1e6 as holdout_expectancy from rules where validation_n >= {_min}",
     )
@@ -155,7 +175,9 @@ register(
 
 # Trades and portfolios run on dense series, whose calendars agree with the benchmark's.
 def dense(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return G.quality(historical(s, d, 10)), fixtures.bars(s, d, 10), fixtures.bench(s, d)
+    """Signals, bars and benchmark of the dense series. Bars and benchmark are staged: outcomes use them again beside the signals."""
+    bars, bench = staged(fixtures.dense_bars(s, d), "bars"), staged(fixtures.bench(s, d), "bench")
+    return G.quality(G.historical(indicators.features(bars, bench))), bars, bench
 
 
 def _net(gross: str, days: str) -> str:
@@ -227,7 +249,9 @@ slots as (select date, direction, qc_group, horizon, top_k, portfolio_status, se
 _DAILY = "date direction qc_group horizon top_k selected n", "mean_gross mean_excess mean_net_base mean_net_stress hit_rate"
 _SLOTS = "date direction qc_group horizon top_k portfolio_status selected pending_slots missing_slots n", "slot_coverage mean_gross mean_excess mean_net_base mean_net_stress net_base_per_trade net_hit_rate"
 portfolios = lambda s, d: A.daily_portfolios(fixed(s, d))
-slots = lambda s, d: A.slot_portfolios(fixed(s, d))
+slots = lambda s, d: A.slot_portfolios(staged(fixed(s, d), "fixed"))
+#: The same, written: one row a date, direction, group, horizon and K.
+written_slots = lambda s, d: staged(slots(s, d), "slots")
 register("agg_24_daily_portfolios", portfolios, S.with_(*_DENSE, _FIXED, _FILLED) + f"select {rounding(*_DAILY)} from daily")
 register("agg_25_slot_portfolios", slots, S.with_(*_DENSE, _FIXED, _slots("fx")) + f"select {rounding(*_SLOTS)} from slots")
 _SUM = """sm as (select direction, qc_group, horizon, top_k, count(*) as dates, count(*) filter (where portfolio_status <> 'no_candidates') as active_dates, count(*) filter (where portfolio_status in ('complete', 'no_candidates')) as scorable_dates, count(*) filter (where portfolio_status = 'pending_outcomes') as pending_dates,
@@ -242,6 +266,7 @@ register(
 def traded(s: SparkSession, d: str) -> DataFrame:
     """Simulated trades with the quality groups of their signals."""
     found, bars, bench = dense(s, d)
+    found = staged(found, "signals")
     return O.simulated_trades(found, bars, bench).join(found.select("ticker", "date", "direction", "qc_flagged", "qc_volume").hint("merge"), ["ticker", "date", "direction"])
 
 
@@ -273,14 +298,26 @@ ms_{tag} as (select {", ".join(f"d.{c}" for c in by.split())}, rep, sum(case whe
 ci_{tag} as (select z.*, c.lo, c.hi from sz_{tag} z left join (select {g}, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from ms_{tag} group by {g}) c on {same("z", "c")})"""
 
 
-_BY = "direction qc_group horizon"
+_GROUP = "direction qc_group horizon top_k"
+
+
+def net_results(daily: DataFrame) -> DataFrame:
+    """One row a date, group and cost case (net): v, the mean net result."""
+    cases = F.inline(F.array(*(F.struct(F.lit(c.name).alias("net"), F.col(f"mean_net_{c.name.lower()}").alias("v")) for c in COSTS)))
+    return daily.select("date", *_GROUP.split(), cases)
+
+
+_NETS = "nets as (" + " union all ".join(f"select date, {', '.join(_GROUP.split())}, '{c.name}' as net, mean_net_{c.name.lower()} as v from slots" for c in COSTS) + ")"
 register(
-    "agg_29_bootstrap", lambda s, d: A.bootstrap_interval(slots(s, d).where("top_k = 10"), "mean_net_base", *_BY.split()),
-    S.with_(*_DENSE, _FIXED, _slots("fx"), "ten as (select * from slots where top_k = 10)", _boot_sql("ten", "mean_net_base", _BY, "a")) + "select direction, qc_group, horizon, n, floor(mean*1e6+0.5)/1e6 as mean, floor(lo*1e6+0.5)/1e6 as ci_low, floor(hi*1e6+0.5)/1e6 as ci_high from ci_a",
+    "agg_29_bootstrap", lambda s, d: A.bootstrap_interval(net_results(written_slots(s, d)), "v", *_GROUP.split(), "net"),
+    S.with_(*_DENSE, _FIXED, _slots("fx"), _NETS, _boot_sql("nets", "v", _GROUP + " net", "a")) + f"select {', '.join(_GROUP.split())}, net, n, floor(mean*1e6+0.5)/1e6 as mean, floor(lo*1e6+0.5)/1e6 as ci_low, floor(hi*1e6+0.5)/1e6 as ci_high from ci_a",
 )
-register("agg_30_evidence_gates", lambda s, d: (lambda x: A.evidence_gate(x, A.slot_summary(x)).select("direction", "qc_group", "horizon", "top_k", "scorable_dates", "decision"))(slots(s, d)), S.with_(*_DENSE, _FIXED, _slots("fx"), _SUM, _boot_sql("slots", "mean_net_base", _BY + " top_k", "a"), _boot_sql("slots", "mean_net_stress", _BY + " top_k", "b"))
+register(
+    "agg_30_evidence_gates", lambda s, d: (lambda x: A.evidence_gate(A.bootstrap_interval(net_results(x), "v", *_GROUP.split(), "net"), A.slot_summary(x)).select(*_GROUP.split(), "scorable_dates", "decision"))(written_slots(s, d)),
+    S.with_(*_DENSE, _FIXED, _slots("fx"), _SUM, _boot_sql("slots", "mean_net_base", _GROUP, "a"), _boot_sql("slots", "mean_net_stress", _GROUP, "b"))
     + """select s.direction, s.qc_group, s.horizon, s.top_k, s.scorable_dates, case when scorable_dates < 200 then 'Collecting; need 200 scorable dates under both cost cases' when mean_net_base > 0 and mean_net_stress > 0 and a.lo > 0 and b.lo > 0 then 'Positive under both cost cases; still research-only and requires independent replication'
-    else 'No confirmed positive net edge under both cost cases' end as decision from sm s join ci_a a using (direction, qc_group, horizon, top_k) join ci_b b using (direction, qc_group, horizon, top_k)""")
+    else 'No confirmed positive net edge under both cost cases' end as decision from sm s join ci_a a using (direction, qc_group, horizon, top_k) join ci_b b using (direction, qc_group, horizon, top_k)""",
+)
 _PAN = (*S.BASE, S.PANEL)
 register(
     "agg_22_information_coefficient", lambda s, d: A.information_coefficient(panel(s, d).where("rn > 220"), "raw_mom20", "fwd_excess_5"),

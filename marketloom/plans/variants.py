@@ -13,7 +13,7 @@ from marketloom.operators.outcomes import calendar
 from marketloom.plans import sql as S
 from marketloom.plans.daily import features, historical, quality, rounded
 from marketloom.plans.ledgers import _PROXY, SECTORS
-from marketloom.plans.studies import _CAL, _DENSE, _FIXED, _SIG, _TOUCH, _UNIVERSE, _labels, dense, fixed
+from marketloom.plans.studies import _CAL, _DENSE, _FIXED, _SIG, _TOUCH, _UNIVERSE, _labels, ahead, dense, fixed, labelled
 from marketloom.sources import cleaning as C
 from marketloom.sources import fixtures
 
@@ -35,7 +35,7 @@ def r6(*names: str) -> str:
     return ", ".join(f"{S.half_up(n, 6)} as {n}" for n in names)
 
 
-traded = lambda s, d: M.traded(historical(s, d), fixtures.bars(s, d))
+traded = lambda s, d: M.traded(ahead(s, d), None)
 _VALUES = ", ".join(f"('{v.name}', '{v.kind}', {v.atr!r}, {v.guard!r})" for v in M.VARIANTS)
 _TRADED = f"""{_TOUCH}
 va as (select f.*, v.*, case when direction = 'Long' then 1 else -1 end as sg, atr20_pct*entry as atr from fw f cross join (values {_VALUES}) v(variant, kind, m, guard) where nxt is not null),
@@ -60,8 +60,7 @@ register(
 
 
 def gaps(s: SparkSession, d: str) -> DataFrame:
-    found = historical(s, d)
-    return M.entry_gaps(found, O.first_touch(found, fixtures.bars(s, d), 10, True))
+    return M.entry_gaps(labelled(s, d, reanchor=True))
 
 
 _GAPS = f"""{_labels(True)},
@@ -131,7 +130,7 @@ register(
 )
 register(
     "src_02_wide_bars", lambda s, d: C.long_bars(fixtures.wide_bars(s, d)),
-    S.with_(S.DENSE) + f"select ticker, date, {r6('open', 'high', 'low', 'close', 'volume')} from bars",
+    S.with_(S.WIDE) + f"select ticker, date, {r6('open', 'high', 'low', 'close', 'volume')} from bars",
 )
 register(
     "top_01_stable_order", lambda s, d: quality(s, d).select("ticker", "date", "direction", "setup_score").orderBy("direction", F.desc("setup_score"), "ticker", "date"),
@@ -151,7 +150,7 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
 
 register("set_01_union", chunks, S.with_(*_SIG) + "select ticker, date, direction, setup from signals")
 register(
-    "set_04_date_indexes", lambda s, d: context.date_indexes(fixtures.bars(s, d, 10).where("ticker = '1'"), fixtures.bars(s, d, 10).where("ticker = '2'")),
+    "set_04_date_indexes", lambda s, d: context.date_indexes(fixtures.dense_bars(s, d).where("ticker = '1'"), fixtures.dense_bars(s, d).where("ticker = '2'")),
     S.with_(S.DENSE) + "select date, bool_or(ticker = '1') and bool_or(ticker = '2') as in_both from bars where ticker in ('1', '2') group by 1",
 )
 register(
@@ -166,7 +165,7 @@ _STRENGTH = f"""{_PROXY}, sx as (select ticker as sector, date, close/lag(close,
 tk as (select ticker, date, close/lag(close, 20) over (partition by ticker order by date) - 1 as own20 from bars),
 ss as (select p.ticker, p.date, p.sector, x.ret20 as sector_ret20, t.own20 - x.ret20 as rs_sector_20 from pb p left join sx x on x.sector = p.sector and x.date = p.date left join tk t on t.ticker = p.ticker and t.date = p.date where k = 1),
 sr2 as (select s.ticker, s.date, count(*) filter (where y.ret20 <= s.sector_ret20)/count(y.ret20) as rank_pct from ss s join sx y on y.date = s.date and y.ret20 is not null where s.sector_ret20 is not null group by 1, 2)"""
-strength = lambda s, d: context.sector_strength(context.sector_proxy(fixtures.bars(s, d, 10), fixtures.bench_multi(s, d), SECTORS), fixtures.bars(s, d, 10), fixtures.bench_multi(s, d))
+strength = lambda s, d: context.sector_strength(context.sector_proxy(fixtures.dense_bars(s, d), fixtures.bench_multi(s, d), SECTORS), fixtures.dense_bars(s, d), fixtures.bench_multi(s, d))
 register(
     "ctx_06_sector_strength", strength,
     S.with_(S.DENSE, S.SECTORS, _STRENGTH) + f"select s.ticker, s.date, s.sector, {r6('sector_ret20', 'rs_sector_20')}, {S.half_up('rank_pct', 6)} as sector_rank_pct from ss s left join sr2 r on r.ticker = s.ticker and r.date = s.date",

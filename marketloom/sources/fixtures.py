@@ -35,6 +35,12 @@ def bars(spark: SparkSession, sf_dir: str, tickers: int | None = None) -> DataFr
     return _bars(_days(lines(spark, sf_dir), ticker=key.cast("string")), ["ticker"])
 
 
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with a row on nearly every date: suppliers fold into a tenth as many series (ten at least), so that their number grows with the input."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    return bars(spark, sf_dir, max(10, suppliers // 10))
+
+
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark: the same formulas by date over all suppliers. One row a trading day, which bounds its size."""
     days = _days(lines(spark, sf_dir), symbol=F.lit("SPY"))
@@ -75,8 +81,9 @@ def raw5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("ticker"), F.col("ts").cast("string").alias("ts"), *(price.alias(c) for c in ("open", "high", "low", "close")), F.lit("1").alias("volume"))
 
 
-def bars5m(spark: SparkSession, sf_dir: str, tickers: int = 2) -> DataFrame:
-    """Five-minute bars from events: ticker, ts (local), open, high, low, close, volume."""
+def bars5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars from events: ticker, ts (local), open, high, low, close, volume. Users fold into one series for each 750 customers, two at least."""
+    tickers = max(2, spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 750)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
     slot = F.floor((F.hour("ts") * 60 + F.minute("ts")) * 390 / 1440 / 5).cast("int")
     days = e.groupBy((F.col("user_id") % tickers).cast("string").alias("ticker"), F.to_date("ts").alias("session"), slot.alias("slot")).agg(
