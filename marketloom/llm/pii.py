@@ -41,7 +41,7 @@ def _digest(key: str, *parts: Column | str) -> Column:
 
 def feistel(a: Column, b: Column, p: Column | int, q: Column | int, key: str, kind: str) -> tuple[Column, Column]:
     """A keyed permutation of pairs (a mod p, b mod q)."""
-    p, q = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (p, q))
+    p, q = ((F.lit(x) if isinstance(x, int) else x).cast("long") for x in (p, q))
 
     def turn(state: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -62,7 +62,7 @@ def _once(value: Column, use) -> Column:
 
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
-    """A string of 2 to 19 digits, permuted among those of its length."""
+    """A string of 2 to 36 digits, permuted among those of its length."""
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
     p, q = (F.pow(F.lit(10.0), x).cast("long") for x in (left, n - left))
@@ -117,9 +117,7 @@ def _iban(m: Column, key: str) -> Column:
     def of(plain: Column) -> Column:
         tail = plain.substr(F.lit(5), F.length(plain))
         digits = _digits(tail)
-        # up to 30 digits: two halves, the second tied to the first by its key only through the format
-        half = F.floor(F.length(digits) / 2).cast("int")
-        new = F.concat(permuted_digits(digits.substr(F.lit(1), half), key, "iban-a"), permuted_digits(digits.substr(half + 1, F.length(digits)), key, "iban-b"))
+        new = permuted_digits(digits, key, "iban")
 
         def checked(moved: Column) -> Column:
             zero = F.concat(plain.substr(F.lit(1), F.lit(2)), F.lit("00"), moved)
@@ -155,9 +153,12 @@ def _phone(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         head, own = d.substr(F.lit(1), F.length(d) - 10), F.substring(d, -10, 10)
         area, exchange = own.substr(F.lit(1), F.lit(3)).cast("int"), own.substr(F.lit(4), F.lit(3)).cast("int")
-        a, b = feistel((area - 200) * 800 + exchange - 200, own.substr(F.lit(7), F.lit(4)).cast("long"), 640_000, 10_000, key, "phone")
-        valid = _once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.format_string("%03d%03d%04d", F.floor(s["a"] / 800) + 200, F.pmod(s["a"], F.lit(800)) + 200, s["b"]))
-        return F.concat(head, F.when((area >= 200) & (exchange >= 200), valid).otherwise(permuted_digits(own, key, "phone")))
+        # three sets that are permuted each within itself, so that no two numbers meet: valid numbers, low areas, low exchanges
+        low, short = area < 200, exchange < 200
+        least, exchanges = F.when(low, 0).otherwise(200), F.when(low, 1000).when(short, 200).otherwise(800)
+        first = F.when(low | short, 0).otherwise(200)
+        a, b = feistel((area - least) * exchanges + exchange - first, own.substr(F.lit(7), F.lit(4)).cast("long"), F.when(low, 200).otherwise(800) * exchanges, F.lit(10_000), key, "phone")
+        return F.concat(head, _once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.format_string("%03d%03d%04d", F.floor(s["a"] / exchanges) + least, F.pmod(s["a"], exchanges) + first, s["b"])))
 
     return _refilled(m, _once(_digits(m), of))
 
@@ -197,7 +198,7 @@ def _hex(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local, domain = _digest(key, "local", F.lower(m)), _digest(key, "domain", F.lower(F.split(m, "@")[1]))
-    return F.concat(F.lit("u"), F.substring(local, 1, 12), F.lit("@d"), F.substring(domain, 1, 8), F.lit(".example"))
+    return F.concat(F.lit("u"), F.substring(local, 1, 16), F.lit("@d"), F.substring(domain, 1, 16), F.lit(".example"))
 
 
 def _kind(m: Column) -> Column:

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.sources import files
+from marketloom.sources.staging import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session. A session on one machine that names none (tests) gets a new local one; a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
-
-#: Paths of the tables written in each open scratch(), the innermost last.
-_OPEN: list[list[str]] = []
+#: Paths of the tables written in each open scratch() of this thread of work, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -32,8 +24,9 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if len(_OPEN) > keep:
-        _OPEN[-1 - keep].append(path)
+    scopes = _OPEN.get()
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,13 +34,14 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, what was written within and not kept. What leaves it must be a kept table."""
-    _OPEN.append([])
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _OPEN.reset(token)
+        for path in own:
+            files.delete(spark, path)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import re
 from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.llm import pii
@@ -37,7 +38,7 @@ def plain(m):
     """Pseudonym of a value by plain Python, for the kinds of the tables."""
     digits = re.sub(r"\D", "", m)
     if "@" in m:
-        return f"u{digest(KEY, 'local', m.lower())[:12]}@d{digest(KEY, 'domain', m.lower().split('@')[1])[:8]}.example"
+        return f"u{digest(KEY, 'local', m.lower())[:16]}@d{digest(KEY, 'domain', m.lower().split('@')[1])[:16]}.example"
     if re.fullmatch(r"[0-9a-fA-F]{32,}", m) and (m == m.lower() or m == m.upper()):
         new = (digest(KEY, "hex", m.lower()) + digest(KEY, "hex2", m.lower()))[: len(m)]
         return new if m == m.lower() else new.upper()
@@ -55,10 +56,10 @@ def plain(m):
 
     if "(" in m:
         area, exchange = int(digits[-10:-7]), int(digits[-7:-4])
-        if area >= 200 and exchange >= 200:
-            a, b = feistel((area - 200) * 800 + exchange - 200, int(digits[-4:]), 640_000, 10_000, "phone")
-            return refill(m, digits[:-10] + f"{a // 800 + 200:03d}{a % 800 + 200:03d}{b:04d}")
-        return refill(m, digits[:-10] + permuted(digits[-10:], "phone"))
+        least, most = (0, 200) if area < 200 else (200, 800)
+        first, exchanges = (0, 1000) if area < 200 else (0, 200) if exchange < 200 else (200, 800)
+        a, b = feistel((area - least) * exchanges + exchange - first, int(digits[-4:]), most * exchanges, 10_000, "phone")
+        return refill(m, digits[:-10] + f"{a // exchanges + least:03d}{a % exchanges + first:03d}{b:04d}")
     off = (int(digits[-1]) - luhn(digits[:-1])) % 10
     new = permuted(digits[:-1], "card")
     return refill(m, new + str((luhn(new) + off) % 10))
@@ -101,3 +102,14 @@ def test_permutations(spark):
     assert got.select("x").distinct().count() == got.select("y").distinct().count() == 10_000
     last = date(1900, 1, 1) + timedelta(days=pii._DAYS - 1)
     assert last == date(2099, 12, 31) and got.agg(F.min("y"), F.max("y")).first()[1] <= "2099-12-31"
+
+
+def test_phones_and_accounts_are_permuted_one_to_one(spark):
+    rng = np.random.default_rng(5)
+    numbers = sorted({f"{a:03d}{e:03d}{n:04d}" for a, e, n in zip(rng.integers(0, 1000, 6000).tolist(), rng.integers(0, 1000, 6000).tolist(), rng.integers(0, 3, 6000).tolist(), strict=True)})
+    rows = spark.createDataFrame([(n,) for n in numbers], "n string").withColumn("new", pii._phone(F.col("n"), "k")).collect()
+    valid = lambda n: n[0] >= "2" and n[3] >= "2"
+    assert len({r.new for r in rows}) == len(rows) and all(valid(r.n) == valid(r.new) and (r.n[0] < "2") == (r.new[0] < "2") for r in rows)
+    digits = sorted({"".join(map(str, rng.integers(0, 10, 30))) for _ in range(300)} | {"1" * 15 + f"{i:015d}" for i in range(300)})
+    moved = [r.new for r in spark.createDataFrame([(n,) for n in digits], "n string").withColumn("new", pii.permuted_digits(F.col("n"), "k", "iban")).collect()]
+    assert len(set(moved)) == len(digits) and all(len(m) == 30 for m in moved) and len({m[:15] for m in moved}) == len(digits)  # equal halves don't show
