@@ -1,16 +1,21 @@
-"""Models of a signal's success and of forward returns, on MLlib: features, balanced fits, calibration by time folds, selection and rankings.
+"""Models of a signal's success and of forward returns, on MLlib and our boosted trees: features, balanced fits, calibration by time folds, selection and rankings.
 
 Fits are distributed; the driver holds coefficients, trees and calibration curves only.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -18,14 +23,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import finite, half_up
+from marketloom.operators import boosting
 from marketloom.operators import statistics as A
-from marketloom.sources.delimited import shared_folder
+from marketloom.sources.staging import staged
 
 # Feature lists of the models.
 FIRST = ("setup_score", "rvol20", "vol_accel", "base_days", "breakout_atr", "atr_compression", "trend20", "trend50", "trend200", "rs_spy_20", "tr_atr20", "close_loc", "regime_num")
 BASELINE = ("setup_score", "rvol20", "base_days", "breakout_atr", "atr_compression", "trend20", "trend50", "trend200", "rs_spy_20", "tr_atr20", "regime_num")
 NUMERIC = ("setup_score", "rvol20", "vol_accel", "base_days", "breakout_atr", "atr_compression", "trend20", "trend50", "trend200", "rs_spy_20", "tr_atr20", "close_loc", "base_range_pct", "atr20_pct", "risk_atr", "dv20_log", "gap_pct")
 CATEGORICAL = ("setup", "regime", "trend")
+CONTEXT = (
+    "above_ema20", "above_ema50", "above_ema200", "positive5", "positive20", "median_ret20", "std_ret20", "up_down_volume", "spy_ret1", "spy_ret5", "spy_ret20", "spy_atr20_pct", "spy_tr_atr20", "qqq_ret5", "qqq_ret20", "iwm_ret20",
+    "vix_level", "vix_percentile", "sector_positive", "sector_std_ret20", "sector_median_ret20", "sector_max_ret20", "sector_min_ret20", "sector_correlation", "sector_ret20", "rs_sector_20", "sector_rank_pct",
+)
 RANKING = (
     "ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "ret_60", "ret_120", "ret_252", "excess_1", "excess_3", "excess_5", "excess_10", "excess_20", "excess_60", "ema_dist_20", "ema_dist_50", "ema_dist_200", "ema_slope20_5", "ema_slope50_10",
     "atr20_pct", "atr10_pct", "atr_comp", "vol10", "vol20", "rvol20", "vol_accel", "volume_trend5_20", "dv20_log", "close_loc20", "close_loc60", "dist_high20", "dist_high60", "dist_high252", "dist_low20", "dist_low60", "gap_pct", "intraday_ret", "tr_pct",
@@ -83,16 +93,6 @@ def fit_logistic(rows: DataFrame, label: str, numeric: tuple[str, ...], categori
     return Pipeline(stages=[*_assembled(numeric, categorical, True), model]).fit(x)
 
 
-def fit_boosting(rows: DataFrame, label: str, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = 250, least: int = 40) -> PipelineModel:
-    """Balanced boosted trees of depth 4 at a rate of 0.05 with at least so many rows a leaf; features are binned as histograms.
-
-    Residuals are checkpointed every ten trees in the shared folder, which cuts their growing lineage.
-    """
-    rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=least, maxBins=64, seed=42, checkpointInterval=10)
-    return Pipeline(stages=[*_assembled(numeric, categorical, False), model]).fit(balanced(rows, label))
-
-
 def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...] = RANKING, alpha: float = 25.0) -> PipelineModel:
     """Ridge regression of target on scaled features, with alpha on the sum of squares of the coefficients."""
     x = rows.withColumn("label", F.col(target).cast("double"))
@@ -102,18 +102,24 @@ def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...] = RANKING,
     return Pipeline(stages=[*_assembled(features, (), True), model]).fit(x)
 
 
-def margin(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with margin, the log odds (or, of boosted trees, half of them) that the model gives; none of its helper columns."""
+Model = PipelineModel | boosting.Boosted
+Fit = Callable[[DataFrame], PipelineModel]
+
+
+def margin(model: Model, rows: DataFrame) -> DataFrame:
+    """rows with margin, the log odds that the model gives; none of its helper columns."""
+    if isinstance(model, boosting.Boosted):
+        return rows.withColumn("margin", half_up(model.margin(), MARGIN_DIGITS))
     return model.transform(rows).select(*(F.col(c) for c in rows.columns), half_up(vector_to_array("rawPrediction")[1], MARGIN_DIGITS).alias("margin"))
 
 
-Fit = Callable[[DataFrame], PipelineModel]
+Member = tuple[Model, list[float], list[float]]
 
 
 class Calibrated:
     """Models of expanding time folds, each with a monotone curve from margin to rate fitted on its fold; the probability is their mean."""
 
-    def __init__(self, members: list[tuple[PipelineModel, list[float], list[float]]]):
+    def __init__(self, members: list[Member]):
         self.members = members
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ class Calibrated:
         names, x = rows.columns, rows
         parts = []
         for i, (model, edges, rates) in enumerate(self.members):
-            x = margin(model, x).withColumn(f"_p{i}", _curve(F.col("margin"), edges, rates)).drop("margin")
+            x = margin(model, x).withColumn(f"_p{i}", _curve(edges, rates)("margin")).drop("margin")
             parts.append(F.col(f"_p{i}"))
         total = parts[0]
         for p in parts[1:]:
@@ -129,15 +135,31 @@ class Calibrated:
         return x.select(*names, (total / len(parts)).alias("p"))
 
 
-def _curve(value: Column, edges: list[float], rates: list[float]) -> Column:
-    """Linear interpolation within the curve, constant beyond its ends."""
-    if len(edges) == 1:
-        return F.lit(rates[0])
-    xs, ys = (F.array(*(F.lit(float(v)) for v in values)) for values in (edges, rates))
-    at = F.greatest(F.lit(1), F.least(F.size(F.filter(xs, lambda e: e <= value)), F.lit(len(edges) - 1)))
-    a, b, ya, yb = F.element_at(xs, at), F.element_at(xs, at + 1), F.element_at(ys, at), F.element_at(ys, at + 1)
-    share = F.least(F.greatest((value - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return ya + F.coalesce(share, F.lit(0.0)) * (yb - ya)
+def _curve(edges: list[float], rates: list[float]) -> Callable[[str], Column]:
+    """Linear interpolation within the curve, constant beyond its ends: edges are searched by halves and travel with the function, not in the plan."""
+    xs, ys = np.array(edges, float), np.array(rates, float)
+
+    @F.pandas_udf("double")
+    def rate(value: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(value.to_numpy(dtype=float), xs, ys))
+
+    return rate
+
+
+def _fitted_curve(model: Model, rows: DataFrame, label: str) -> Member:
+    """The model with its isotonic curve on rows; margins are grouped first, so the curve's input is bounded by their range."""
+    table = margin(model, rows).groupBy("margin").agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(table)
+    return model, list(map(float, curve.boundaries)), list(map(float, curve.predictions))
+
+
+def _usable(sizes: dict[tuple[int | None, int], int], folds: int) -> list[int]:
+    """Folds that follow rows of both classes, of the counts by fold and class. Raises ValueError if there is none."""
+    seen = lambda k, y: sum(n for (f, c), n in sizes.items() if c == y and (f is None or f < k))
+    found = [k for k in range(folds) if seen(k, 0) and seen(k, 1) and any(f == k for f, _ in sizes)]
+    if not found:
+        raise ValueError("no fold follows rows of both classes")
+    return found
 
 
 def calibrated(rows: DataFrame, label: str, fit: Fit, folds: int = 5, ties: tuple[str, ...] = ("ticker", "direction")) -> Calibrated:
@@ -147,21 +169,31 @@ def calibrated(rows: DataFrame, label: str, fit: Fit, folds: int = 5, ties: tupl
     raises ValueError if none is left.
     """
     parted = A.time_folds(rows, folds, ties)
-    sizes = {(r.fold, int(r[label])): r["count"] for r in parted.groupBy("fold", label).count().collect()}
-    seen = lambda k, y: sum(n for (f, c), n in sizes.items() if c == y and (f is None or f < k))
-    usable = [k for k in range(folds) if seen(k, 0) and seen(k, 1) and any(f == k for f, _ in sizes)]
-    if not usable:
-        raise ValueError("no fold follows rows of both classes")
+    usable = _usable({(r.fold, int(r[label])): r["count"] for r in parted.groupBy("fold", label).count().collect()}, folds)
 
-    def member(k: int) -> tuple[PipelineModel, list[float], list[float]]:
+    def member(k: int) -> Member:
         model = fit(parted.where(F.col("fold").isNull() | (F.col("fold") < k)).drop("fold"))
-        table = margin(model, parted.where(F.col("fold") == k).drop("fold")).groupBy("margin").agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-        curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(table)
-        return model, list(map(float, curve.boundaries)), list(map(float, curve.predictions))
+        return _fitted_curve(model, parted.where(F.col("fold") == k).drop("fold"), label)
 
     return Calibrated(_side_by_side(member, usable))
 
 
+def calibrated_boosting(groups: dict[str, DataFrame], label: str, sets: dict[str, tuple[str, ...]], categorical: tuple[str, ...], trees: int = 250, least: int = 40, folds: int = 5, ties: tuple[str, ...] = ("ticker", "direction")) -> dict[tuple[str, str], Calibrated]:
+    """Boosted trees calibrated as in calibrated(), for each group of rows and each set of numeric features.
+
+    The folds of all groups are one written table, on which the models of all groups, sets and folds are fitted in the same passes. Raises
+    ValueError for a group of which no fold follows rows of both classes.
+    """
+    table = staged(reduce(DataFrame.unionByName, (A.time_folds(rows, folds, ties).withColumn("_group", F.lit(g)) for g, rows in groups.items())), "folds")
+    counts = table.groupBy("_group", "fold", label).count().collect()
+    usable = {g: _usable({(r.fold, int(r[label])): r["count"] for r in counts if r["_group"] == g}, folds) for g in groups}
+    keys = [(g, name, k) for g in groups for name in sets for k in usable[g]]
+    of = lambda g: F.col("_group") == g
+    models = boosting.fit(table, label, [(of(g) & (F.col("fold").isNull() | (F.col("fold") < k)), sets[name]) for g, name, k in keys], categorical, trees=trees, least=least)
+    members = _side_by_side(lambda i: _fitted_curve(models[i], table.where(of(keys[i][0]) & (F.col("fold") == keys[i][2])), label), list(range(len(keys))))
+    return {(g, name): Calibrated([m for m, key in zip(members, keys, strict=True) if key[:2] == (g, name)]) for g in groups for name in sets}
+
+
 def _side_by_side(work: Callable, items: list) -> list:
     pool = ThreadPool(max(1, min(len(items), 8)))
     try:
@@ -191,36 +223,59 @@ def metrics(scored: DataFrame, label: str, *by: str, fractions: tuple[float, ...
     return out.withColumns({f"top{round(f * 100)}_expectancy": 3 * F.col(f"top{round(f * 100)}_rate") - 1 for f in fractions})
 
 
-Candidates = dict[str, tuple[Fit, tuple[str, ...]]]
+#: Rows to fit on before the validation, and before the holdout.
+STAGES = {"Validation": "partition = 'Train'", "Holdout": "partition in ('Train', 'Validation')"}
+Candidates = dict[str, Callable[[str], Calibrated]]
 
 
-def candidates(trees: int = 250, least: int = 40) -> Candidates:
-    """The models to choose from: name to fit and the columns that it needs."""
+def candidates(rows: DataFrame, boosted: dict[str, Calibrated]) -> Candidates:
+    """The models to choose from: name to what gives the model for scoring a partition. boosted: the boosted model by partition."""
     return {
-        "Logistic V1 Baseline": (lambda r: fit_logistic(r, "outcome", BASELINE), BASELINE),
-        "Logistic V2": (lambda r: fit_logistic(r, "outcome", NUMERIC, CATEGORICAL), NUMERIC + CATEGORICAL),
-        "HistGradientBoosting V2": (lambda r: fit_boosting(r, "outcome", NUMERIC, CATEGORICAL, trees, least), NUMERIC + CATEGORICAL),
+        "Logistic V1 Baseline": lambda part: calibrated(rows.where(STAGES[part]), "outcome", lambda r: fit_logistic(r, "outcome", BASELINE)),
+        "Logistic V2": lambda part: calibrated(rows.where(STAGES[part]), "outcome", lambda r: fit_logistic(r, "outcome", NUMERIC, CATEGORICAL)),
+        "HistGradientBoosting V2": boosted.__getitem__,
     }
 
 
-def selected(rows: DataFrame, models: Candidates, folds: int = 5) -> tuple[str, Calibrated, DataFrame]:
-    """The candidate that is best on validation, fitted again on training and validation rows, with metrics of all on validation and of it on the holdout.
+def selected(rows: DataFrame, models: Candidates) -> tuple[str, Calibrated, DataFrame]:
+    """The candidate that is best on validation, fitted on training and validation rows, with metrics of all on validation and of it on the holdout.
 
     rows: outcome, partition and features. Best: expectancy of the top tenth, then of the top fifth, then the lower Brier score. The holdout is
     looked at once, by the chosen model only. Metrics have model, partition and chosen.
     """
-    part = F.col("partition")
-    found = _side_by_side(lambda m: metrics(calibrated(rows.where(part == "Train"), "outcome", models[m][0], folds).predict(rows.where(part == "Validation")), "outcome").first(), list(models))
+    scored = lambda model, part: metrics(model.predict(rows.where(F.col("partition") == part)), "outcome").first()
+    found = _side_by_side(lambda m: scored(models[m]("Validation"), "Validation"), list(models))
     key = lambda r: (r.top10_expectancy, r.top20_expectancy, -r.brier) if r else (float("-inf"),) * 3
     name = max(zip(models, found, strict=True), key=lambda item: key(item[1]))[0]
-    model = calibrated(rows.where(part != "Holdout"), "outcome", models[name][0], folds)
-    held = metrics(model.predict(rows.where(part == "Holdout")), "outcome").first()
-    table = [(m, "Validation", m == name, r) for m, r in zip(models, found, strict=True)] + [(name, "Holdout", True, held)]
+    model = models[name]("Holdout")
+    table = [(m, "Validation", m == name, r) for m, r in zip(models, found, strict=True)] + [(name, "Holdout", True, scored(model, "Holdout"))]
     fields = ["n", "success_rate", "brier", "auc", *(f"top{k}_{c}" for k in (10, 20, 30) for c in ("rate", "expectancy"))]
     schema = "model string, partition string, chosen boolean, " + ", ".join(f"{f} {'long' if f == 'n' else 'double'}" for f in fields)
     return name, model, rows.sparkSession.createDataFrame([(m, p, c, *(r[f] for f in fields)) for m, p, c, r in table if r], schema)
 
 
+DELTAS = ("auc", "brier", "top10_expectancy", "top20_expectancy")
+
+
+def study_deltas(results: DataFrame) -> DataFrame:
+    """results (direction, feature_set Baseline or Context, model, partition, metrics) with chosen, paired deltas and deltas against the best baseline.
+
+    chosen: the context model of a direction with the highest expectancy of the top tenth on validation, then the lower Brier score. delta_x: the
+    context row's x minus that of the baseline of the same model and partition. best_delta_x, on the chosen model's holdout row: minus that of the
+    baseline with the highest expectancy of the top tenth on the holdout, then the lower Brier score. Null elsewhere. Equal ones: the first name.
+    """
+    context, baseline = F.col("feature_set") == "Context", results.where("feature_set = 'Baseline'")
+    best = lambda x, what: x.groupBy("direction").agg(F.min_by(what, F.struct(-F.col("top10_expectancy"), "brier", "model")).alias("_best"))
+    choice = best(results.where(context & (F.col("partition") == "Validation")), F.col("model")).withColumnRenamed("_best", "_choice")
+    held = best(baseline.where("partition = 'Holdout'"), F.struct(*DELTAS))
+    pairs = baseline.select("direction", "model", "partition", F.struct(*DELTAS).alias("_base"))
+    # one row a direction, and a few a direction
+    x = results.join(F.broadcast(pairs), ["direction", "model", "partition"], "left").join(F.broadcast(choice), "direction", "left").join(F.broadcast(held), "direction", "left")
+    chosen = context & (F.col("model") == F.col("_choice"))
+    x = x.withColumns({"chosen": chosen, **{f"delta_{m}": F.when(context, F.col(m) - F.col(f"_base.{m}")) for m in DELTAS}, **{f"best_delta_{m}": F.when(chosen & (F.col("partition") == "Holdout"), F.col(m) - F.col(f"_best.{m}")) for m in DELTAS}})
+    return x.drop("_base", "_choice", "_best")
+
+
 def ranking_results(scored: DataFrame, score: str, direction: str, top_k: tuple[int, ...] = (10, 20, 40), horizons: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """The best K names of each date by score: by K and horizon n, mean trade return and excess, hit rate and share of the label. Ties by ticker."""
     sign = 1.0 if direction == "Long" else -1.0
@@ -255,13 +310,21 @@ def chosen_ranking(results: DataFrame, *by: str) -> DataFrame:
 
 def save(model: Calibrated, folder: str, about: DataFrame) -> None:
     """Writes the members, their curves, and one JSON row about the model below folder."""
-    spark = about.sparkSession
-    for i, (member, _, _) in enumerate(model.members):
-        member.write().overwrite().save(f"{folder}/member-{i}")
-    spark.createDataFrame([(i, x, y) for i, (_, x, y) in enumerate(model.members)], "member int, edges array<double>, rates array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/curves")
+    spark, rows = about.sparkSession, []
+    for i, (member, edges, rates) in enumerate(model.members):
+        boosted = isinstance(member, boosting.Boosted)
+        if not boosted:
+            member.write().overwrite().save(f"{folder}/member-{i}")
+        rows.append((i, edges, rates, json.dumps(asdict(member)) if boosted else None))
+    spark.createDataFrame(rows, "member int, edges array<double>, rates array<double>, trees string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/curves")
     about.coalesce(1).write.mode("overwrite").json(f"{folder}/about")
 
 
 def load(spark, folder: str) -> Calibrated:
-    curves = spark.read.parquet(f"{folder}/curves").orderBy("member").collect()
-    return Calibrated([(PipelineModel.load(f"{folder}/member-{r.member}"), list(r.edges), list(r.rates)) for r in curves])
+    def member(r) -> Model:
+        if r.trees is None:
+            return PipelineModel.load(f"{folder}/member-{r.member}")
+        x = json.loads(r.trees)
+        return boosting.Boosted(tuple(x["numeric"]), tuple(map(tuple, x["categories"])), x["edges"], [tuple(t) for t in x["trees"]])
+
+    return Calibrated([(member(r), list(r.edges), list(r.rates)) for r in spark.read.parquet(f"{folder}/curves").orderBy("member").collect()])

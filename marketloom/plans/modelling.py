@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import indicators
+from marketloom.operators import boosting, context, indicators
 from marketloom.operators import models as L
 from marketloom.operators import statistics as A
 from marketloom.plans import sql as S
 from marketloom.plans.comparisons import MOMENTUM, momentum
-from marketloom.plans.daily import MIN_DOLLAR_VOLUME, panel, rounded
+from marketloom.plans.daily import MIN_DOLLAR_VOLUME, features, panel, rounded
+from marketloom.plans.ledgers import SECTORS
 from marketloom.plans.studies import _LAB, labelled, parted
-from marketloom.sources.delimited import staged
+from marketloom.sources import fixtures
+from marketloom.sources.staging import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 SIDES = ("Long", "Short")
-#: Trees of the boosted candidate of mod_07, which is fitted for each fold; mod_05 has the full number.
-SELECTION_TREES = 20
 
 
 def register(name: str, query, text: str | None = None) -> None:
@@ -70,16 +72,80 @@ def scores(s: SparkSession, d: str, fit) -> DataFrame:
 
 register("mod_03_logistic", lambda s, d: scores(s, d, lambda r: L.fit_logistic(r, "outcome", L.FIRST)))
 register("mod_04_one_hot_logistic", lambda s, d: scores(s, d, lambda r: L.fit_logistic(r, "outcome", L.NUMERIC, L.CATEGORICAL)))
-# The margin of boosted trees is half of the log odds.
-register("mod_05_boosting", lambda s, d: scores(s, d, lambda r: L.fit_boosting(r, "outcome", L.NUMERIC, L.CATEGORICAL)).withColumn("p", F.pow("p", 2) / (F.pow("p", 2) + F.pow(1 - F.col("p"), 2))))
+
+
+def boosted_scores(s: SparkSession, d: str) -> DataFrame:
+    """As scores(), by boosted trees; both directions are fitted in the same passes."""
+    rows = training(s, d)
+    made = boosting.fit(rows, "outcome", [((F.col("direction") == side) & (F.col("partition") == "Train"), L.NUMERIC) for side in SIDES], L.CATEGORICAL)
+    each = [L.margin(m, rows.where((F.col("direction") == side) & (F.col("partition") != "Train"))) for m, side in zip(made, SIDES, strict=True)]
+    return each[0].unionByName(each[1]).select(*_ROW, "partition", "outcome", (1 / (1 + F.exp(-F.col("margin")))).alias("p"))
+
+
+register("mod_05_boosting", boosted_scores)
 register(
     "mod_06_calibrated",
     lambda s, d: by_side(training(s, d), lambda rows, side: L.calibrated(rows.where("partition = 'Train'"), "outcome", lambda r: L.fit_logistic(r, "outcome", L.FIRST)).predict(rows.where("partition != 'Train'")).select(*_ROW, "partition", "outcome", "p")),
 )
-register(
-    "mod_07_selection",
-    lambda s, d: by_side(training(s, d), lambda rows, side: L.selected(rows, L.candidates(SELECTION_TREES))[2].withColumn("direction", F.lit(side))),
-)
+
+
+def _groups(rows: DataFrame) -> dict[str, DataFrame]:
+    """The rows to fit on for each direction and scored partition."""
+    return {f"{side}|{part}": rows.where(F.col("direction") == side).where(upto) for side in SIDES for part, upto in L.STAGES.items()}
+
+
+def selection(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of the candidates and of the chosen one; the boosted trees of all directions, partitions and folds are fitted in the same passes."""
+    rows = training(s, d)
+    boosted = L.calibrated_boosting(_groups(rows), "outcome", {"V2": L.NUMERIC}, L.CATEGORICAL)
+    return by_side(rows, lambda x, side: L.selected(x, L.candidates(x, {part: boosted[f"{side}|{part}", "V2"] for part in L.STAGES}))[2].withColumn("direction", F.lit(side)))
+
+
+register("mod_07_selection", selection)
+
+
+def enriched(s: SparkSession, d: str) -> DataFrame:
+    """Labelled signals with the context of their date and sector and their partition, complete in all features, written once.
+
+    Tables by date have one row a session, which bounds the broadcasts. Breadth is over all series; the sector proxy is found on the signal's own series.
+    """
+    bars, bench, sectors = fixtures.bars(s, d), fixtures.bench(s, d), fixtures.bench_multi(s, d)
+    proxies = staged(context.sector_proxy(bars, sectors, SECTORS), "proxies")
+    cross = context.sector_cross_section(sectors)
+    level = context.level_percentile(bench.withColumn("v", F.col("high") - F.col("low")), "v")
+    by_date = [
+        context.breadth(features(s, d)).drop("active"),
+        context.benchmark_context(bench, sectors, "S1", "S2"),
+        level.select("date", F.col("level").alias("vix_level"), F.col("percentile").alias("vix_percentile")),
+        cross.select("date", *(F.col(c).alias(f"sector_{c}") for c in cross.columns if c != "date")),
+    ]
+    by_ticker = context.sector_strength(proxies, bars, sectors).drop("sector").join(proxies.select("ticker", "date", F.col("correlation").alias("sector_correlation")).hint("merge"), ["ticker", "date"])
+    x = L.second_features(labelled(s, d)).select(*_ROW, "outcome", *L.NUMERIC, *L.CATEGORICAL)
+    x = reduce(lambda rows, dates: rows.join(F.broadcast(dates), "date"), by_date, x).join(by_ticker.hint("merge"), ["ticker", "date"])
+    x = staged(L.complete(x, L.CONTEXT).select(*_ROW, "outcome", *L.NUMERIC, *L.CATEGORICAL, *L.CONTEXT), "enriched")
+    return staged(A.date_partitions(x), "enriched")
+
+
+def study(s: SparkSession, d: str) -> DataFrame:
+    """Both feature sets with both kinds of model on validation and holdout, for each direction, with deltas."""
+    rows = enriched(s, d)
+    sets = {"Baseline": L.NUMERIC, "Context": L.NUMERIC + L.CONTEXT}
+    groups = _groups(rows)
+    models = {(g, name, "HistGradientBoosting"): m for (g, name), m in L.calibrated_boosting(groups, "outcome", sets, L.CATEGORICAL, least=60).items()}
+    keys = [(g, name) for g in groups for name in sets]
+    linear = L._side_by_side(lambda k: L.calibrated(groups[k[0]], "outcome", lambda r: L.fit_logistic(r, "outcome", sets[k[1]], L.CATEGORICAL)), keys)
+    models |= {(*k, "Logistic"): m for k, m in zip(keys, linear, strict=True)}
+    scored = []
+    for (g, name, kind), model in models.items():
+        side, part = g.split("|")
+        x = model.predict(rows.where((F.col("direction") == side) & (F.col("partition") == part)))
+        scored.append(x.select("direction", "partition", F.lit(name).alias("feature_set"), F.lit(kind).alias("model"), "outcome", "p"))
+    table = staged(reduce(DataFrame.unionByName, scored), "scored")
+    results = L.metrics(table, "outcome", "direction", "feature_set", "model", "partition", fractions=(0.05, 0.10, 0.20, 0.30))
+    return L.study_deltas(staged(results, "study"))
+
+
+register("mod_08_feature_set_study", study)
 
 
 def eligible(s: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.operators import boosting
 from marketloom.operators import models as L
 from marketloom.operators import statistics as A
 from marketloom.sources.delimited import read_csv
@@ -64,6 +65,102 @@ def test_calibrated_models_are_monotone_and_return_from_disk(table, spark, tmp_p
     assert before == after
 
 
+def test_calibrated_boosting_shares_folds_and_returns_from_disk(table, spark, tmp_path):
+    df = table[0]
+    groups = {"all": df, "early": df.where("i < 400")}
+    made = L.calibrated_boosting(groups, "outcome", {"one": ("x1",), "three": ("x1", "x2", "x3")}, ("kind",), trees=4, least=20, folds=2)
+    assert set(made) == {(g, n) for g in groups for n in ("one", "three")} and all(len(m.members) == 2 for m in made.values())
+    alone = L.calibrated_boosting({"early": groups["early"]}, "outcome", {"one": ("x1",)}, ("kind",), trees=4, least=20, folds=2)["early", "one"]
+    model = made["all", "three"]
+    before = [r.p for r in model.predict(df).orderBy("i").collect()]
+    assert len(set(before)) > 3 and all(0 <= p <= 1 for p in before)
+    parted = A.time_folds(groups["early"], 2, ("ticker", "direction"))
+    folds = [F.col("fold").isNull(), F.col("fold").isNull() | (F.col("fold") < 1)]
+    assert [m[0] for m in alone.members] == boosting.fit(parted, "outcome", [(c, ("x1",)) for c in folds], ("kind",), trees=4, least=20)
+    L.save(model, f"file://{tmp_path}/b", spark.createDataFrame([("Long", 600)], "direction string, n int"))
+    assert before == [r.p for r in L.load(spark, f"file://{tmp_path}/b").predict(df).orderBy("i").collect()]
+
+
+def test_curve_is_a_lookup_outside_the_plan(spark):
+    edges = [i / 7 for i in range(5000)]
+    rates = [i / 5000 for i in range(5000)]
+    rows = spark.createDataFrame([(-1.0,), (0.0,), (1.5,), (700.0,), (9999.0,)], "margin double")
+    x = rows.select("margin", L._curve(edges, rates)("margin").alias("p"))
+    assert len(x._jdf.queryExecution().toString()) < 5000
+    assert np.allclose([r.p for r in x.collect()], np.interp([-1.0, 0.0, 1.5, 700.0, 9999.0], edges, rates))
+    assert [r.p for r in rows.select(L._curve([0.5], [0.3])("margin").alias("p")).collect()] == [0.3] * 5
+
+
+class _Known:
+    """A model whose probabilities are a column of the rows."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def predict(self, rows):
+        return rows.withColumn("p", F.col(self.column))
+
+
+def test_selection_is_by_validation_alone(spark):
+    rows = [(part, y, good, 1 - good) for part, good, y in [("Validation", i / 20, int(i >= 10)) for i in range(20)] + [("Holdout", i / 20, int(i < 10)) for i in range(20)]]
+    df = spark.createDataFrame(rows, "partition string, outcome int, up double, down double")
+    asked = []
+    models = {name: lambda part, c=c, name=name: asked.append((name, part)) or _Known(c) for name, c in (("worse", "down"), ("better", "up"))}
+    name, model, table = L.selected(df, models)
+    assert name == "better" and model.column == "up" and sorted(asked) == [("better", "Holdout"), ("better", "Validation"), ("worse", "Validation")]
+    found = {(r.model, r.partition): (r.chosen, r.top10_expectancy, r.auc) for r in table.collect()}
+    assert found == {("worse", "Validation"): (False, -1.0, 0.0), ("better", "Validation"): (True, 2.0, 1.0), ("better", "Holdout"): (True, -1.0, 0.0)}
+
+
+def test_study_deltas_by_hand(spark):
+    names = "direction feature_set model partition auc brier top10_expectancy top20_expectancy".split()
+    cells = [
+        ("Long", "Baseline", "A", "Validation", 0.50, 0.30, 0.1, 0.1), ("Long", "Baseline", "B", "Validation", 0.52, 0.29, 0.2, 0.1),
+        ("Long", "Context", "A", "Validation", 0.55, 0.28, 0.5, 0.2), ("Long", "Context", "B", "Validation", 0.60, 0.20, 0.5, 0.3),
+        ("Long", "Baseline", "A", "Holdout", 0.51, 0.31, 0.4, 0.2), ("Long", "Baseline", "B", "Holdout", 0.53, 0.27, 0.1, 0.0),
+        ("Long", "Context", "A", "Holdout", 0.70, 0.10, 0.9, 0.9), ("Long", "Context", "B", "Holdout", 0.54, 0.26, 0.3, 0.1),
+    ]
+    found = {(r.feature_set, r.model, r.partition): r for r in L.study_deltas(spark.createDataFrame(cells, names)).collect()}
+    assert [k for k, r in found.items() if r.chosen] == [k for k in found if k[:2] == ("Context", "B")] and len(found) == 8
+    r = found["Context", "B", "Holdout"]
+    assert np.allclose([r.delta_auc, r.delta_brier, r.delta_top10_expectancy, r.best_delta_auc, r.best_delta_brier, r.best_delta_top10_expectancy, r.best_delta_top20_expectancy], [0.01, -0.01, 0.2, 0.03, -0.05, -0.1, -0.1])
+    assert all(r.delta_auc is None for k, r in found.items() if k[0] == "Baseline") and sum(r.best_delta_auc is not None for r in found.values()) == 1
+
+
+@pytest.fixture(scope="module")
+def ranked(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"2021-01-{d:02d}", f"t{i}", *(float(v) for v in rng.normal(size=6).round(3)), *(float(v) for v in rng.normal(size=4).round(3)), bool(i % 2), bool(i % 3)) for d in range(1, 15) for i in range(12)]
+    fields = "date string, ticker string, model double, momentum double, fwd_ret_1 double, fwd_ret_3 double, fwd_ret_5 double, fwd_ret_10 double, fwd_excess_1 double, fwd_excess_3 double, fwd_excess_5 double, fwd_excess_10 double, top_quintile boolean, bottom_quintile boolean"
+    return spark.createDataFrame(rows, fields)
+
+
+@pytest.mark.parametrize(("direction", "sign", "label"), [("Long", 1, "top_quintile"), ("Short", -1, "bottom_quintile")])
+def test_ranking_results_are_the_plain_means(ranked, direction, sign, label):
+    x = ranked.toPandas().sort_values(["date", "model", "ticker"], ascending=[True, False, True])
+    for r in L.ranking_results(ranked, "model", direction, top_k=(3, 40), horizons=(1, 5)).collect():
+        best = x.groupby("date").head(r.top_k)
+        got = (r.n, r.trade_return, r.trade_excess, r.hit_rate, r.label_rate)
+        assert np.allclose(got, (len(best), (sign * best[f"fwd_ret_{r.horizon}"]).mean(), (sign * best[f"fwd_excess_{r.horizon}"]).mean(), (sign * best[f"fwd_ret_{r.horizon}"] > 0).mean(), best[label].mean()))
+
+
+def test_paired_interval_is_about_the_plain_difference(ranked):
+    x = ranked.toPandas()
+    daily = {c: x.sort_values(["date", c, "ticker"], ascending=[True, False, True]).groupby("date").head(3).groupby("date")["fwd_excess_5"].mean() for c in ("model", "momentum")}
+    want = {**daily, "model_minus_momentum": daily["model"] - daily["momentum"]}
+    rows = {r.ranking: r for r in L.paired_interval(ranked, "model", "momentum", "Long", top_k=3, reps=200).collect()}
+    assert set(rows) == set(want)
+    for name, series in want.items():
+        r = rows[name]
+        assert r.n == 14 and math.isclose(r["mean"], series.mean(), abs_tol=1e-6) and series.min() <= r.ci_low <= r["mean"] <= r.ci_high <= series.max()
+
+
+def test_chosen_ranking_breaks_ties_by_hit_rate(spark):
+    rows = [("Long", "model", 0.01, 0.5), ("Long", "momentum", 0.01, 0.6), ("Short", "model", 0.02, 0.1), ("Short", "momentum", 0.01, 0.9)]
+    found = L.chosen_ranking(spark.createDataFrame(rows, "direction string, ranking string, trade_excess double, hit_rate double"), "direction").collect()
+    assert {(r.direction, r.ranking) for r in found} == {("Long", "momentum"), ("Short", "model")}
+
+
 def test_no_fold_with_both_classes_is_an_error(table):
     with pytest.raises(ValueError):
         L.calibrated(table[0].where("outcome = 1"), "outcome", lambda r: L.fit_logistic(r, "outcome", ("x1",)))
