@@ -39,7 +39,8 @@ def level_percentile(series: DataFrame, value: str, sessions: int = 252, least:
 def sector_proxy(bars: DataFrame, sectors: DataFrame, symbols: list[str], sessions: int = 60, least: int = 40) -> DataFrame:
     """The sector whose daily returns correlate most with each ticker's over its last `sessions` bars: ticker, date, sector, correlation.
 
-    All correlations are columns of one window; ties go to the first symbol.
+    All correlations are columns of one window; ties go to the first symbol. A sector without a correlation, as one of the two series doesn't move,
+    takes no part; sector and correlation are null if none is left.
     """
     s = Window.partitionBy("symbol").orderBy("date")
     returns = sectors.withColumn("r", F.col("close") / F.lag("close").over(s) - 1).groupBy("date").pivot("symbol", symbols).agg(F.first("r"))
@@ -47,7 +48,9 @@ def sector_proxy(bars: DataFrame, sectors: DataFrame, symbols: list[str], sessio
     for c in symbols:
         x = x.where(F.col(c).isNotNull())
     w = by_ticker().rowsBetween(-(sessions - 1), 0)
-    each = F.array(*(F.struct(F.corr("r", c).over(w).alias("c"), F.lit(-i).alias("first"), F.lit(c).alias("sector")) for i, c in enumerate(symbols)))
+    deviation = lambda c: F.stddev_pop(F.when(F.col("r").isNotNull(), F.col(c))).over(w)
+    corr = lambda c: F.covar_pop("r", c).over(w) / F.nullif(deviation("r") * deviation(c), F.lit(0.0))
+    each = F.array(*(F.struct(corr(c).alias("c"), F.lit(-i).alias("first"), F.lit(c).alias("sector")) for i, c in enumerate(symbols)))
     x = x.withColumns({"_n": F.count("r").over(w), "_best": F.array_max(F.filter(each, lambda e: e["c"].isNotNull() & ~F.isnan(e["c"])))})
     return x.where(F.col("_n") >= least).select("ticker", "date", F.col("_best.sector").alias("sector"), F.col("_best.c").alias("correlation"))
 

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import outcomes, statistics
+from marketloom.operators import context, outcomes, statistics
 from marketloom.params import COSTS
 from marketloom.sources import universe
 
@@ -61,3 +61,13 @@ def test_bootstrap_needs_enough_dates(spark):
     for n, known in ((19, False), (40, True)):
         daily = spark.createDataFrame([(date.fromordinal(738_000 + i), 0.01 * (i % 5)) for i in range(n)], "date date, v double")
         assert (statistics.bootstrap_interval(daily, "v", reps=50).first().ci_low is not None) == known
+
+
+def test_sector_proxy_of_series_that_stand_still(spark):
+    days = [f"2020-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in range(1, 26)]
+    up = lambda i, k: 100.0 + (i * k) % 7
+    bars = spark.createDataFrame([(t, d, 5.0 if t == "still" else up(i, 3)) for t in ("still", "moves") for i, d in enumerate(days)], "ticker string, date string, close double")
+    sectors = spark.createDataFrame([(x, d, up(i, k) if k else 9.0) for x, k in (("A", 0), ("B", 5), ("C", 3)) for i, d in enumerate(days)], "symbol string, date string, close double")
+    found = context.sector_proxy(bars, sectors, ["A", "B", "C"]).collect()
+    assert {(r.ticker, r.sector) for r in found} == {("still", None), ("moves", "C")}
+    assert all(abs(r.correlation - 1) < 1e-9 if r.sector else r.correlation is None for r in found)
