@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Blocks inside navigation, headers
 sidebars, forms, notices, adverts and reader comments are removed by their markup. All others are classified twice: the first pass
 decides by length, link density and stop-word density; headings, short blocks and others that it leaves open then inherit
 the label of their nearest decided neighbours, on both sides. Blocks of an article element have each other as
-neighbours, and what stands outside of one is text only between two blocks that are.
+neighbours, and what stands outside of one is text only between two blocks that are. Within an article a long block of
+links is boilerplate as well, but few stop words only leave a block open: no list of words covers every language.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ STOP_WORDS = frozenset(
 )
 
 #: Thresholds of the first pass, in characters and shares of words.
-SHORT, LONG, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.4, 0.12, 0.22
+SHORT, LONG, MAX_LINKS, LOW_STOPS, HIGH_STOPS = 70, 200, 0.4, 0.06, 0.22
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -161,8 +162,10 @@ def _first_pass(b: _Block, has_body: bool) -> str:
     words = [w.lower() for w in _WORD.findall(b.text)]
     links, n = b.links / max(1, len(b.text)), len(b.text)
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if b.inside == "body":  # in an article links and rare words leave a block open, but do not make it boilerplate
-        return "good" if n >= SHORT and links <= MAX_LINKS and stops >= LOW_STOPS else "short" if n < SHORT else "near"
+    if b.inside == "body":
+        if n < SHORT:
+            return "short"
+        return "bad" if links > MAX_LINKS else "good" if stops >= LOW_STOPS else "near"
     if has_body:
         return "short" if n < LONG else "near"
     if links > MAX_LINKS or "©" in b.text:
@@ -197,7 +200,7 @@ def _second_pass(found: list[_Block], first: list[str]) -> list[bool]:
         elif b.kind in _HEADINGS:
             out.append(near_q in ("good", "near") or (near_q is None and p == "good"))
         elif x == "near":
-            out.append("good" in (p, q) or (p is None and q is None))
+            out.append("good" in (p, q) or (p is None and q is None) or (b.inside == "body" and None in (p, q)))
         elif p == q or None in (p, q):
             out.append((p or q) != "bad")
         else:  # between text and boilerplate: the side of what leans to text
