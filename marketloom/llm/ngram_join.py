@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.arrays import U64, mix, slices, span_hashes
+from marketloom.llm.bitmaps import may_hold
 from marketloom.llm.components import connected_components
 from marketloom.llm.storage import scratch, written
 
@@ -365,6 +366,8 @@ def verified(docs: DataFrame, wanted: DataFrame, size: int, percent: int, pairs:
     sums = wanted.agg(F.sum(F.size("blocks") * F.col("n")).alias("grams"), F.sum(F.size("blocks") * 8 + 40).alias("bytes")).first()
     groups = max(1, (sums.grams or 0) // TASK_GRAMS)
     how = "broadcast" if (sums.bytes or 0) <= BROADCAST_BYTES else "shuffle_hash"
+    if how == "shuffle_hash":  # texts of documents without a candidate stay where they are
+        docs = docs.where(may_hold(wanted, "id")(F.col("doc_id")))
     chosen = docs.join(wanted.withColumnRenamed("id", "doc_id").hint(how), "doc_id")
     sets = _whole_sets(chosen, size).select(F.explode("blocks").alias("block"), "id", "chunk", "weight", "members")
     sets = sets.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
@@ -433,18 +436,21 @@ class _Join:
         self.rank = docs.sparkSession.sparkContext.broadcast(ranks(sketch_frequencies(self.docs, size, width)))
         base = written(prefixes(self.docs, size, percent, self.rank), "prefixes")
         full = base.where("n > 0")
-        first = full.groupBy("signature").agg(F.min("doc_id").alias("representative"))
-        members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(first.hint("merge"), "signature", "left")
+        sets = full.groupBy("signature").agg(F.min("doc_id").alias("representative"), F.count("*").alias("rows"))
+        repeated = written(sets.where("rows > 1").drop("rows"), "repeated")
+        members = base.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "signature").join(repeated.hint("merge"), "signature", "left")
         self.members = written(members.select("doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative")), "members")
-        by_set = full.groupBy("signature").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "c0", "c1", "prefix")))
-        self.classes = written(by_set.drop("signature"), "classes")
+        # a set that stands once is a class as it is, so its prefix need not travel
+        again = may_hold(repeated, "signature")(F.col("signature"))
+        by_set = full.where(again).groupBy("signature").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "c0", "c1", "prefix")))
+        self.classes = full.where(~again).select(F.col("doc_id").alias("id"), "n", "c0", "c1", "prefix").unionByName(written(by_set.drop("signature"), "classes"))
         grams = self.classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
         self.buckets = max(1, grams // BUCKET_POSTINGS)
 
     def anchored(self) -> DataFrame:
         """Classes that have a candidate: id, n, c0, c1, prefix, anchor, chunk."""
         anchor = written(_anchors(postings(self.classes, self.rank, self.buckets, self.hot), self.percent), "anchors")
-        near = self.classes.join(anchor.hint("merge"), "id")
+        near = self.classes.where(may_hold(anchor, "id")(F.col("id"))).join(anchor.hint("merge"), "id")
         chunks = near.groupBy("anchor").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SET))) / CHUNK_GRAMS).alias("chunks"))
         near = near.join(chunks.hint("merge"), "anchor")
         return written(near.withColumn("chunk", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), "chunks"))).drop("chunks"), "anchored")

@@ -67,3 +67,12 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect())
     assert got == [(1, 58, 1, 1), (1, 58, 1, 1), (2, 59, 1, 1), (3, 2, 3, 0)]
     assert sorted(tuple(r) for r in jaccard_components(docs, 3, 90).collect()) == [t[:3] for t in got]
+
+
+def test_texts_joined_by_a_shuffle_give_the_same_links(spark, sf_small, monkeypatch):
+    from marketloom.llm import ngram_join
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    wanted = sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect())
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect()) == wanted and any(r[3] for r in wanted)
