@@ -1,6 +1,6 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets
+A document's set holds the 64-bit hashes of its distinct word n-grams (verification compares their upper 48 bits). Documents with equal sets
 form one class, of which only the representative (smallest id) is joined:
 
 1. a count sketch of fixed width estimates every n-gram's document frequency over all documents;
@@ -310,14 +310,29 @@ def _blocks(met: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("bucket").applyInArrow(meet, "id long, block long, chunk long")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set as the differences of its hashes' upper 48 bits, byte by byte of all: the zero bytes compress in a shuffle."""
+    steps = np.diff(s >> U64(16), prepend=U64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    """The upper 48 bits of a packed set's hashes, sorted; as many as it had, also where two of them agree."""
+    n = len(data) // 6
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, :6] = np.frombuffer(data, np.uint8).reshape(6, n).T
+    return np.cumsum(steps.view(U64)[:, 0], dtype=U64)
+
+
 def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, chunk, weight, blocks and members (the whole set) of docs(doc_id, text, chunk, weight, blocks)."""
+    """id, chunk, weight, blocks and members (the whole set, packed) of docs(doc_id, text, chunk, weight, blocks)."""
 
     def build(batches):
         for batch in batches:
             for part, data, at in slices(batch):
                 get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
-                members = pa.array([s.tobytes() for s in shingle_sets(data, at, size)], pa.binary())
+                members = pa.array([_packed(s) for s in shingle_sets(data, at, size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([get("doc_id").cast(pa.int64()), get("chunk"), get("weight"), get("blocks"), members], ["id", "chunk", "weight", "blocks", "members"])
 
     return docs.select("doc_id", "text", "chunk", "weight", "blocks").mapInArrow(build, "id long, chunk long, weight long, blocks array<long>, members binary")
@@ -383,7 +398,7 @@ def verified(docs: DataFrame, wanted: DataFrame, size: int, percent: int, pairs:
             if len(own) < 2:
                 continue
             cut = int(np.searchsorted(chunk[own], chunk[own[0]], "right")) % len(own)
-            sets = [np.frombuffer(members[r].as_buffer(), U64) for r in own.tolist()]
+            sets = [_unpacked(members[r].as_buffer()) for r in own.tolist()]
             x, y = _similar_pairs(sets, cut, percent)
             x, y = ids[own][x], ids[own][y]
             x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]

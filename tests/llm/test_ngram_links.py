@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm.ngram_join import _roots, _similar_pairs, jaccard_components, jaccard_join, jaccard_links
+from marketloom.llm.ngram_join import _packed, _roots, _similar_pairs, _unpacked, jaccard_components, jaccard_join, jaccard_links
 
 
 def shingles(text, size):
@@ -76,3 +76,11 @@ def test_texts_joined_by_a_shuffle_give_the_same_links(spark, sf_small, monkeypa
     wanted = sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect())
     monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
     assert sorted(tuple(r) for r in jaccard_join(docs, 3, 90).collect()) == wanted and any(r[3] for r in wanted)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 200_000])
+def test_packed_sets_keep_the_upper_bits(n):
+    rng = np.random.default_rng(n)
+    s = np.unique(np.concatenate([rng.integers(0, 2**64, n, np.uint64), np.array([0, 1, 2**64 - 1] if n > 2 else [], np.uint64)]))
+    packed = _packed(s)
+    assert len(packed) == 6 * len(s) and (_unpacked(packed) == s >> np.uint64(16)).all() and len(_unpacked(packed)) == len(s)
