@@ -5,6 +5,9 @@ tasks, reduces them by (model, node), and sends home one split a node. Trees gro
 reach by what is known so far, of all models at once, so a tree takes about as many passes as it is deep, however many models there are.
 This is the imperative loop over partitions for which the blocks are an RDD: planning a query a pass would take longer than the pass.
 
+A pass costs two small jobs, however few its rows. So a model of at most WHOLE rows, a bounded share of a task's memory, gets its rows into one task
+that makes the same passes by itself; models side by side. Larger ones are passed over in blocks. Both ways give the same trees.
+
 Sums are whole numbers (gradients in units of 2^-20), so that trees don't depend on the order in which tasks end. The driver holds edges, trees
 and the best splits, whose size is set by parameters. Margins are checkpointed every CUT trees, which bounds what a lost executor costs.
 """
@@ -29,6 +32,10 @@ from marketloom.sources.staging import new_path, shared_folder
 BINS = 64
 #: Trees between two checkpoints of the margins.
 CUT = 10
+#: Rows of a model that one task may hold; larger models stay in blocks of all tasks.
+WHOLE = 1 << 18
+#: Rows that are added up at a time within such a task.
+CHUNK = 1 << 14
 #: Units of gradients and hessians.
 UNIT = float(1 << 20)
 
@@ -154,6 +161,32 @@ def _moved(blocks: Iterator, trees: list) -> Iterator:
         yield bins, y, member, margins
 
 
+def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int, rate: float, leaves: int, least: int, l2: float) -> Iterator:
+    """(model, trees as arrays) of the one model whose (model, (bins, y)) this partition holds."""
+    parts = list(rows)
+    if not parts:
+        return
+    model = parts[0][0]
+    bins, y = (np.concatenate([p[1][c] for p in parts]) for c in (0, 1))
+    cuts = range(0, len(y), CHUNK)
+    blocks = [(bins[a : a + CHUNK], y[a : a + CHUNK], np.ones((len(y[a : a + CHUNK]), 1), bool), np.zeros((len(y[a : a + CHUNK]), 1))) for a in cuts]
+    out = []
+    for _ in range(trees):
+        tree = Growing()
+        while True:
+            taken, need = tree.next(leaves, least)
+            if not need:
+                break
+            for (_, node), sums in _measured(blocks, [(0, tree.arrays(taken), need)], weights[model : model + 1]):
+                tree.known[node], tree.totals[node] = _best(sums, allowed[model], least, l2)
+            for node in need:
+                tree.known.setdefault(node, Split(0.0))
+        made = tree.arrays(taken, rate, l2)
+        out.append(tuple(a.tolist() for a in made))
+        blocks = list(_moved(blocks, [(0, made)]))
+    yield model, out
+
+
 @dataclass
 class Boosted:
     """Trees over columns: their features, known categories, edges by feature, and trees as arrays. Plain values, so it can be pickled and written as JSON."""
@@ -193,8 +226,8 @@ def _edges(rows: DataFrame, numeric: tuple[str, ...]) -> list[np.ndarray]:
     return [np.unique(np.array(e if e is not None else [0.0], float)) for e in found]
 
 
-def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]], categorical: tuple[str, ...] = (), trees: int = 250, rate: float = 0.05, leaves: int = 15, least: int = 40, l2: float = 1.0) -> list[Boosted]:
-    """One model for each (condition for its training rows, its numeric features), all in the same passes.
+def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]], categorical: tuple[str, ...] = (), trees: int = 250, rate: float = 0.05, leaves: int = 15, least: int = 40, l2: float = 1.0, whole: int = WHOLE) -> list[Boosted]:
+    """One model for each (condition for its training rows, its numeric features), side by side: those of at most `whole` rows in a task each, the others in the same passes.
 
     rows: a label of 0 and 1 and features without nulls; rows that no model trains on are left out, also of the bins' edges, which all models
     share. The classes of a model's rows weigh the same. A model without rows of both classes has trees without splits and a margin of 0.
@@ -229,14 +262,34 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]
     def arrays(r) -> tuple:
         return np.frombuffer(r.bins, np.uint8).reshape(r.n, -1), np.frombuffer(r.y, np.int8), np.frombuffer(r.member, np.uint8).reshape(r.n, m).astype(bool), np.zeros((r.n, m))
 
+    small = sizes.sum(axis=1) <= whole
+    place = {int(i): k for k, i in enumerate(np.flatnonzero(both[:, 0] & small))}
+    out = [[] for _ in models]
+
+    def own(r) -> Iterator:
+        bins, label, members, _ = arrays(r)
+        for i in place:
+            at = np.flatnonzero(members[:, i])
+            if len(at):
+                yield i, (bins[at], label[at])
+
+    if place:
+        apart = spark.read.schema(schema).parquet(path).rdd.flatMap(own).partitionBy(len(place), place.__getitem__)
+        for i, made in apart.mapPartitions(lambda b: _grown(b, allowed, weights, trees, rate, leaves, least, l2)).collect():
+            out[i] = made
+    passed = both[:, 0] & ~small
+    if not passed.any():
+        files.delete(spark, path)
+        stump = [tuple(a.tolist() for a in Growing().arrays([], rate, l2)) for _ in range(trees)]
+        return [Boosted(numeric, categories, [e.tolist() for e in edges], trees_of or stump) for trees_of in out]
     sc.setCheckpointDir(shared_folder(spark))
     state = spark.read.schema(schema).parquet(path).rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
-    older, cuts, out = None, [], [[] for _ in models]
+    older, cuts = None, []
     for t in range(trees):
         growing = [Growing() for _ in models]
         while True:
             steps = [g.next(leaves, least) for g in growing]
-            plan = [(i, growing[i].arrays(taken), need) for i, (taken, need) in enumerate(steps) if need and both[i, 0]]
+            plan = [(i, growing[i].arrays(taken), need) for i, (taken, need) in enumerate(steps) if need and passed[i]]
             if not plan:
                 break
             measured = state.mapPartitions(lambda b, plan=plan: _measured(b, plan, weights)).reduceByKey(np.add)
@@ -251,10 +304,11 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]
                 older = None
         made = [g.arrays(steps[i][0], rate, l2) for i, g in enumerate(growing)]
         for i, tree in enumerate(made):
-            out[i].append(tuple(a.tolist() for a in tree))
+            if i not in place:
+                out[i].append(tuple(a.tolist() for a in tree))
         if t + 1 == trees:
             break
-        shift = [(i, tree) for i, tree in enumerate(made) if both[i, 0]]
+        shift = [(i, tree) for i, tree in enumerate(made) if passed[i]]
         older, state = state, state.mapPartitions(lambda b, shift=shift: _moved(b, shift)).persist(StorageLevel.MEMORY_AND_DISK)
         if (t + 1) % CUT == 0:
             state.checkpoint()

@@ -89,3 +89,16 @@ def test_one_class_or_no_rows_give_margin_0(table):
     assert [r.m for m in made for r in df.limit(3).select(m.margin().alias("m")).collect()] == [0.0] * 6
     empty = B.fit(df.where("i < 0"), "outcome", [(F.lit(True), ("x1",))], ("kind",), trees=2)
     assert [r.m for r in df.limit(2).select(empty[0].margin().alias("m")).collect()] == [0.0, 0.0]
+
+
+def test_models_in_one_task_are_those_of_the_passes_and_need_few_jobs(table, spark):
+    df = table[0]
+    models = [(F.col("i") < 300, ("x1", "x2")), (F.lit(True), ("x2", "x3")), (F.col("outcome") == 1, ("x1",))]
+    passed = B.fit(df, "outcome", models, ("kind",), trees=5, leaves=6, least=15, whole=0)
+    mixed = B.fit(df, "outcome", models, ("kind",), trees=5, leaves=6, least=15, whole=300)
+    spark.sparkContext.setJobGroup("alone", "small models")
+    alone = B.fit(df, "outcome", models, ("kind",), trees=5, leaves=6, least=15)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("alone")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert alone == passed == mixed
+    assert len(jobs) < 15  # the passes of 5 trees alone take more
