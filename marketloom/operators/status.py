@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marketloom.operators import signals as G
@@ -34,8 +34,7 @@ def scan(features: DataFrame, caps: DataFrame, path: str, min_price: float, min_
     seen = {k: Observation(k) for k in every}
     count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
     caps = caps.observe(seen["universe"], F.count(F.lit(1)).alias("universe_size"))
-    last = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
-    rows = features.withColumn("_last", last).where("_last = 1").drop("_last")
+    rows = G.last_bars(features)
     priced = F.col("close") >= min_price
     liquid = priced & (F.col("dv20") >= min_dollar_volume)
     rows = rows.observe(seen["bars"], F.max("date").cast("string").alias("signal_date"), F.max_by("regime", "date").alias("regime"), F.count(F.lit(1)).alias("symbols_with_bars"), count(priced, "priced"), count(liquid, "liquid"))

@@ -1,5 +1,6 @@
 """Inputs that the derived tables do not hold: long series, caps that are no numbers, symbols with blanks."""
 
+import datetime
 import math
 
 from pyspark.sql import functions as F
@@ -35,3 +36,14 @@ def test_symbols_are_trimmed_before_the_first_is_kept(spark):
     rows = spark.createDataFrame([(" AB.C", "", "", 2), ("AB.C ", None, None, 1), ("E", "Y", "N", 3), ("T", "N", "Y", 4), (None, "N", "N", 5)], "symbol string, etf string, test_issue string, source_order int")
     got = [(r.symbol, r.yahoo_symbol, r.source_order) for r in universe.listed(rows).collect()]
     assert got == [("AB.C", "AB-C", 1)]
+
+
+def test_last_bars_are_found_without_another_sort(spark):
+    from marketloom.operators import indicators, signals
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(i)
+    bars = spark.createDataFrame([(t, day(i), 10.0, 11.0, 9.0, 10.0 + i, 100.0) for t, n in (("a", 3), ("b", 5), (None, 2)) for i in range(n)], "ticker string, date date, open double, high double, low double, close double, volume double")
+    x = indicators.features(bars, bars.where("ticker = 'b'").drop("ticker"))
+    found = signals.last_bars(x)
+    assert {(r.ticker, r.date, r.close) for r in found.select("ticker", "date", "close").collect()} == {("a", day(2), 12.0), ("b", day(4), 14.0), (None, day(1), 11.0)}
+    assert "DESC" not in signals.latest(x)._jdf.queryExecution().executedPlan().toString()
