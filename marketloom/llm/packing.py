@@ -33,11 +33,15 @@ CACHED_WORDS = 250_000
 
 
 #: Ends of words that can be tokenised apart from them: signs after an ASCII letter and before white space.
-_SIGNS = re.compile(rb"(?<=[A-Za-z])([.,;:!?*&%$#]+)(?=[ \n])")
+_SIGNS = re.compile(rb"[.,;:!?*&%$#](?<=[A-Za-z].)[.,;:!?*&%$#]*(?=[ \n])")
 #: Stands between words that are tokenised in one call; a special token of the vocabulary is never merged.
 _FENCE = "<|startoftext|>"
 
 
+#: Words of these letters only are one unit of the vocabulary's patterns, and no normal form or lower case splits or joins them.
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
 class WordIds:
     """Token ids of whole texts, by a cache of the ids of white-space separated words.
 
@@ -51,15 +55,34 @@ class WordIds:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.fence = self.tokenizer.token_to_id(_FENCE)
+        #: Of each id, whether it ends a word: only the last id of a unit does.
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
+        self.passed = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.length, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _encode(self, fresh: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, fresh: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
+        """Of each word, where its ids start and end in an array. Words of letters are cut after the ids that end words, others at fences."""
         texts = [w.decode("utf-8", "replace") for w in fresh]
+        plain = [i for i, t in enumerate(texts) if _LETTERS.fullmatch(t)]
+        out: list = [None] * len(texts)
+        for some in (plain[i : i + 500] for i in range(0, len(plain), 500)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                for i, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    out[i] = (a, b, ids)
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(others, self._fenced([texts[i] for i in others]), strict=True):
+            out[i] = x
+        return out
+
+    def _fenced(self, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
         out = []
         for i in range(0, len(texts), 500):
             some = texts[i : i + 500]
@@ -90,16 +113,22 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 offsets."""
-        words = [(_SIGNS.sub(rb" \1", t) if b"<|" in t else _SIGNS.sub(rb" \1", t.lower())).split() for t in texts]
+        words = [(_SIGNS.sub(rb" \g<0>", t) if b"<|" in t else _SIGNS.sub(rb" \g<0>", t.lower())).split() for t in texts]
         flat = list(itertools.chain.from_iterable(words))
-        if len(self.code) > self.limit:
+        # once the cache is full, the words it lacks, rare ones, are forgotten again; when they have become many, it starts anew
+        if self.passed > 4 * self.limit:
             self.clear()
+        known, used = len(self.code), self.used
         if fresh := list(set(flat).difference(self.code)):
             self.learn(fresh)
         codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
         sizes = self.length[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.start[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        if fresh and known > self.limit:
+            for word in fresh:
+                del self.code[word]
+            self.used, self.passed = used, self.passed + len(fresh)
         return ids, ends[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from marketloom.llm.packing import balanced, differencing, pack_documents
+from marketloom.llm.packing import WordIds, balanced, differencing, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,3 +56,17 @@ def test_differencing(windows):
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert max(sums) - min(sums) <= 60
     assert differencing([8, 7, 6, 5, 4], 2) and balanced([], 10) == [] and balanced([10, 10, 1], 10) == [[0], [1], [2]]
+
+
+def test_rare_words_neither_fill_nor_empty_the_cache():
+    plain, words = Tokenizer.from_file(PATH), WordIds(PATH, limit=300)
+    rng = np.random.default_rng(3)
+    rare = lambda n: ["".join(rng.choice(list("abcdeéßÀñst"), 9)) for _ in range(n)]
+    common, calls = rare(400), []
+    encode = words._encode
+    words._encode = lambda fresh: calls.append(len(fresh)) or encode(fresh)
+    for _ in range(12):
+        texts = [" ".join([*common, *rare(50)]), "İstanbul e\u0301 e \u0301a ǅ ª µm don't a.b c!! d, x\u00a0y 1234 ﬁn", "A<|endoftext|>b C!! "]
+        ids, ends = words.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls[0] > 400 and max(calls[1:]) == 50 and len(words.code) == calls[0]
