@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -9,7 +10,7 @@ from test_ngram_join import brute as components  # noqa: E402
 from test_pii import plain  # noqa: E402
 from test_repeats import brute as repeats  # noqa: E402
 
-from marketloom.llm import pii  # noqa: E402
+from marketloom.llm import pii, storage  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf_small, monkeypatch):
@@ -35,3 +36,23 @@ def test_run(spark, sf_small):
     rows = corpus_pipeline.run(spark, sf_small)
     assert rows.count() > 100 and "sequence_id" in rows.columns
     assert plain and pii
+
+
+def test_batches_of_texts_are_bounded(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 100000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]}, schema=pa.schema([("n", pa.int64())]))
+
+    name, largest = storage._BATCH, lambda: max(r.n for r in rows.mapInArrow(sizes, "n long").collect())
+    before = spark.conf.get(name)
+    try:
+        assert largest() > 30_000_000
+        storage.small_batches(spark)
+        assert largest() < 2 * storage.BATCH_BYTES
+        spark.conf.set(name, "1m")
+        storage.small_batches(spark)
+        assert spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.set(name, before)
