@@ -6,7 +6,7 @@ reach by what is known so far, of all models at once, so a tree takes about as m
 This is the imperative loop over partitions for which the blocks are an RDD: planning a query a pass would take longer than the pass.
 
 A pass costs two small jobs, however few its rows. So a model of at most WHOLE rows, a bounded share of a task's memory, gets its rows into one task
-that makes the same passes by itself; models side by side. Larger ones are passed over in blocks. Both ways give the same trees.
+that cuts each node's rows from its parent's; models side by side. Larger ones are passed over in blocks. Both ways give the same trees.
 
 Sums are whole numbers (gradients in units of 2^-20), so that trees don't depend on the order in which tasks end. The driver holds edges, trees
 and the best splits, whose size is set by parameters. Margins are checkpointed every CUT trees, which bounds what a lost executor costs.
@@ -34,8 +34,6 @@ BINS = 64
 CUT = 10
 #: Rows of a model that one task may hold; larger models stay in blocks of all tasks.
 WHOLE = 1 << 18
-#: Rows that are added up at a time within such a task.
-CHUNK = 1 << 14
 #: Units of gradients and hessians.
 UNIT = float(1 << 20)
 
@@ -161,6 +159,67 @@ def _moved(blocks: Iterator, trees: list) -> Iterator:
         yield bins, y, member, margins
 
 
+class _Rows:
+    """The rows of one model, by node of the tree on its way: a node's rows are cut from its parent's, and of two siblings only the smaller one is added up."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, weights: np.ndarray, used: np.ndarray):
+        self.columns, self.y, self.w, self.used = np.ascontiguousarray(bins.T), y, weights[y], used
+        self.margins = np.zeros(len(y))
+
+    def plant(self, tree: Growing) -> None:
+        """Begins a tree: its gradients and hessians, as whole numbers, so that what a sibling leaves of its parent is exact."""
+        p = 1.0 / (1.0 + np.exp(-self.margins))
+        self.tree, self.parent, self.rows, self.sums = tree, {}, {0: np.arange(len(self.y))}, {}
+        self.parts = (np.rint(self.w * (p - self.y) * UNIT), np.rint(self.w * p * (1 - p) * UNIT), None)
+
+    def up(self, node: int) -> int:
+        """The node's parent; those opened since are looked up first."""
+        if node not in self.parent:
+            self.parent = {child: i for i, s in self.tree.known.items() if s.children for child in s.children}
+        return self.parent[node]
+
+    def at(self, node: int) -> np.ndarray:
+        if node not in self.rows:
+            up = self.up(node)
+            split, rows = self.tree.known[up], self.at(up)
+            right = self.columns[split.feature][rows] > split.bin
+            left = split.children[0]
+            self.rows[left], self.rows[left + 1] = rows[~right], rows[right]
+        return self.rows[node]
+
+    def added(self, node: int) -> np.ndarray:
+        """int64 sums by gradient, hessian, rows; feature; bin, as _measured() gives them; features that are not used stay 0."""
+        rows = self.at(node)
+        parts = [v if v is None else v[rows] for v in self.parts]
+        out = np.zeros((3, len(self.columns), BINS), np.int64)
+        for f in self.used:
+            bins = self.columns[f][rows].astype(np.intp)
+            for k, v in enumerate(parts):
+                out[k, f] = np.bincount(bins, v, BINS)
+        return out
+
+    def measured(self, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        for node in need:
+            if node not in self.sums and node:
+                left = self.tree.known[self.up(node)].children[0]
+                small = min((left, left + 1), key=lambda i: self.tree.totals[i][2])
+                self.sums[small] = self.added(small)
+                self.sums[2 * left + 1 - small] = self.sums[self.up(node)] - self.sums[small]
+            elif node not in self.sums:
+                self.sums[node] = self.added(node)
+            yield node, self.sums[node]
+
+    def move(self, made: tuple[np.ndarray, ...]) -> None:
+        """Adds the tree's values to the margins."""
+        feature, _, left, value = made
+        nodes = [0]
+        for node in nodes:
+            if feature[node] >= 0:
+                nodes += (int(left[node]), int(left[node]) + 1)
+            else:
+                self.margins[self.at(node)] += value[node]
+
+
 def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int, rate: float, leaves: int, least: int, l2: float) -> Iterator:
     """(model, trees as arrays) of the one model whose (model, (bins, y)) this partition holds."""
     parts = list(rows)
@@ -168,22 +227,22 @@ def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int,
         return
     model = parts[0][0]
     bins, y = (np.concatenate([p[1][c] for p in parts]) for c in (0, 1))
-    cuts = range(0, len(y), CHUNK)
-    blocks = [(bins[a : a + CHUNK], y[a : a + CHUNK], np.ones((len(y[a : a + CHUNK]), 1), bool), np.zeros((len(y[a : a + CHUNK]), 1))) for a in cuts]
+    del parts
+    # a node's totals are read from the first feature
+    held = _Rows(bins, y, weights[model], np.union1d([0], np.flatnonzero(allowed[model])).astype(int))
     out = []
     for _ in range(trees):
         tree = Growing()
+        held.plant(tree)
         while True:
             taken, need = tree.next(leaves, least)
             if not need:
                 break
-            for (_, node), sums in _measured(blocks, [(0, tree.arrays(taken), need)], weights[model : model + 1]):
+            for node, sums in held.measured(need):
                 tree.known[node], tree.totals[node] = _best(sums, allowed[model], least, l2)
-            for node in need:
-                tree.known.setdefault(node, Split(0.0))
         made = tree.arrays(taken, rate, l2)
         out.append(tuple(a.tolist() for a in made))
-        blocks = list(_moved(blocks, [(0, made)]))
+        held.move(made)
     yield model, out
 
 

@@ -1,4 +1,4 @@
-"""Models of a signal's success and of forward returns, on MLlib and our boosted trees: features, balanced fits, calibration by time folds, selection and rankings.
+"""Models of a signal's success and of forward returns, on MLlib, our boosted trees and regressions fitted together: features, balanced fits, calibration by time folds, selection and rankings.
 
 Fits are distributed; the driver holds coefficients, trees and calibration curves only.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import finite, half_up
-from marketloom.operators import boosting
+from marketloom.operators import boosting, linear
 from marketloom.operators import statistics as A
 from marketloom.sources.staging import staged
 
@@ -102,13 +102,13 @@ def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...] = RANKING,
     return Pipeline(stages=[*_assembled(features, (), True), model]).fit(x)
 
 
-Model = PipelineModel | boosting.Boosted
+Model = PipelineModel | boosting.Boosted | linear.Linear
 Fit = Callable[[DataFrame], PipelineModel]
 
 
 def margin(model: Model, rows: DataFrame) -> DataFrame:
     """rows with margin, the log odds that the model gives; none of its helper columns."""
-    if isinstance(model, boosting.Boosted):
+    if isinstance(model, boosting.Boosted | linear.Linear):
         return rows.withColumn("margin", half_up(model.margin(), MARGIN_DIGITS))
     return model.transform(rows).select(*(F.col(c) for c in rows.columns), half_up(vector_to_array("rawPrediction")[1], MARGIN_DIGITS).alias("margin"))
 
@@ -153,6 +153,28 @@ def _fitted_curve(model: Model, rows: DataFrame, label: str) -> Member:
     return model, list(map(float, curve.boundaries)), list(map(float, curve.predictions))
 
 
+def _fitted_curves(models: list[tuple[Model, DataFrame]], label: str) -> list[Member]:
+    """As _fitted_curve() for each model on its rows, all in one job: a model's table of margins, bounded by their range, is pooled in one group."""
+    if not models:
+        return []
+    parts = [margin(model, rows).select(F.lit(i).alias("model"), "margin", F.col(label).cast("double").alias("y")) for i, (model, rows) in enumerate(models)]
+    table = reduce(DataFrame.unionByName, parts).groupBy("model", "margin").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+
+    def pool(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("margin")
+        blocks: list[list[float]] = []  # lowest and highest margin, successes, rows
+        for at, y, n in zip(x["margin"].tolist(), x["y"].tolist(), x["n"].tolist(), strict=True):
+            blocks.append([at, at, y, n])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+                _, high, y, n = blocks.pop()
+                blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + y, blocks[-1][3] + n]
+        ends = [(b[i], b[2] / b[3]) for b in blocks for i in ((0, 1) if b[0] < b[1] else (0,))]
+        return pd.DataFrame({"model": [int(x["model"].iloc[0])], "edges": [[e for e, _ in ends]], "rates": [[r for _, r in ends]]})
+
+    found = {r.model: r for r in table.groupBy("model").applyInPandas(pool, "model int, edges array<double>, rates array<double>").collect()}
+    return [(model, list(found[i].edges), list(found[i].rates)) for i, (model, _) in enumerate(models)]
+
+
 def _usable(sizes: dict[tuple[int | None, int], int], folds: int) -> list[int]:
     """Folds that follow rows of both classes, of the counts by fold and class. Raises ValueError if there is none."""
     seen = lambda k, y: sum(n for (f, c), n in sizes.items() if c == y and (f is None or f < k))
@@ -178,20 +200,45 @@ def calibrated(rows: DataFrame, label: str, fit: Fit, folds: int = 5, ties: tupl
     return Calibrated(_side_by_side(member, usable))
 
 
+def _folded(groups: dict[str, DataFrame], label: str, folds: int, ties: tuple[str, ...]) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The folds of all groups as one written table with _group and fold, and each group with its usable folds.
+
+    Raises ValueError for a group of which no fold follows rows of both classes.
+    """
+    table = staged(reduce(DataFrame.unionByName, (A.time_folds(rows, folds, ties).withColumn("_group", F.lit(g)) for g, rows in groups.items())), "folds")
+    counts = table.groupBy("_group", "fold", label).count().collect()
+    return table, [(g, k) for g in groups for k in _usable({(r.fold, int(r[label])): r["count"] for r in counts if r["_group"] == g}, folds)]
+
+
+def _before(g: str, k: int) -> Column:
+    """The rows of group g that precede its fold k."""
+    return (F.col("_group") == g) & (F.col("fold").isNull() | (F.col("fold") < k))
+
+
+def _calibrated(table: DataFrame, label: str, keys: list[tuple[str, str, int]], models: list[Model]) -> dict[tuple[str, str], Calibrated]:
+    """The models by group and name, calibrated on their folds: keys are group, name and fold of each."""
+    fold = lambda g, k: table.where((F.col("_group") == g) & (F.col("fold") == k))
+    members = _fitted_curves([(m, fold(g, k)) for m, (g, _, k) in zip(models, keys, strict=True)], label)
+    return {pair: Calibrated([m for m, key in zip(members, keys, strict=True) if key[:2] == pair]) for pair in dict.fromkeys(key[:2] for key in keys)}
+
+
 def calibrated_boosting(groups: dict[str, DataFrame], label: str, sets: dict[str, tuple[str, ...]], categorical: tuple[str, ...], trees: int = 250, least: int = 40, folds: int = 5, ties: tuple[str, ...] = ("ticker", "direction")) -> dict[tuple[str, str], Calibrated]:
     """Boosted trees calibrated as in calibrated(), for each group of rows and each set of numeric features.
 
     The folds of all groups are one written table, on which the models of all groups, sets and folds are fitted in the same passes. Raises
     ValueError for a group of which no fold follows rows of both classes.
     """
-    table = staged(reduce(DataFrame.unionByName, (A.time_folds(rows, folds, ties).withColumn("_group", F.lit(g)) for g, rows in groups.items())), "folds")
-    counts = table.groupBy("_group", "fold", label).count().collect()
-    usable = {g: _usable({(r.fold, int(r[label])): r["count"] for r in counts if r["_group"] == g}, folds) for g in groups}
-    keys = [(g, name, k) for g in groups for name in sets for k in usable[g]]
-    of = lambda g: F.col("_group") == g
-    models = boosting.fit(table, label, [(of(g) & (F.col("fold").isNull() | (F.col("fold") < k)), sets[name]) for g, name, k in keys], categorical, trees=trees, least=least)
-    members = _side_by_side(lambda i: _fitted_curve(models[i], table.where(of(keys[i][0]) & (F.col("fold") == keys[i][2])), label), list(range(len(keys))))
-    return {(g, name): Calibrated([m for m, key in zip(members, keys, strict=True) if key[:2] == (g, name)]) for g in groups for name in sets}
+    table, usable = _folded(groups, label, folds, ties)
+    keys = [(g, name, k) for g, k in usable for name in sets]
+    models = boosting.fit(table, label, [(_before(g, k), sets[name]) for g, name, k in keys], categorical, trees=trees, least=least)
+    return _calibrated(table, label, keys, models)
+
+
+def calibrated_logistic(groups: dict[str, DataFrame], label: str, sets: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], folds: int = 5, ties: tuple[str, ...] = ("ticker", "direction")) -> dict[tuple[str, str], Calibrated]:
+    """What calibrated() makes of fit_logistic(), for each group of rows and each set of numeric and categorical features, in the same passes. Raises ValueError as calibrated_boosting()."""
+    table, usable = _folded(groups, label, folds, ties)
+    keys = [(g, name, k) for g, k in usable for name in sets]
+    return _calibrated(table, label, keys, linear.fit(table, label, [(_before(g, k), *sets[name]) for g, name, k in keys]))
 
 
 def _side_by_side(work: Callable, items: list) -> list:
@@ -228,13 +275,13 @@ STAGES = {"Validation": "partition = 'Train'", "Holdout": "partition in ('Train'
 Candidates = dict[str, Callable[[str], Calibrated]]
 
 
-def candidates(rows: DataFrame, boosted: dict[str, Calibrated]) -> Candidates:
-    """The models to choose from: name to what gives the model for scoring a partition. boosted: the boosted model by partition."""
-    return {
-        "Logistic V1 Baseline": lambda part: calibrated(rows.where(STAGES[part]), "outcome", lambda r: fit_logistic(r, "outcome", BASELINE)),
-        "Logistic V2": lambda part: calibrated(rows.where(STAGES[part]), "outcome", lambda r: fit_logistic(r, "outcome", NUMERIC, CATEGORICAL)),
-        "HistGradientBoosting V2": boosted.__getitem__,
-    }
+#: Features of the regressions to choose from.
+LOGISTIC = {"Logistic V1 Baseline": (BASELINE, ()), "Logistic V2": (NUMERIC, CATEGORICAL)}
+
+
+def candidates(logistic: dict[str, dict[str, Calibrated]], boosted: dict[str, Calibrated]) -> Candidates:
+    """The models to choose from: name to what gives the model for scoring a partition. logistic: by name and partition; boosted: by partition."""
+    return {**{name: models.__getitem__ for name, models in logistic.items()}, "HistGradientBoosting V2": boosted.__getitem__}
 
 
 def selected(rows: DataFrame, models: Candidates) -> tuple[str, Calibrated, DataFrame]:
@@ -312,10 +359,10 @@ def save(model: Calibrated, folder: str, about: DataFrame) -> None:
     """Writes the members, their curves, and one JSON row about the model below folder."""
     spark, rows = about.sparkSession, []
     for i, (member, edges, rates) in enumerate(model.members):
-        boosted = isinstance(member, boosting.Boosted)
-        if not boosted:
+        plain = not isinstance(member, PipelineModel)
+        if not plain:
             member.write().overwrite().save(f"{folder}/member-{i}")
-        rows.append((i, edges, rates, json.dumps(asdict(member)) if boosted else None))
+        rows.append((i, edges, rates, json.dumps(asdict(member)) if plain else None))
     spark.createDataFrame(rows, "member int, edges array<double>, rates array<double>, trees string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/curves")
     about.coalesce(1).write.mode("overwrite").json(f"{folder}/about")
 
@@ -325,6 +372,8 @@ def load(spark, folder: str) -> Calibrated:
         if r.trees is None:
             return PipelineModel.load(f"{folder}/member-{r.member}")
         x = json.loads(r.trees)
+        if "trees" not in x:
+            return linear.Linear(tuple(x["numeric"]), tuple(map(tuple, x["categories"])), x["coefficients"], x["intercept"])
         return boosting.Boosted(tuple(x["numeric"]), tuple(map(tuple, x["categories"])), x["edges"], [tuple(t) for t in x["trees"]])
 
     return Calibrated([(member(r), list(r.edges), list(r.rates)) for r in spark.read.parquet(f"{folder}/curves").orderBy("member").collect()])

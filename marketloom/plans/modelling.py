@@ -95,10 +95,13 @@ def _groups(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def selection(s: SparkSession, d: str) -> DataFrame:
-    """Metrics of the candidates and of the chosen one; the boosted trees of all directions, partitions and folds are fitted in the same passes."""
+    """Metrics of the candidates and of the chosen one; the models of a kind of all directions, partitions and folds are fitted in the same passes."""
     rows = training(s, d)
-    boosted = L.calibrated_boosting(_groups(rows), "outcome", {"V2": L.NUMERIC}, L.CATEGORICAL)
-    return by_side(rows, lambda x, side: L.selected(x, L.candidates(x, {part: boosted[f"{side}|{part}", "V2"] for part in L.STAGES}))[2].withColumn("direction", F.lit(side)))
+    groups = _groups(rows)
+    boosted = L.calibrated_boosting(groups, "outcome", {"V2": L.NUMERIC}, L.CATEGORICAL)
+    logistic = L.calibrated_logistic(groups, "outcome", L.LOGISTIC)
+    of = lambda models, side, name: {part: models[f"{side}|{part}", name] for part in L.STAGES}
+    return by_side(rows, lambda x, side: L.selected(x, L.candidates({name: of(logistic, side, name) for name in L.LOGISTIC}, of(boosted, side, "V2")))[2].withColumn("direction", F.lit(side)))
 
 
 register("mod_07_selection", selection)
@@ -132,9 +135,7 @@ def study(s: SparkSession, d: str) -> DataFrame:
     sets = {"Baseline": L.NUMERIC, "Context": L.NUMERIC + L.CONTEXT}
     groups = _groups(rows)
     models = {(g, name, "HistGradientBoosting"): m for (g, name), m in L.calibrated_boosting(groups, "outcome", sets, L.CATEGORICAL, least=60).items()}
-    keys = [(g, name) for g in groups for name in sets]
-    linear = L._side_by_side(lambda k: L.calibrated(groups[k[0]], "outcome", lambda r: L.fit_logistic(r, "outcome", sets[k[1]], L.CATEGORICAL)), keys)
-    models |= {(*k, "Logistic"): m for k, m in zip(keys, linear, strict=True)}
+    models |= {(*k, "Logistic"): m for k, m in L.calibrated_logistic(groups, "outcome", {name: (numeric, L.CATEGORICAL) for name, numeric in sets.items()}).items()}
     scored = []
     for (g, name, kind), model in models.items():
         side, part = g.split("|")

@@ -102,3 +102,24 @@ def test_models_in_one_task_are_those_of_the_passes_and_need_few_jobs(table, spa
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert alone == passed == mixed
     assert len(jobs) < 15  # the passes of 5 trees alone take more
+
+
+def test_a_task_adds_up_the_smaller_of_two_siblings(monkeypatch):
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, B.BINS, (3000, 4)).astype(np.uint8)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-np.sin(bins[:, 0] / 8)))).astype(np.int8)
+    allowed, weights, seen = np.array([[False, True, True, True]]), np.array([[1.1, 0.9]]), []
+    kept = B._Rows.added
+    monkeypatch.setattr(B._Rows, "added", lambda self, node: seen.append(len(self.at(node))) or kept(self, node))
+    _, trees = next(B._grown(iter([(0, (bins[:1000], y[:1000])), (0, (bins[1000:], y[1000:]))]), allowed, weights, 3, 0.05, 8, 20, 1.0))
+    # whole roots, and never more than half of a node that is split
+    assert seen.count(3000) == 3 and sum(seen) < 3 * 3000 * 2.5 and all(sum(f >= 0 for f in t[0]) == 7 for t in trees)
+    blocks = [(bins, y, np.ones((3000, 1), bool), np.zeros((3000, 1)))]
+    tree, held = B.Growing(), B._Rows(bins, y, weights[0], np.arange(4))
+    held.plant(tree)
+    for _ in range(4):
+        taken, need = tree.next(8, 20)
+        plain = {node: sums for (_, node), sums in B._measured(blocks, [(0, tree.arrays(taken), need)], weights)}
+        for node, sums in held.measured(need):
+            assert (sums == plain[node]).all()
+            tree.known[node], tree.totals[node] = B._best(sums, np.ones(4, bool), 20, 1.0)

@@ -161,6 +161,38 @@ def test_chosen_ranking_breaks_ties_by_hit_rate(spark):
     assert {(r.direction, r.ranking) for r in found} == {("Long", "momentum"), ("Short", "model")}
 
 
+def test_regressions_fitted_together_are_those_fitted_alone(table, spark, tmp_path):
+    df = table[0]
+    groups = {"all": df, "early": df.where("i < 400")}
+    sets = {"plain": (("x1", "x2", "x3"), ()), "kinds": (("x1",), ("kind",))}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("together", "together")
+    made = L.calibrated_logistic(groups, "outcome", sets, folds=3)
+    spark.sparkContext.setJobGroup("apart", "apart")
+    assert set(made) == {(g, n) for g in groups for n in sets} and all(len(m.members) == 3 for m in made.values())
+    alone = L.calibrated(groups["early"], "outcome", lambda r: L.fit_logistic(r, "outcome", *sets["kinds"]), folds=3)
+    for rows in (df, df.withColumn("kind", F.lit("never seen"))):
+        for (a, *_), (b, *_) in zip(made["early", "kinds"].members, alone.members, strict=True):
+            assert np.allclose([r.margin for r in L.margin(a, rows).orderBy("i").collect()], [r.margin for r in L.margin(b, rows).orderBy("i").collect()], atol=0.002)
+    assert len(jobs.getJobIdsForGroup("together")) < 60
+    before = [r.p for r in made["all", "plain"].predict(df).orderBy("i").collect()]
+    L.save(made["all", "plain"], f"file://{tmp_path}/l", spark.createDataFrame([("Long", 600)], "direction string, n int"))
+    assert before == [r.p for r in L.load(spark, f"file://{tmp_path}/l").predict(df).orderBy("i").collect()]
+
+
+def test_curves_fitted_together_are_isotonic(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(m), int(rng.random() < 1 / (1 + np.exp(-m)))) for m in rng.normal(size=400).round(1)]
+    df = spark.createDataFrame(rows, "x double, outcome int")
+    model = L.linear.Linear(("x",), (), [1.0], 0.0)
+    _, edges, rates = L._fitted_curve(model, df, "outcome")
+    for part in (df, df.where("x > 0")):
+        _, e, r = L._fitted_curves([(model, df), (model, part)], "outcome")[1]
+        want = (edges, rates) if part is df else L._fitted_curve(model, part, "outcome")[1:]
+        at = np.linspace(-4, 4, 161)
+        assert np.allclose(np.interp(at, e, r), np.interp(at, *want)) and list(r) == sorted(r)
+
+
 def test_no_fold_with_both_classes_is_an_error(table):
     with pytest.raises(ValueError):
         L.calibrated(table[0].where("outcome = 1"), "outcome", lambda r: L.fit_logistic(r, "outcome", ("x1",)))
