@@ -15,7 +15,7 @@ and the best splits, whose size is set by parameters. Margins are checkpointed e
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -255,16 +255,23 @@ class Boosted:
     edges: list[list[float]]
     trees: list[tuple[list, list, list, list]]
 
+    def margins(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from rows of vector(numeric, categories) to their log odds."""
+        edges, trees = [np.array(e) for e in self.edges], [tuple(np.array(a) for a in t) for t in self.trees]
+
+        def of(x: np.ndarray) -> np.ndarray:
+            bins = binned(x, edges)
+            return sum((t[3][_ends(t, bins)] for t in trees), np.zeros(len(x)))
+
+        return of
+
     def margin(self) -> Column:
         """The log odds of each row. Categories that were not known count as none; features must be numbers."""
-        edges, trees = [np.array(e) for e in self.edges], [tuple(np.array(a) for a in t) for t in self.trees]
+        of = self.margins()
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="float64")
-            bins = binned(np.stack(x.to_list()).astype(float), edges)
-            return pd.Series(sum((t[3][_ends(t, bins)] for t in trees), np.zeros(len(x))))
+            return pd.Series(of(np.stack(x.to_list()).astype(float)) if len(x) else [], dtype="float64")
 
         return score(vector(self.numeric, self.categories))
 

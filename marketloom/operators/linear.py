@@ -7,7 +7,7 @@ a fit of its own takes a job for each of some hundred steps. Each pass reads the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,17 @@ class Linear:
     coefficients: list[float]
     intercept: float
 
+    def margins(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from rows of vector(numeric, categories) to their log odds, added up in the order of margin()."""
+
+        def of(x: np.ndarray) -> np.ndarray:
+            total = np.full(len(x), self.intercept)
+            for i, b in enumerate(self.coefficients):
+                total = total + x[:, i] * b
+            return total
+
+        return of
+
     def margin(self) -> Column:
         """The log odds of each row. Categories that were not known count as none."""
         total, n = F.lit(self.intercept), len(self.numeric)

@@ -6,13 +6,14 @@ Fits are distributed; the driver holds coefficients, trees and calibration curve
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -108,7 +109,7 @@ Fit = Callable[[DataFrame], PipelineModel]
 
 def margin(model: Model, rows: DataFrame) -> DataFrame:
     """rows with margin, the log odds that the model gives; none of its helper columns."""
-    if isinstance(model, boosting.Boosted | linear.Linear):
+    if _plain(model):
         return rows.withColumn("margin", half_up(model.margin(), MARGIN_DIGITS))
     return model.transform(rows).select(*(F.col(c) for c in rows.columns), half_up(vector_to_array("rawPrediction")[1], MARGIN_DIGITS).alias("margin"))
 
@@ -124,6 +125,8 @@ class Calibrated:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with p."""
+        if all(_plain(model) for model, *_ in self.members):
+            return self._predict_at_once(rows)
         names, x = rows.columns, rows
         parts = []
         for i, (model, edges, rates) in enumerate(self.members):
@@ -135,6 +138,37 @@ class Calibrated:
         return x.select(*names, (total / len(parts)).alias("p"))
 
 
+    def _predict_at_once(self, rows: DataFrame) -> DataFrame:
+        """predict() by one function of a row's features, not one for each model and each curve after another."""
+        columns, margins = _margins([model for model, *_ in self.members])
+        curves = [(np.array(edges, float), np.array(rates, float)) for _, edges, rates in self.members]
+
+        @F.pandas_udf("double")
+        def p(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            values = np.stack(x.to_list()).astype(float)
+            return pd.Series(sum((np.interp(of(values), *curve) for of, curve in zip(margins, curves, strict=True)), np.zeros(len(x))) / len(curves))
+
+        return rows.withColumn("p", p(columns))
+
+
+def _plain(model: Model) -> bool:
+    return isinstance(model, boosting.Boosted | linear.Linear)
+
+
+def _margins(models: list) -> tuple[Column, list[Callable[[np.ndarray], np.ndarray]]]:
+    """An array column with the features of all plain models, and for each a function from its rows to margins as margin() rounds them."""
+    numeric = tuple(dict.fromkeys(c for m in models for c in m.numeric))
+    categories = tuple(dict.fromkeys(c for m in models for c in m.categories))
+
+    def one(model) -> Callable[[np.ndarray], np.ndarray]:
+        own, of = [*map(numeric.index, model.numeric), *(len(numeric) + categories.index(c) for c in model.categories)], model.margins()
+        return lambda x: np.floor(of(x[:, own]) * 10.0**MARGIN_DIGITS + 0.5) / 10.0**MARGIN_DIGITS
+
+    return boosting.vector(numeric, categories), [one(m) for m in models]
+
+
 def _curve(edges: list[float], rates: list[float]) -> Callable[[str], Column]:
     """Linear interpolation within the curve, constant beyond its ends: edges are searched by halves and travel with the function, not in the plan."""
     xs, ys = np.array(edges, float), np.array(rates, float)
@@ -153,12 +187,28 @@ def _fitted_curve(model: Model, rows: DataFrame, label: str) -> Member:
     return model, list(map(float, curve.boundaries)), list(map(float, curve.predictions))
 
 
-def _fitted_curves(models: list[tuple[Model, DataFrame]], label: str) -> list[Member]:
-    """As _fitted_curve() for each model on its rows, all in one job: a model's table of margins, bounded by their range, is pooled in one group."""
+def _fitted_curves(models: list[Model], table: DataFrame, folds: list[tuple[str, int]], label: str) -> list[Member]:
+    """As _fitted_curve() for each plain model on the rows of its _group and fold, in one pass over table. A model's table of margins, bounded by their range, is pooled in one group."""
     if not models:
         return []
-    parts = [margin(model, rows).select(F.lit(i).alias("model"), "margin", F.col(label).cast("double").alias("y")) for i, (model, rows) in enumerate(models)]
-    table = reduce(DataFrame.unionByName, parts).groupBy("model", "margin").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    columns, margins = _margins(models)
+    of = {key: [i for i, k in enumerate(folds) if k == key] for key in folds}
+    names = {g: j for j, g in enumerate(dict.fromkeys(g for g, _ in folds))}
+    group = F.coalesce(*(F.when(F.col("_group") == g, j) for g, j in names.items()))
+    rows = table.where(F.col("fold").isNotNull()).select(columns.alias("x"), group.alias("g"), "fold", F.col(label).cast("double").alias("y")).where("g is not null")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            g, fold, y = (b.column(i).to_numpy() for i in (1, 2, 3))
+            for (name, k), own in of.items():
+                at = np.flatnonzero((g == names[name]) & (fold == k))
+                for i in own if len(at) else ():
+                    yield pa.RecordBatch.from_pydict({"model": np.full(len(at), i, np.int32), "margin": margins[i](x[at]), "y": y[at]})
+
+    table = rows.mapInArrow(scored, "model int, margin double, y double").groupBy("model", "margin").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
 
     def pool(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("margin")
@@ -172,7 +222,7 @@ def _fitted_curves(models: list[tuple[Model, DataFrame]], label: str) -> list[Me
         return pd.DataFrame({"model": [int(x["model"].iloc[0])], "edges": [[e for e, _ in ends]], "rates": [[r for _, r in ends]]})
 
     found = {r.model: r for r in table.groupBy("model").applyInPandas(pool, "model int, edges array<double>, rates array<double>").collect()}
-    return [(model, list(found[i].edges), list(found[i].rates)) for i, (model, _) in enumerate(models)]
+    return [(model, list(found[i].edges), list(found[i].rates)) for i, model in enumerate(models)]
 
 
 def _usable(sizes: dict[tuple[int | None, int], int], folds: int) -> list[int]:
@@ -217,8 +267,7 @@ def _before(g: str, k: int) -> Column:
 
 def _calibrated(table: DataFrame, label: str, keys: list[tuple[str, str, int]], models: list[Model]) -> dict[tuple[str, str], Calibrated]:
     """The models by group and name, calibrated on their folds: keys are group, name and fold of each."""
-    fold = lambda g, k: table.where((F.col("_group") == g) & (F.col("fold") == k))
-    members = _fitted_curves([(m, fold(g, k)) for m, (g, _, k) in zip(models, keys, strict=True)], label)
+    members = _fitted_curves(models, table, [(g, k) for g, _, k in keys], label)
     return {pair: Calibrated([m for m, key in zip(members, keys, strict=True) if key[:2] == pair]) for pair in dict.fromkeys(key[:2] for key in keys)}
 
 

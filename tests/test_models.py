@@ -186,13 +186,28 @@ def test_curves_fitted_together_are_isotonic(spark):
     df = spark.createDataFrame(rows, "x double, outcome int")
     model = L.linear.Linear(("x",), (), [1.0], 0.0)
     _, edges, rates = L._fitted_curve(model, df, "outcome")
-    for part in (df, df.where("x > 0")):
-        _, e, r = L._fitted_curves([(model, df), (model, part)], "outcome")[1]
-        want = (edges, rates) if part is df else L._fitted_curve(model, part, "outcome")[1:]
+    table = df.withColumns({"_group": F.lit("g"), "fold": F.lit(0)}).unionByName(df.where("x > 0").withColumns({"_group": F.lit("h"), "fold": F.lit(2)}))
+    found = L._fitted_curves([model, model], table, [("g", 0), ("h", 2)], "outcome")
+    for (_, e, r), want in zip(found, ((edges, rates), L._fitted_curve(model, df.where("x > 0"), "outcome")[1:]), strict=True):
         at = np.linspace(-4, 4, 161)
         assert np.allclose(np.interp(at, e, r), np.interp(at, *want)) and list(r) == sorted(r)
 
 
+def test_members_are_scored_at_once(table, spark):
+    df = table[0]
+    made = L.calibrated_boosting({"g": df}, "outcome", {"s": ("x1", "x2")}, ("kind",), trees=3, least=20, folds=2)["g", "s"]
+    lines = L.calibrated_logistic({"g": df}, "outcome", {"s": (("x3", "x1"), ("kind",))}, folds=2)["g", "s"]
+    both = L.Calibrated([*made.members, *lines.members])
+    x, parts = df, []
+    for i, (model, edges, rates) in enumerate(both.members):
+        x = L.margin(model, x).withColumn(f"p{i}", L._curve(edges, rates)("margin")).drop("margin")
+        parts.append(f"p{i}")
+    want = [sum(r[p] for p in parts) / len(parts) for r in x.orderBy("i").collect()]
+    got = both.predict(df)
+    assert np.allclose([r.p for r in got.orderBy("i").collect()], want, rtol=0, atol=1e-14)
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("ArrowEvalPython") == 1
+
+
 def test_no_fold_with_both_classes_is_an_error(table):
     with pytest.raises(ValueError):
         L.calibrated(table[0].where("outcome = 1"), "outcome", lambda r: L.fit_logistic(r, "outcome", ("x1",)))
