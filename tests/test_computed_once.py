@@ -70,3 +70,9 @@ def test_gaps_are_computed_once(spark, sf_small):
     rows = spark.createDataFrame([("Long", 1, 0.1), ("Long", 0, 0.6), ("Short", 1, 0.8)], "direction string, outcome int, adverse_gap_r double")
     got = {(r.direction, r.guard): (r.n, r.excluded, r.success_rate) for r in mechanics.gap_guards(rows, (0.25, 0.75)).collect()}
     assert got == {("Long", None): (2, 0, 0.5), ("Long", 0.25): (1, 1, 1.0), ("Long", 0.75): (2, 0, 0.5), ("Short", None): (1, 0, 1.0)}
+
+
+def test_union_computes_signals_once(spark, sf_small):
+    x = entry.queries()["set_01_union"](spark, sf_small)
+    assert "Window" not in plan(x) and "Generate" not in plan(x)
+    assert {r.direction: r["count"] for r in x.groupBy("direction").count().collect()} == {r.direction: r["count"] for r in signals.historical(features(spark, sf_small)).groupBy("direction").count().collect()}
