@@ -1,4 +1,4 @@
-"""Tasks stay bounded when tables grow: bars are dealt once, in parts by their number; quantiles need no group in one place."""
+"""Tasks stay bounded when tables grow: bars are dealt once, in parts by their number; quantiles need no group in one place; contractions are found once."""
 
 import random
 
@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from marketloom.operators import statistics
+from marketloom.operators import mechanics, statistics
+from marketloom.operators.outcomes import with_ahead
+from marketloom.plans.daily import features
 from marketloom.sources import fixtures
 
 
@@ -41,3 +43,15 @@ def test_quantiles_are_exact_where_values_share_bins(spark):
 def test_excursion_summary_holds_no_group_in_one_buffer(spark, sf_small):
     x = entry.queries()["agg_11_excursion_summary"](spark, sf_small)
     assert "percentile" not in plan(x) and not any("lineitem" in f for f in x.inputFiles())
+
+
+@pytest.mark.parametrize("name", ["joi_07_rules_with_holdout", "agg_14_validated_rules"])
+def test_contractions_are_found_once(spark, sf_small, name):
+    assert not any("lineitem" in f for f in entry.queries()[name](spark, sf_small).inputFiles())
+
+
+def test_phases_of_one_length_share_a_frame(spark, sf_small):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    text = mechanics.contractions(with_ahead(features(spark, sf_small)), mechanics.RULE_GRID)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "RowFrame, -4, currentrow" in text and not any(f"RowFrame, {a}, {b})" in text for a, b in ((-10, -6), (-15, -11), (-20, -11), (-5, -1)))
