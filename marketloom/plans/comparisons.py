@@ -47,12 +47,12 @@ register(
 )
 register("joi_08_paired_dates", paired, S.with_(*_PORT, _PAIRED) + f"select date, {', '.join(_GROUP)}, {', '.join(r6(f'diff_{c}', f'diff_{c}') for c in NETS)} from pr")
 register(
-    "agg_05_setup_split", lambda s, d: parted(s, d).groupBy("setup").pivot("partition", ["Validation", "Holdout"]).agg(F.count("ticker").alias("n"), F.avg(F.col("outcome").cast("double")).alias("rate")).na.fill(0, ["Validation_n", "Holdout_n"]),
+    "agg_05_setup_split", lambda s, d: parted(s, d, columns=("ticker", "date", "setup", "outcome")).groupBy("setup").pivot("partition", ["Validation", "Holdout"]).agg(F.count("ticker").alias("n"), F.avg(F.col("outcome").cast("double")).alias("rate")).na.fill(0, ["Validation_n", "Holdout_n"]),
     S.with_(*_LAB, _parts(0.6, 0.75)) + "select setup, " + ", ".join(f"count(*) filter (where partition = '{p}') as {p}_n, {r6(f'''avg(outcome) filter (where partition = '{p}')''', p + '_rate')}" for p in ("Validation", "Holdout")) + " from parts group by 1",
 )
 register(
     "agg_19_best_rules",
-    lambda s, d: A.rule_stats(parted(s, d), ["direction"], 100).withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("validation_expectancy"), F.desc("validation_n"), "feature", "bin"))).where("place <= 6").select("direction", "feature", "bin", "place", "validation_expectancy", (F.col("holdout_expectancy") > 0).alias("holdout_pass")),
+    lambda s, d: A.rule_stats(parted(s, d, columns=("date", "direction", "outcome", *A.EDGES)), ["direction"], 100).withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("validation_expectancy"), F.desc("validation_n"), "feature", "bin"))).where("place <= 6").select("direction", "feature", "bin", "place", "validation_expectancy", (F.col("holdout_expectancy") > 0).alias("holdout_pass")),
     S.with_(*_LAB, _parts(0.6, 0.75), _BINS, "ru as (select direction, feature, bin, count(*) filter (where partition = 'Validation') as vn, 3*avg(outcome) filter (where partition = 'Validation') - 1 as ve, 3*avg(outcome) filter (where partition = 'Holdout') - 1 as he from bins where bin is not null group by 1, 2, 3), rk as (select *, row_number() over (partition by direction order by ve desc, vn desc, feature, bin) as place from ru where vn >= 100)")
     + f"select direction, feature, bin, place, {r6('ve', 'validation_expectancy')}, he > 0 as holdout_pass from rk where place <= 6",
 )

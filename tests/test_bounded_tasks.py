@@ -55,3 +55,9 @@ def test_phases_of_one_length_share_a_frame(spark, sf_small):
     text = mechanics.contractions(with_ahead(features(spark, sf_small)), mechanics.RULE_GRID)._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert "RowFrame, -4, currentrow" in text and not any(f"RowFrame, {a}, {b})" in text for a, b in ((-10, -6), (-15, -11), (-20, -11), (-5, -1)))
+
+
+def test_only_used_columns_are_written(spark, sf_small):
+    x = entry.queries()["agg_19_best_rules"](spark, sf_small)
+    (path,) = {f.rsplit("/", 1)[0] for f in x.inputFiles()}
+    assert set(spark.read.parquet(path).columns) == {"date", "direction", "outcome", *statistics.EDGES}
