@@ -61,3 +61,14 @@ def test_only_used_columns_are_written(spark, sf_small):
     x = entry.queries()["agg_19_best_rules"](spark, sf_small)
     (path,) = {f.rsplit("/", 1)[0] for f in x.inputFiles()}
     assert set(spark.read.parquet(path).columns) == {"date", "direction", "outcome", *statistics.EDGES}
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark, sf_small):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(name)
+    fixtures.bars(spark, sf_small)
+    assert spark.conf.get(name) == "8000"
+    spark.conf.set(name, "6000")
+    fixtures.bars(spark, sf_small, 3)
+    assert spark.conf.get(name) == "6000"
+    spark.conf.unset(name)
