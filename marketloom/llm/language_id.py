@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm.arrays import U64, mix, slices
-from marketloom.llm.storage import unused, written
+from marketloom.llm.storage import let_go, unused, written
 
 ORDER = 4
 #: Shards of the two highest orders, and bytes of tables that are broadcast at once.
@@ -123,6 +123,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(_shard(grams)), pa.array(grams.view(np.int64)), pa.array(n)], schema=_COUNTS)
 
     def count(batches):
+        let_go()
         held: dict[str, list] = {}
         size = 0
         for batch in batches:
@@ -358,6 +359,7 @@ def _pass(docs: DataFrame, model: LanguageModel | None, turn: int, sums: str, sc
     shared, passes = (model.broadcast(turn), model.passes) if model else (None, 1)
 
     def run(batches):
+        let_go()
         tables = shared.value if shared else None
         for batch in batches:
             for part, data, at in slices(batch):

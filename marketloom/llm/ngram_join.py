@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.arrays import U64, mix, slices, span_hashes
 from marketloom.llm.bitmaps import may_hold
 from marketloom.llm.components import connected_components
-from marketloom.llm.storage import scratch, written
+from marketloom.llm.storage import let_go, scratch, written
 
 #: Counters of the sketch, a byte each once ranked.
 SKETCH_WIDTH = 1 << 22
@@ -117,6 +117,7 @@ def sketch_frequencies(docs: DataFrame, size: int, width: int) -> np.ndarray:
     arrow = pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary())])
 
     def count(batches):
+        let_go()
         cells, salt, held = np.zeros(width, np.int32), 0, []
         for batch in batches:
             for _, data, at in slices(batch):

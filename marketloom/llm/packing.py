@@ -14,7 +14,6 @@ import itertools
 import os
 import re
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.arrays import slices
-from marketloom.llm.storage import unused
+from marketloom.llm.storage import kept, unused
 
 CAPACITY = 4096
 SEPARATOR = 2
@@ -132,10 +131,9 @@ class WordIds:
         return ids, ends[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    """One cache for all tasks of a worker."""
-    return WordIds(path)
+    """One cache for all tasks of a worker, as long as no other operator's tasks come."""
+    return kept(("word_ids", path), lambda: WordIds(path))
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -56,3 +56,15 @@ def test_batches_of_texts_are_bounded(spark):
         assert spark.conf.get(name) == str(1 << 20)
     finally:
         spark.conf.set(name, before)
+
+
+def test_workers_let_go_of_what_other_stages_kept(spark):
+    from marketloom.llm import packing, storage
+    from marketloom.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    first = packing.word_ids(path)
+    assert packing.word_ids(path) is first
+    storage.let_go()
+    assert packing.word_ids(path) is not first
+    storage.let_go()
