@@ -5,8 +5,9 @@ tasks, reduces them by (model, node), and sends home one split a node. Trees gro
 reach by what is known so far, of all models at once, so a tree takes about as many passes as it is deep, however many models there are.
 This is the imperative loop over partitions for which the blocks are an RDD: planning a query a pass would take longer than the pass.
 
-A pass costs two small jobs, however few its rows. So a model of at most WHOLE rows, a bounded share of a task's memory, gets its rows into one task
-that cuts each node's rows from its parent's; models side by side. Larger ones are passed over in blocks. Both ways give the same trees.
+A pass costs two small jobs, however few its rows. So a model whose rows take at most WHOLE bytes, a bounded share of a task's memory, gets them into
+one task that cuts each node's rows from its parent's; models side by side, the largest first. Larger ones are passed over in blocks. Both ways give
+the same trees.
 
 Sums are whole numbers (gradients in units of 2^-20), so that trees don't depend on the order in which tasks end. The driver holds edges, trees
 and the best splits, whose size is set by parameters. Margins are checkpointed every CUT trees, which bounds what a lost executor costs.
@@ -32,10 +33,14 @@ from marketloom.sources.staging import new_path, shared_folder
 BINS = 64
 #: Trees between two checkpoints of the margins.
 CUT = 10
-#: Rows of a model that one task may hold; larger models stay in blocks of all tasks.
-WHOLE = 1 << 18
+#: Bytes of a model that one task may hold: a byte a feature and BESIDE more a row; larger models stay in blocks of all tasks.
+WHOLE, BESIDE = 480 << 20, 30
 #: Units of gradients and hessians.
 UNIT = float(1 << 20)
+#: Rows that are added up at once, and least rows of a node for which the bins of two features are counted together.
+CHUNK, PAIRED = 1 << 16, 1 << 13
+#: A row's hessian carries this much more as its count; sums of CHUNK rows stay exact in a double if hessians are below HESSIAN.
+COUNT, HESSIAN = float(1 << 36), float(1 << 20)
 
 
 @dataclass
@@ -106,6 +111,49 @@ def _ends(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
         node = np.where(inner, step, node)
 
 
+def _scorer(trees: list[tuple]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from rows of bins to the sums of the trees' values, added in their order.
+
+    A tree of at most 16 leaves is not walked: a row's leaves are bits, from the left; each split that a row passes to the right strikes those on its
+    left out, and the first that remains is the row's.
+    """
+    ready = []
+    for t in trees:
+        feature, at_bin, left, value = tree = tuple(np.asarray(a) for a in t)
+        splits: list[tuple[int, int, int]] = []
+        ends: list[int] = []
+
+        def walk(node: int, feature=feature, at_bin=at_bin, left=left, splits=splits, ends=ends) -> None:
+            if feature[node] < 0:
+                ends.append(node)
+                return
+            first = len(ends)
+            walk(int(left[node]))
+            splits.append((int(feature[node]), int(at_bin[node]), ((1 << len(ends)) - 1) ^ ((1 << first) - 1)))
+            walk(int(left[node]) + 1)
+
+        walk(0)
+        ready.append((tree, splits, value[ends]))
+    first = np.array([(i & -i).bit_length() - 1 for i in range(1, 1 << 16)], np.int8) if any(len(values) <= 16 for _, _, values in ready) else None
+
+    def score(bins: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bins))
+        for start in range(0, len(bins), CHUNK):
+            some = bins[start : start + CHUNK]
+            columns, total = np.ascontiguousarray(some.T), out[start : start + CHUNK]
+            for tree, splits, values in ready:
+                if len(values) > 16:
+                    total += tree[3][_ends(tree, some)]
+                    continue
+                gone = np.zeros(len(some), np.uint16)
+                for f, b, mask in splits:
+                    gone |= (columns[f] > b) * np.uint16(mask)
+                total += values[first[~gone - np.uint16(1)]]
+        return out
+
+    return score
+
+
 def _measured(blocks: Iterator, plan: list, weights: np.ndarray) -> Iterator:
     """((model, node), int64 sums by gradient, hessian, rows; feature; bin) of one partition."""
     found: dict[tuple[int, int], np.ndarray] = {}
@@ -162,15 +210,36 @@ def _moved(blocks: Iterator, trees: list) -> Iterator:
 class _Rows:
     """The rows of one model, by node of the tree on its way: a node's rows are cut from its parent's, and of two siblings only the smaller one is added up."""
 
-    def __init__(self, bins: np.ndarray, y: np.ndarray, weights: np.ndarray, used: np.ndarray):
-        self.columns, self.y, self.w, self.used = np.ascontiguousarray(bins.T), y, weights[y], used
-        self.margins = np.zeros(len(y))
+    def __init__(self, bins: np.ndarray | list[np.ndarray], y: np.ndarray, weights: np.ndarray, used: np.ndarray):
+        blocks = bins if isinstance(bins, list) else [bins]
+        self.features = blocks[0].shape[1]
+        # the bins of two features, column by column: BINS * first + second
+        self.pairs = np.zeros(((self.features + 1) // 2, len(y)), np.uint16)
+        at = 0
+        for b in blocks:
+            to = slice(at, at := at + len(b))
+            self.pairs[:, to] = b[:, 0::2].T.astype(np.uint16) * BINS
+            self.pairs[: self.features // 2, to] += b[:, 1::2].T
+        self.y, self.weights, self.used = y, weights, used
+        self.margins, self.g, self.h = np.zeros(len(y)), np.zeros(len(y)), np.zeros(len(y))
+
+    def bins(self, feature: int, rows: np.ndarray) -> np.ndarray:
+        both = self.pairs[feature // 2].take(rows)
+        return both % BINS if feature % 2 else both // BINS
 
     def plant(self, tree: Growing) -> None:
         """Begins a tree: its gradients and hessians, as whole numbers, so that what a sibling leaves of its parent is exact."""
-        p = 1.0 / (1.0 + np.exp(-self.margins))
-        self.tree, self.parent, self.rows, self.sums = tree, {}, {0: np.arange(len(self.y))}, {}
-        self.parts = (np.rint(self.w * (p - self.y) * UNIT), np.rint(self.w * p * (1 - p) * UNIT), None)
+        for start in range(0, len(self.y), CHUNK):
+            some = slice(start, start + CHUNK)
+            y = self.y[some]
+            w, p = self.weights[y], 1.0 / (1.0 + np.exp(-self.margins[some]))
+            self.g[some], self.h[some] = np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT)
+        self.tree, self.parent, self.sums = tree, {}, {}
+        # a node's rows are a range of order
+        self.order, self.span = np.arange(len(self.y), dtype=np.int32 if len(self.y) < 1 << 31 else np.int64), {0: (0, len(self.y))}
+        self.counted = not len(self.h) or self.h.max() < HESSIAN
+        if self.counted:
+            self.h += COUNT
 
     def up(self, node: int) -> int:
         """The node's parent; those opened since are looked up first."""
@@ -179,24 +248,49 @@ class _Rows:
         return self.parent[node]
 
     def at(self, node: int) -> np.ndarray:
-        if node not in self.rows:
+        if node not in self.span:
             up = self.up(node)
             split, rows = self.tree.known[up], self.at(up)
-            right = self.columns[split.feature][rows] > split.bin
-            left = split.children[0]
-            self.rows[left], self.rows[left + 1] = rows[~right], rows[right]
-        return self.rows[node]
+            right = self.bins(split.feature, rows) > split.bin
+            left, (start, end) = split.children[0], self.span[up]
+            ones, others = rows[~right], rows[right]
+            middle = start + len(ones)
+            self.order[start:middle], self.order[middle:end] = ones, others
+            self.span[left], self.span[left + 1] = (start, middle), (middle, end)
+        start, end = self.span[node]
+        return self.order[start:end]
+
+    def counts(self, at: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Gradients, hessians and rows by place."""
+        hessians = np.bincount(at, h, size)
+        if not self.counted:
+            return np.bincount(at, g, size), hessians, np.bincount(at, None, size)
+        n = np.floor(hessians / COUNT)
+        return np.bincount(at, g, size), hessians - n * COUNT, n
 
     def added(self, node: int) -> np.ndarray:
         """int64 sums by gradient, hessian, rows; feature; bin, as _measured() gives them; features that are not used stay 0."""
         rows = self.at(node)
-        parts = [v if v is None else v[rows] for v in self.parts]
-        out = np.zeros((3, len(self.columns), BINS), np.int64)
-        for f in self.used:
-            bins = self.columns[f][rows].astype(np.intp)
-            for k, v in enumerate(parts):
-                out[k, f] = np.bincount(bins, v, BINS)
-        return out
+        out = np.zeros((3, 2 * len(self.pairs), BINS), np.int64)
+        paired = np.unique(np.asarray(self.used) // 2)
+        for start in range(0, len(rows), CHUNK):
+            some = rows[start : start + CHUNK].astype(np.intp)
+            g, h = self.g.take(some), self.h.take(some)
+            for p in paired:
+                both = self.pairs[p].take(some).astype(np.intp)
+                if len(rows) >= PAIRED:
+                    for k, v in enumerate(self.counts(both, g, h, BINS * BINS)):
+                        each = v.reshape(BINS, BINS)
+                        out[k, 2 * p] += each.sum(1).astype(np.int64)
+                        out[k, 2 * p + 1] += each.sum(0).astype(np.int64)
+                    continue
+                for f, bins in ((2 * p, both // BINS), (2 * p + 1, both % BINS)):
+                    for k, v in enumerate(self.counts(bins, g, h, BINS)):
+                        out[k, f] += v.astype(np.int64)
+        kept = np.zeros(2 * len(self.pairs), bool)
+        kept[self.used] = True
+        out[:, ~kept] = 0
+        return out[:, : self.features]
 
     def measured(self, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         for node in need:
@@ -226,10 +320,9 @@ def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int,
     if not parts:
         return
     model = parts[0][0]
-    bins, y = (np.concatenate([p[1][c] for p in parts]) for c in (0, 1))
-    del parts
     # a node's totals are read from the first feature
-    held = _Rows(bins, y, weights[model], np.union1d([0], np.flatnonzero(allowed[model])).astype(int))
+    held = _Rows([bins for _, (bins, _) in parts], np.concatenate([y for _, (_, y) in parts]), weights[model], np.union1d([0], np.flatnonzero(allowed[model])).astype(int))
+    del parts
     out = []
     for _ in range(trees):
         tree = Growing()
@@ -257,13 +350,8 @@ class Boosted:
 
     def margins(self) -> Callable[[np.ndarray], np.ndarray]:
         """A function from rows of vector(numeric, categories) to their log odds."""
-        edges, trees = [np.array(e) for e in self.edges], [tuple(np.array(a) for a in t) for t in self.trees]
-
-        def of(x: np.ndarray) -> np.ndarray:
-            bins = binned(x, edges)
-            return sum((t[3][_ends(t, bins)] for t in trees), np.zeros(len(x)))
-
-        return of
+        edges, score = [np.array(e) for e in self.edges], _scorer(self.trees)
+        return lambda x: score(binned(x, edges))
 
     def margin(self) -> Column:
         """The log odds of each row. Categories that were not known count as none; features must be numbers."""
@@ -292,8 +380,9 @@ def _edges(rows: DataFrame, numeric: tuple[str, ...]) -> list[np.ndarray]:
     return [np.unique(np.array(e if e is not None else [0.0], float)) for e in found]
 
 
-def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]], categorical: tuple[str, ...] = (), trees: int = 250, rate: float = 0.05, leaves: int = 15, least: int = 40, l2: float = 1.0, whole: int = WHOLE) -> list[Boosted]:
-    """One model for each (condition for its training rows, its numeric features), side by side: those of at most `whole` rows in a task each, the others in the same passes.
+def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]], categorical: tuple[str, ...] = (), trees: int = 250, rate: float = 0.05, leaves: int = 15, least: int = 40, l2: float = 1.0, whole: int | None = None) -> list[Boosted]:
+    """One model for each (condition for its training rows, its numeric features), side by side: those of at most `whole` rows (by default as many as
+    WHOLE holds) in a task each, the others in the same passes.
 
     rows: a label of 0 and 1 and features without nulls; rows that no model trains on are left out, also of the bins' edges, which all models
     share. The classes of a model's rows weigh the same. A model without rows of both classes has trees without splits and a margin of 0.
@@ -328,8 +417,9 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]
     def arrays(r) -> tuple:
         return np.frombuffer(r.bins, np.uint8).reshape(r.n, -1), np.frombuffer(r.y, np.int8), np.frombuffer(r.member, np.uint8).reshape(r.n, m).astype(bool), np.zeros((r.n, m))
 
-    small = sizes.sum(axis=1) <= whole
-    place = {int(i): k for k, i in enumerate(np.flatnonzero(both[:, 0] & small))}
+    small = sizes.sum(axis=1) <= (WHOLE // (len(numeric) + len(categories) + BESIDE) if whole is None else whole)
+    # tasks start in this order
+    place = {int(i): k for k, i in enumerate(sorted(np.flatnonzero(both[:, 0] & small), key=lambda i: -sizes[i].sum()))}
     out = [[] for _ in models]
 
     def own(r) -> Iterator:
@@ -339,8 +429,9 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]
             if len(at):
                 yield i, (bins[at], label[at])
 
+    blocks = spark.read.schema(schema).parquet(path).rdd
     if place:
-        apart = spark.read.schema(schema).parquet(path).rdd.flatMap(own).partitionBy(len(place), place.__getitem__)
+        apart = blocks.flatMap(own).partitionBy(len(place), place.__getitem__)
         for i, made in apart.mapPartitions(lambda b: _grown(b, allowed, weights, trees, rate, leaves, least, l2)).collect():
             out[i] = made
     passed = both[:, 0] & ~small
@@ -349,7 +440,7 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...]]
         stump = [tuple(a.tolist() for a in Growing().arrays([], rate, l2)) for _ in range(trees)]
         return [Boosted(numeric, categories, [e.tolist() for e in edges], trees_of or stump) for trees_of in out]
     sc.setCheckpointDir(shared_folder(spark))
-    state = spark.read.schema(schema).parquet(path).rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
     older, cuts = None, []
     for t in range(trees):
         growing = [Growing() for _ in models]
