@@ -260,37 +260,38 @@ class _Rows:
         start, end = self.span[node]
         return self.order[start:end]
 
-    def counts(self, at: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-        """Gradients, hessians and rows by place."""
-        hessians = np.bincount(at, h, size)
-        if not self.counted:
-            return np.bincount(at, g, size), hessians, np.bincount(at, None, size)
-        n = np.floor(hessians / COUNT)
-        return np.bincount(at, g, size), hessians - n * COUNT, n
-
     def added(self, node: int) -> np.ndarray:
         """int64 sums by gradient, hessian, rows; feature; bin, as _measured() gives them; features that are not used stay 0."""
         rows = self.at(node)
-        out = np.zeros((3, 2 * len(self.pairs), BINS), np.int64)
         paired = np.unique(np.asarray(self.used) // 2)
+        out = np.zeros((3, len(paired), 2, BINS), np.int64)
         for start in range(0, len(rows), CHUNK):
             some = rows[start : start + CHUNK].astype(np.intp)
-            g, h = self.g.take(some), self.h.take(some)
-            for p in paired:
-                both = self.pairs[p].take(some).astype(np.intp)
-                if len(rows) >= PAIRED:
-                    for k, v in enumerate(self.counts(both, g, h, BINS * BINS)):
-                        each = v.reshape(BINS, BINS)
-                        out[k, 2 * p] += each.sum(1).astype(np.int64)
-                        out[k, 2 * p + 1] += each.sum(0).astype(np.int64)
-                    continue
-                for f, bins in ((2 * p, both // BINS), (2 * p + 1, both % BINS)):
-                    for k, v in enumerate(self.counts(bins, g, h, BINS)):
-                        out[k, f] += v.astype(np.int64)
-        kept = np.zeros(2 * len(self.pairs), bool)
-        kept[self.used] = True
-        out[:, ~kept] = 0
-        return out[:, : self.features]
+            values = [self.g.take(some), self.h.take(some)] + ([] if self.counted else [None])
+            if len(rows) >= PAIRED:
+                sums = np.empty((len(values), len(paired), BINS * BINS))
+                for j, p in enumerate(paired):
+                    both = self.pairs[p].take(some).astype(np.intp)
+                    for k, v in enumerate(values):
+                        sums[k, j] = np.bincount(both, v, BINS * BINS)
+                grid = sums.reshape(len(values), len(paired), BINS, BINS)
+                sums = np.stack([grid.sum(3), grid.sum(2)], axis=2)
+            else:
+                sums = np.empty((len(values), len(paired), 2, BINS))
+                for j, p in enumerate(paired):
+                    both = self.pairs[p].take(some).astype(np.intp)
+                    for side, bins in enumerate((both // BINS, both % BINS)):
+                        for k, v in enumerate(values):
+                            sums[k, j, side] = np.bincount(bins, v, BINS)
+            if self.counted:
+                n = np.floor(sums[1] / COUNT)
+                sums = np.stack([sums[0], sums[1] - n * COUNT, n])
+            out += sums.astype(np.int64)
+        whole = np.zeros((3, len(self.pairs), 2, BINS), np.int64)
+        whole[:, paired] = out
+        whole = whole.reshape(3, -1, BINS)[:, : self.features]
+        whole[:, np.setdiff1d(np.arange(self.features), self.used)] = 0
+        return whole
 
     def measured(self, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         for node in need:
@@ -320,8 +321,9 @@ def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int,
     if not parts:
         return
     model = parts[0][0]
-    # a node's totals are read from the first feature
-    held = _Rows([bins for _, (bins, _) in parts], np.concatenate([y for _, (_, y) in parts]), weights[model], np.union1d([0], np.flatnonzero(allowed[model])).astype(int))
+    # only the model's features are held; a node's totals are read from the first one
+    used = np.union1d([0], np.flatnonzero(allowed[model])).astype(int)
+    held = _Rows([bins[:, used] for _, (bins, _) in parts], np.concatenate([y for _, (_, y) in parts]), weights[model], np.arange(len(used)))
     del parts
     out = []
     for _ in range(trees):
@@ -332,10 +334,10 @@ def _grown(rows: Iterator, allowed: np.ndarray, weights: np.ndarray, trees: int,
             if not need:
                 break
             for node, sums in held.measured(need):
-                tree.known[node], tree.totals[node] = _best(sums, allowed[model], least, l2)
+                tree.known[node], tree.totals[node] = _best(sums, allowed[model][used], least, l2)
         made = tree.arrays(taken, rate, l2)
-        out.append(tuple(a.tolist() for a in made))
         held.move(made)
+        out.append(tuple(a.tolist() for a in (np.where(made[0] < 0, -1, used[made[0]]), *made[1:])))
     yield model, out
 
 

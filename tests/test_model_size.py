@@ -52,3 +52,37 @@ def test_rows_are_scored_as_trees_are_walked(monkeypatch):
         tree = tuple(np.array(a) for a in t)
         want = want + tree[3][B._ends(tree, bins)]
     assert (B._scorer(trees)(bins) == want).all() and B._scorer(trees)(bins[:0]).shape == (0,)
+
+
+def test_windows_of_sector_correlations_are_plain(spark):
+    from marketloom.operators import context
+
+    rng = np.random.default_rng(6)
+    days = [f"2020-{m:02d}-{d:02d}" for m in range(1, 6) for d in range(1, 29)]
+    walk = lambda: (100 * np.exp(np.cumsum(rng.normal(size=len(days)) * 0.01))).round(4)
+    # A and B are one series, so A is first; C stands still for a while
+    a, c = walk(), walk()
+    c[30:110] = c[30]
+    sectors = [(n, d, float(v)) for n, x in (("A", a), ("B", a), ("C", c)) for d, v in zip(days, x, strict=True)]
+    own = {"t1": walk(), "t2": (c * 1.01).round(4), "t3": np.full(len(days), 7.0)}
+    own["t2"][30:110] = walk()[:80]
+    bars = [(t, d, float(v)) for t, x in own.items() for d, v in zip(days, x, strict=True) if t != "t1" or d != days[20]]
+    x = context.sector_proxy(spark.createDataFrame(bars, "ticker string, date string, close double"), spark.createDataFrame(sectors, "symbol string, date string, close double"), ["A", "B", "C"], sessions=30, least=20)
+    assert "Window" in str(x._jdf.queryExecution().optimizedPlan()) and "covar_pop" not in str(x._jdf.queryExecution().optimizedPlan())  # frames of 60 rows were added up for each row and sector
+    found = {(r.ticker, r.date): (r.sector, r.correlation) for r in x.collect()}
+    returns = {n: dict(zip(days[1:], x[1:] / x[:-1] - 1, strict=True)) for n, x in (("A", a), ("B", a), ("C", c))}
+    for t in own:
+        rows = [(d, v) for n, d, v in bars if n == t]
+        steps = [(d, v / rows[i - 1][1] - 1 if i else None) for i, (d, v) in enumerate(rows) if d in returns["A"]]
+        for k, (d, _) in enumerate(steps):
+            part = [(e, v) for e, v in steps[max(0, k - 29) : k + 1] if v is not None]
+            if len(part) < 20:
+                assert (t, d) not in found
+                continue
+            r, best = np.array([v for _, v in part]), (None, None)
+            for n in "ABC":
+                s = np.array([returns[n][e] for e, _ in part])
+                if len(set(r)) > 1 and len(set(s)) > 1 and (best[0] is None or np.corrcoef(r, s)[0, 1] > best[1] + 1e-12):
+                    best = (n, np.corrcoef(r, s)[0, 1])
+            assert found[t, d][0] == best[0] and (best[0] is None or abs(found[t, d][1] - best[1]) < 1e-9), (t, d)
+    assert {s for s, _ in found.values()} == {"A", "C", None}
