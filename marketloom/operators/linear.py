@@ -1,4 +1,4 @@
-"""Balanced logistic regressions with a penalty on scaled coefficients, many models in the same passes.
+"""Balanced logistic regressions with a penalty on scaled coefficients, many models in the same passes; ridge regression in one pass.
 
 A pass adds up the loss, its gradient and its curvature of all models in the tasks; groups of a model's sums are added by Spark, and the driver, which
 holds a matrix of (features + 1) squared a model, takes Newton's next step. That takes some ten passes whatever the rows and the models, where
@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ ARRIVED = 1e-9
 MOST_PASSES = 60
 
 
+class OneClass(ValueError):
+    """A model lacks rows of both classes."""
+
+
 @dataclass
 class Linear:
     """A logistic model on columns as they are. Plain values, so it can be pickled and written as JSON."""
@@ -105,7 +111,7 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...],
 
     found = _added(table, moments, {m: 2 + 2 * len(k) for m, k in enumerate(own)})
     if any(m not in found or not found[m][:2].all() for m in range(len(models))):
-        raise ValueError("a model has no rows of both classes")
+        raise OneClass("a model has no rows of both classes")
     weights, pull = [], []
     for m, k in enumerate(own):
         n, (first, second) = found[m][:2].sum(), np.split(found[m][2:], 2)
@@ -154,3 +160,76 @@ def fit(rows: DataFrame, label: str, models: list[tuple[Column, tuple[str, ...],
         numbers = tuple(numeric[i] for i in k if i < len(numeric))
         out.append(Linear(numbers, tuple(categories[i - len(numeric)] for i in k if i >= len(numeric)), plain.tolist(), float(b[-1] - plain @ shift[k])))
     return out
+
+
+#: Parts that tasks' moments are pooled in before the driver adds them up.
+POOLS = 32
+
+
+@dataclass
+class Ridge:
+    """A linear model on columns as they are."""
+
+    features: tuple[str, ...]
+    coefficients: list[float]
+    intercept: float
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with prediction."""
+        total = F.lit(self.intercept)
+        for c, b in zip(self.features, self.coefficients, strict=True):
+            total = total + F.col(c).cast("double") * b
+        return rows.withColumn("prediction", total)
+
+
+def _pooled(a: tuple, b: tuple) -> tuple:
+    """Rows, means and sums of products about the means, of two sets together."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    step = b[1] - a[1]
+    return n, a[1] + step * (b[0] / n), a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n)
+
+
+def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...], alpha: float) -> Ridge:
+    """Least squares with alpha on the squared coefficients of features scaled by their deviation, and an intercept.
+
+    One pass adds up the products of features and target about their means, of which the driver holds a matrix; a feature that is one value has no
+    coefficient. Raises ValueError without rows, or with values that are missing or not finite.
+    """
+    size = len(features) + 1
+    schema = pa.schema([("pool", pa.int32()), ("moments", pa.binary())])
+
+    def packed(pool: int, held: tuple) -> dict:
+        return {"pool": [pool], "moments": [np.concatenate([[held[0]], held[1], held[2].ravel()]).tobytes()]}
+
+    def unpacked(b: bytes) -> tuple:
+        v = np.frombuffer(b)
+        return v[0], v[1 : size + 1], v[size + 1 :].reshape(size, size)
+
+    nothing = (0.0, np.zeros(size), np.zeros((size, size)))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = nothing
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                mean = x.mean(0)
+                held = _pooled(held, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+        yield pa.RecordBatch.from_pydict(packed(TaskContext.get().partitionId() % POOLS, held), schema=schema)
+
+    def pool(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pydict(packed(table.column("pool")[0].as_py(), reduce(_pooled, (unpacked(v.as_py()) for v in table.column("moments")))), schema=schema)
+
+    kind = "pool int, moments binary"
+    x = rows.select(F.array(*(F.col(c).cast("double") for c in (*features, target))).alias("x"))
+    found = x.mapInArrow(some, kind).groupBy("pool").applyInArrow(pool, kind).collect()
+    n, mean, products = reduce(_pooled, (unpacked(r.moments) for r in sorted(found, key=lambda r: r.pool)), nothing)
+    if not n or not np.isfinite(products).all():
+        raise ValueError("no rows to fit, or values that are missing or not finite")
+    deviation = np.sqrt(np.diag(products)[:-1] / max(n - 1, 1))
+    used = deviation > 0
+    scale = np.where(used, deviation, 1.0)
+    cross, with_target = products[:-1, :-1] / np.outer(scale, scale), products[:-1, -1] / scale
+    plain = np.where(used, np.linalg.solve(cross + alpha * np.eye(size - 1), with_target), 0.0) / scale
+    return Ridge(features, plain.tolist(), float(mean[-1] - plain @ mean[:-1]))

@@ -19,7 +19,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +94,17 @@ def fit_logistic(rows: DataFrame, label: str, numeric: tuple[str, ...], categori
     return Pipeline(stages=[*_assembled(numeric, categorical, True), model]).fit(x)
 
 
-def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...] = RANKING, alpha: float = 25.0) -> PipelineModel:
-    """Ridge regression of target on scaled features, with alpha on the sum of squares of the coefficients."""
-    x = rows.withColumn("label", F.col(target).cast("double"))
-    size = x.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("std")).first()
-    # MLlib divides the penalty by the label's deviation
-    model = LinearRegression(featuresCol="features", labelCol="label", regParam=alpha * (size.std or 1.0) / max(size.n, 1), elasticNetParam=0.0, standardization=False, solver="normal")
-    return Pipeline(stages=[*_assembled(features, (), True), model]).fit(x)
+def fit_logistic_in_passes(rows: DataFrame, label: str, numeric: tuple[str, ...], c: float = 1.0) -> PipelineModel | linear.Linear:
+    """What fit_logistic() fits, by Newton's steps: each pass reads the written table again, where MLlib keeps a copy of all features on the executors' disks. Rows of one class only are left to MLlib."""
+    try:
+        return linear.fit(rows, label, [(F.lit(True), numeric, ())], c)[0]
+    except linear.OneClass:
+        return fit_logistic(rows, label, numeric, c=c)
+
+
+def fit_ridge(rows: DataFrame, target: str, features: tuple[str, ...] = RANKING, alpha: float = 25.0) -> linear.Ridge:
+    """Ridge regression of target on scaled features, with alpha on the sum of squares of the coefficients. Rows are read once."""
+    return linear.fit_ridge(rows, target, features, alpha)
 
 
 Model = PipelineModel | boosting.Boosted | linear.Linear

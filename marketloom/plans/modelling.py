@@ -149,25 +149,45 @@ def study(s: SparkSession, d: str) -> DataFrame:
 register("mod_08_feature_set_study", study)
 
 
-def eligible(s: SparkSession, d: str) -> DataFrame:
-    """Panel rows after the warm-up that are liquid, with labels and partition by date, complete in features and outcomes; written once."""
-    x = indicators.quintile_labels(panel(s, d).where(f"rn > 220 and dv20 >= {MIN_DOLLAR_VOLUME}"))
-    needed = tuple(dict.fromkeys((*L.RANKING, "target_risk_adj5", "risk_adj_mom20", *(f"fwd_{k}_{h}" for k in ("ret", "excess") for h in (1, 3, 5, 10)))))
-    x = A.date_partitions(x, 0.60, 0.80)
-    return staged(L.complete(x, needed).select("ticker", "date", "partition", "top_quintile", "bottom_quintile", *needed), "panel")
+#: Labels of the panel's rows by direction of the trade.
+QUINTILES = {"Long": "top_quintile", "Short": "bottom_quintile"}
+_FORWARD = tuple(f"fwd_{k}_{h}" for k in ("ret", "excess") for h in (1, 3, 5, 10))
 
 
-def ranked_panel(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """By direction, rows after training with the model's score and the momentum baseline, written once."""
-    rows = eligible(s, d)
+#: Excess returns, by the return and the benchmark's that they are the difference of.
+_EXCESS = {f"excess_{n}": (f"ret_{n}", f"b_{n}") for n in indicators.BACKS} | {f"fwd_excess_{n}": (f"fwd_ret_{n}", f"bf_{n}") for n in indicators.AHEADS}
+
+
+def eligible(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Panel rows after the warm-up that are liquid, with partition by date and `columns` (labels among them), complete in features and outcomes; written once.
+
+    Rows with all their columns are not dealt by date: a date's bounds and its partition are one row a session, found from dates and outcomes alone, and come
+    back by broadcast. What is written is `columns` without the excess returns, which are taken again from returns and the benchmark's, and without the forward
+    returns of training rows, which no ranking looks at: these are null.
+    """
+    x = panel(s, d).where(f"rn > 220 and dv20 >= {MIN_DOLLAR_VOLUME}")
+    needed = tuple(dict.fromkeys((*L.RANKING, "target_risk_adj5", "risk_adj_mom20", *_FORWARD)))
+    dates = staged(bounds_by_date(x), "dates")
+    x = indicators.bounded_labels(x, dates).join(F.broadcast(A.date_cuts(dates.select("date"), 0.60, 0.80)), "date")
+    kept = dict.fromkeys(_EXCESS[c][0] if c in _EXCESS else c for c in columns)
+    rows = staged(L.complete(x, needed).select("ticker", "date", "partition", *(F.when(F.col("partition") != "Train", F.col(c)).alias(c) if c in _FORWARD else c for c in kept)), "panel")
+    moves = staged(indicators.bench_moves(fixtures.bench(s, d)), "moves")
+    return rows.join(F.broadcast(moves), "date").select("ticker", "date", "partition", *((F.col(_EXCESS[c][0]) - F.col(_EXCESS[c][1])).alias(c) if c in _EXCESS else c for c in columns))
+
 
-    def one(side: str) -> DataFrame:
-        label = "top_quintile" if side == "Long" else "bottom_quintile"
-        x = rows.where(F.col(label).isNotNull())
-        model = L.fit_logistic(x.where("partition = 'Train'"), label, L.RANKING, c=0.25)
-        return staged(L.margin(model, x.where("partition != 'Train'")).withColumns({"model": F.col("margin"), "momentum": (1.0 if side == "Long" else -1.0) * F.col("excess_20")}), "ranked")
+def bounds_by_date(x: DataFrame) -> DataFrame:
+    """One row for each date of x, with the bounds of its quintiles."""
+    return indicators.quintile_bounds(x.select("date", "fwd_excess_5"))
 
-    return dict(zip(SIDES, L._side_by_side(one, list(SIDES)), strict=True))
+
+def ranked_panel(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """By direction, rows after training with labels, outcomes, the model's score and the momentum baseline; written once, without the features."""
+    rows = eligible(s, d, *QUINTILES.values(), *L.RANKING, *_FORWARD)
+    train = rows.where("partition = 'Train'")
+    models = {side: L.fit_logistic_in_passes(train.where(F.col(label).isNotNull()), label, L.RANKING, c=0.25) for side, label in QUINTILES.items()}
+    scored = reduce(lambda x, side: L.margin(models[side], x).withColumnRenamed("margin", f"margin_{side}"), SIDES, rows.where("partition != 'Train'"))
+    table = staged(scored.select("ticker", "date", "partition", *QUINTILES.values(), *_FORWARD, "excess_20", *(f"margin_{side}" for side in SIDES)), "ranked")
+    return {side: table.where(F.col(label).isNotNull()).withColumns({"model": F.col(f"margin_{side}"), "momentum": (1.0 if side == "Long" else -1.0) * F.col("excess_20")}) for side, label in QUINTILES.items()}
 
 
 def rankings(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +203,7 @@ def rankings(s: SparkSession, d: str) -> DataFrame:
 
 def ridge(s: SparkSession, d: str) -> DataFrame:
     """The ridge model's score of every row after training, with its target."""
-    rows = eligible(s, d)
+    rows = eligible(s, d, *L.RANKING, "target_risk_adj5")
     model = L.fit_ridge(rows.where("partition = 'Train'"), "target_risk_adj5")
     return model.transform(rows.where("partition != 'Train'")).select("ticker", "date", "partition", "target_risk_adj5", F.col("prediction").alias("score"))
 
@@ -208,7 +228,7 @@ register("mod_15_chosen_ranking", choice)
 
 def model_coefficients(s: SparkSession, d: str) -> DataFrame:
     """Daily information coefficients of the ridge model's score beside the momentum scores, after training."""
-    rows = momentum(eligible(s, d)).where(" and ".join(f"{c} is not null" for c in MOMENTUM))
+    rows = momentum(eligible(s, d, *L.RANKING, "target_risk_adj5")).where(" and ".join(f"{c} is not null" for c in MOMENTUM))
     model = L.fit_ridge(rows.where("partition = 'Train'"), "target_risk_adj5")
     later = model.transform(rows.where("partition != 'Train'")).withColumn("model_score", F.col("prediction"))
     return A.score_coefficients(later, ("model_score", *MOMENTUM), "target_risk_adj5")

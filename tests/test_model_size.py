@@ -86,3 +86,71 @@ def test_windows_of_sector_correlations_are_plain(spark):
                     best = (n, np.corrcoef(r, s)[0, 1])
             assert found[t, d][0] == best[0] and (best[0] is None or abs(found[t, d][1] - best[1]) < 1e-9), (t, d)
     assert {s for s, _ in found.values()} == {"A", "C", None}
+
+
+def test_ridge_in_one_pass_is_the_closed_form(spark):
+    from marketloom.operators import models as L
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 4)) * [1.0, 5.0, 0.2, 0.0] + [0.0, 200.0, -3.0, 2.0]
+    y = x @ [0.7, -0.1, 2.0, 0.0] + rng.normal(size=700)
+    df = spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, c double, d double, y double").repartition(5)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ridge", "ridge")
+    model = L.fit_ridge(df, "y", ("a", "b", "c", "d"), 25.0)
+    assert len(jobs.getJobIdsForGroup("ridge")) < 4  # the rows were read by one job after another
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    s = (x[:, :3] - x[:, :3].mean(0)) / x[:, :3].std(0, ddof=1)
+    want = s @ np.linalg.solve(s.T @ s + 25.0 * np.eye(3), s.T @ (y - y.mean())) + y.mean()
+    assert np.allclose([r.prediction for r in model.transform(df).orderBy("i").collect()], want, atol=1e-9)
+    with pytest.raises(ValueError):
+        L.fit_ridge(df.where("i < 0"), "y", ("a",))
+
+
+def test_labels_from_bounds_are_those_of_ranks(spark):
+    from marketloom.operators import indicators
+
+    rng = np.random.default_rng(13)
+    rows = [(f"d{d}", i, None if rng.random() < 0.1 else round(float(rng.normal()), 1)) for d, n in (("1", 1), ("2", 4), ("3", 57), ("4", 300)) for i in range(n)]
+    rows += [("same", i, 1.5) for i in range(10)] + [("none", 1, None), ("nan", 1, 1.0), ("nan", 2, float("nan")), ("nan", 3, 2.0)] + [("zero", i, v) for i, v in enumerate((0.0, -0.0, 1.0, 2.0, 3.0))]
+    df = spark.createDataFrame(rows, "date string, i int, fwd_excess_5 double")
+    key = lambda x: sorted((r.date, r.i, r.top_quintile, r.bottom_quintile) for r in x.collect())
+    plain = {(d, i): (a, b) for d, i, a, b in key(indicators.quintile_labels(df)) if d}
+    bounds = indicators.quintile_bounds(df)
+    got = {(d, i): (a, b) for d, i, a, b in ((r.date, r.i, r.top_quintile, r.bottom_quintile) for r in indicators.bounded_labels(df, bounds).collect())}
+    assert got == plain and len(got) == len(rows) and bounds.count() == 8
+
+
+def test_panel_is_not_dealt_by_date_nor_written_with_all_columns(spark, sf_small, monkeypatch):
+    from marketloom.plans import modelling as M
+
+    wide, written = [], {}
+
+    def kept(df, name, keep=M.staged):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        wide.extend(line for line in plan.splitlines() if name == "panel" and "Window" in line and "rank(fwd_excess_5" in line)
+        written.setdefault(name, []).append(df.columns)
+        return keep(df, name)
+
+    monkeypatch.setattr(M, "staged", kept)
+    rows = M.eligible(spark, sf_small, *M.L.RANKING, "target_risk_adj5")
+    assert not wide  # the wide rows were dealt by date for their labels
+    assert set(rows.columns) == {"ticker", "date", "partition", *M.L.RANKING, "target_risk_adj5"}
+    assert len(written["panel"][0]) == 3 + len(M.L.RANKING) - 6 + 1 and written["dates"] == [["date", "low", "high"]]
+
+
+def test_logistic_in_passes_is_the_penalised_optimum(spark):
+    from marketloom.operators import models as L
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 3)) * [1.0, 5.0, 0.2] + [0.0, 2.0, 1.0]
+    y = (rng.random(500) < 1 / (1 + np.exp(-x[:, 0] + 0.2 * x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(*map(float, v), int(t)) for v, t in zip(x, y, strict=True)], "a double, b double, c double, y int")
+    model = L.fit_logistic_in_passes(df, "y", ("a", "b", "c"), c=0.25)
+    s = np.c_[(x - x.mean(0)) / x.std(0, ddof=1), np.ones(500)]
+    w, b = np.where(y == 1, 500 / (2 * y.sum()), 500 / (2 * (1 - y).sum())), np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-s @ b))
+        b -= np.linalg.solve((s * (w * p * (1 - p))[:, None]).T @ s + np.diag([4.0, 4.0, 4.0, 0.0]), s.T @ (w * (p - y)) + np.r_[b[:3], 0] * 4)
+    assert np.allclose(model.margins()(x), s @ b, atol=1e-6)  # MLlib stops farther away, and keeps a copy of the rows on disk
+    assert L.fit_logistic_in_passes(df.where("y = 1"), "y", ("a",)).stages  # one class: as before
